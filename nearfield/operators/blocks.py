@@ -343,3 +343,56 @@ def near_pairs(queries: DataFrame, corpus: DataFrame, radius: float, metric: str
     if not metric_named(metric).ascending:
         raise ValueError(f"{metric} is not a distance")
     return score_pairs(queries, corpus, metric, lambda: _Within(radius), **options)
+
+
+# --- row-wise vector functions ------------------------------------------------------
+
+
+def map_vectors(
+    df: DataFrame, vec: str, f: Callable[[np.ndarray], list[np.ndarray]], fields: list[T.StructField], keep: bool = True
+) -> DataFrame:
+    """Append columns computed from the matrix of an Arrow batch; rows without a vector are left out.
+
+    ``f`` returns one array per new field, two-dimensional for a list column.
+    Runs where the rows lie, without a shuffle.
+    """
+    kept = list(df.schema.fields) if keep else [x for x in df.schema.fields if x.name != vec]
+    schema = T.StructType(kept + fields)
+    names = [x.name for x in kept]
+    out_names = [x.name for x in schema.fields]
+    types = [pa.float64() if "double" in x.dataType.simpleString() else pa.int64() for x in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column(vec).is_valid())
+            if not batch.num_rows:
+                continue
+            arrays = [batch.column(name) for name in names]
+            for values, kind in zip(f(matrix(batch.column(vec), np.float64)), types):
+                if values.ndim == 2:
+                    offsets = pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32())
+                    arrays.append(pa.ListArray.from_arrays(offsets, pa.array(values.ravel(), kind)))
+                else:
+                    arrays.append(pa.array(values, kind))
+            yield pa.RecordBatch.from_arrays(arrays, names=out_names)
+
+    return df.mapInArrow(run, schema)
+
+
+def counted(df: DataFrame, limit: int = BROADCAST_ROWS) -> int | None:
+    """Number of rows when it is at most ``limit``, else None."""
+    n = df.limit(limit + 1).count()
+    return n if n <= limit else None
+
+
+def beside(small: DataFrame, queries: DataFrame, per_query: int, limit: int = 1_000_000) -> DataFrame:
+    """``small`` holds at most ``per_query`` rows per query: broadcast it when the counted queries keep it
+    under ``limit`` rows, and leave the join to the planner when they do not."""
+    n = counted(queries, max(1, limit // max(per_query, 1)))
+    return small if n is None else F.broadcast(small)
+
+
+def in_chunks(rows: np.ndarray, width: int, f: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """``f`` over slices of rows so that (rows x width) scores stay within bounds."""
+    step = max(1, CELLS // max(width, 1))
+    return np.concatenate([f(rows[i : i + step]) for i in range(0, len(rows), step)])

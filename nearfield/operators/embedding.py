@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield.functions.text import spaced_words, words
-from nearfield.functions.vectors import l2_normalise
+from nearfield.functions.vectors import l2_normalise, to_payload
+from nearfield.operators.blocks import map_vectors
 
 # An embedder turns a list of strings into a matrix, one row per string. It is
 # made once per task by calling the factory, so a model loads once per task.
@@ -83,8 +84,6 @@ def embed(
 
     out = fed.mapInArrow(run, schema)
     if target == "payload":
-        from nearfield.functions.vectors import to_payload
-
         return out.withColumn(out_col, to_payload(F.col(out_col)))
     return out
 
@@ -93,21 +92,20 @@ def hash_embed(df: DataFrame, text_col: str, dims: int = 64, out_col: str = "vec
     return embed(df, text_col, lambda: HashEmbedder(dims), out_col, target, HashEmbedder.prepare)
 
 
-def mean_pool(df: DataFrame, id_col: str, text_col: str, table: DataFrame, dims: int, salt: int = 16) -> DataFrame:
+def mean_pool(df: DataFrame, id_col: str, text_col: str, table: DataFrame, dims: int) -> DataFrame:
     """Average of the token vectors of a text, repeated tokens counted each time.
 
     ``table`` is ``(token, vec)``; tokens without a vector are left out. Tokens are
-    counted per text before the join, and a token that most texts share is
-    spread over ``salt`` tasks, each with its own copy of that token's vector.
+    counted per text before the join. A token that most texts share makes its
+    join partition large on the text side only, which the adaptive skew join
+    splits; the sums after it are partial per task.
     """
     counts = (
         df.select(F.col(id_col).alias("id"), F.explode(words(F.col(text_col))).alias("token"))
         .groupBy("id", "token")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int"))
     )
-    spread = table.select("token", "vec", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("salt"))
-    joined = counts.join(spread, ["token", "salt"])
+    joined = counts.join(table.select("token", "vec"), "token")
     sums = [F.sum(F.col("n") * F.col("vec")[i]).alias(f"s{i}") for i in range(dims)]
     pooled = joined.groupBy("id").agg(F.sum("n").alias("n"), *sums)
     return pooled.select("id", F.array(*[F.col(f"s{i}") / F.col("n") for i in range(dims)]).alias("vector"))
@@ -125,22 +123,7 @@ def projection_matrix(dims: int, k: int) -> np.ndarray:
 
 def project(df: DataFrame, vec: str, weights: np.ndarray, out_col: str) -> DataFrame:
     """Multiply every vector by a fixed (dims x k) matrix."""
-    from nearfield.operators.blocks import matrix
-
-    schema = T.StructType([f for f in df.schema.fields if f.name != out_col] + [T.StructField(out_col, T.ArrayType(T.DoubleType()))])
-    kept = [f.name for f in schema.fields if f.name != out_col]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(batch.column(vec).is_valid())
-            rows = matrix(batch.column(vec), np.float64)
-            product = rows @ weights if len(rows) else np.empty((0, weights.shape[1]))
-            offsets = pa.array(np.arange(len(product) + 1) * weights.shape[1], pa.int32())
-            arrays = [batch.column(name) for name in kept]
-            arrays.append(pa.ListArray.from_arrays(offsets, pa.array(product.ravel(), pa.float64())))
-            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, out_col])
-
-    return df.mapInArrow(run, schema)
+    return map_vectors(df, vec, lambda rows: [rows @ weights], [T.StructField(out_col, T.ArrayType(T.DoubleType()))])
 
 
 def reduce_dims(df: DataFrame, vec: str, k: int, dims: int, method: str = "projection", out_col: str = "reduced") -> DataFrame:

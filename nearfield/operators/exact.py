@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.hashing import shard_of
-from nearfield.operators.blocks import best_pairs, metric_named, near_pairs
+from nearfield.operators.blocks import beside, best_pairs, metric_named, near_pairs
 from nearfield.operators.topk import top_k
 
 
@@ -81,7 +81,16 @@ def within_distance(queries: DataFrame, corpus: DataFrame, radius: float, metric
     return near_pairs(queries, corpus, radius, metric, **options).withColumnRenamed("value", "distance")
 
 
-def attach(hits: DataFrame, corpus: DataFrame, columns: list[str], id: str = "id") -> DataFrame:
-    """Fetch wide columns for the rows that made it into the hits only."""
+def attach(
+    hits: DataFrame, corpus: DataFrame, columns: list[str], id: str = "id", queries: DataFrame | None = None, per_query: int = 1000
+) -> DataFrame:
+    """Fetch wide columns for the rows that made it into the hits only.
+
+    With the query table given its rows are counted, and the hits are broadcast
+    to the corpus scan when that bounds them; the corpus is then not shuffled.
+    """
     wide = corpus.select(F.col(id).alias("id"), *[c for c in columns if c != "id"])
-    return hits.join(wide, "id", "left")
+    if queries is None:
+        return hits.join(wide, "id", "left")
+    found = wide.join(beside(hits.select("id").distinct(), queries, per_query), "id", "left_semi")
+    return hits.join(found, "id", "left")

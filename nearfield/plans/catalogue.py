@@ -12,6 +12,7 @@ from nearfield.session import ship_package
 
 MODULES = (
     "vector_search",
+    "text_search",
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
