@@ -396,3 +396,80 @@ def in_chunks(rows: np.ndarray, width: int, f: Callable[[np.ndarray], np.ndarray
     """``f`` over slices of rows so that (rows x width) scores stay within bounds."""
     step = max(1, CELLS // max(width, 1))
     return np.concatenate([f(rows[i : i + step]) for i in range(0, len(rows), step)])
+
+
+# --- sums of vectors ------------------------------------------------------------------
+
+OPEN_KEYS = 4096  # keys summed up at once in a task before they are sent on
+
+
+def vector_means(df: DataFrame, key: str, vec: str = "vector", weight: str | None = None) -> DataFrame:
+    """``(key, weight, vector)``: the (weighted) mean vector per whole-number key.
+
+    Every task first sums its own rows per key, so a key that holds a third of
+    all rows arrives as a few rows per task. The sums are then sorted by key and
+    added up in passing; no group is held in memory.
+    """
+    rows = df.select(
+        F.col(key).cast("long").alias("key"),
+        (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("weight"),
+        F.col(vec).alias("v"),
+    )
+    sums = T.StructType.fromDDL("key long, weight double, v array<double>")
+
+    def emit(keys, weights, totals) -> pa.RecordBatch:
+        totals = np.asarray(totals)
+        offsets = pa.array(np.arange(len(totals) + 1) * totals.shape[1], pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.asarray(keys), pa.int64()),
+                pa.array(np.asarray(weights), pa.float64()),
+                pa.ListArray.from_arrays(offsets, pa.array(totals.ravel(), pa.float64())),
+            ],
+            names=["key", "weight", "v"],
+        )
+
+    def per_batch(batch: pa.RecordBatch, scale: bool):
+        batch = batch.filter(batch.column("v").is_valid())
+        if not batch.num_rows:
+            return np.empty(0, np.int64), np.empty(0), np.empty((0, 0))
+        keys = np.asarray(batch.column("key"))
+        weights = np.asarray(batch.column("weight"))
+        vectors = matrix(batch.column("v"), np.float64)
+        order = np.argsort(keys, kind="stable")
+        keys, weights, vectors = keys[order], weights[order], vectors[order]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        scaled = vectors * weights[:, None] if scale else vectors
+        return keys[starts], np.add.reduceat(weights, starts), np.add.reduceat(scaled, starts)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[float, np.ndarray]] = {}
+        for batch in batches:
+            for k, w, total in zip(*per_batch(batch, True)):
+                before = held.get(int(k))
+                held[int(k)] = (w, total) if before is None else (before[0] + w, before[1] + total)
+            if len(held) > OPEN_KEYS:
+                yield emit(list(held), [w for w, _ in held.values()], [t for _, t in held.values()])
+                held = {}
+        if held:
+            yield emit(list(held), [w for w, _ in held.values()], [t for _, t in held.values()])
+
+    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            keys, weights, totals = per_batch(batch, False)
+            if not len(keys):
+                continue
+            if last is not None and last[0] == keys[0]:
+                weights[0] += last[1]
+                totals[0] += last[2]
+            elif last is not None:
+                yield emit([last[0]], [last[1]], [last[2] / last[1]])
+            if len(keys) > 1:
+                yield emit(keys[:-1], weights[:-1], totals[:-1] / weights[:-1, None])
+            last = (keys[-1], weights[-1], totals[-1])
+        if last is not None:
+            yield emit([last[0]], [last[1]], [last[2] / last[1]])
+
+    sorted_sums = rows.mapInArrow(partial, sums).repartition("key").sortWithinPartitions("key")
+    return sorted_sums.mapInArrow(final, sums).select(F.col("key"), "weight", F.col("v").alias("vector"))

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from nearfield.functions.text import spaced_words, words
 from nearfield.functions.vectors import l2_normalise, to_payload
-from nearfield.operators.blocks import map_vectors
+from nearfield.operators.blocks import map_vectors, vector_means
 
 # An embedder turns a list of strings into a matrix, one row per string. It is
 # made once per task by calling the factory, so a model loads once per task.
@@ -92,13 +92,13 @@ def hash_embed(df: DataFrame, text_col: str, dims: int = 64, out_col: str = "vec
     return embed(df, text_col, lambda: HashEmbedder(dims), out_col, target, HashEmbedder.prepare)
 
 
-def mean_pool(df: DataFrame, id_col: str, text_col: str, table: DataFrame, dims: int) -> DataFrame:
+def mean_pool(df: DataFrame, id_col: str, text_col: str, table: DataFrame) -> DataFrame:
     """Average of the token vectors of a text, repeated tokens counted each time.
 
     ``table`` is ``(token, vec)``; tokens without a vector are left out. Tokens are
     counted per text before the join. A token that most texts share makes its
     join partition large on the text side only, which the adaptive skew join
-    splits; the sums after it are partial per task.
+    splits.
     """
     counts = (
         df.select(F.col(id_col).alias("id"), F.explode(words(F.col(text_col))).alias("token"))
@@ -106,9 +106,7 @@ def mean_pool(df: DataFrame, id_col: str, text_col: str, table: DataFrame, dims:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     joined = counts.join(table.select("token", "vec"), "token")
-    sums = [F.sum(F.col("n") * F.col("vec")[i]).alias(f"s{i}") for i in range(dims)]
-    pooled = joined.groupBy("id").agg(F.sum("n").alias("n"), *sums)
-    return pooled.select("id", F.array(*[F.col(f"s{i}") / F.col("n") for i in range(dims)]).alias("vector"))
+    return vector_means(joined, "id", "vec", weight="n").select(F.col("key").alias("id"), "vector")
 
 
 def projection_matrix(dims: int, k: int) -> np.ndarray:

@@ -8,19 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.operators.blocks import best_pairs, bounded_table, in_chunks, map_vectors, matrix, metric_named
+from nearfield.operators.blocks import best_pairs, bounded_table, in_chunks, map_vectors, matrix, metric_named, vector_means
 from nearfield.operators.topk import top_k
 
 CENTROIDS = 65536  # centroids sent to every task at most
 LISTED_CELLS = 10_000  # probed cells written into the scan condition at most
 
 
-def group_means(df: DataFrame, group: str, dims: int, vec: str = "vector", digits: int | None = None) -> DataFrame:
-    """``(cell, vector)``: the mean vector of every group, from partial sums per component."""
-    sums = [F.avg(F.col(vec)[i].cast("double")).alias(f"m{i}") for i in range(dims)]
-    means = df.groupBy(F.col(group).alias("cell")).agg(*sums)
-    value = lambda i: F.col(f"m{i}") if digits is None else F.round(F.col(f"m{i}"), digits)
-    return means.select(F.col("cell").cast("long").alias("cell"), F.array(*[value(i) for i in range(dims)]).alias("vector"))
+def group_means(df: DataFrame, group: str, vec: str = "vector", digits: int | None = None) -> DataFrame:
+    """``(cell, vector)``: the mean vector of every group."""
+    means = vector_means(df, group, vec).select(F.col("key").alias("cell"), "vector")
+    return means if digits is None else means.withColumn("vector", F.transform("vector", lambda x: F.round(x, digits)))
 
 
 def kmeans_centroids(df: DataFrame, k: int, vec: str = "vector", seed: int = 57895447, iterations: int = 20) -> DataFrame:

@@ -14,6 +14,9 @@ from nearfield.operators.blocks import best_pairs, beside, map_vectors
 from nearfield.operators.topk import top_k
 
 
+ZERO_DIGITS = 9  # a dot product this close to zero counts as zero, whatever the order of summation
+
+
 def planes(dims: int, tables: int, bits: int = 1) -> np.ndarray:
     """Fixed +-1 hyperplanes, (dims x tables*bits), drawn from md5."""
     out = np.empty((dims, tables * bits))
@@ -30,7 +33,7 @@ def lsh_codes(df: DataFrame, dims: int, tables: int = 99, bits: int = 1, vec: st
     weights = 1 << np.arange(bits - 1, -1, -1)
 
     def code(rows: np.ndarray) -> list[np.ndarray]:
-        signs = (rows @ normals >= 0).astype(np.int64).reshape(len(rows), tables, bits)
+        signs = (np.round(rows @ normals, ZERO_DIGITS) >= 0).astype(np.int64).reshape(len(rows), tables, bits)
         return [signs @ weights]
 
     return map_vectors(df, vec, code, [T.StructField(out, T.ArrayType(T.LongType()))])

@@ -13,6 +13,10 @@ from nearfield.session import ship_package
 MODULES = (
     "vector_search",
     "text_search",
+    "ann_search",
+    "diversification",
+    "monitoring",
+    "storage",
 )
 
 Query = Callable[[SparkSession, str], DataFrame]

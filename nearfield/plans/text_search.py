@@ -132,7 +132,7 @@ def mean_pool_query(spark, sf_dir):
     vocabulary = docs.select(F.explode(words(F.col("text"))).alias("token")).distinct()
     cell = lambda i: (hash32(F.concat_ws(":", F.col("token"), F.lit(i))) % 2001 - 1000) / 1009.0
     vectors = vocabulary.select("token", F.array(*[cell(i) for i in range(POOL)]).alias("vec"))
-    pooled = mean_pool(docs, "id", "text", vectors, POOL)
+    pooled = mean_pool(docs, "id", "text", vectors)
     return pooled.select("id", F.posexplode("vector").alias("i", "x")).select(
         "id", F.col("i").cast("long").alias("i"), F.round("x", DIGITS).alias("x")
     )
@@ -157,9 +157,9 @@ lines AS (
          || replace(text, chr(10), ' ') || '"@' || lang || ' .' AS value FROM documents)"""
 
 
-def corpus_lines(spark, sf_dir):
-    """All documents as corpus lines; one language is commented out."""
-    return documents(spark, sf_dir).select(
+def lines_of(docs):
+    """Documents as corpus lines; one language is commented out."""
+    return docs.select(
         F.col("id").alias("n"),
         F.concat(
             F.when(F.col("lang") == "es", "# ").otherwise(""),
@@ -174,6 +174,10 @@ def corpus_lines(spark, sf_dir):
     )
 
 
+def corpus_lines(spark, sf_dir):
+    return lines_of(documents(spark, sf_dir))
+
+
 def corpus_parse(spark, sf_dir):
     return C.parse_corpus(corpus_lines(spark, sf_dir), order="n")
 
