@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What counts as white space (Unicode, plus the four ASCII
-# separators that Java leaves out) and what counts as a word.
-WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
+# The white space of Unicode, plus the four ASCII separators that
+# Python splits at as well, and what counts as a word.
+SPACE = r"\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITESPACE = f"[{SPACE}]+"
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -15,16 +16,18 @@ def whitespace_tokens(text: Column) -> Column:
     return F.filter(F.split(text, WHITESPACE), lambda t: t != "")
 
 
+def more_tokens_than(text: Column, n: int) -> Column:
+    """Whether a text has more than ``n`` white-space tokens; the matcher stops once that is settled."""
+    if n == 0:
+        return text.rlike(f"[^{SPACE}]")
+    return text.rlike(f"^[{SPACE}]*+(?:[^{SPACE}]++[{SPACE}]++){{{n}}}[^{SPACE}]")
+
+
 def words(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def spaced_words(text: Column) -> Column:
-    """The same words as one string with single spaces, the cheapest form to hand to Python."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-
-
 def keyword(value: Column, ignore_above: int = 256) -> Column:
     """Exact value, or null when it is longer than the limit."""
     return F.when(F.length(value) <= ignore_above, value)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once, also where ``f`` uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(as_double(a), as_double(b), lambda x, y: x * y))
 
@@ -24,8 +31,8 @@ def norm(v: Column) -> Column:
 
 def l2_normalise(v: Column) -> Column:
     """Unit-length form in double; the zero vector stays as it is."""
-    length = norm(v)
-    return F.when(length == 0, as_double(v)).otherwise(F.transform(as_double(v), lambda x: x / length))
+    scaled = lambda n: F.when(n == 0, as_double(v)).otherwise(F.transform(as_double(v), lambda x: x / n))
+    return let(norm(v), scaled)
 
 
 def round_vec(v: Column, digits: int = 10) -> Column:
@@ -39,8 +46,7 @@ def query_vector(v: Column, digits: int = 10) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity, null where either side has no length."""
-    lengths = norm(a) * norm(b)
-    return F.when(lengths != 0, dot(a, b) / lengths)
+    return let(norm(a) * norm(b), lambda n: F.when(n != 0, dot(a, b) / n))
 
 
 def sigmoid(x: Column) -> Column:
@@ -69,13 +75,11 @@ def distance(a: Column, b: Column, metric: str) -> Column:
 
 def sign_bits(v: Column, dims: int) -> Column:
     """Sign pattern of a vector packed into longs, 32 components to a long."""
-    words = []
-    for start in range(0, dims, 32):
-        word = F.lit(0).cast("long")
-        for i in range(start, min(start + 32, dims)):
-            word = word + F.when(v[i] > 0, F.lit(1 << (i - start))).otherwise(F.lit(0))
-        words.append(word.cast("long"))
-    return F.array(*words)
+    bit = lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+    word = lambda start: F.aggregate(
+        F.transform(F.slice(v, start + 1, 32), bit), F.lit(0).cast("long"), lambda acc, x: acc + x
+    )
+    return F.array(*[word(start) for start in range(0, dims, 32)])
 
 
 # --- text forms of a vector -------------------------------------------------

@@ -137,6 +137,12 @@ def matrix(column: pa.Array | pa.ChunkedArray, dtype) -> np.ndarray:
     return flat.astype(dtype, copy=False).reshape(n, -1)
 
 
+def list_rows(lists: pa.ListArray) -> np.ndarray:
+    """Row number of every item of the flattened list column; a null list has no items."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists), dtype=np.int64), sizes)
+
+
 def _block(table: pa.Table | pa.RecordBatch, dtype, cell: str | None = None) -> Block:
     table = table.filter(table.column("v").is_valid())
     cells = None
@@ -172,7 +178,7 @@ def _scores(metric: Metric, q: Block, c: Block, digits: int | None, only: str |
     return out
 
 
-class _TopK:
+class TopK:
     """Running k best rows of every query over the blocks of one task; ties go to the lower id."""
 
     def __init__(self, k: int, metric: Metric):
@@ -208,7 +214,7 @@ class _TopK:
             yield _pairs(parts[part].ids[row], found, value * self.sign)
 
 
-class _Within:
+class Within:
     """All pairs whose distance does not pass ``radius``."""
 
     def __init__(self, radius: float):
@@ -335,14 +341,14 @@ def _grid(
 def best_pairs(queries: DataFrame, corpus: DataFrame, k: int, metric: str, **options) -> DataFrame:
     """At most ``k`` candidate rows per query and task; ``top_k`` makes the final cut."""
     m = metric_named(metric)
-    return score_pairs(queries, corpus, metric, lambda: _TopK(k, m), **options)
+    return score_pairs(queries, corpus, metric, lambda: TopK(k, m), **options)
 
 
 def near_pairs(queries: DataFrame, corpus: DataFrame, radius: float, metric: str, **options) -> DataFrame:
     """Pairs with a distance of at most ``radius``."""
     if not metric_named(metric).ascending:
         raise ValueError(f"{metric} is not a distance")
-    return score_pairs(queries, corpus, metric, lambda: _Within(radius), **options)
+    return score_pairs(queries, corpus, metric, lambda: Within(radius), **options)
 
 
 # --- row-wise vector functions ------------------------------------------------------

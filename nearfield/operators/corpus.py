@@ -5,30 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nearfield.functions.text import whitespace_tokens
+from nearfield.functions.text import SPACE, more_tokens_than, whitespace_tokens
+from nearfield.operators.blocks import counted
+from nearfield.session import cut_lineage
 
 # The parts of a corpus line.
 COMMENT = "#"
 SUBJECT = r"^<([^>]+)>"
-LEADING_URL = r"(?U)^<[^>]+>[\s\x1c-\x1f]*"
+LEADING_URL = rf"^<[^>]+>[{SPACE}]*"
 LANGUAGE_END = r"@en \.\z"
 MIN_TOKENS = 20
 
-FILE_ORDER = ("_file", "_block", "_seq")
+SPLITS = 2_000_000  # input splits whose offsets go to every task at most
+
+FILE_ORDER = ("_file", "_block")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """One row per line of plain or compressed text, with its place in the input.
 
     Only ``\\n`` ends a line. Splittable codecs are split; the place of a row is
-    (file, start of its split, order inside the split).
+    (file, start of its split); inside a split rows come in order.
     """
     raw = spark.read.option("lineSep", "\n").text(path)
     return raw.select(
         "value",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_seq"),
     )
 
 
@@ -50,7 +53,7 @@ def _before(over) -> Column:
     return F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
 
 
-def dense_id(df: DataFrame, order: str, out: str = "id", start: int = 1, bits: int = 20) -> DataFrame:
+def dense_id(df: DataFrame, order: str, out: str = "id", start: int = 1, bits: int = 11) -> DataFrame:
     """Number rows 1, 2, 3 ... along a unique whole-number column.
 
     Rows are cut into ranges of 2**bits keys, which hold at most that many rows
@@ -74,17 +77,26 @@ def dense_id(df: DataFrame, order: str, out: str = "id", start: int = 1, bits: i
 def dense_id_in_file_order(df: DataFrame, out: str = "id", start: int = 1) -> DataFrame:
     """Number rows in file order: files by path, splits by offset, rows as read.
 
-    Rows are numbered inside their split; the splits are counted and summed up
-    per file, files per table (one row per file).
+    The rows are not moved. A task numbers the rows it keeps one after another,
+    so a row's place in its split is its number less the smallest number of the
+    split. A first pass notes that number and the count per split; the counts are
+    summed up per file and over files (one row per file), and the result, one
+    small row per split, goes to every task of the second pass.
     """
-    counts = df.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    files = counts.groupBy("_file").agg(F.sum("_n").alias("_n"))
+    numbered = df.withColumn("_kept", F.monotonically_increasing_id())
+    splits = cut_lineage(
+        numbered.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_kept").alias("_first"))
+    )
+    files = splits.groupBy("_file").agg(F.sum("_n").alias("_n"))
     file_before = files.select("_file", _before(Window.orderBy("_file")).alias("_file_before"))
-    inside = counts.select("_file", "_block", _before(Window.partitionBy("_file").orderBy("_block")).alias("_inside"))
+    inside = splits.select(
+        "_file", "_block", "_first", _before(Window.partitionBy("_file").orderBy("_block")).alias("_inside")
+    )
     offsets = inside.join(file_before, "_file").select(
-        "_file", "_block", (F.col("_inside") + F.col("_file_before")).alias("_before")
+        "_file", "_block", (F.col("_inside") + F.col("_file_before") - F.col("_first") + start).alias("_shift")
     )
-    return _number(df, ["_file", "_block"], "_seq", offsets, out, start)
+    known = F.broadcast(offsets) if counted(splits, SPLITS) is not None else offsets
+    return numbered.join(known, ["_file", "_block"]).withColumn(out, F.col("_kept") + F.col("_shift")).drop("_kept", "_shift")
 
 
 # --- cleaning ------------------------------------------------------------------------
@@ -113,7 +125,7 @@ def parse_corpus(
     keys = list(FILE_ORDER) if order is None else [order]
     kept = (
         lines.where(~F.col("value").startswith(COMMENT))
-        .where(token_count(F.col("value")) > min_tokens)
+        .where(more_tokens_than(F.col("value"), min_tokens))
         .select(
             *keys,
             F.regexp_extract("value", SUBJECT, 1).alias("url"),

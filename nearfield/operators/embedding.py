@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,19 +11,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.functions.text import spaced_words, words
+from nearfield.functions.text import words
 from nearfield.functions.vectors import l2_normalise, to_payload
-from nearfield.operators.blocks import map_vectors, vector_means
+from nearfield.operators.blocks import list_rows, map_vectors, vector_means
 
-# An embedder turns a list of strings into a matrix, one row per string. It is
-# made once per task by calling the factory, so a model loads once per task.
-Embedder = Callable[[list[str]], np.ndarray]
+# An embedder turns an Arrow array of prepared texts into a matrix, one row per
+# text. It is made once per task by calling the factory, so a model loads once.
+Embedder = Callable[[pa.Array], np.ndarray]
 
 
 class HashEmbedder:
     """Signed feature hashing of words into ``dims`` components, L2 normalised.
 
-    Needs no model file: component and sign of a word come from its md5.
+    Needs no model file: component and sign of a word come from its md5. Works
+    on the flat word column of a batch; only distinct words are hashed.
     """
 
     def __init__(self, dims: int = 64):
@@ -33,7 +33,7 @@ class HashEmbedder:
 
     @staticmethod
     def prepare(text: Column) -> Column:
-        return spaced_words(text)
+        return words(text)
 
     def place(self, word: str) -> tuple[int, int]:
         got = self.seen.get(word)
@@ -44,16 +44,30 @@ class HashEmbedder:
                 self.seen[word] = got
         return got
 
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dims))
-        for i, text in enumerate(texts):
-            for word, n in Counter((text or "").split()).items():
-                slot, sign = self.place(word)
-                out[i, slot] += sign * n
+    def __call__(self, tokens: pa.ListArray) -> np.ndarray:
+        rows = len(tokens)
+        row = list_rows(tokens)
+        coded = tokens.flatten().dictionary_encode()
+        if not len(row):
+            return np.zeros((rows, self.dims))
+        placed = np.array([self.place(w) for w in coded.dictionary.to_pylist()], np.int64)
+        word = coded.indices.to_numpy()
+        cell = row * self.dims + placed[word, 0]
+        out = np.bincount(cell, placed[word, 1].astype(float), rows * self.dims).reshape(rows, self.dims)
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, length, out=out, where=length > 0)
 
 
+class TextEmbedder:
+    """Any function from a list of strings to a matrix, such as the encode method of a model."""
+
+    def __init__(self, encode: Callable[[list[str]], np.ndarray]):
+        self.encode = encode
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        return np.asarray(self.encode(texts.to_pylist()), float)
+
+
 def embed(
     df: DataFrame,
     text_col: str,
@@ -62,7 +76,7 @@ def embed(
     target: str = "array",
     prepare: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """Attach a vector per row. The text goes to Python in Arrow batches; no shuffle.
+    """Attach a vector per row. The prepared text goes to Python in Arrow batches; no shuffle.
 
     ``target`` is ``array`` or ``payload`` (index|value text); anything else is an error.
     """
@@ -76,7 +90,7 @@ def embed(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = factory()
         for batch in batches:
-            rows = model(batch.column("_fed").to_pylist())
+            rows = model(batch.column("_fed"))
             offsets = pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32())
             vectors = pa.ListArray.from_arrays(offsets, pa.array(rows.ravel(), pa.float64()))
             kept = [batch.column(name) for name in names]

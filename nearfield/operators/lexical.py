@@ -2,64 +2,68 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearfield.functions.text import words
+from nearfield.operators.blocks import BROADCAST_ROWS, CELLS, METRICS, PAIR, Block, TopK, bounded_table, counted, list_rows
 from nearfield.operators.topk import top_k
+from nearfield.session import cut_lineage
+
+
+DOCUMENT_MARK = ""  # the posting every document has, which carries its length
 
 
-def doc_terms(docs: DataFrame, id_col: str = "id", text_col: str = "text", length: bool = True) -> DataFrame:
-    """``(id, dl, term, tf)``: one row per distinct word of a document, with the document length.
+def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text", vocabulary: DataFrame | None = None) -> DataFrame:
+    """``(id, dl, term, tf)``: one row per distinct word of a document, with the document length in words.
 
-    The length comes from the token array before it is taken apart, so counting
-    terms needs one shuffle, after a partial count in every task. Documents
-    without words have no postings.
+    Every document also has one row for DOCUMENT_MARK, so document count and
+    average length come from the same table. With a ``vocabulary`` (``term``)
+    other words are dropped before anything is shuffled. The length comes from
+    the token array, so counting needs at most one shuffle, after a partial count
+    in every task, and none where documents are partitioned by id.
     """
     tokens = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("_tokens")).select(
-        "id", F.size("_tokens").cast("long").alias("dl"), F.explode("_tokens").alias("term")
+        "id",
+        F.size("_tokens").cast("long").alias("dl"),
+        F.explode(F.concat(F.array(F.lit(DOCUMENT_MARK)), "_tokens")).alias("term"),
     )
+    if vocabulary is not None:
+        marked = vocabulary.select("term").union(vocabulary.sparkSession.createDataFrame([(DOCUMENT_MARK,)], "term string"))
+        tokens = tokens.join(marked, "term", "left_semi")
     return tokens.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Number of documents and their average length in words (documents without words included)."""
-    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(words(F.col(text_col)))).alias("avgdl"))
-
-
-def bm25(
+def bm25_over(
     queries: DataFrame,
-    docs: DataFrame,
+    index: DataFrame,
     k: int,
     k1: float = 1.2,
     b: float = 0.75,
     lucene8: bool = False,
     digits: int | None = None,
-    id_col: str = "id",
-    text_col: str = "text",
     salt: int = 16,
 ) -> DataFrame:
-    """Top-k documents per query text, any word may match; a repeated query word counts each time.
+    """BM25 over a stored postings table.
 
-    Only words some query asks for are counted per document, so postings of the
-    rest never leave the scan stage. A word that most documents hold is spread
-    over ``salt`` tasks by document id; each gets its own copy of the (small)
-    query side of that word.
+    A word that most documents hold is spread over ``salt`` tasks by document
+    id; each gets its own copy of the (small) query side of that word.
     """
     asked = (
         queries.select("query_id", F.explode(words(F.col("text"))).alias("term"))
         .groupBy("query_id", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
-    vocabulary = asked.select("term").distinct()
-    tokens = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("_tokens")).select(
-        "id", F.size("_tokens").cast("long").alias("dl"), F.explode("_tokens").alias("term")
-    )
-    postings = tokens.join(vocabulary, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = corpus_stats(docs, text_col)
-    n, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
-
-    df_of = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    whole = index.where(F.col("term") == DOCUMENT_MARK).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    n, avgdl = whole.select("n").scalar(), whole.select("avgdl").scalar()
+    found = index.where(F.col("term") != DOCUMENT_MARK)
+    df_of = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = asked.join(df_of, "term").select(
         "query_id",
         "term",
@@ -69,12 +73,122 @@ def bm25(
     gain = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     if not lucene8:
         gain = gain * (k1 + 1)
-    matched = (
-        postings.select("id", "term", gain.alias("gain"), F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int").alias("salt"))
+    scored = (
+        found.select("id", "term", gain.alias("gain"), F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int").alias("salt"))
         .join(weighted, ["term", "salt"])
         .groupBy("query_id", "id")
         .agg(F.sum(F.col("idf") * F.col("gain")).alias("_score"))
     )
     if digits is not None:
-        matched = matched.withColumn("_score", F.round("_score", digits))
-    return top_k(matched, k).select("query_id", "rank", "id", "_score")
+        scored = scored.withColumn("_score", F.round("_score", digits))
+    return top_k(scored, k).select("query_id", "rank", "id", "_score")
+
+
+VOCABULARY = 1_000_000  # distinct query words sent to every task at most
+
+
+def forward_index(docs: DataFrame, vocabulary: pa.Array, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """``(id, dl, terms, tfs)``: per document its length and the counts of the vocabulary words in it.
+
+    Spark cuts the text into words; the counting works on the flat word column
+    of an Arrow batch. A document is one row, so nothing is shuffled.
+    """
+    schema = T.StructType.fromDDL("id long, dl long, terms array<int>, tfs array<int>")
+    size = len(vocabulary)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column("tokens")
+            code = pc.index_in(tokens.flatten(), value_set=vocabulary)
+            known = code.is_valid().to_numpy(zero_copy_only=False)
+            cell = list_rows(tokens)[known] * size + code.fill_null(0).to_numpy().astype(np.int64)[known]
+            cells, counts = np.unique(cell, return_counts=True)
+            offsets = pa.array(np.searchsorted(cells, np.arange(len(tokens) + 1) * size), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id"),
+                    tokens.value_lengths().fill_null(0).cast(pa.int64()),
+                    pa.ListArray.from_arrays(offsets, pa.array(cells % size if size else cells, pa.int32())),
+                    pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int32())),
+                ],
+                names=["id", "dl", "terms", "tfs"],
+            )
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), words(F.col(text_col)).alias("tokens")).mapInArrow(count, schema)
+
+
+def bm25(
+    queries: DataFrame,
+    docs: DataFrame,
+    k: int,
+    k1: float = 1.2,
+    b: float = 0.75,
+    lucene8: bool = False,
+    digits: int | None = None,
+    id_col: str = "id",
+    text_col: str = "text",
+) -> DataFrame:
+    """Top-k documents per query text, any word may match; a repeated query word counts each time.
+
+    For a counted number of queries the texts are read once: word counts per
+    document are written, document frequencies and the average length are taken
+    from them, and each task multiplies its documents by the word weights of the
+    queries and keeps its k best. More queries than that go through ``postings``
+    and ``bm25_over``, which join word by word.
+    """
+    asked = (
+        queries.select("query_id", F.explode(words(F.col("text"))).alias("term"))
+        .groupBy("query_id", "term")
+        .agg(F.count(F.lit(1)).alias("qtf"))
+    )
+    few = counted(queries, BROADCAST_ROWS) is not None
+    table = bounded_table(asked, 4 * VOCABULARY) if few else None
+    vocabulary = None if table is None else pc.unique(table.column("term"))
+    if vocabulary is None or len(vocabulary) > VOCABULARY:
+        listed = asked.select("term").distinct()
+        index = cut_lineage(postings(docs, id_col, text_col, listed))
+        return bm25_over(queries, index, k, k1, b, lucene8, digits)
+
+    index = cut_lineage(forward_index(docs, vocabulary, id_col, text_col))
+    n, avgdl = index.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    found = index.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).toArrow()
+    df = np.zeros(len(vocabulary))
+    df[np.asarray(found.column("term"))] = np.asarray(found.column("df"))
+
+    ids, asked_by = np.unique(np.asarray(table.column("query_id")).astype(np.int64), return_inverse=True)
+    term = pc.index_in(table.column("term"), value_set=vocabulary).to_numpy()
+    weight = np.asarray(table.column("qtf")) * np.log(1 + (n - df[term] + 0.5) / (df[term] + 0.5))
+    order = np.argsort(term, kind="stable")
+    term, asked_by, weight = term[order], asked_by[order], weight[order]
+    first = np.searchsorted(term, np.arange(len(vocabulary) + 1))
+    factor = 1.0 if lucene8 else k1 + 1
+    step = max(1, CELLS // max(len(ids), 1))
+    block = Block(ids, np.empty((len(ids), 0)))
+
+    def score(batch: pa.RecordBatch) -> np.ndarray:
+        """(queries x documents) scores, one outer product per word of the batch."""
+        out = np.zeros((len(ids), batch.num_rows))
+        terms = batch.column("terms")
+        doc, word = list_rows(terms), np.asarray(terms.flatten())
+        tf = np.asarray(batch.column("tfs").flatten()).astype(float)
+        dl = np.asarray(batch.column("dl"))[doc]
+        gain = factor * tf / (tf + k1 * (1 - b + b * dl / avgdl))
+        by_word = np.argsort(word, kind="stable")
+        doc, word, gain = doc[by_word], word[by_word], gain[by_word]
+        starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else []
+        for start, end in zip(starts, [*starts[1:], len(word)]):
+            w = slice(first[word[start]], first[word[start] + 1])
+            out[np.ix_(asked_by[w], doc[start:end])] += np.outer(weight[w], gain[start:end])
+        out = np.where(out > 0, out, np.nan)
+        return out if digits is None else np.round(out, digits)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = TopK(k, METRICS["dot"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                yield from best.add(0, block, np.asarray(part.column("id")), score(part))
+        yield from best.rest([block])
+
+    pairs = index.mapInArrow(scan, PAIR)
+    return top_k(pairs, k, score="value").select("query_id", "rank", "id", F.col("value").alias("_score"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.operators.embedding import hash_embed
+from nearfield.session import spread
 
 DIMS = 64
 DIGITS = 6  # scores are rounded before ranking, so both engines break ties alike
@@ -32,7 +33,7 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
+    return spread(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), "id")
 
 
 # --- the same in SQL ------------------------------------------------------------

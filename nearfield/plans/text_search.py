@@ -13,7 +13,7 @@ from nearfield.operators import topk
 from nearfield.operators.embedding import hash_embed, mean_pool
 from nearfield.operators.evaluation import overlap
 from nearfield.operators.exact import search_exact
-from nearfield.operators.lexical import bm25
+from nearfield.operators.lexical import bm25, bm25_over, postings
 from nearfield.plans.inputs import (
     DIGITS,
     DIMS,
@@ -26,6 +26,7 @@ from nearfield.plans.inputs import (
     vector_queries,
     words_sql,
 )
+from nearfield.session import scratch_path
 
 QUERIES = {}
 ORACLES = {}
@@ -62,6 +63,18 @@ ORACLES["bm25"] = (
 )
 
 
+def bm25_stored(spark, sf_dir):
+    """The same over a stored postings table, the plan for any number of queries."""
+    docs = documents(spark, sf_dir)
+    path = scratch_path(spark, "postings")
+    postings(docs).write.parquet(path)
+    return bm25_over(text_queries(spark, sf_dir), spark.read.parquet(path), 10, digits=DIGITS)
+
+
+QUERIES["bm25_stored"] = bm25_stored
+ORACLES["bm25_stored"] = ORACLES["bm25"]
+
+
 def bm25_without_factor(spark, sf_dir):
     return bm25(text_queries(spark, sf_dir), documents(spark, sf_dir), 10, lucene8=True, digits=DIGITS)
 

@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(app: str = "nearfield", cores: int | str = "*", shuffle: int = 8) -> SparkSession:
+def local_session(app: str = "nearfield", cores: int | str = "*", shuffle: int = 8, memory: str = "16g") -> SparkSession:
     """A session for one machine. On a cluster use the session the cluster gives you."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -19,6 +19,7 @@ def local_session(app: str = "nearfield", cores: int | str = "*", shuffle: int =
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -52,6 +53,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/nearfield/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on an input that arrives in fewer partitions than there are cores.
+
+    A small file is one partition whatever the number of cores; dealing its rows
+    out by ``key`` costs one small shuffle, after which grouping by the key needs
+    none. An input with enough partitions is left alone, so a large table is
+    never moved for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so that a lost executor does not replay earlier rounds."""
     spark = df.sparkSession
