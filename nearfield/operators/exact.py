@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.hashing import shard_of
-from nearfield.operators.blocks import beside, best_pairs, metric_named, near_pairs
+from nearfield.operators.blocks import best_pairs, counted, metric_named, near_pairs
 from nearfield.operators.topk import top_k
+from nearfield.session import cut_lineage
+
+HITS = 1_000_000  # hits whose ids go to every task at most
 
 
 def engine_score(distance: Column, metric: str) -> Column:
@@ -86,11 +89,13 @@ def attach(
 ) -> DataFrame:
     """Fetch wide columns for the rows that made it into the hits only.
 
-    With the query table given its rows are counted, and the hits are broadcast
-    to the corpus scan when that bounds them; the corpus is then not shuffled.
+    With the query table given its rows are counted. When that bounds the hits
+    they are written once and their ids go to the corpus scan, which is then
+    filtered where it lies and not shuffled.
     """
     wide = corpus.select(F.col(id).alias("id"), *[c for c in columns if c != "id"])
-    if queries is None:
+    if queries is None or counted(queries, max(1, HITS // per_query)) is None:
         return hits.join(wide, "id", "left")
-    found = wide.join(beside(hits.select("id").distinct(), queries, per_query), "id", "left_semi")
-    return hits.join(found, "id", "left")
+    kept = cut_lineage(hits)
+    found = wide.join(F.broadcast(kept.select("id").distinct()), "id", "left_semi")
+    return kept.join(found, "id", "left")

@@ -13,7 +13,7 @@ from nearfield.operators.exact import search_exact
 from nearfield.plans.inputs import DIGITS, DIMS, corpus, documents, hash_vector_sql, queries_sql, ranked_sql, table, vector_queries
 from nearfield.plans.text_search import PARSE_SQL, lines_of
 from nearfield.plans.vector_search import COS
-from nearfield.session import scratch_path
+from nearfield.session import scratch_path, spread
 from nearfield.sources import vector_files as VF
 from nearfield.sources.index_table import Index
 from nearfield.streaming.ingest import append_stream, ingest_stream
@@ -175,7 +175,7 @@ def stream_upsert(spark, sf_dir):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
 
     def prepare(batch):
-        lines = batch.withColumnRenamed("doc_id", "id")
+        lines = spread(batch.withColumnRenamed("doc_id", "id"), "id")
         parsed = parse_corpus(lines_of(lines), order="n")
         return hash_embed(parsed, "_text_", DIMS)
 

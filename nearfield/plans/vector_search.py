@@ -15,6 +15,7 @@ from nearfield.plans.inputs import (
     hash_vector_sql,
     queries_sql,
     ranked_sql,
+    text_queries,
     vector_queries,
 )
 
@@ -339,7 +340,7 @@ ORACLES["score_curve"] = queries_sql() + "," + ranked_sql(f"1.0 + {COS}") + " SE
 def preview(spark, sf_dir):
     """Hits with document columns, first ten rows and five columns."""
     hits = knn_cosine(spark, sf_dir)
-    wide = exact.attach(hits, documents(spark, sf_dir), ["text", "lang"])
+    wide = exact.attach(hits, documents(spark, sf_dir), ["text", "lang"], queries=text_queries(spark, sf_dir), per_query=10)
     return topk.preview(wide.select("query_id", "rank", "id", "_score", "lang", "text"))
 
 
@@ -357,7 +358,7 @@ def source_projection(spark, sf_dir):
     """Hits with the stored fields a result page shows."""
     hits = knn_cosine(spark, sf_dir)
     docs = documents(spark, sf_dir).select("id", F.col("text").alias("_text_"), F.concat(F.lit("doc/"), "id").alias("url"))
-    return exact.attach(hits, docs, ["_text_", "url"]).select("query_id", "rank", "id", "_text_", "url", "_score")
+    return exact.attach(hits, docs, ["_text_", "url"], queries=text_queries(spark, sf_dir), per_query=10).select("query_id", "rank", "id", "_text_", "url", "_score")
 
 
 QUERIES["source_projection"] = source_projection

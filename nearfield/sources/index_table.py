@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 from nearfield.operators.blocks import counted
 from nearfield.operators.corpus import dense_id
 from nearfield.operators.schema import validate_vectors
-from nearfield.session import shared_dir
+from nearfield.session import cut_lineage, scratch_path, shared_dir
+
+BUCKET = "_bucket"
 
 DOCUMENT = T.StructType(
     [
@@ -43,10 +45,11 @@ def latest_per_id(rows: DataFrame, seq: str | None) -> DataFrame:
 
 
 class Index:
-    """A Parquet table whose versions are directories; the catalog points at the current one.
+    """A Parquet table of whole documents, stored in buckets by a hash of the id.
 
-    Readers of the old version are not disturbed by a write. One writer at a
-    time is assumed.
+    An upsert of new ids only adds files. An upsert that replaces documents
+    rewrites the buckets those documents are in and leaves the others alone. A
+    write that fails leaves the table as it was. One writer at a time is assumed.
     """
 
     def __init__(self, spark: SparkSession, name: str, root: str | None = None):
@@ -56,18 +59,20 @@ class Index:
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
 
-    def create(self, spec: str = "vector", schema: T.StructType = DOCUMENT, dims: int | None = None) -> Index:
+    def create(
+        self, spec: str = "vector", schema: T.StructType = DOCUMENT, dims: int | None = None, buckets: int = 16
+    ) -> Index:
+        """Size ``buckets`` so that one holds a few files of the expected table."""
         if spec not in SPECS:
             raise ValueError(f"unknown index layout: {spec}")
         if self.exists():
             raise ValueError(f"index {self.name} exists already")
-        path = self._new_path()
-        self.spark.createDataFrame([], schema).write.parquet(path)
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-        facts = {**SPECS[spec], "layout": spec, **({} if dims is None else {"dims": dims})}
+        facts = {**SPECS[spec], "layout": spec, "buckets": buckets, **({} if dims is None else {"dims": dims})}
         properties = ", ".join(f"'{k}'='{v}'" for k, v in facts.items())
         self.spark.sql(
-            f"CREATE TABLE {self.name} ({columns}) USING parquet LOCATION '{path}' TBLPROPERTIES ({properties})"
+            f"CREATE TABLE {self.name} ({columns}, {BUCKET} INT) USING parquet PARTITIONED BY ({BUCKET}) "
+            f"LOCATION '{self.root}/{uuid.uuid4().hex}' TBLPROPERTIES ({properties})"
         )
         return self
 
@@ -79,16 +84,28 @@ class Index:
         return {r["key"]: r["value"] for r in self.spark.sql(f"SHOW TBLPROPERTIES {self.name}").collect()}
 
     def scan(self) -> DataFrame:
-        return self.spark.table(self.name)
+        return self.spark.table(self.name).drop(BUCKET)
 
     def get(self, *ids) -> DataFrame:
-        return self.scan().where(F.col("id").isin(*ids))
-
-    def _new_path(self) -> str:
-        return f"{self.root}/{uuid.uuid4().hex}"
-
-    def _point_at(self, path: str) -> None:
-        self.spark.sql(f"ALTER TABLE {self.name} SET LOCATION '{path}'")
+        """Documents by id; only the buckets of those ids are read."""
+        rows = self.spark.table(self.name)
+        wanted = self.spark.createDataFrame([(int(i),) for i in ids], "id long").select(self._bucket()).distinct().collect()
+        return rows.where(F.col(BUCKET).isin([r[0] for r in wanted]) & F.col("id").isin(*ids)).drop(BUCKET)
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64("id"), F.lit(int(self.properties()["buckets"]))).cast("int").alias(BUCKET)
+
+    def _write(self, rows: DataFrame, replace: bool) -> None:
+        """Add the rows, or let them replace the buckets they are in. A bucket is spread over several tasks and files."""
+        ready = rows.select("*", self._bucket())
+        ready = ready.repartition(F.col(BUCKET), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)))
+        mode = "spark.sql.sources.partitionOverwriteMode"
+        before = self.spark.conf.get(mode)
+        self.spark.conf.set(mode, "dynamic")
+        try:
+            ready.write.mode("overwrite" if replace else "append").insertInto(self.name)
+        finally:
+            self.spark.conf.set(mode, before)
         self.spark.catalog.refreshTable(self.name)
 
     def upsert(self, docs: DataFrame, seq: str | None = None, check_dims: int | None = None) -> None:
@@ -103,27 +120,31 @@ class Index:
         checked = docs.withColumn("id", F.when(F.col("id").isNull(), missing).otherwise(F.col("id")).cast("long"))
         stored = self.scan()
         fresh = latest_per_id(checked, seq).select(*[F.col(f.name).cast(f.dataType) for f in stored.schema.fields])
-        path = self._new_path()
-        fresh.write.parquet(f"{path}/incoming")
-        incoming = self.spark.read.schema(stored.schema).parquet(f"{path}/incoming")
-        ids = incoming.select("id")
-        ids = F.broadcast(ids) if counted(ids, 1_000_000) is not None else ids
-        stored.join(ids, "id", "left_anti").unionByName(incoming).write.parquet(f"{path}/rows")
-        self._point_at(f"{path}/rows")
-
-    def append(self, rows: DataFrame, order: str, batch: int | None = None) -> None:
+        path = scratch_path(self.spark, "incoming")
+        fresh.write.parquet(path)
+        incoming = self.spark.read.schema(stored.schema).parquet(path)
+        ids = incoming.select("id", self._bucket())
+        touched = [r[0] for r in ids.select(BUCKET).distinct().collect()]  # at most the number of buckets
+        there = self.spark.table(self.name).where(F.col(BUCKET).isin(touched))
+        listed = F.broadcast(ids.select("id")) if counted(ids, 1_000_000) is not None else ids.select("id")
+        hit = [r[0] for r in there.join(listed, "id", "left_semi").select(BUCKET).distinct().collect()]
+        if hit:
+            kept = there.where(F.col(BUCKET).isin(hit)).join(listed, "id", "left_anti").drop(BUCKET)
+            replacing = incoming.where(self._bucket().isin(hit))
+            self._write(cut_lineage(kept.unionByName(replacing)), replace=True)
+        added = incoming.where(~self._bucket().isin(hit)) if hit else incoming
+        self._write(added, replace=False)
+
+    def append(self, rows: DataFrame, order: str) -> None:
         """Add rows without ids; numbering goes on from the largest id. Nothing stored is rewritten."""
-        stored = self.scan()
-        last = stored.agg(F.max("id")).first()[0] or 0
-        numbered = dense_id(rows.drop("id") if order != "id" else rows.withColumnRenamed("id", "_order"),
-                            "_order" if order == "id" else order, out="_id", start=last + 1)
-        out = numbered.withColumn("id", F.col("_id"))
+        fields = self.scan().schema.fields
+        last = self.scan().agg(F.max("id")).first()[0] or 0
+        numbered = dense_id(rows.drop("id").withColumn("_order", F.col(order)), "_order", out="id", start=last + 1)
         known = [
-            F.col(f.name).cast(f.dataType) if f.name in out.columns else F.lit(None).cast(f.dataType).alias(f.name)
-            for f in stored.schema.fields
+            F.col(f.name).cast(f.dataType) if f.name in numbered.columns else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in fields
         ]
-        out.select(*known).write.mode("append").insertInto(self.name)
-        self.spark.catalog.refreshTable(self.name)
+        self._write(numbered.select(*known), replace=False)
 
 
 def append_batch(spark: SparkSession, path: str, rows: DataFrame, order: str, batch_id: int) -> None:
