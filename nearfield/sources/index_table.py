@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.operators.blocks import counted
 from nearfield.operators.corpus import dense_id
 from nearfield.operators.schema import validate_vectors
 from nearfield.session import cut_lineage, scratch_path, shared_dir
 
 BUCKET = "_bucket"
+LISTED_IDS = 1_000_000  # incoming ids sent to every task at most
 
 DOCUMENT = T.StructType(
     [
@@ -55,6 +55,7 @@ class Index:
     def __init__(self, spark: SparkSession, name: str, root: str | None = None):
         self.spark, self.name = spark, name
         self.root = f"{(root or shared_dir(spark)).rstrip('/')}/index/{name}"
+        self.buckets: int | None = None
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
@@ -93,7 +94,9 @@ class Index:
         return rows.where(F.col(BUCKET).isin([r[0] for r in wanted]) & F.col("id").isin(*ids)).drop(BUCKET)
 
     def _bucket(self):
-        return F.pmod(F.xxhash64("id"), F.lit(int(self.properties()["buckets"]))).cast("int").alias(BUCKET)
+        if self.buckets is None:
+            self.buckets = int(self.properties()["buckets"])
+        return F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int").alias(BUCKET)
 
     def _write(self, rows: DataFrame, replace: bool) -> None:
         """Add the rows, or let them replace the buckets they are in. A bucket is spread over several tasks and files."""
@@ -124,16 +127,18 @@ class Index:
         fresh.write.parquet(path)
         incoming = self.spark.read.schema(stored.schema).parquet(path)
         ids = incoming.select("id", self._bucket())
-        touched = [r[0] for r in ids.select(BUCKET).distinct().collect()]  # at most the number of buckets
-        there = self.spark.table(self.name).where(F.col(BUCKET).isin(touched))
-        listed = F.broadcast(ids.select("id")) if counted(ids, 1_000_000) is not None else ids.select("id")
+        sizes = dict(ids.groupBy(BUCKET).agg(F.count(F.lit(1))).collect())  # one row per bucket
+        if not sizes:
+            return
+        listed = F.broadcast(ids.select("id")) if sum(sizes.values()) <= LISTED_IDS else ids.select("id")
+        there = self.spark.table(self.name).where(F.col(BUCKET).isin(list(sizes)))
         hit = [r[0] for r in there.join(listed, "id", "left_semi").select(BUCKET).distinct().collect()]
         if hit:
             kept = there.where(F.col(BUCKET).isin(hit)).join(listed, "id", "left_anti").drop(BUCKET)
             replacing = incoming.where(self._bucket().isin(hit))
             self._write(cut_lineage(kept.unionByName(replacing)), replace=True)
-        added = incoming.where(~self._bucket().isin(hit)) if hit else incoming
-        self._write(added, replace=False)
+        if len(hit) < len(sizes):
+            self._write(incoming.where(~self._bucket().isin(hit)) if hit else incoming, replace=False)
 
     def append(self, rows: DataFrame, order: str) -> None:
         """Add rows without ids; numbering goes on from the largest id. Nothing stored is rewritten."""
