@@ -77,7 +77,8 @@ def dense_id(df: DataFrame, order: str, out: str = "id", start: int = 1, bits: i
 def dense_id_in_file_order(df: DataFrame, out: str = "id", start: int = 1) -> DataFrame:
     """Number rows in file order: files by path, splits by offset, rows as read.
 
-    The rows are not moved. A task numbers the rows it keeps one after another,
+    For frames that come from ``read_lines`` by filters and projections, whose
+    tasks read the same splits each time. The rows are not moved. A task numbers the rows it keeps one after another,
     so a row's place in its split is its number less the smallest number of the
     split. A first pass notes that number and the count per split; the counts are
     summed up per file and over files (one row per file), and the result, one

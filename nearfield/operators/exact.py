@@ -84,18 +84,15 @@ def within_distance(queries: DataFrame, corpus: DataFrame, radius: float, metric
     return near_pairs(queries, corpus, radius, metric, **options).withColumnRenamed("value", "distance")
 
 
-def attach(
-    hits: DataFrame, corpus: DataFrame, columns: list[str], id: str = "id", queries: DataFrame | None = None, per_query: int = 1000
-) -> DataFrame:
+def attach(hits: DataFrame, corpus: DataFrame, columns: list[str], id: str = "id") -> DataFrame:
     """Fetch wide columns for the rows that made it into the hits only.
 
-    With the query table given its rows are counted. When that bounds the hits
-    they are written once and their ids go to the corpus scan, which is then
-    filtered where it lies and not shuffled.
+    The hits are written once and counted. While they are few their ids go to
+    the corpus scan, which is then filtered where it lies and not shuffled.
     """
     wide = corpus.select(F.col(id).alias("id"), *[c for c in columns if c != "id"])
-    if queries is None or counted(queries, max(1, HITS // per_query)) is None:
-        return hits.join(wide, "id", "left")
     kept = cut_lineage(hits)
+    if counted(kept, HITS) is None:
+        return kept.join(wide, "id", "left")
     found = wide.join(F.broadcast(kept.select("id").distinct()), "id", "left_semi")
     return kept.join(found, "id", "left")

@@ -34,6 +34,7 @@ TEXT_SOURCES = (
 )
 COPY_RULES = [(source, "text") for source in TEXT_SOURCES] + [("manu", "manu_exact"), ("author", "author_s")]
 
+# What stands in for missing fields.
 DUMMY_TITLE = "DUMMY_TITLE"
 DUMMY_DESCRIPTION = "DUMMY_DESCRIPTION"
 DUMMY_CATEGORY = "DUMMY_CATEGORY"
