@@ -49,10 +49,15 @@ def _dot(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return q @ c.T
 
 
+TILE = 2048  # rows whose differences to a query stay in the processor's cache
+
+
 def _by_query(f: Callable[[np.ndarray], np.ndarray], q: np.ndarray, c: np.ndarray) -> np.ndarray:
     out = np.empty((len(q), len(c)))
-    for i, row in enumerate(q):
-        out[i] = f(c - row)
+    for start in range(0, len(c), TILE):
+        tile = c[start : start + TILE]
+        for i, row in enumerate(q):
+            out[i, start : start + TILE] = f(tile - row)
     return out
 
 
@@ -179,22 +184,33 @@ def _scores(metric: Metric, q: Block, c: Block, digits: int | None, only: str |
 
 
 class TopK:
-    """Running k best rows of every query over the blocks of one task; ties go to the lower id."""
+    """Running k best rows of every query over the blocks of one task; ties go to the lower id.
+
+    Once a query has k rows its worst one is the bar: later blocks are compared
+    with the bar only, and little of them is left to sort.
+    """
 
     def __init__(self, k: int, metric: Metric):
         self.k, self.sign = k, (1.0 if metric.ascending else -1.0)
         self.kept: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.bars: dict[int, np.ndarray] = {}
 
     def add(self, part: int, q: Block, ids: np.ndarray, scores: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if self.k > 0:
-            cost = scores * self.sign
-            cost[np.isnan(cost)] = np.inf
-            if self.k < cost.shape[1]:
-                bar = np.partition(cost, self.k - 1, axis=1)[:, self.k - 1]
-                row, col = np.nonzero((cost <= bar[:, None]) & (cost < np.inf))
-            else:
-                row, col = np.nonzero(cost < np.inf)
+        if self.k > 0 and scores.size:
+            cost = scores if self.sign > 0 else -scores
+            bar = self.bars.get(part)
+            if bar is None:
+                bar = np.full(len(cost), np.inf)
+            if self.k < cost.shape[1] and not np.isfinite(bar).all():
+                own = np.partition(cost, self.k - 1, axis=1)[:, self.k - 1]  # NaN sorts last
+                bar = np.fmin(bar, own)
+            row, col = np.nonzero(cost <= bar[:, None])
             value, found = cost[row, col], ids[col]
+            finite = value < np.inf
+            if not finite.all():
+                row, value, found = row[finite], value[finite], found[finite]
+            if not len(row):
+                return iter(())
             if part in self.kept:
                 row0, value0, found0 = self.kept[part]
                 row, value, found = (
@@ -207,6 +223,10 @@ class TopK:
             place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
             keep = place < self.k
             self.kept[part] = (row[keep], value[keep], found[keep])
+            bars = np.full(len(cost), np.inf)
+            last = place == self.k - 1
+            bars[row[last]] = value[last]
+            self.bars[part] = bars
         return iter(())
 
     def rest(self, parts: list[Block]) -> Iterator[pa.RecordBatch]:
