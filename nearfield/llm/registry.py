@@ -7,7 +7,7 @@ from importlib import import_module
 
 from nearfield.session import ship_package
 
-MODULES = ("simhash",)
+MODULES = ("simhash", "decontaminate")
 
 
 def _shipping(query):
