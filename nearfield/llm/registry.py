@@ -7,7 +7,7 @@ from importlib import import_module
 
 from nearfield.session import ship_package
 
-MODULES = ("simhash", "decontaminate")
+MODULES = ("simhash", "decontaminate", "language")
 
 
 def _shipping(query):
