@@ -7,7 +7,7 @@ from importlib import import_module
 
 from nearfield.session import ship_package
 
-MODULES = ("simhash", "decontaminate", "language", "mixing")
+MODULES = ("simhash", "decontaminate", "language", "mixing", "syncmers")
 
 
 def _shipping(query):
