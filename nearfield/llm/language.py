@@ -8,77 +8,53 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from nearfield.llm.frames import free_name
+from nearfield.llm.sampling import lowest_hashes
 
-DIMS = 8192  # hashed letter n-grams
+DIMS = 4096  # hashed letter n-grams, a power of two
 GRAMS = 3  # n-grams of 1 to 3 letters
 SAMPLE = 1000  # labelled texts a language is learned from, at most
 CENTROIDS = 4  # per language
 ROUNDS = 8
 CLEARLY = 3.0  # times as near as its n-grams would be if scattered at random: what is less near is rejected
 PIECE = 1_000_000  # letters handled at once; no n-gram spans two pieces
-ROWS = 256
 UNKNOWN = "und"
 
-_LETTER: list[np.ndarray] = []
-
-
-def letter_table() -> np.ndarray:
-    """Whether a code point is a letter."""
-    if not _LETTER:
-        _LETTER.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000))
-    return _LETTER[0]
-
-
-def pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
-    """Row numbers and texts in portions of at most ROWS rows and about PIECE letters; long texts are cut."""
-    rows: list[int] = []
-    parts: list[str] = []
-    size = 0
-    for i, text in enumerate(texts):
-        for at in range(0, len(text or ""), PIECE):
-            part = text[at : at + PIECE]
-            if rows and (size + len(part) > PIECE or (len(rows) >= ROWS and rows[-1] != i)):
-                yield rows, parts
-                rows, parts, size = [], [], 0
-            rows.append(i)
-            parts.append(part)
-            size += len(part)
-    if rows:
-        yield rows, parts
-
-
-def gram_counts(texts: list[str | None], dims: int = DIMS) -> np.ndarray:
-    """Counts of the hashed n-grams of lower-cased words, a row per text. Anything but a letter is a word's end."""
-    out = np.zeros((len(texts), dims), dtype=np.float32)
-    letters = letter_table()
-    for rows, parts in pieces(texts):
-        own, inverse = np.unique(rows, return_inverse=True)
-        lower = [f" {p.lower()} " for p in parts]
-        codes = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        row = np.repeat(inverse, [len(x) for x in lower])
-        codes = np.where(letters[codes], codes, 32).astype(np.uint64)
-        keep = np.ones(len(codes), dtype=bool)
-        keep[1:] = (codes[1:] != 32) | (codes[:-1] != 32) | (row[1:] != row[:-1])
-        codes, row = codes[keep], row[keep]
-        total = np.zeros(len(own) * dims, dtype=np.int64)
-        mixed = np.zeros(len(codes), dtype=np.uint64)
+_FOLDED: list[np.ndarray] = []
+
+
+def fold_table() -> np.ndarray:
+    """Lower case of every letter, and a blank for every other code point."""
+    if not _FOLDED:
+        chars = map(chr, range(0x110000))
+        _FOLDED.append(np.fromiter((ord(c.lower()[0]) if c.isalpha() else 32 for c in chars), dtype=np.uint32, count=0x110000))
+    return _FOLDED[0]
+
+
+def gram_counts(text: str | None) -> np.ndarray:
+    """Counts of the hashed n-grams of 1 to GRAMS letters of a text's words. Anything but a letter is a word's end."""
+    shift = np.uint32(33 - DIMS.bit_length())
+    keys = [np.empty(0, dtype=np.uint32)]
+    for at in range(0, len(text or ""), PIECE):
+        codes = np.frombuffer(f" {text[at : at + PIECE]} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        codes = fold_table()[codes]
+        word = codes != 32
+        codes = codes[np.concatenate((word[:1], word[1:] | word[:-1])) | (np.arange(len(codes)) == 0)]
+        mixed = np.zeros(len(codes), dtype=np.uint32)
         for n in range(1, GRAMS + 1):
-            mixed = mixed[: len(codes) - n + 1] * np.uint64(0x100000001B3) + codes[n - 1 :] + np.uint64(n)
-            whole = row[: len(mixed)] == row[n - 1 :] if n > 1 else codes != 32
-            bucket = ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - dims.bit_length() + 1)).astype(np.int64)
-            total += np.bincount((row[: len(mixed)] * dims + bucket)[whole], minlength=len(total))
-        np.add.at(out, own, total.reshape(len(own), dims))
-    return out
+            mixed = (mixed[: len(codes) - n + 1] + codes[n - 1 :] + np.uint32(n)) * np.uint32(0x9E3779B1)
+            mixed ^= mixed >> np.uint32(15)
+            hashed = (mixed * np.uint32(0x85EBCA77)) >> shift
+            keys.append(hashed[codes != 32] if n == 1 else hashed if len(codes) > 2 else hashed[:0])
+    return np.bincount(np.concatenate(keys), minlength=DIMS)
 
 
-def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit-length TF-IDF rows; a row without n-grams stays zero."""
-    rows = np.log1p(counts) * idf
-    length = np.linalg.norm(rows, axis=1, keepdims=True)
-    return (rows / np.where(length == 0, 1, length)).astype(np.float32)
+def weights(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams a text has, and their unit-length TF-IDF weights."""
+    used = np.flatnonzero(counts)
+    values = np.log1p(counts[used]) * idf[used]
+    return used, values / max(1e-12, float(np.linalg.norm(values)))
 
 
 def document_counts(docs: DataFrame, text: str) -> np.ndarray:
@@ -87,11 +63,10 @@ def document_counts(docs: DataFrame, text: str) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(DIMS + 1, dtype=np.int64)
         for batch in batches:
-            texts = batch["text"].tolist()
-            for at in range(0, len(texts), ROWS):
-                has = gram_counts(texts[at : at + ROWS]) > 0
-                seen[:DIMS] += has.sum(axis=0)
-                seen[DIMS] += has.any(axis=1).sum()
+            for one in batch["text"]:
+                used = np.flatnonzero(gram_counts(one))
+                seen[used] += 1
+                seen[DIMS] += len(used) > 0
         used = np.flatnonzero(seen)
         yield pd.DataFrame({"bucket": used, "n": seen[used]})
 
@@ -128,24 +103,17 @@ class Centroids:
 
     def __init__(self, idf: np.ndarray, names: list[str], centers: np.ndarray):
         self.idf, self.names, self.centers = idf, names, centers
+        self.columns = np.ascontiguousarray(centers.T)
         self.chance = CLEARLY * centers.mean(axis=1)
 
-    def nearest(self, texts: list[str | None]) -> pd.DataFrame:
-        out = []
-        for at in range(0, len(texts), ROWS):
-            counts = gram_counts(texts[at : at + ROWS])
-            some = counts.any(axis=1)
-            if not self.names:
-                out += [(UNKNOWN, 0.0, True)] * len(some)
-                continue
-            rows = weighted(counts, self.idf)
-            cosine = rows @ self.centers.T
-            best = np.argmax(cosine, axis=1)
-            value = cosine[np.arange(len(best)), best]
-            far = value < rows.sum(axis=1) * self.chance[best]
-            for s, b, v, f in zip(some, best, value, far):
-                out.append((self.names[b], float(min(max(v, 0), 1)), bool(f)) if s else (UNKNOWN, 0.0, True))
-        return pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
+    def nearest(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, cosine, and whether the text is rejected."""
+        used, values = weights(gram_counts(text), self.idf)
+        if not len(used) or not self.names:
+            return UNKNOWN, 0.0, True
+        cosine = values @ self.columns[used]
+        best = int(np.argmax(cosine))
+        return self.names[best], float(min(max(cosine[best], 0), 1)), bool(cosine[best] < values.sum() * self.chance[best])
 
 
 def learn(docs: DataFrame, known: DataFrame, text: str = "text") -> Centroids:
@@ -158,19 +126,13 @@ def learn(docs: DataFrame, known: DataFrame, text: str = "text") -> Centroids:
     """
     seen = document_counts(docs, text)
     idf = (np.log((1 + seen[DIMS]) / (1 + seen[:DIMS])) + 1).astype(np.float32)
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        known.where("lang IS NOT NULL AND doc_id IS NOT NULL")
-        .select("lang", "doc_id")
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= SAMPLE)
-        .select("lang", "doc_id")
-        .distinct()
-    )
+    chosen = lowest_hashes(known.where("lang IS NOT NULL AND doc_id IS NOT NULL").select("lang", "doc_id").distinct(), SAMPLE, "lang")
 
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:
-        texts = frame.sort_values("doc_id", kind="stable")["text"].tolist()
-        rows = np.concatenate([weighted(gram_counts(texts[at : at + ROWS]), idf) for at in range(0, len(texts), ROWS)])
+        rows = np.zeros((len(frame), DIMS), dtype=np.float32)
+        for row, text in zip(rows, frame.sort_values("doc_id", kind="stable")["text"]):
+            used, values = weights(gram_counts(text), idf)
+            row[used] = values
         rows = rows[rows.any(axis=1)]
         if not len(rows):
             return pd.DataFrame({"lang": [], "center": []})
@@ -202,7 +164,8 @@ def identify(docs: DataFrame, model: Centroids, text: str = "text", name: str =
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def look(texts: pd.Series) -> pd.DataFrame:
-        return shared.value.nearest(texts.tolist())
+        model = shared.value
+        return pd.DataFrame([model.nearest(t) for t in texts], columns=["lang_pred", "score", "rejected"])
 
     return docs.withColumn(name, look(F.col(text).cast("string")))
 
