@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from nearfield.llm.frames import free_name
+from nearfield.llm.frames import columns, free_name
 from nearfield.session import cut_lineage
 
 # The production mixture: domains by the number at a source's end, and relative weights; anything else weighs 1.
@@ -74,9 +74,9 @@ def leaf_budgets(
     whole branch can't take has gone to the branches beside it.
     """
     sized = leaves.withColumn("cap", F.col("tokens") * epochs)
-    whole = leaves.agg(F.floor(F.sum("tokens").cast("double") * share).alias("given"))
-    domains = sized.groupBy("_domain").agg(F.sum("cap").alias("cap")).withColumn("weight", _weight("_domain", domain_weights))
-    domains = domains.join(F.broadcast(whole)).withColumn("root", F.lit(0))  # one row
+    domains = sized.groupBy("_domain").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("own")).withColumn("root", F.lit(0))
+    whole = F.sum("own").over(W.partitionBy("root")).cast("double")
+    domains = domains.withColumn("given", F.floor(whole * share)).withColumn("weight", _weight("_domain", domain_weights))
     domains = _filled(domains, ["root"], "_domain").select(F.col("_domain").alias("d"), F.col("budget").alias("given"))
     langs = sized.groupBy("_domain", "_lang").agg(F.sum("cap").alias("cap")).withColumn("weight", _weight("_lang", lang_weights))
     langs = langs.join(domains, F.col("_domain").eqNullSafe(F.col("d"))).drop("d")
@@ -182,7 +182,7 @@ def selection(
     )
     rule = cut_lineage(rule)
     taken = docs.select(
-        F.struct(*[F.col(c) for c in docs.columns]).alias("row"),
+        F.struct(*columns(docs)).alias("row"),
         F.col("doc_id").alias("_id"),
         domain.alias("_domain"),
         F.col("lang").cast("string").alias("_lang"),
@@ -202,7 +202,7 @@ def selection(
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the mixture takes, once per epoch that takes them."""
-    return selection(docs, **options).select(*docs.columns)
+    return selection(docs, **options).select(*columns(docs))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.bktree import Forest, merge_labels
 from nearfield.llm.components import connected
+from nearfield.llm.frames import columns
 from nearfield.session import cut_lineage
 
 SEED = 42
@@ -146,7 +147,7 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", radius: int = 2, w
     """
     kept = near_duplicates(docs, text, radius, words).where("doc_id = component_id").select("doc_id").distinct()
     with_id = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return with_id.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
+    return with_id.select(*columns(docs)).union(docs.where(F.col("doc_id").isNull()))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
