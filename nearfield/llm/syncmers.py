@@ -14,7 +14,7 @@ K = 10  # code points of an anchor
 S = 4  # code points of the inner substrings compared
 KEPT = 64  # anchors of a fingerprint: those with the lowest hashes
 DRIFT = 64  # code points by which the offsets of matching anchors may differ
-PIECE = 1_000_000  # code points handled at once; longer texts are cut with K - 1 code points of overlap
+PIECE = 65_536  # code points handled at once; longer texts are cut with K - 1 code points of overlap
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
