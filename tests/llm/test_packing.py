@@ -1,0 +1,92 @@
+"""Packs hold every document's tokens once, fit tightly, and say where they are."""
+
+import random
+
+import numpy as np
+import pandas as pd
+
+from nearfield.llm import packing as op
+
+SF = "/root/testdata/sf0.001"
+
+
+def plain_best_fit(sizes, length):
+    room = []
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        fits = [(r, k) for k, r in enumerate(room) if r >= sizes[i]]
+        if fits:
+            room[min(fits)[1]] -= sizes[i]
+        else:
+            room.append(length - sizes[i])
+    return sorted(room)
+
+
+def test_tightest_fit_first():
+    rng = random.Random(5)
+    for length in (1, 7, 64, 100):
+        for n in (0, 1, 300):
+            sizes = [rng.randrange(1, length + 1) for _ in range(n)]
+            rows = op.best_fit_decreasing(sizes, length)
+            assert sorted(i for r in rows for i in r) == list(range(n))
+            assert sorted(length - sum(sizes[i] for i in r) for r in rows) == plain_best_fit(sizes, length)
+
+
+def test_parts_keep_the_tokens():
+    tokens = op.tokenizer(op.VOCABULARY)
+    for text in ("word and  more\n\n é " * 20_000, "x" * 150_000 + " y", ""):
+        ids = op.encode(text, tokens)
+        assert ids[-1] == tokens.n_vocab and tokens.decode(ids[:-1].tolist()) == text
+    assert (op.encode("a bc. " * 40_000, tokens)[:-1] == tokens.encode_to_numpy("a bc. " * 40_000)).all()
+
+
+def unpacked(packs, length):
+    """[(doc_id, ids)] put together again, after checking every row of the matrix."""
+    pieces = []
+    for p in packs:
+        ids, position = np.frombuffer(p["ids"], "<i4"), np.frombuffer(p["position_ids"], "<i4")
+        assert len(ids) == len(position) == length and p["cu_seqlens"][0] == 0 and p["cu_seqlens"][-1] == p["n_tokens"] <= length
+        assert len(p["segments"]) == p["n_segments"] == len(p["cu_seqlens"]) - 1
+        for s, low, high in zip(p["segments"], p["cu_seqlens"], p["cu_seqlens"][1:]):
+            assert s["length"] == high - low and (position[low:high] == np.arange(high - low)).all()
+            pieces.append((s["doc_id"], s["start"], ids[low:high].tolist()))
+        assert (ids[p["n_tokens"] :] == op.tokenizer(op.VOCABULARY).n_vocab).all() and not position[p["n_tokens"] :].any()
+    return pieces
+
+
+def test_round_trip(spark, monkeypatch):
+    monkeypatch.setattr(op, "GROUP_BYTES", 3000)
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["a", "Wort", "más", "x\ny"]) for _ in range(rng.choice([0, 1, 5, 40, 700]))), "p", 3) for i in range(80)]
+    rows += [(90, None, None, None), (91, "", "", 0), rows[3], rows[3], (None, "no id", "", 0), (None, None, "", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, pack_id string, group int")
+    length = 50
+    packs = op.pack(frame, length=length).collect()
+    assert len({p["pack_id"] for p in packs}) == len(packs)
+    tokens = op.tokenizer(op.VOCABULARY)
+    want = sorted(((r[0], op.encode(r[1], tokens).tolist()) for r in rows), key=str)
+    got, open_docs = [], {}
+    for doc, start, ids in sorted(unpacked(packs, length), key=lambda p: (str(p[0]), p[1], str(p[2]))):
+        if ids[-1] == tokens.n_vocab and start == 0:
+            got.append((doc, ids))
+        else:
+            open_docs.setdefault(doc, []).append((start, ids))
+    for doc, pieces in open_docs.items():
+        copies = sum(1 for s, _ in pieces if s == 0)
+        whole = [i for s, ids in sorted(pieces)[::copies] for i in ids]
+        got += [(doc, whole)] * copies
+    assert sorted(got, key=str) == want
+    again = op.pack(frame.repartition(7), length=length).collect()
+    assert sorted(p["ids"] for p in again) == sorted(p["ids"] for p in packs)
+    assert op.pack(frame.limit(0)).count() == 0
+
+
+def test_registered_query_and_written_packs(spark, tmp_path):
+    packs = op.op5_packing(spark, SF)
+    op.write_packs(packs, str(tmp_path / "packs"))
+    stored = spark.read.parquet(str(tmp_path / "packs")).collect()
+    docs = pd.read_parquet(f"{SF}/documents.parquet").set_index("doc_id").text
+    whole = {}
+    for doc, start, ids in unpacked(stored, op.LENGTH):
+        whole.setdefault(doc, []).append((start, ids))
+    tokens = op.tokenizer(op.VOCABULARY)
+    assert {d: tokens.decode([i for _, ids in sorted(p) for i in ids][:-1]) for d, p in whole.items()} == docs.to_dict()
