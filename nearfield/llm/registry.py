@@ -7,7 +7,7 @@ from importlib import import_module
 
 from nearfield.session import ship_package
 
-MODULES = ("simhash", "decontaminate", "language", "mixing", "syncmers", "packing", "crossentropy")
+MODULES = ("simhash", "decontaminate", "language", "mixing", "syncmers", "packing", "crossentropy", "toxicity")
 
 
 def _shipping(query):
