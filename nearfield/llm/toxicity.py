@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.language import fold_table
 from nearfield.llm.sampling import lowest_hashes
+from nearfield.session import cut_lineage
 
 # fixed values: what a sign may stand for, and what it costs (negative log probability)
 SIGNS = {
@@ -192,10 +193,16 @@ def restored_words(text: str | None, restore) -> list[str]:
     return out
 
 
-def features(word: str) -> list[int]:
-    """The word and its beginnings, hashed."""
-    names = [word, *(word[:n] + "~" for n in PREFIXES if len(word) > n)]
-    return [xxhash.xxh64_intdigest(n.encode()) >> 1 for n in names]
+def _hash(name: str) -> int:
+    return xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass")) >> 1
+
+
+def whole_word(word: str) -> list[int]:
+    return [_hash(word)]
+
+
+def beginnings(word: str) -> list[int]:
+    return [_hash(word[:n] + "~") for n in PREFIXES if len(word) > n]
 
 
 class Lexicon:
@@ -214,7 +221,9 @@ class Lexicon:
         self._word = lru_cache(maxsize=CACHE)(self._weigh)
 
     def _weigh(self, word: str) -> float:
-        return max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
+        """The weight of a word itself, or else the largest of its beginnings."""
+        own = self.weights.get(_hash(word))
+        return own if own is not None else max((self.weights.get(f, 0.0) for f in beginnings(word)), default=0.0)
 
     def evidence(self, words: list[str]) -> tuple[float, float]:
         """Sum (its root, so that long texts don't win by length) and maximum of the weights of a text's distinct words."""
@@ -235,7 +244,8 @@ def lexicon(counts: pd.DataFrame, toxic: int, clean: int) -> Lexicon:
         lean = 2 * (t * np.log(t / (n * base)) + np.where(c > 0, c * np.log(c / (n * (1 - base))), 0))
     sure = (t >= LEAST_DOCS) & (t > n * base) & (lean >= LEAST_G)
     odds = np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))
-    return Lexicon(counts["feature"].to_numpy()[sure], (odds * t / n)[sure])  # less for what clean texts hold too
+    weights = odds * t / np.maximum(n, 1)  # less for what clean texts hold too
+    return Lexicon(counts["feature"].to_numpy()[sure], weights[sure])
 
 
 def fit_scale(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -318,38 +328,47 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Detector:
         .select("first.doc_id", "first.text", "toxic")
         .repartition(LEARN_PARTS, "doc_id")
     )
+    sample = cut_lineage(sample)
 
     def half(doc_id) -> int:
         return xxhash.xxh64_intdigest(str(doc_id)) & 1
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restore, held = _restorer(key, counts), {}
-        for batch in batches:
-            for doc_id, toxic, raw in zip(batch["doc_id"], batch["toxic"], batch["text"]):
-                slot = 2 * half(doc_id) + (1 if toxic else 0)
-                held.setdefault(0, [0, 0, 0, 0])[slot] += 1  # documents
-                for f in {f for word in set(restored_words(raw, restore)) for f in features(word)}:
-                    held.setdefault(f, [0, 0, 0, 0])[slot] += 1
-        table = np.array(list(held.values()), dtype=np.int64).reshape(-1, 4)
-        yield pd.DataFrame({"feature": np.array(list(held), dtype=np.int64), **{f"n{i}": table[:, i] for i in range(4)}})
-
-    schema = "feature long, n0 long, n1 long, n2 long, n3 long"
-    counted = (
-        sample.mapInPandas(count, schema)
-        .groupBy("feature")
-        .agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(4)])
-        .where(f"feature = 0 OR n1 + n3 >= {LEAST_DOCS}")
-        .toPandas()
-    )
-    rows = counted[counted["feature"] != 0]
-    docs_of = counted.loc[counted["feature"] == 0, ["n0", "n1", "n2", "n3"]].sum()
-    one = lexicon(rows[["feature"]].assign(clean=rows["n0"], toxic=rows["n1"]), docs_of["n1"], docs_of["n0"])
-    two = lexicon(rows[["feature"]].assign(clean=rows["n2"], toxic=rows["n3"]), docs_of["n3"], docs_of["n2"])
-    whole = lexicon(
-        rows[["feature"]].assign(clean=rows["n0"] + rows["n2"], toxic=rows["n1"] + rows["n3"]),
-        docs_of["n1"] + docs_of["n3"],
-        docs_of["n0"] + docs_of["n2"],
-    )
+    def counted(features, known: frozenset) -> pd.DataFrame:
+        """In how many texts of each half and label a feature of words outside ``known`` stands; feature 0 counts texts."""
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            restore, held = _restorer(key, counts), {}
+            for batch in batches:
+                for doc_id, toxic, raw in zip(batch["doc_id"], batch["toxic"], batch["text"]):
+                    slot = 2 * half(doc_id) + (1 if toxic else 0)
+                    held.setdefault(0, [0, 0, 0, 0])[slot] += 1
+                    for f in {f for word in set(restored_words(raw, restore)) if _hash(word) not in known for f in features(word)}:
+                        held.setdefault(f, [0, 0, 0, 0])[slot] += 1
+            table = np.array(list(held.values()), dtype=np.int64).reshape(-1, 4)
+            yield pd.DataFrame({"feature": np.array(list(held), dtype=np.int64), **{f"n{i}": table[:, i] for i in range(4)}})
+
+        return (
+            sample.mapInPandas(count, "feature long, n0 long, n1 long, n2 long, n3 long")
+            .groupBy("feature")
+            .agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(4)])
+            .where(f"feature = 0 OR n1 + n3 >= {LEAST_DOCS}")
+            .toPandas()
+        )
+
+    def learned(rows: pd.DataFrame, clean: list[str], toxic: list[str]) -> Lexicon:
+        total = rows.loc[rows["feature"] == 0, ["n0", "n1", "n2", "n3"]].sum()
+        seen = rows[rows["feature"] != 0]
+        table = seen[["feature"]].assign(clean=seen[clean].sum(axis=1), toxic=seen[toxic].sum(axis=1))
+        return lexicon(table, total[toxic].sum(), total[clean].sum())
+
+    # beginnings count for the words that are no sign by themselves
+    rows = counted(whole_word, frozenset())
+    signs = frozenset(learned(rows, ["n0", "n2"], ["n1", "n3"]).weights)
+    more = counted(beginnings, signs)
+    rows = pd.concat([rows, more[more["feature"] != 0]], ignore_index=True)
+    docs_of = rows.loc[rows["feature"] == 0, ["n0", "n1", "n2", "n3"]].sum()
+    one, two = learned(rows, ["n0"], ["n1"]), learned(rows, ["n2"], ["n3"])
+    whole = learned(rows, ["n0", "n2"], ["n1", "n3"])
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restore = _restorer(key, counts)
