@@ -294,7 +294,7 @@ def count_trigrams(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     parts = docs.select(F.col(text).cast("string").alias("text")).mapInPandas(count, "key long, n long")
     out = np.zeros(CLASSES**3, dtype=np.int64)
-    found = parts.groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    found = parts.groupBy("key").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     out[found["key"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
     return out
 
@@ -352,7 +352,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Detector:
             .groupBy("feature")
             .agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(4)])
             .where(f"feature = 0 OR n1 + n3 >= {LEAST_DOCS}")
-            .toPandas()
+            .toArrow()
+            .to_pandas()
         )
 
     def learned(rows: pd.DataFrame, clean: list[str], toxic: list[str]) -> Lexicon:
@@ -377,7 +378,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Detector:
             yield pd.DataFrame({"toxic": batch["toxic"], "total": [o[0] for o in other], "most": [o[1] for o in other]})
 
     if docs_of[["n1", "n3"]].sum() and docs_of[["n0", "n2"]].sum():
-        seen = sample.mapInPandas(gather, "toxic int, total double, most double").toPandas().sort_values(["toxic", "total", "most"])
+        seen = sample.mapInPandas(gather, "toxic int, total double, most double").toArrow().to_pandas()
+        seen = seen.sort_values(["toxic", "total", "most"])
         whole.scale = fit_scale(seen[["total", "most"]].to_numpy(), seen["toxic"].to_numpy(dtype=float))
     else:
         whole.scale = np.array([-50.0, 0.0, 0.0])
