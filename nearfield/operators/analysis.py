@@ -28,7 +28,8 @@ STOP_WORDS = {
 }
 
 # Elided articles and the letters folding replaces.
-ELISIONS = r"^(?:l|m|t|qu|n|s|j|d|c|jusqu|quoiqu|lorsqu|puisqu)['’]"
+ARTICLE = r"(?:l|m|t|qu|n|s|j|d|c|jusqu|quoiqu|lorsqu|puisqu)['’]"
+ELISIONS = "(?i)^" + ARTICLE
 ACCENTED = "àáâãåèéêëìíîïòóôõùúûñçý"
 PLAIN = "aaaaaeeeeiiiioooouuuncy"
 
@@ -40,9 +41,13 @@ Step = Callable[[DataFrame], DataFrame]
 # --- tokenizers ---------------------------------------------------------------------
 
 
-def standard_tokens(df: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
-    """Runs of letters and digits with position and character offsets."""
-    piece = F.regexp_extract_all(F.col(text_col), F.lit(r"[^\p{L}\p{N}]*" + WORD), F.lit(0))
+def standard_tokens(df: DataFrame, id_col: str, text_col: str, *keep: str, articles: Column | None = None) -> DataFrame:
+    """Runs of letters and digits with position and character offsets.
+
+    Where ``articles`` holds, an elided article stays in front of its word.
+    """
+    pieces = lambda word: F.regexp_extract_all(F.col(text_col), F.lit(r"[^\p{L}\p{N}]*" + word), F.lit(0))
+    piece = pieces(WORD) if articles is None else F.when(articles, pieces(f"(?:(?i){ARTICLE})?{WORD}")).otherwise(pieces(WORD))
     cut = df.select(F.col(id_col).alias("id"), *keep, piece.alias("_pieces"))
     ends = running_total(F.transform("_pieces", F.length))
     rows = cut.select("id", *keep, F.posexplode(F.arrays_zip("_pieces", ends.alias("_ends"))).alias("pos", "_t"))
@@ -162,6 +167,24 @@ def fold(token: Column, lang: Column) -> Column:
     return F.when(lang == "fr", french).when(lang == "de", german).when(lang == "es", F.translate(low, ACCENTED, PLAIN)).otherwise(low)
 
 
+# --- chains as term arrays, for ranking ------------------------------------------------
+
+
+def english_terms(text: Column, protected: list[str] = (), stop_words: list[str] | None = None) -> Column:
+    """The terms of the en chain: English stop words and possessive marks dropped, lower case, plurals stemmed."""
+    stops = STOP_WORDS["en"] if stop_words is None else stop_words
+    tokens = F.regexp_extract_all(text, F.lit(WORD + r"(?:['’][sS]\b)?"), F.lit(0))
+    kept = F.filter(tokens, lambda t: ~F.lower(t).isin(list(stops)))
+    bare = F.transform(kept, lambda t: possessive(F.lower(t)))
+    return F.transform(bare, lambda t: F.when(t.isin(list(protected)), t).otherwise(minimal_stem(t)) if protected else minimal_stem(t))
+
+
+def expanding(terms: Callable[[Column], Column], synonyms: dict[str, list[str]]) -> Callable[[Column], Column]:
+    """A chain for queries: every term of ``terms`` and, where there is a rule for it, its synonyms instead."""
+    rules = F.create_map(*[x for word, others in synonyms.items() for x in (F.lit(word), F.array(*map(F.lit, others)))])
+    return lambda text: F.flatten(F.transform(terms(text), lambda t: F.coalesce(F.try_element_at(rules, t), F.array(t))))
+
+
 def cjk_bigrams(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Overlapping pairs of characters of every CJK run; a run of one character stays single."""
     runs = plain_tokens(df, id_col, F.regexp_extract_all(F.col(text_col), F.lit(CJK + "+"), F.lit(0)))
@@ -192,7 +215,7 @@ def analyze(
     ws: white-space tokens. en: words, English stop words, lower case, possessive, plural stem.
     splitting: white-space tokens, stop words, word delimiter with catenation, lower case, plural stem.
     tight: as splitting, catenations only, unique per position. rev: general plus reversed tokens.
-    lang: words, stop words of the row's language, folding by language.
+    lang: words without elided articles, stop words of the row's language, folding by language.
     """
     stops = STOP_WORDS["en"] if stop_words is None else stop_words
     if chain in ("general", "rev"):
@@ -212,8 +235,10 @@ def analyze(
     if chain == "lang":
         if lang_col is None:
             raise ValueError("the lang chain needs a language column")
-        tokens = standard_tokens(df.withColumn("lang", F.col(lang_col)), id_col, text_col, "lang")
-        kept = stop_by_language(tokens, word_table(df.sparkSession, STOP_WORDS))
+        french = F.col("lang") == "fr"
+        tokens = standard_tokens(df.withColumn("lang", F.col(lang_col)), id_col, text_col, "lang", articles=F.coalesce(french, F.lit(False)))
+        bare = tokens.withColumn("token", F.when(french, F.regexp_replace("token", ELISIONS, "")).otherwise(F.col("token")))
+        kept = stop_by_language(bare, word_table(df.sparkSession, STOP_WORDS))
         return kept.withColumn("token", fold(F.col("token"), F.col("lang")))
     raise ValueError(f"unknown chain: {chain}")
 

@@ -72,7 +72,7 @@ def _l1(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 def _hamming(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     out = np.zeros((len(q), len(c)))
     for w in range(q.shape[1]):
-        out += np.bitwise_count(q[:, w, None] ^ c[None, :, w])
+        out += np.bitwise_count((q[:, w, None] ^ c[None, :, w]).view(np.uint64))  # of signed numbers it counts the absolute value's bits
     return out
 
 
@@ -377,7 +377,7 @@ def near_pairs(queries: DataFrame, corpus: DataFrame, radius: float, metric: str
 def map_vectors(
     df: DataFrame, vec: str, f: Callable[[np.ndarray], list[np.ndarray]], fields: list[T.StructField], keep: bool = True
 ) -> DataFrame:
-    """Append columns computed from the matrix of an Arrow batch; rows without a vector are left out.
+    """Append columns computed from the matrix of an Arrow batch; rows without a vector get nulls.
 
     ``f`` returns one array per new field, two-dimensional for a list column.
     Runs where the rows lie, without a shuffle.
@@ -387,19 +387,26 @@ def map_vectors(
     names = [x.name for x in kept]
     out_names = [x.name for x in schema.fields]
     types = [pa.float64() if "double" in x.dataType.simpleString() else pa.int64() for x in fields]
+    lists = [isinstance(x.dataType, T.ArrayType) for x in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(batch.column(vec).is_valid())
             if not batch.num_rows:
                 continue
+            valid = batch.column(vec).is_valid().to_numpy(zero_copy_only=False)
             arrays = [batch.column(name) for name in names]
-            for values, kind in zip(f(matrix(batch.column(vec), np.float64)), types):
+            if not valid.any():
+                empty = [pa.nulls(len(valid), pa.list_(kind) if is_list else kind) for kind, is_list in zip(types, lists)]
+                yield pa.RecordBatch.from_arrays(arrays + empty, names=out_names)
+                continue
+            spread = None if valid.all() else pa.array(np.cumsum(valid) - 1, mask=~valid)
+            for values, kind in zip(f(matrix(batch.column(vec).filter(pa.array(valid)), np.float64)), types):
                 if values.ndim == 2:
                     offsets = pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32())
-                    arrays.append(pa.ListArray.from_arrays(offsets, pa.array(values.ravel(), kind)))
+                    out = pa.ListArray.from_arrays(offsets, pa.array(values.ravel(), kind))
                 else:
-                    arrays.append(pa.array(values, kind))
+                    out = pa.array(values, kind)
+                arrays.append(out if spread is None else out.take(spread))
             yield pa.RecordBatch.from_arrays(arrays, names=out_names)
 
     return df.mapInArrow(run, schema)

@@ -17,8 +17,9 @@ LANGUAGE_END = r"@en \.\z"
 MIN_TOKENS = 20
 
 SPLITS = 2_000_000  # input splits whose offsets go to every task at most
+RANGE_BITS = 33  # a task numbers its rows in the low bits of monotonically_increasing_id
 
-FILE_ORDER = ("_file", "_block")
+FILE_ORDER = ("_file", "_block", "_length")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -32,72 +33,70 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         "value",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
+        F.col("_metadata.file_block_length").alias("_length"),
     )
 
 
 # --- dense ids -------------------------------------------------------------------
 
 
-def _number(df: DataFrame, keys: list[str], order: str, offsets: DataFrame, out: str, start: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("long")
-    return (
-        df.withColumn("_place", place)
-        .join(offsets, keys)
-        .withColumn(out, F.col("_place") + F.col("_before") + (start - 1))
-        .drop("_place", "_before")
-    )
-
-
 def _before(over) -> Column:
     """Running total without the row itself."""
     return F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
 
 
-def dense_id(df: DataFrame, order: str, out: str = "id", start: int = 1, bits: int = 11) -> DataFrame:
-    """Number rows 1, 2, 3 ... along a unique whole-number column.
+def dense_id(df: DataFrame, order: str, out: str = "id", start: int = 1) -> DataFrame:
+    """Number rows 1, 2, 3 ... along a unique column, dense or sparse.
 
-    Rows are cut into ranges of 2**bits keys, which hold at most that many rows
-    each; ranges are counted, the counts are summed up range by range in two
-    steps, and rows are numbered inside their range. No window spans the table.
+    Rows are dealt into ranges of the column of about equal size, sorted and
+    written once; a task numbers its range, the ranges are counted, and the count
+    of the ranges before is added. No window spans the table: only one row per
+    range is summed up.
     """
     if out == order:
         raise ValueError("the number needs a column of its own")
-    ranged = df.withColumn("_range", F.shiftright(F.col(order), bits))
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_group", F.shiftright(F.col("_range"), bits))
-    groups = counts.groupBy("_group").agg(F.sum("_n").alias("_n"))
-    group_before = groups.select("_group", _before(Window.orderBy("_group")).alias("_group_before"))
-    inside = counts.select("_range", "_group", _before(Window.partitionBy("_group").orderBy("_range")).alias("_inside"))
-    offsets = inside.join(group_before, "_group").select(
-        "_range", (F.col("_inside") + F.col("_group_before")).alias("_before")
-    )
-    return _number(ranged, ["_range"], order, offsets, out, start).drop("_range")
+    ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order)
+    numbered = cut_lineage(ranged.withColumn("_kept", F.monotonically_increasing_id()))
+    part = F.shiftright("_kept", RANGE_BITS)
+    parts = numbered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_kept").alias("_first"))
+    offsets = parts.select("_part", (_before(Window.orderBy("_part")) - F.col("_first") + start).alias("_shift"))
+    known = F.broadcast(offsets) if counted(parts, SPLITS) is not None else offsets
+    placed = numbered.withColumn("_part", part).join(known, "_part")
+    return placed.withColumn(out, F.col("_kept") + F.col("_shift")).drop("_part", "_kept", "_shift")
 
 
-def dense_id_in_file_order(df: DataFrame, out: str = "id", start: int = 1) -> DataFrame:
+def dense_id_in_file_order(df: DataFrame, out: str = "id", start: int = 1, written: bool = False) -> DataFrame:
     """Number rows in file order: files by path, splits by offset, rows as read.
 
-    For frames that come from ``read_lines`` by filters and projections, whose
-    tasks read the same splits each time. The rows are not moved. A task numbers the rows it keeps one after another,
-    so a row's place in its split is its number less the smallest number of the
-    split. A first pass notes that number and the count per split; the counts are
-    summed up per file and over files (one row per file), and the result, one
-    small row per split, goes to every task of the second pass.
+    For frames that come from ``read_lines`` by filters and projections. A task
+    numbers the rows it keeps one after another, so a row's place in its split is
+    its number less the smallest number of the split. The first pass notes that
+    number and the count per split; the counts are summed up per file and over
+    files (one row per file), and the result, one small row per split, goes to
+    every task of the second pass. The rows are not moved.
+
+    Both passes must cut the input alike. A row of a split that the first pass
+    did not see, start and length, fails the job. Where the cut may change, as
+    with a number of cores that comes and goes, let the numbered rows be
+    ``written`` once, where they lie, for both passes.
     """
     numbered = df.withColumn("_kept", F.monotonically_increasing_id())
+    numbered = cut_lineage(numbered) if written else numbered
     splits = cut_lineage(
-        numbered.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_kept").alias("_first"))
+        numbered.groupBy(*FILE_ORDER).agg(F.count(F.lit(1)).alias("_n"), F.min("_kept").alias("_first"))
     )
     files = splits.groupBy("_file").agg(F.sum("_n").alias("_n"))
     file_before = files.select("_file", _before(Window.orderBy("_file")).alias("_file_before"))
     inside = splits.select(
-        "_file", "_block", "_first", _before(Window.partitionBy("_file").orderBy("_block")).alias("_inside")
+        *FILE_ORDER, "_first", _before(Window.partitionBy("_file").orderBy("_block")).alias("_inside")
     )
     offsets = inside.join(file_before, "_file").select(
-        "_file", "_block", (F.col("_inside") + F.col("_file_before") - F.col("_first") + start).alias("_shift")
+        *FILE_ORDER, (F.col("_inside") + F.col("_file_before") - F.col("_first") + start).alias("_shift")
     )
     known = F.broadcast(offsets) if counted(splits, SPLITS) is not None else offsets
-    return numbered.join(known, ["_file", "_block"]).withColumn(out, F.col("_kept") + F.col("_shift")).drop("_kept", "_shift")
+    lost = F.raise_error(F.concat(F.lit("no place for a row of "), F.col("_file")))
+    shift = F.when(F.col("_shift").isNotNull(), F.col("_shift")).otherwise(lost)
+    return numbered.join(known, list(FILE_ORDER), "left").withColumn(out, F.col("_kept") + shift).drop("_kept", "_shift")
 
 
 # --- cleaning ------------------------------------------------------------------------
@@ -115,14 +114,22 @@ def clean_line(line: Column) -> Column:
 
 
 def parse_corpus(
-    lines: DataFrame, min_tokens: int = MIN_TOKENS, max_docs: int = -1, order: str | None = None
+    lines: DataFrame,
+    min_tokens: int = MIN_TOKENS,
+    max_docs: int = -1,
+    order: str | None = None,
+    own_ids: bool = False,
+    written: bool = False,
 ) -> DataFrame:
     """``(id, url, _text_)`` of the lines that hold more than ``min_tokens`` tokens.
 
     Tokens are counted on the raw line. Comment lines are left out. Ids follow
     the input order of the kept lines: the ``order`` column, or the file order of
-    ``read_lines``. ``max_docs`` below 1 keeps all.
+    ``read_lines`` (``written`` as in ``dense_id_in_file_order``). With ``own_ids`` the ``order`` column is the id itself, which
+    stays the same whatever else arrives with it. ``max_docs`` below 1 keeps all.
     """
+    if own_ids and order is None:
+        raise ValueError("own ids need the column they are in")
     keys = list(FILE_ORDER) if order is None else [order]
     kept = (
         lines.where(~F.col("value").startswith(COMMENT))
@@ -133,7 +140,10 @@ def parse_corpus(
             clean_line(F.col("value")).alias("_text_"),
         )
     )
-    numbered = dense_id_in_file_order(kept) if order is None else dense_id(kept, order)
+    if own_ids:
+        numbered = kept.withColumn("id", F.col(order).cast("long"))
+    else:
+        numbered = dense_id_in_file_order(kept, written=written) if order is None else dense_id(kept, order)
     docs = numbered.select("id", "url", "_text_")
     return docs if max_docs < 1 else docs.where(F.col("id") <= max_docs)
 

@@ -8,12 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from nearfield.functions.hashing import md5_hex
 from nearfield.functions.vectors import cosine
 from nearfield.operators.blocks import best_pairs
 from nearfield.operators.topk import top_k
+from nearfield.session import cut_lineage
 
 # Fixed value: the seed of the random order.
 SEED = 57895447
@@ -175,7 +175,10 @@ def closest_to_centroids(df: DataFrame, centroids: DataFrame, distinct: bool = T
 
     With ``distinct`` a member serves one centroid only, centroids choosing in
     order. As many candidates per centroid as there are centroids always
-    suffice, so only that many leave each task.
+    suffice, so only that many leave each task. The choice is made in rounds:
+    every centroid asks its nearest member that has not turned it down, a member
+    keeps the lowest centroid that asks, and the others ask on; this ends where
+    choosing one after the other would.
     """
     n = centroids.count() if n_centroids is None else n_centroids
     if n > LIST_LIMIT:
@@ -187,15 +190,12 @@ def closest_to_centroids(df: DataFrame, centroids: DataFrame, distinct: bool = T
     if not distinct:
         return near.drop("rank")
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: set[int] = set()
-        rows = []
-        for cell, mine in pdf.sort_values(["cell", "rank"]).groupby("cell"):
-            free = mine[~mine["id"].isin(taken)]
-            if len(free):
-                taken.add(int(free["id"].iloc[0]))
-                rows.append((cell, int(free["id"].iloc[0]), float(free["distance"].iloc[0])))
-        return pd.DataFrame(rows, columns=["cell", "id", "distance"])
-
-    schema = T.StructType.fromDDL("cell long, id long, distance double")
-    return near.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(choose, schema)
+    near = cut_lineage(near)
+    asked = near.groupBy("cell").agg(F.lit(1).cast("long").alias("rank"))
+    while True:
+        asks = near.join(asked, ["cell", "rank"])
+        holder = asks.groupBy("id").agg(F.min("cell").alias("holder"))
+        judged = cut_lineage(asks.join(holder, "id"))
+        if judged.where("cell != holder").isEmpty():
+            return judged.select("cell", "id", "distance")
+        asked = judged.select("cell", F.when(F.col("cell") == F.col("holder"), F.col("rank")).otherwise(F.col("rank") + 1).alias("rank"))

@@ -106,10 +106,11 @@ def hash_embed(df: DataFrame, text_col: str, dims: int = 64, out_col: str = "vec
     return embed(df, text_col, lambda: HashEmbedder(dims), out_col, target, HashEmbedder.prepare)
 
 
-def mean_pool(df: DataFrame, id_col: str, text_col: str, table: DataFrame) -> DataFrame:
+def mean_pool(df: DataFrame, id_col: str, text_col: str, table: DataFrame, keep: bool = False) -> DataFrame:
     """Average of the token vectors of a text, repeated tokens counted each time.
 
-    ``table`` is ``(token, vec)``; tokens without a vector are left out. Tokens are
+    ``table`` is ``(token, vec)``; tokens without a vector are left out. A text
+    without any known token has no row, or with ``keep`` a null vector. Tokens are
     counted per text before the join. A token that most texts share makes its
     join partition large on the text side only, which the adaptive skew join
     splits.
@@ -120,7 +121,8 @@ def mean_pool(df: DataFrame, id_col: str, text_col: str, table: DataFrame) -> Da
         .agg(F.count(F.lit(1)).alias("n"))
     )
     joined = counts.join(table.select("token", "vec"), "token")
-    return vector_means(joined, "id", "vec", weight="n").select(F.col("key").alias("id"), "vector")
+    means = vector_means(joined, "id", "vec", weight="n").select(F.col("key").alias("id"), "vector")
+    return df.select(F.col(id_col).alias("id")).distinct().join(means, "id", "left") if keep else means
 
 
 def projection_matrix(dims: int, k: int) -> np.ndarray:
@@ -144,11 +146,10 @@ def reduce_dims(df: DataFrame, vec: str, k: int, dims: int, method: str = "proje
         return project(df, vec, projection_matrix(dims, k) / np.sqrt(k), out_col)
     if method == "pca":
         from pyspark.ml.feature import PCA
-        from pyspark.ml.functions import array_to_vector, vector_to_array
+        from pyspark.ml.functions import array_to_vector
 
-        ready = df.withColumn("_dense", array_to_vector(F.col(vec).cast("array<double>")))
-        model = PCA(k=k, inputCol="_dense", outputCol="_reduced").fit(ready)
-        return model.transform(ready).withColumn(out_col, vector_to_array("_reduced")).drop("_dense", "_reduced")
+        known = df.where(F.col(vec).isNotNull()).select(array_to_vector(F.col(vec).cast("array<double>")).alias("_dense"))
+        return project(df, vec, PCA(k=k, inputCol="_dense", outputCol="_reduced").fit(known).pc.toArray(), out_col)
     raise ValueError(f"unknown method: {method}")
 
 

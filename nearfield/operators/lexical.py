@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,8 +20,15 @@ from nearfield.session import cut_lineage
 DOCUMENT_MARK = ""  # the posting every document has, which carries its length
 
 
-def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text", vocabulary: DataFrame | None = None) -> DataFrame:
-    """``(id, dl, term, tf)``: one row per distinct word of a document, with the document length in words.
+Terms = Callable[[Column], Column]  # from a text to the array of its terms
+
+
+def postings(
+    docs: DataFrame, id_col: str = "id", text_col: str = "text", vocabulary: DataFrame | None = None, terms: Terms = words
+) -> DataFrame:
+    """``(id, dl, term, tf)``: one row per distinct word of a document, with the document length in words. Ids are whole numbers.
+
+    ``terms`` is the chain that turns a text into words, for documents.
 
     Every document also has one row for DOCUMENT_MARK, so document count and
     average length come from the same table. With a ``vocabulary`` (``term``)
@@ -29,7 +36,7 @@ def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text", vocabu
     the token array, so counting needs at most one shuffle, after a partial count
     in every task, and none where documents are partitioned by id.
     """
-    tokens = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("_tokens")).select(
+    tokens = docs.select(F.col(id_col).cast("long").alias("id"), terms(F.col(text_col)).alias("_tokens")).select(
         "id",
         F.size("_tokens").cast("long").alias("dl"),
         F.explode(F.concat(F.array(F.lit(DOCUMENT_MARK)), "_tokens")).alias("term"),
@@ -49,14 +56,18 @@ def bm25_over(
     lucene8: bool = False,
     digits: int | None = None,
     salt: int = 16,
+    ids: DataFrame | None = None,
+    query_terms: Terms = words,
 ) -> DataFrame:
-    """BM25 over a stored postings table.
+    """BM25 over a stored postings table, ranked among the documents in ``ids`` (``id``) if given.
+
+    ``query_terms`` is the chain for queries, which may expand a word to several.
 
     A word that most documents hold is spread over ``salt`` tasks by document
     id; each gets its own copy of the (small) query side of that word.
     """
     asked = (
-        queries.select("query_id", F.explode(words(F.col("text"))).alias("term"))
+        queries.select("query_id", F.explode(query_terms(F.col("text"))).alias("term"))
         .groupBy("query_id", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
@@ -73,8 +84,9 @@ def bm25_over(
     gain = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     if not lucene8:
         gain = gain * (k1 + 1)
+    ranked = found if ids is None else found.join(ids.select(F.col("id").cast("long").alias("id")), "id", "left_semi")
     scored = (
-        found.select("id", "term", gain.alias("gain"), F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int").alias("salt"))
+        ranked.select("id", "term", gain.alias("gain"), F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int").alias("salt"))
         .join(weighted, ["term", "salt"])
         .groupBy("query_id", "id")
         .agg(F.sum(F.col("idf") * F.col("gain")).alias("_score"))
@@ -87,7 +99,7 @@ def bm25_over(
 VOCABULARY = 1_000_000  # distinct query words sent to every task at most
 
 
-def forward_index(docs: DataFrame, vocabulary: pa.Array, id_col: str = "id", text_col: str = "text") -> DataFrame:
+def forward_index(docs: DataFrame, vocabulary: pa.Array, id_col: str = "id", text_col: str = "text", terms: Terms = words) -> DataFrame:
     """``(id, dl, terms, tfs)``: per document its length and the counts of the vocabulary words in it.
 
     Spark cuts the text into words; the counting works on the flat word column
@@ -114,7 +126,7 @@ def forward_index(docs: DataFrame, vocabulary: pa.Array, id_col: str = "id", tex
                 names=["id", "dl", "terms", "tfs"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), words(F.col(text_col)).alias("tokens")).mapInArrow(count, schema)
+    return docs.select(F.col(id_col).cast("long").alias("id"), terms(F.col(text_col)).alias("tokens")).mapInArrow(count, schema)
 
 
 def bm25(
@@ -127,17 +139,28 @@ def bm25(
     digits: int | None = None,
     id_col: str = "id",
     text_col: str = "text",
+    ids: DataFrame | None = None,
+    terms: Terms = words,
+    query_terms: Terms | None = None,
 ) -> DataFrame:
     """Top-k documents per query text, any word may match; a repeated query word counts each time.
 
+    ``terms`` is the chain for documents, and for queries unless they have their
+    own in ``query_terms``, which may expand a word to several.
+
+    With ``ids`` (``id``) only those documents are ranked; frequencies and the
+    average length are still those of all. Ids are whole numbers.
+
     For a counted number of queries the texts are read once: word counts per
     document are written, document frequencies and the average length are taken
     from them, and each task multiplies its documents by the word weights of the
     queries and keeps its k best. More queries than that go through ``postings``
     and ``bm25_over``, which join word by word.
     """
+    query_terms = terms if query_terms is None else query_terms
+    among = None if ids is None else ids.select(F.col("id").cast("long").alias("id"))
     asked = (
-        queries.select("query_id", F.explode(words(F.col("text"))).alias("term"))
+        queries.select("query_id", F.explode(query_terms(F.col("text"))).alias("term"))
         .groupBy("query_id", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
@@ -146,10 +169,10 @@ def bm25(
     vocabulary = None if table is None else pc.unique(table.column("term"))
     if vocabulary is None or len(vocabulary) > VOCABULARY:
         listed = asked.select("term").distinct()
-        index = cut_lineage(postings(docs, id_col, text_col, listed))
-        return bm25_over(queries, index, k, k1, b, lucene8, digits)
+        index = cut_lineage(postings(docs, id_col, text_col, listed, terms))
+        return bm25_over(queries, index, k, k1, b, lucene8, digits, ids=among, query_terms=query_terms)
 
-    index = cut_lineage(forward_index(docs, vocabulary, id_col, text_col))
+    index = cut_lineage(forward_index(docs, vocabulary, id_col, text_col, terms))
     n, avgdl = index.agg(F.count(F.lit(1)), F.avg("dl")).first()
     found = index.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).toArrow()
     df = np.zeros(len(vocabulary))
@@ -190,5 +213,6 @@ def bm25(
                 yield from best.add(0, block, np.asarray(part.column("id")), score(part))
         yield from best.rest([block])
 
-    pairs = index.mapInArrow(scan, PAIR)
+    ranked = index if among is None else index.join(among, "id", "left_semi")
+    pairs = ranked.mapInArrow(scan, PAIR)
     return top_k(pairs, k, score="value").select("query_id", "rank", "id", F.col("value").alias("_score"))

@@ -27,6 +27,24 @@ def planes(dims: int, tables: int, bits: int = 1) -> np.ndarray:
     return out
 
 
+def signs_packed(df: DataFrame, dims: int, tables: int = 99, vec: str = "vector", out: str = "packed") -> DataFrame:
+    """Add the signs of one-bit tables, 64 to a number: 99 of them are two numbers."""
+    normals = planes(dims, tables)
+
+    def code(rows: np.ndarray) -> list[np.ndarray]:
+        signs = np.round(rows @ normals, ZERO_DIGITS) >= 0
+        wide = np.zeros((len(rows), -(-tables // 64) * 64), dtype=bool)
+        wide[:, :tables] = signs
+        return [np.packbits(wide, axis=1).view(np.int64)]
+
+    return map_vectors(df, vec, code, [T.StructField(out, T.ArrayType(T.LongType()))])
+
+
+def save_lsh(df: DataFrame, dims: int, path: str, tables: int = 99) -> None:
+    """Write ``(id, packed, vector)``; a search reads ids and packed signs, and vectors of candidates only."""
+    signs_packed(df.select("id", "vector"), dims, tables).select("id", "packed", "vector").write.parquet(path)
+
+
 def lsh_codes(df: DataFrame, dims: int, tables: int = 99, bits: int = 1, vec: str = "vector", out: str = "codes") -> DataFrame:
     """Add the bucket number of every table: ``bits`` signs read as a binary number."""
     normals = planes(dims, tables, bits)
@@ -70,6 +88,13 @@ def lsh_candidates(queries: DataFrame, corpus: DataFrame, candidates: int) -> Da
     return top_k(pairs.where("value > 0"), candidates, score="value").select("query_id", "id", F.col("value").alias("matches"))
 
 
+def packed_candidates(queries: DataFrame, corpus: DataFrame, candidates: int, tables: int) -> DataFrame:
+    """The same from packed signs: tables that match are those without a differing bit."""
+    pairs = best_pairs(queries, corpus, candidates, "hamming", query_vec="packed", vec="packed")
+    matches = (F.lit(tables) - F.col("value")).alias("matches")
+    return top_k(pairs.where(F.col("value") < tables), candidates, score="value", ascending=True).select("query_id", "id", matches)
+
+
 def lsh_search(
     queries: DataFrame,
     corpus: DataFrame,
@@ -80,10 +105,17 @@ def lsh_search(
     bits: int = 1,
     digits: int | None = None,
 ) -> DataFrame:
-    """Candidates by matching hashes, reranked by exact ``1 + cosine``."""
-    coded = corpus if "codes" in corpus.columns else lsh_codes(corpus, dims, tables, bits)
-    asked = lsh_codes(queries, dims, tables, bits, vec="q")
-    found = lsh_candidates(asked, coded, candidates)
+    """Candidates by matching hashes, reranked by exact ``1 + cosine``.
+
+    A corpus read from ``save_lsh``, or with ``codes``, is not coded again. Tables
+    of one bit are compared packed.
+    """
+    if "codes" not in corpus.columns and bits == 1:
+        coded = corpus if "packed" in corpus.columns else signs_packed(corpus, dims, tables)
+        found = packed_candidates(signs_packed(queries, dims, tables, vec="q"), coded, candidates, tables)
+    else:
+        coded = corpus if "codes" in corpus.columns else lsh_codes(corpus, dims, tables, bits)
+        found = lsh_candidates(lsh_codes(queries, dims, tables, bits, vec="q"), coded, candidates)
     vectors = corpus.select("id", "vector").join(beside(found, queries, candidates), "id")
     score = 1.0 + cosine(F.col("q"), F.col("vector"))
     scored = vectors.join(queries.select("query_id", "q"), "query_id").withColumn(

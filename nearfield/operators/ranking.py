@@ -31,11 +31,15 @@ class FeatureSets:
 def log_features(hits: DataFrame, features: DataFrame, names: list[str], ids: DataFrame | None = None, size: int = 1000) -> DataFrame:
     """Hits with ``ltr_features``: one value per name in order, 0.0 where there is none.
 
-    ``features`` is ``(query_id, id, feature, value)``; ``ids`` restricts the hits.
+    ``features`` is ``(query_id, id, feature, value)``. ``ids`` is the set of
+    documents that count: hits outside it are left out before ranks are counted,
+    so ``hits`` must reach deep enough, or come from a search with the same ids.
     """
-    kept = hits.where(F.col("rank") <= size)
+    kept = hits
     if ids is not None:
-        kept = kept.join(ids.select("id"), "id", "left_semi")
+        order = Window.partitionBy("query_id").orderBy("rank", "id")
+        kept = kept.join(ids.select("id"), "id", "left_semi").withColumn("rank", F.row_number().over(order).cast("long"))
+    kept = kept.where(F.col("rank") <= size)
     wanted = features.where(F.col("feature").isin(names))
     values = [F.max(F.when(F.col("feature") == n, F.col("value").cast("double"))).alias(f"_f{i}") for i, n in enumerate(names)]
     wide = wanted.groupBy("query_id", "id").agg(*values)

@@ -55,7 +55,7 @@ def find_leaders(df: DataFrame, dist: float, m: int = 1000, probe: int = 512, id
     leader at a time. What stays uncovered is written before the next round.
     At most ``m`` leaders are ever held.
     """
-    open_points = df.select(F.col(id).alias("id"), F.col(vec).alias("vector"))
+    open_points = df.select(F.col(id).alias("id"), F.col(vec).alias("vector")).where(F.col("vector").isNotNull())
     ids: list[int] = []
     vectors: list[np.ndarray] = []
     while len(ids) < m:
@@ -85,7 +85,8 @@ def shard_by_distance(
     """``(id, shard_id, leader, overflow)``: every point goes to the first leader within ``dist``.
 
     Once ``m`` leaders exist, points out of reach of all of them go to the
-    nearest one with ``overflow`` set, so every point has a shard.
+    nearest one with ``overflow`` set, so every point has a shard. A row without
+    a vector keeps its place with nulls.
     """
     ids, vectors = find_leaders(df, dist, m, probe, id, vec)
     points = df.select(F.col(id).alias("id"), F.col(vec).alias("vector"))

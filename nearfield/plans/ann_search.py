@@ -11,6 +11,7 @@ from nearfield.operators.evaluation import recall_at_k
 from nearfield.operators.exact import within_distance
 from nearfield.plans.inputs import DIGITS, DIMS, corpus, queries_sql, ranked_sql, vector_queries
 from nearfield.plans.vector_search import COS, knn_cosine
+from nearfield.session import scratch_path
 
 QUERIES = {}
 ORACLES = {}
@@ -46,8 +47,11 @@ ORACLES["ivf_assign"] = "WITH " + CELLS_SQL + " SELECT id, cell, d AS cell_dista
 
 
 def ivf_search(spark, sf_dir):
+    """Search of a stored index, of which only the probed cells are read."""
     means = class_means(spark, sf_dir)
-    index = ivf.ivf_build(corpus(spark, sf_dir), means, digits=DIGITS)
+    path = scratch_path(spark, "ivf")
+    ivf.save_ivf(ivf.ivf_build(corpus(spark, sf_dir), means, digits=DIGITS), means, path, "l2")
+    index, means, _ = ivf.load_ivf(spark, path)
     return ivf.ivf_search(vector_queries(spark, sf_dir), index, means, 10, NPROBE, digits=DIGITS)
 
 
@@ -93,6 +97,17 @@ def ivf_kmeans_recall(spark, sf_dir):
 
 QUERIES["ivf_kmeans_recall"] = ivf_kmeans_recall
 
+
+def ivf_kmeans_whole(spark, sf_dir):
+    """A search over trained centroids that probes every cell finds what exact search finds."""
+    rows = corpus(spark, sf_dir)
+    centers = ivf.kmeans_centroids(rows, 8)
+    return ivf.ivf_search(vector_queries(spark, sf_dir), ivf.ivf_build(rows, centers), centers, 10, 8, digits=DIGITS)
+
+
+QUERIES["ivf_kmeans_whole"] = ivf_kmeans_whole
+ORACLES["ivf_kmeans_whole"] = queries_sql() + "," + ranked_sql(f"1.0 + {COS}") + " SELECT query_id, rank, id, s AS _score FROM hits"
+
 # --- hashed search --------------------------------------------------------------------
 
 
@@ -120,7 +135,10 @@ ORACLES["lsh_buckets"] = (
 
 
 def lsh_search(spark, sf_dir):
-    return lsh.lsh_search(vector_queries(spark, sf_dir), corpus(spark, sf_dir), DIMS, digits=DIGITS)
+    """Search of a stored table of packed signs."""
+    path = scratch_path(spark, "lsh")
+    lsh.save_lsh(corpus(spark, sf_dir), DIMS, path)
+    return lsh.lsh_search(vector_queries(spark, sf_dir), spark.read.parquet(path), DIMS, digits=DIGITS)
 
 
 QUERIES["lsh_search"] = lsh_search
@@ -302,3 +320,22 @@ def graph_search(spark, sf_dir):
 
 
 QUERIES["graph_search"] = graph_search
+
+
+def graph_search_whole(spark, sf_dir):
+    """A beam as wide as the graph, which is connected, finds what exact search finds."""
+    from nearfield.session import cut_lineage
+
+    rows = corpus(spark, sf_dir)
+    edges = cut_lineage(knn_graph(spark, sf_dir))
+    hits = G.graph_search(vector_queries(spark, sf_dir), rows, edges, k=5, m=5, beam=rows.count())
+    return hits.withColumn("distance", F.round("distance", DIGITS))
+
+
+QUERIES["graph_search_whole"] = graph_search_whole
+ORACLES["graph_search_whole"] = (
+    queries_sql()
+    + ","
+    + ranked_sql("list_distance(q.q, c.v)", k=5, direction="ASC")
+    + " SELECT query_id, rank, id, s AS distance FROM hits"
+)

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from nearfield.operators import diversify as D
 from nearfield.operators import ranking as R
-from nearfield.operators.exact import search_exact
+from nearfield.functions.vectors import cosine
+from nearfield.operators.blocks import beside
+from nearfield.operators.exact import attach, search_exact
 from nearfield.operators.ivf import assign
 from nearfield.operators.lexical import bm25
 from nearfield.operators.embedding import hash_embed
@@ -26,7 +28,7 @@ def hit_vectors(spark, sf_dir):
     """The 20 best hits of every query with their vectors."""
     rows = corpus(spark, sf_dir)
     hits = search_exact(vector_queries(spark, sf_dir), rows, DEPTH, "cosine1p", digits=DIGITS)
-    return hits.join(rows.select("id", "vector", "label"), "id")
+    return attach(hits, rows, ["vector", "label"])
 
 
 HITS_SQL = queries_sql() + "," + ranked_sql(f"1.0 + {COS}", k=DEPTH)
@@ -57,6 +59,26 @@ def dpp(spark, sf_dir):
 
 
 QUERIES["dpp"] = dpp
+ORACLES["dpp"] = (
+    HITS_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""",
+l AS (SELECT query_id, count(*) AS n, list(id ORDER BY rank) AS ids, list(s ORDER BY rank) AS s, list(v ORDER BY rank) AS vs
+      FROM hits JOIN corpus USING (id) GROUP BY query_id),
+kern AS (SELECT query_id, n, ids, s, list_transform(range(1, n + 1), lambda i: list_transform(range(1, n + 1),
+           lambda j: s[i] * s[j] * list_cosine_similarity(vs[i], vs[j]))) AS kern FROM l),
+pick(query_id, step, best, gain, basis) AS (
+  SELECT query_id, 0, NULL::BIGINT, list_transform(range(1, n + 1), lambda i: kern[i][i]), []::DOUBLE[][] FROM kern
+  UNION ALL
+  SELECT query_id, step + 1, best,
+         list_transform(range(1, n + 1), lambda j: CASE WHEN j = best THEN '-inf'::DOUBLE ELSE gain[j] - dir[j] * dir[j] END),
+         list_append(basis, dir)
+  FROM (SELECT *, list_transform(range(1, n + 1), lambda j:
+                 (kern[best][j] - coalesce(list_sum(list_transform(basis, lambda b: b[best] * b[j])), 0.0)) / sqrt(gain[best])) AS dir
+        FROM (SELECT p.query_id, p.step, p.gain, p.basis, k.n, k.kern, list_position(p.gain, list_max(p.gain)) AS best
+              FROM pick p JOIN kern k USING (query_id)
+              WHERE p.step < k.n AND list_max(p.gain) >= {D.GAIN_FLOOR})))
+SELECT query_id, step::BIGINT AS rank, ids[best] AS id, best - 1 AS old_index, s[best] AS _score FROM pick JOIN kern USING (query_id) WHERE step > 0"""
+)
 
 
 def dpp_first_two(spark, sf_dir):
@@ -139,7 +161,7 @@ def categories_multihot(spark, sf_dir):
     docs = documents(spark, sf_dir)
     vectors = hash_embed(docs.select("id", "text"), "text", DIMS).select("id", "vector")
     hits = search_exact(vector_queries(spark, sf_dir), vectors, DEPTH, "cosine1p", digits=DIGITS)
-    tagged = hits.join(docs.select("id", F.array("lang", F.coalesce("source", F.lit("?"))).alias("cats")), "id")
+    tagged = attach(hits, docs.select("id", F.array("lang", F.coalesce("source", F.lit("?"))).alias("cats")), ["cats"])
     return D.multi_hot(tagged, "cats").select(
         "query_id", "rank", "id", F.array_join(F.transform("vector", lambda x: x.cast("int").cast("string")), "").alias("bits")
     )
@@ -166,18 +188,28 @@ NAMES = ["bm25", "cosine", "length", "absent"]
 
 
 def logged(spark, sf_dir):
-    """BM25 hits on documents with their logged features; one feature is never there."""
+    """BM25 hits on documents with their features, each computed for every hit; one feature is never there.
+
+    The hits' texts are fetched by one filtered scan, and only they are embedded.
+    """
     docs = documents(spark, sf_dir)
-    hits = bm25(text_queries(spark, sf_dir), docs, 50, digits=DIGITS)
-    vectors = hash_embed(docs.select("id", "text"), "text", DIMS).select("id", "vector")
-    semantic = search_exact(vector_queries(spark, sf_dir), vectors, 50, "cosine_similarity", digits=DIGITS)
-    lengths = hits.select("query_id", "id").join(docs.select("id", F.round(F.log(F.col("n_chars") + 1), DIGITS).alias("value")), "id")
-    features = (
-        hits.select("query_id", "id", F.lit("bm25").alias("feature"), F.col("_score").alias("value"))
-        .unionByName(semantic.select("query_id", "id", F.lit("cosine").alias("feature"), F.col("_score").alias("value")))
-        .unionByName(lengths.select("query_id", "id", F.lit("length").alias("feature"), "value"))
+    hits = attach(bm25(text_queries(spark, sf_dir), docs, 50, digits=DIGITS), docs, ["text", "n_chars"])
+    asked = vector_queries(spark, sf_dir)
+    rows = cut_lineage(
+        hash_embed(hits, "text", DIMS)
+        .join(beside(asked, asked, 1), "query_id")
+        .select(
+            "query_id",
+            "rank",
+            "id",
+            "_score",
+            F.round(cosine(F.col("q"), F.col("vector")), DIGITS).alias("cosine"),
+            F.round(F.log(F.col("n_chars") + 1), DIGITS).alias("length"),
+        )
     )
-    return R.log_features(hits, features, NAMES)
+    values = {"bm25": F.col("_score"), "cosine": F.col("cosine"), "length": F.col("length")}
+    features = rows.select("query_id", "id", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), v.alias("value")) for n, v in values.items()])).alias("f"))
+    return R.log_features(rows.drop("cosine", "length"), features.select("query_id", "id", "f.*"), NAMES)
 
 
 LTR_SQL = (
@@ -187,11 +219,10 @@ LTR_SQL = (
     + hash_vector_sql("benchmark", "item_id", "text", "q")
     + ","
     + hash_vector_sql("documents", "doc_id", "text", "d")
-    + ",\ncorpus AS (SELECT doc_id AS id, q AS v FROM d),"
-    + ranked_sql(COS, k=50)
     + f""",
-ltr AS (SELECT b.query_id, b.rank, b.id, b.s, b.s AS f1, coalesce(h.s, 0.0) AS f2, round(ln(n_chars + 1), {DIGITS}) AS f3, 0.0 AS f4
-        FROM b_hits b LEFT JOIN hits h USING (query_id, id) JOIN documents ON doc_id = b.id)"""
+ltr AS (SELECT b.query_id, b.rank, b.id, b.s, b.s AS f1, coalesce(round(list_cosine_similarity(q.q, d.q), {DIGITS}), 0.0) AS f2,
+               round(ln(n_chars + 1), {DIGITS}) AS f3, 0.0 AS f4
+        FROM b_hits b JOIN documents ON documents.doc_id = b.id JOIN d ON d.doc_id = b.id JOIN q ON q.item_id = b.query_id)"""
 )
 
 

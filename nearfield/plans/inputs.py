@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def streamed(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = None) -> DataFrame:
+    """A table as a stream, be it one file or a directory of part files: the path of either is a pattern."""
+    reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stored vectors as ``(id, vector, label)``."""
     return table(spark, sf_dir, "embeddings").select(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from nearfield.operators import monitoring as M
 from nearfield.operators.topk import last_n
-from nearfield.plans.inputs import DIGITS, table
+from nearfield.plans.inputs import DIGITS, streamed, table
 from nearfield.session import scratch_path
 from nearfield.streaming import windows as W
 
@@ -30,12 +30,12 @@ points AS (SELECT date_trunc('minute', ts) AS window_start, event_type, count(*)
 
 def _stream(spark, sf_dir):
     """All events through the streaming counter, from the files of the folder."""
-    schema = table(spark, sf_dir, "events").schema
     out, checkpoint = scratch_path(spark, "counts"), scratch_path(spark, "counts-state")
-    query = W.start_client_counts(
-        W.read_events(spark, sf_dir, schema, "events.parquet"), out, checkpoint, every=None
-    )
+    stream = streamed(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    query = W.start_client_counts(stream, out, checkpoint, every=None)
     query.awaitTermination()
+    if W.late_rows(query):
+        raise RuntimeError("rows came later than the counters wait for")
     return W.current_counts(spark, out)
 
 

@@ -10,7 +10,18 @@ from pyspark.sql import types as T
 from nearfield.operators.corpus import dense_id, parse_corpus
 from nearfield.operators.embedding import hash_embed
 from nearfield.operators.exact import search_exact
-from nearfield.plans.inputs import DIGITS, DIMS, corpus, documents, hash_vector_sql, queries_sql, ranked_sql, table, vector_queries
+from nearfield.plans.inputs import (
+    DIGITS,
+    DIMS,
+    corpus,
+    documents,
+    hash_vector_sql,
+    queries_sql,
+    ranked_sql,
+    streamed,
+    table,
+    vector_queries,
+)
 from nearfield.plans.text_search import PARSE_SQL, lines_of
 from nearfield.plans.vector_search import COS
 from nearfield.session import scratch_path, spread
@@ -92,17 +103,21 @@ QUERIES["file_headers"] = file_headers
 ORACLES["file_headers"] = "SELECT count(*) AS vectors, max(len(embedding))::BIGINT AS dim FROM embeddings"
 
 
+TSV_ROWS = 500_000
+
+
 def tsv_values(spark, sf_dir):
-    """First vectors as text, parsed back."""
+    """The first TSV_ROWS vectors as text, parsed back."""
     path = scratch_path(spark, "tsv")
-    VF.write_tsv(positioned(spark, sf_dir), path, 500_000)
+    VF.write_tsv(positioned(spark, sf_dir), path, TSV_ROWS)
     back = VF.read_tsv(spark, path)
     return back.select(F.posexplode("vector").alias("i", "x")).select(F.col("i").cast("long").alias("i"), F.round("x", 9).alias("x"))
 
 
 QUERIES["tsv_values"] = tsv_values
-ORACLES["tsv_values"] = """
-SELECT CAST(unnest(range(len(embedding))) AS BIGINT) AS i, round(unnest(embedding)::DOUBLE, 9) AS x FROM embeddings"""
+ORACLES["tsv_values"] = f"""
+SELECT CAST(unnest(range(len(embedding))) AS BIGINT) AS i, round(unnest(embedding)::DOUBLE, 9) AS x
+FROM (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT {TSV_ROWS})"""
 
 
 # --- index tables --------------------------------------------------------------------
@@ -168,15 +183,16 @@ SELECT row_number() OVER (ORDER BY label >= 5, vec_id) AS id, vec_id, embedding[
 
 
 def stream_upsert(spark, sf_dir):
-    """Documents arrive as a stream of files, are cleaned, embedded and upserted, and then searched."""
-    schema = table(spark, sf_dir, "documents").schema
+    """Documents arrive file by file, are cleaned, embedded and upserted under their own ids, and then searched."""
     stored = "id long, url string, _text_ string, vector array<double>"
     index = _index(spark, "stream", stored)
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    arrived = scratch_path(spark, "arrived")
+    table(spark, sf_dir, "documents").repartition(3, "doc_id").write.parquet(f"{arrived}/documents.parquet")
+    stream = streamed(spark, arrived, "documents", files_per_batch=1)
 
     def prepare(batch):
         lines = spread(batch.withColumnRenamed("doc_id", "id"), "id")
-        parsed = parse_corpus(lines_of(lines), order="n")
+        parsed = parse_corpus(lines_of(lines), order="n", own_ids=True)
         return hash_embed(parsed, "_text_", DIMS)
 
     ingest_stream(stream, index, scratch_path(spark, "ingest-state"), prepare, every=None).awaitTermination()
@@ -188,10 +204,10 @@ ORACLES["stream_upsert"] = (
     "WITH "
     + PARSE_SQL
     + ","
-    + hash_vector_sql("docs", "id", "_text_", "d")
+    + hash_vector_sql("docs", "n", "_text_", "d")
     + ","
     + hash_vector_sql("benchmark", "item_id", "text", "q")
-    + ",\ncorpus AS (SELECT id, q AS v FROM d),"
+    + ",\ncorpus AS (SELECT n AS id, q AS v FROM d),"
     + ranked_sql(f"1.0 + {COS}", k=5)
     + " SELECT query_id, rank, id, s AS _score FROM hits"
 )
@@ -199,9 +215,8 @@ ORACLES["stream_upsert"] = (
 
 def stream_append(spark, sf_dir):
     """Vectors arrive as a stream of files and are appended with dense ids."""
-    schema = table(spark, sf_dir, "embeddings").schema
     path = scratch_path(spark, "append")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf_dir)
+    stream = streamed(spark, sf_dir, "embeddings")
     append_stream(stream, path, scratch_path(spark, "append-state"), order="vec_id", every=None).awaitTermination()
     return spark.read.parquet(path).select("id", "vec_id", F.col("embedding")[0].cast("double").alias("x0"))
 

@@ -38,12 +38,15 @@ def bm25_query(spark, sf_dir):
     return bm25(text_queries(spark, sf_dir), documents(spark, sf_dir), 10, digits=DIGITS)
 
 
-def bm25_sql(docs: str, id_col: str, text: str, factor: str = " * 2.2", k: int = 10, prefix: str = "b") -> str:
-    """CTEs ending in ``{prefix}_hits(query_id, id, s, rank)``."""
+def bm25_sql(
+    docs: str, id_col: str, text: str, factor: str = " * 2.2", k: int = 10, prefix: str = "b", terms=words_sql, query_terms=None
+) -> str:
+    """CTEs ending in ``{prefix}_hits(query_id, id, s, rank)``; ``terms`` gives the SQL of a text's term list."""
+    query_terms = terms if query_terms is None else query_terms
     return f"""
-{prefix}_qtok AS (SELECT item_id AS query_id, unnest({words_sql('text')}) AS term FROM benchmark),
+{prefix}_qtok AS (SELECT item_id AS query_id, unnest({query_terms('text')}) AS term FROM benchmark),
 {prefix}_ask AS (SELECT query_id, term, count(*) AS qtf FROM {prefix}_qtok GROUP BY 1, 2),
-{prefix}_len AS (SELECT {id_col} AS id, len({words_sql(text)}) AS dl, {words_sql(text)} AS toks FROM {docs}),
+{prefix}_len AS (SELECT {id_col} AS id, len({terms(text)}) AS dl, {terms(text)} AS toks FROM {docs}),
 {prefix}_tok AS (SELECT id, dl, unnest(toks) AS term FROM {prefix}_len),
 {prefix}_post AS (SELECT id, dl, term, count(*) AS tf FROM {prefix}_tok GROUP BY 1, 2, 3),
 {prefix}_df AS (SELECT term, count(*) AS df FROM {prefix}_post GROUP BY 1),
@@ -145,7 +148,7 @@ def mean_pool_query(spark, sf_dir):
     vocabulary = docs.select(F.explode(words(F.col("text"))).alias("token")).distinct()
     cell = lambda i: (hash32(F.concat_ws(":", F.col("token"), F.lit(i))) % 2001 - 1000) / 1009.0
     vectors = vocabulary.select("token", F.array(*[cell(i) for i in range(POOL)]).alias("vec"))
-    pooled = mean_pool(docs, "id", "text", vectors)
+    pooled = mean_pool(docs, "id", "text", vectors, keep=True)
     return pooled.select("id", F.posexplode("vector").alias("i", "x")).select(
         "id", F.col("i").cast("long").alias("i"), F.round("x", DIGITS).alias("x")
     )
@@ -207,6 +210,18 @@ QUERIES["corpus_parse"] = corpus_parse
 ORACLES["corpus_parse"] = "WITH " + PARSE_SQL + " SELECT id, url, _text_ FROM docs"
 
 
+def corpus_files(spark, sf_dir):
+    """The same from compressed text files, whose lines are numbered in file order."""
+    path = scratch_path(spark, "lines")
+    lines = lines_of(documents(spark, sf_dir)).repartitionByRange(4, "n").sortWithinPartitions("n").select("value")
+    lines.write.option("compression", "bzip2").text(path)
+    return C.parse_corpus(C.read_lines(spark, path), written=True).select("id", "url", "_text_")
+
+
+QUERIES["corpus_files"] = corpus_files
+ORACLES["corpus_files"] = ORACLES["corpus_parse"]
+
+
 def corpus_metrics(spark, sf_dir):
     return C.corpus_metrics(corpus_lines(spark, sf_dir))
 
@@ -264,17 +279,18 @@ ORACLES["get_doc"] = "SELECT doc_id AS id, text, lang FROM documents WHERE doc_i
 
 
 def terms_filter(spark, sf_dir):
-    """BM25 hits restricted to a list of ids, here the labelled documents."""
+    """The best hundred by BM25 among a list of ids, here the labelled documents."""
     wanted = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
-    docs = documents(spark, sf_dir)
-    return C.restrict_to(bm25(text_queries(spark, sf_dir), docs, 100, digits=DIGITS), wanted).select("query_id", "rank", "id", "_score")
+    return bm25(text_queries(spark, sf_dir), documents(spark, sf_dir), 100, digits=DIGITS, ids=wanted)
 
 
 QUERIES["terms_filter"] = terms_filter
 ORACLES["terms_filter"] = (
     "WITH "
     + bm25_sql("documents", "doc_id", "text", " * 2.2::DOUBLE", k=100)
-    + " SELECT query_id, rank, id, s AS _score FROM b_hits WHERE id IN (SELECT doc_id FROM labels WHERE quality = 1)"
+    + """ SELECT query_id, rank, id, s AS _score FROM (
+  SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank
+  FROM b_sc WHERE id IN (SELECT doc_id FROM labels WHERE quality = 1)) WHERE rank <= 100"""
 )
 
 
@@ -294,7 +310,7 @@ def cursor_page(spark, sf_dir):
     """The second page of 50 in id order, with its cursor, reached from the first page's cursor."""
     docs = documents(spark, sf_dir).select("id", "lang")
     first = topk.next_cursor(topk.page(docs, 50)).select("cursor").scalar()
-    rows = docs.where(F.col("id") > first).orderBy("id").limit(50)
+    rows = topk.page(docs, 50, after=first)
     return rows.withColumn("cursor", topk.next_cursor(rows).select("cursor").scalar())
 
 
@@ -381,6 +397,48 @@ t AS (SELECT id, pos, CASE WHEN token IN ('news', 'series') THEN token ELSE {STE
     + STATS_SQL
 )
 
+PROTECTED = ["news", "series"]
+SYNONYMS = {"the": ["the", "that"], "that": ["that", "the"]}
+
+
+def english_sql(text: str) -> str:
+    tokens = rf"regexp_extract_all({text}, '[\p{{L}}\p{{N}}]+(?:[''’][sS]\b)?')"
+    kept = f"list_filter({tokens}, lambda t: NOT list_contains([{quoted(EN)}], lower(t)))"
+    bare = f"list_transform({kept}, lambda t: regexp_replace(lower(t), '[''’][sS]$', ''))"
+    return f"list_transform({bare}, lambda token: CASE WHEN token IN ({quoted(PROTECTED)}) THEN token ELSE {STEM_SQL} END)"
+
+
+def synonyms_sql(text: str) -> str:
+    return f"flatten(list_transform({words_sql(text)}, lambda t: CASE t WHEN 'the' THEN ['the', 'that'] WHEN 'that' THEN ['that', 'the'] ELSE [t] END))"
+
+
+def bm25_en(spark, sf_dir):
+    """BM25 over the English chain, for documents and queries."""
+    terms = lambda text: A.english_terms(text, PROTECTED)
+    return bm25(text_queries(spark, sf_dir), documents(spark, sf_dir), 10, digits=DIGITS, terms=terms)
+
+
+QUERIES["bm25_en"] = bm25_en
+ORACLES["bm25_en"] = (
+    "WITH "
+    + bm25_sql("documents", "doc_id", "text", " * 2.2::DOUBLE", terms=english_sql)
+    + " SELECT query_id, rank, id, s AS _score FROM b_hits"
+)
+
+
+def bm25_synonyms(spark, sf_dir):
+    """BM25 with synonyms on the query side only."""
+    asked = A.expanding(words, SYNONYMS)
+    return bm25(text_queries(spark, sf_dir), documents(spark, sf_dir), 10, digits=DIGITS, query_terms=asked)
+
+
+QUERIES["bm25_synonyms"] = bm25_synonyms
+ORACLES["bm25_synonyms"] = (
+    "WITH "
+    + bm25_sql("documents", "doc_id", "text", " * 2.2::DOUBLE", query_terms=synonyms_sql)
+    + " SELECT query_id, rank, id, s AS _score FROM b_hits"
+)
+
 SPLIT_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(token,
   '[''’][sS]$', ''), '(\p{Ll})(\p{Lu})', '\1 \2', 'g'), '(\p{L})(\p{N})', '\1 \2', 'g'), '(\p{N})(\p{L})', '\1 \2', 'g'),
   '[^\p{L}\p{N}]+', ' ', 'g'))"""
@@ -445,14 +503,30 @@ ORACLES["stopwords_by_lang"] = (
 WHERE NOT EXISTS (SELECT 1 FROM stops s WHERE s.lang = u.lang AND s.token = u.token) GROUP BY 1, 2"""
 )
 
-QUERIES["fold_by_lang"] = _chain("lang", lang_col="lang")
+ARTICLE_SQL = A.ARTICLE.replace("'", "''")
+
+
+def fold_by_lang(spark, sf_dir):
+    """Folded terms of all documents; in French ones a preposition is elided, so that there is something to strip."""
+    elided = F.when(F.col("lang") == "fr", F.replace(F.col("text"), F.lit(" de "), F.lit(" d'"))).otherwise(F.col("text"))
+    tokens = A.analyze(documents(spark, sf_dir).withColumn("text", elided), "id", "text", "lang", lang_col="lang")
+    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("docs"), F.sum("pos").alias("pos_sum"))
+
+
+QUERIES["fold_by_lang"] = fold_by_lang
 ORACLES["fold_by_lang"] = (
     "WITH "
     + STOP_SQL
     + ","
-    + unnest_sql(words_sql("text"), extra=", lang")
-    + f""", t AS (SELECT id, pos, CASE lang
-  WHEN 'fr' THEN translate(regexp_replace(token, '^(?:l|m|t|qu|n|s|j|d|c|jusqu|quoiqu|lorsqu|puisqu)[''’]', ''), '{A.ACCENTED}', '{A.PLAIN}')
+    + unnest_sql(
+        "CASE WHEN lang = 'fr' THEN regexp_extract_all(lower(replace(text, ' de ', ' d''')), "
+        rf"'(?:{ARTICLE_SQL})?[\p{{L}}\p{{N}}]+') ELSE {words_sql('text')} END",
+        name="w",
+        extra=", lang",
+    )
+    + f""", u AS (SELECT id, lang, pos, CASE WHEN lang = 'fr' THEN regexp_replace(token, '^{ARTICLE_SQL}', '') ELSE token END AS token FROM w),
+t AS (SELECT id, pos, CASE lang
+  WHEN 'fr' THEN translate(token, '{A.ACCENTED}', '{A.PLAIN}')
   WHEN 'de' THEN translate(replace(token, 'ß', 'ss'), 'äöü', 'aou')
   WHEN 'es' THEN translate(token, '{A.ACCENTED}', '{A.PLAIN}') ELSE token END AS token FROM u
   WHERE NOT EXISTS (SELECT 1 FROM stops s WHERE s.lang = u.lang AND s.token = u.token))"""

@@ -296,6 +296,19 @@ def pca_32(spark, sf_dir):
 QUERIES["pca_32"] = pca_32
 
 
+def pca_lengths(spark, sf_dir):
+    """With all components a projection only turns the vectors: their squared lengths stay."""
+    whole = reduce_dims(corpus(spark, sf_dir).select("id", "vector"), "vector", DIMS, DIMS, "pca")
+    squared = F.aggregate("reduced", F.lit(0.0), lambda acc, x: acc + x * x)
+    return whole.select("id", F.size("reduced").cast("long").alias("dims"), F.round(squared, DIGITS).alias("squared_length"))
+
+
+QUERIES["pca_lengths"] = pca_lengths
+ORACLES["pca_lengths"] = f"""
+SELECT vec_id AS id, len(embedding) AS dims, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), {DIGITS}) AS squared_length
+FROM embeddings"""
+
+
 def vector_export(spark, sf_dir):
     docs = hash_embed(documents(spark, sf_dir).select("id", "text"), "text", DIMS)
     rows = unit_export(docs).select("id", F.col("vector").alias("v"))

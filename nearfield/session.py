@@ -53,6 +53,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/nearfield/{name}-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's own file systems, wherever ``path`` is; a missing one is fine."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def rename_folder(spark: SparkSession, path: str, to: str) -> None:
+    """Give a folder another name on the file system it is on."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    if not make(path).getFileSystem(spark._jsc.hadoopConfiguration()).rename(make(path), make(to)):
+        raise RuntimeError(f"{path} could not be renamed")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark resolves it to."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Use all cores on an input that arrives in fewer partitions than there are cores.
 

@@ -36,6 +36,8 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, LongType, StructField, StructType
 
+from nearfield.session import qualified
+
 HEADER = 8
 BATCH_ROWS = 8192
 PARTITION_BYTES = 64 << 20
@@ -296,18 +298,27 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
+FILE_BYTES = 256 << 20  # of a written file: a task holds one in memory
+
+
 def write_vectors(df: DataFrame, path: str, fmt: str = "fbin", id: str = "id", vec: str = "vector", files: int | None = None) -> None:
-    """Write vectors in id order, one file per range of ids. A task holds one file in memory, so size ``files`` accordingly."""
-    register(df.sparkSession)
-    keys = [F.col(id)]
+    """Write vectors in id order, one file per range of ids.
+
+    A task holds one file in memory; unless ``files`` is given, rows and their
+    width are counted for files of FILE_BYTES at most on average.
+    """
+    spark = df.sparkSession
+    register(spark)
     rows = df.select(id, F.col(vec).alias("vector"))
-    ranged = rows.repartitionByRange(*keys) if files is None else rows.repartitionByRange(files, *keys)
-    ranged.sortWithinPartitions(id).select("vector").write.format(fmt).mode("append").save(path)
+    if files is None:
+        files = max(1, -(-(rows.agg(F.sum(F.size("vector"))).first()[0] or 0) * 4 // FILE_BYTES))
+    ranged = rows.repartitionByRange(files, F.col(id))
+    ranged.sortWithinPartitions(id).select("vector").write.format(fmt).mode("append").save(qualified(spark, path))
 
 
 def read_vectors(spark: SparkSession, path: str, fmt: str = "fbin", **options) -> DataFrame:
     register(spark)
-    return spark.read.format(fmt).options(**options).load(path)
+    return spark.read.format(fmt).options(**options).load(qualified(spark, path))
 
 
 def vector_count(spark: SparkSession, path: str, fmt: str = "fbin") -> int:
@@ -315,7 +326,7 @@ def vector_count(spark: SparkSession, path: str, fmt: str = "fbin") -> int:
     return read_vectors(spark, path, fmt, headerOnly="true").agg(F.sum("n")).first()[0]
 
 
-def write_tsv(df: DataFrame, path: str, total: int = 500_000, vec: str = "vector", id: str = "id") -> None:
+def write_tsv(df: DataFrame, path: str, total: int, vec: str = "vector", id: str = "id") -> None:
     """The first ``total`` vectors (ids from 0) as tab-separated text, one line each, in id order per file."""
     cells = F.transform(F.col(vec).cast("array<double>"), lambda x: F.format_string("%.18e", x))
     first = df.where((F.col(id) >= 0) & (F.col(id) < total))

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def read_events(spark: SparkSession, directory: str, schema, glob: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
+    """Events from the files of a directory, with their time. ``glob`` matches the names of files."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -30,7 +31,8 @@ def start_client_counts(
     """Count requests per window and client; ``every=None`` handles what is there and ends.
 
     A micro-batch overwrites its own directory, so a batch that is run again after
-    a failure leaves no doubles.
+    a failure leaves no doubles. Rows that come more than ``late`` after the newest
+    one seen are not counted; ``late_rows`` says how many there were.
     """
     counts = (
         events.withWatermark("ts", late)
@@ -46,6 +48,11 @@ def start_client_counts(
     return writer.start()
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows, after the counting inside each task, that came too late in the batches the query still reports on."""
+    return sum(int(s.numRowsDroppedByWatermark) for p in query.recentProgress for s in p.stateOperators)
+
+
 def current_counts(spark: SparkSession, out: str) -> DataFrame:
     """Newest count of every (window, client): counts only grow, so it is the largest."""
     return spark.read.parquet(out).groupBy("window_start", "user_id").agg(F.max("requests").alias("requests"))
