@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 from os.path import commonprefix
 
@@ -30,17 +31,33 @@ def block_bounds(blocks: int = BLOCKS) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
+WORD = re.compile(r"\w+")
+BINS = 64
+PAIRS_AT_ONCE = 50_000
+LINES_AT_ONCE = 512
 KEYS = list(combinations(range(BLOCKS), AGREE))
 
 
+def line_simhashes(lines: list[str]) -> np.ndarray:
+    """SimHashes of the distinct words of normalised lines, so that a mark between all words counts once; 0 without words."""
+    out = np.zeros(len(lines), dtype=np.uint64)
+    digest = xxhash.xxh64_intdigest
+    for at in range(0, len(lines), LINES_AT_ONCE):
+        words = [set(WORD.findall(line)) for line in lines[at : at + LINES_AT_ONCE]]
+        sizes = np.array([len(w) for w in words])
+        some = np.flatnonzero(sizes)
+        if not len(some):
+            continue
+        codes = np.fromiter((digest(w) for own in words for w in own), dtype="<u8", count=sizes.sum())
+        bits = np.unpackbits(codes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        starts = (np.cumsum(sizes) - sizes)[some]
+        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+        out[at + some] = np.packbits(2 * ones > sizes[some, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
 def line_simhash(line: str) -> int:
-    """SimHash of the words of a normalised line; 0 without words."""
-    words = line.encode("utf-8", "replace").split()
-    if not words:
-        return 0
-    codes = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype="<u8")
-    ones = np.unpackbits(codes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(words), bitorder="little").view("<u8")[0])
+    return int(line_simhashes([line])[0])
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -85,6 +102,27 @@ def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     return edit_distance(a, b, most) <= most
 
 
+def letter_counts(lines: list[str]) -> np.ndarray:
+    """Letters of each line by code point modulo BINS."""
+    out = np.empty((len(lines), BINS), dtype=np.int32)
+    for row, line in zip(out, lines):
+        row[:] = np.bincount(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype="<u4") % BINS, minlength=BINS)
+    return out
+
+
+def may_be_alike(counts: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs have letters enough in common: an edit changes one letter of either line."""
+    keep = np.empty(len(left), dtype=bool)
+    size = counts.sum(axis=1)
+    for at in range(0, len(left), PAIRS_AT_ONCE):
+        a, b = left[at : at + PAIRS_AT_ONCE], right[at : at + PAIRS_AT_ONCE]
+        gap = counts[a] - counts[b]
+        more = np.maximum(gap, 0).sum(axis=1)
+        edits = np.maximum(more, more - gap.sum(axis=1))
+        keep[at : at + PAIRS_AT_ONCE] = edits <= (1 - similarity) * np.maximum(size[a], size[b]) + 1e-9
+    return keep
+
+
 def near_pairs(codes: np.ndarray, rows: np.ndarray, cols: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs within RADIUS of one shard that meet under no earlier key."""
     left, right = np.repeat(rows, len(cols)), np.tile(cols, len(rows))
@@ -155,15 +193,22 @@ def partners(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def verified(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """Links between alike lines of the shards of one task; two lines already linked are not compared again."""
+    """Links between alike lines of the shards of one task.
+
+    Letter counts settle most pairs that are not alike; two lines already linked
+    are not compared again.
+    """
     codes = frame["code"].to_numpy().view(np.uint64)
     names, texts = frame["line_id"].to_numpy(), frame["line"].tolist()
     out_a, out_b = [], []
     for rows, key in _cells(frame):
         local = codes[rows]
         label = np.arange(len(rows))
+        counts = letter_counts([texts[r] for r in rows])
         for at in range(0, len(rows), AT_ONCE):
-            for a, b in zip(*near_pairs(local, np.arange(at, min(at + AT_ONCE, len(rows))), np.arange(len(rows)), key)):
+            left, right = near_pairs(local, np.arange(at, min(at + AT_ONCE, len(rows))), np.arange(len(rows)), key)
+            close = may_be_alike(counts, left, right, similarity)
+            for a, b in zip(left[close], right[close]):
                 if label[a] != label[b] and alike(texts[rows[a]], texts[rows[b]], similarity):
                     label = merge_labels(label, np.array([a]), np.array([b]))
         tied = np.flatnonzero(label != np.arange(len(rows)))
@@ -193,7 +238,7 @@ def occurrences(docs: DataFrame, text: str) -> DataFrame:
 
     @F.pandas_udf("long")
     def code(lines: pd.Series) -> pd.Series:
-        return pd.Series(np.array([line_simhash(x) for x in lines], dtype=np.uint64).view(np.int64))
+        return pd.Series(line_simhashes(lines.tolist()).view(np.int64))
 
     return exploded(docs, text).select("doc_id", "text_id", "line_no", F.xxhash64("line").alias("line_id"), code("line").alias("code"))
 
@@ -202,7 +247,7 @@ def line_groups(docs: DataFrame, found: DataFrame, text: str = "text", similarit
     """``(line_id, root)`` for every line in a group of several different lines.
 
     ``found`` are the ``occurrences`` of ``docs``. Two lines link if the
-    SimHashes of their words differ in RADIUS bits or less and their edit
+    SimHashes of their distinct words differ in RADIUS bits or less and their edit
     similarity is ``similarity`` or more. Candidates come from codes alone; only
     lines with a partner are then read again and meet, as texts, in the shards
     where they have one.
