@@ -17,7 +17,8 @@ GRAMS = 3  # n-grams of 1 to 3 letters
 SAMPLE = 1000  # labelled texts a language is learned from, at most
 CENTROIDS = 4  # per language
 ROUNDS = 8
-CLEARLY = 3.0  # times as near as its n-grams would be if scattered at random: what is less near is rejected
+CLEARLY = 3.0  # times as near as its n-grams would be if scattered at random: what is less near is rejected,
+NEAR = 0.5  # unless its cosine is this much: a very long text, in several languages, has nearly all n-grams
 PIECE = 1_000_000  # letters handled at once; no n-gram spans two pieces
 UNKNOWN = "und"
 
@@ -98,7 +99,7 @@ class Centroids:
 
     A text whose weights fell on n-grams at random would have the cosine
     sum(weights) * mean(center) to a center, however long it is. A text that is
-    not CLEARLY nearer than this to its nearest center is rejected.
+    not CLEARLY nearer than this to its nearest center, nor NEAR it, is rejected.
     """
 
     def __init__(self, idf: np.ndarray, names: list[str], centers: np.ndarray):
@@ -113,7 +114,7 @@ class Centroids:
             return UNKNOWN, 0.0, True
         cosine = values @ self.columns[used]
         best = int(np.argmax(cosine))
-        return self.names[best], float(min(max(cosine[best], 0), 1)), bool(cosine[best] < values.sum() * self.chance[best])
+        return self.names[best], float(min(max(cosine[best], 0), 1)), bool(cosine[best] < min(NEAR, values.sum() * self.chance[best]))
 
 
 def learn(docs: DataFrame, known: DataFrame, text: str = "text") -> Centroids:

@@ -43,6 +43,8 @@ def test_equals_plain_search_and_held_out_labels(spark):
         cosine = [float(vector @ c) / float(np.linalg.norm(vector)) for c in model.centers]
         assert r.found["lang_pred"] == model.names[int(np.argmax(cosine))]
         assert abs(r.found["score"] - max(cosine)) < 1e-4
+    several = " ".join(r[1] for r in rows[:150] if r[1]) * 3
+    assert not model.nearest(several)[2]
     known = got[got.doc_id < 900]
     assert (known.found.map(lambda f: f["lang_pred"]) == known.lang).mean() == 1.0
     assert not known.found.map(lambda f: f["rejected"]).any()
