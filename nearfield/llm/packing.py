@@ -141,14 +141,18 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, te
     GROUP_BYTES, counted beforehand, and a group is packed by one task, so a
     pack depends on no layout of the input.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    base = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"),
+        F.col("doc_id").isNull().alias("no_id"),  # a column of numbers with gaps would reach Python as fractions
+        F.col(text).cast("string").alias("text"),
+    )
     size = base.agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("docs")).first()
     groups = max(1, -(-((size["n"] or 0) + 100 * size["docs"]) // GROUP_BYTES))
 
     def packed(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         tokens = tokenizer(vocabulary)
-        frame = frame.sort_values(["doc_id", "text"], kind="stable", na_position="first")
-        named = [(None if pd.isna(i) else int(i), encode(t, tokens)) for i, t in zip(frame["doc_id"], frame["text"])]
+        frame = frame.sort_values(["no_id", "doc_id", "text"], kind="stable", na_position="first")
+        named = [(None if no else int(i), encode(t, tokens)) for i, no, t in zip(frame["doc_id"], frame["no_id"], frame["text"])]
         return pack_group(int(key[0]), named, length, tokens.n_vocab)
 
     return (

@@ -57,7 +57,7 @@ def test_round_trip(spark, monkeypatch):
     monkeypatch.setattr(op, "GROUP_BYTES", 3000)
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice(["a", "Wort", "más", "x\ny"]) for _ in range(rng.choice([0, 1, 5, 40, 700]))), "p", 3) for i in range(80)]
-    rows += [(90, None, None, None), (91, "", "", 0), rows[3], rows[3], (None, "no id", "", 0), (None, None, "", 0)]
+    rows += [(90, None, None, None), (91, "", "", 0), rows[3], rows[3], (None, "no id", "", 0), (None, None, "", 0), ((1 << 60) + 1, "large id", "", 0)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, pack_id string, group int")
     length = 50
     packs = op.pack(frame, length=length).collect()
