@@ -138,8 +138,9 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, te
     packed like others. Other columns are not read. No rows, no packs.
 
     Documents are dealt by a hash of id and text into groups of about
-    GROUP_BYTES, counted beforehand, and a group is packed by one task, so a
-    pack depends on no layout of the input.
+    GROUP_BYTES, counted beforehand, and there are as many tasks as groups
+    whatever the session's settings. A group is packed by one task, so a pack
+    depends on no layout of the input.
     """
     base = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"),
@@ -157,6 +158,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, te
 
     return (
         base.withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
+        .repartition(groups, "group")
         .groupBy("group")
         .applyInPandas(packed, PACKED)
     )
