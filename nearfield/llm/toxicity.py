@@ -317,9 +317,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Detector:
         labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy("doc_id")
         .agg(F.max("toxic").cast("int").alias("toxic"))
-        .withColumn("all", F.lit(0))
     )
-    chosen = lowest_hashes(chosen, LABELLED, "all").select("doc_id", "toxic")
+    chosen = lowest_hashes(chosen, LABELLED)
     sample = (
         docs.select("doc_id", F.col(text).cast("string").alias("text"))
         .join(F.broadcast(chosen), "doc_id")
