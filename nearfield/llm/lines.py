@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from itertools import combinations
 from os.path import commonprefix
 
@@ -31,7 +30,6 @@ def block_bounds(blocks: int = BLOCKS) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-WORD = re.compile(r"\w+")
 BINS = 64
 PAIRS_AT_ONCE = 50_000
 LINES_AT_ONCE = 512
@@ -43,7 +41,7 @@ def line_simhashes(lines: list[str]) -> np.ndarray:
     out = np.zeros(len(lines), dtype=np.uint64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(lines), LINES_AT_ONCE):
-        words = [set(WORD.findall(line)) for line in lines[at : at + LINES_AT_ONCE]]
+        words = [set(line.split(" ")) if line else () for line in lines[at : at + LINES_AT_ONCE]]
         sizes = np.array([len(w) for w in words])
         some = np.flatnonzero(sizes)
         if not len(some):
@@ -219,28 +217,51 @@ def verified(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
     return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
 
-def normalised(line):
-    """Lower case, runs of white space as one blank, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[\s\x{A0}\x{85}]+", " "))
+def normalised(text: str | None) -> list[str]:
+    """The lines of a text in lower case, with runs of white space as one blank, trimmed."""
+    return [" ".join(line.split()) for line in text.lower().split("\n")] if text is not None else []
 
 
-def exploded(docs: DataFrame, text: str):
-    """``(doc_id, text_id, line_no, line)``: the normal form of every line of every text that isn't empty."""
+def line_id(line: str) -> int:
+    """A 64-bit hash of a normal form, never 0, which stands for an empty line."""
+    return (xxhash.xxh64_intdigest(line) or 1) if line else 0
+
+
+def _signed(values) -> np.ndarray:
+    return np.array(values, dtype=np.uint64).view(np.int64)
+
+
+def occurrences(docs: DataFrame, text: str) -> DataFrame:
+    """``(doc_id, text_id, line_no, line_id, code)``: all lines that aren't empty, without their letters."""
+
+    @F.pandas_udf("ids array<long>, codes array<long>")
+    def look(texts: pd.Series) -> pd.DataFrame:
+        ids, codes = [], []
+        for one in texts:
+            lines = normalised(one)
+            ids.append(_signed([line_id(x) for x in lines]))
+            codes.append(line_simhashes(lines).view(np.int64))
+        return pd.DataFrame({"ids": ids, "codes": codes})
+
+    zipped = F.arrays_zip(F.col("l.ids").alias("line_id"), F.col("l.codes").alias("code"))
     return (
-        docs.select("doc_id", F.xxhash64(text).alias("text_id"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("at", "raw"))
-        .select("doc_id", "text_id", (F.col("at") + 1).alias("line_no"), normalised(F.col("raw")).alias("line"))
-        .where("line != ''")
+        docs.select("doc_id", F.xxhash64(text).alias("text_id"), look(F.col(text)).alias("l"))
+        .select("doc_id", "text_id", F.posexplode(zipped).alias("at", "line"))
+        .select("doc_id", "text_id", (F.col("at") + 1).alias("line_no"), "line.line_id", "line.code")
+        .where("line_id != 0")
     )
 
 
-def occurrences(docs: DataFrame, text: str) -> DataFrame:
-    """All lines by their 64-bit ``line_id`` and SimHash ``code``, without their letters."""
+def line_texts(docs: DataFrame, text: str) -> DataFrame:
+    """``(line_id, line)``: the normal form of every line that isn't empty."""
 
-    @F.pandas_udf("long")
-    def code(lines: pd.Series) -> pd.Series:
-        return pd.Series(line_simhashes(lines.tolist()).view(np.int64))
+    @F.pandas_udf("ids array<long>, lines array<string>")
+    def look(texts: pd.Series) -> pd.DataFrame:
+        lines = [normalised(one) for one in texts]
+        return pd.DataFrame({"ids": [_signed([line_id(x) for x in own]) for own in lines], "lines": lines})
 
-    return exploded(docs, text).select("doc_id", "text_id", "line_no", F.xxhash64("line").alias("line_id"), code("line").alias("code"))
+    zipped = F.arrays_zip(F.col("l.ids").alias("line_id"), F.col("l.lines").alias("line"))
+    return docs.select(look(F.col(text)).alias("l")).select(F.inline(zipped)).where("line_id != 0")
 
 
 def line_groups(docs: DataFrame, found: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -260,8 +281,7 @@ def line_groups(docs: DataFrame, found: DataFrame, text: str = "text", similarit
     met = cut_lineage(met.union(shared).distinct())
     wanted = cut_lineage(met.select("code").distinct().join(distinct, "code").select("line_id", "code"))
     few = wanted.count() <= BROADCAST_IDS
-    lines = exploded(docs, text).select(F.xxhash64("line").alias("line_id"), "line")
-    texts = lines.join(F.broadcast(wanted) if few else wanted, "line_id").groupBy("line_id", "code").agg(F.min("line").alias("line"))
+    texts = line_texts(docs, text).join(F.broadcast(wanted) if few else wanted, "line_id").groupBy("line_id", "code").agg(F.min("line").alias("line"))
     rows = cut_lineage(texts.join(met, "code"))
     tasks = max(1, rows.count() * 10 // TASK_ROWS)
     links = _dealt(rows, tasks).groupBy("task").applyInPandas(lambda frame: verified(frame, similarity), "a long, b long")
