@@ -11,7 +11,6 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.bktree import merge_labels
 from nearfield.llm.components import connected
 from nearfield.llm.frames import columns, free_name
 from nearfield.session import cut_lineage
@@ -32,7 +31,7 @@ def block_bounds(blocks: int = BLOCKS) -> list[tuple[int, int]]:
 
 BINS = 64
 PAIRS_AT_ONCE = 50_000
-LINES_AT_ONCE = 512
+AT_ONCE = 512  # lines hashed at once
 KEYS = list(combinations(range(BLOCKS), AGREE))
 
 
@@ -40,8 +39,8 @@ def line_simhashes(lines: list[str]) -> np.ndarray:
     """SimHashes of the distinct words of normalised lines, so that a mark between all words counts once; 0 without words."""
     out = np.zeros(len(lines), dtype=np.uint64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, len(lines), LINES_AT_ONCE):
-        words = [set(line.split(" ")) if line else () for line in lines[at : at + LINES_AT_ONCE]]
+    for at in range(0, len(lines), AT_ONCE):
+        words = [set(line.split(" ")) if line else () for line in lines[at : at + AT_ONCE]]
         sizes = np.array([len(w) for w in words])
         some = np.flatnonzero(sizes)
         if not len(some):
@@ -121,17 +120,33 @@ def may_be_alike(counts: np.ndarray, left: np.ndarray, right: np.ndarray, simila
     return keep
 
 
-def near_pairs(codes: np.ndarray, rows: np.ndarray, cols: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within RADIUS of one shard that meet under no earlier key."""
-    left, right = np.repeat(rows, len(cols)), np.tile(cols, len(rows))
-    apart = codes[left] ^ codes[right]
-    keep = (np.bitwise_count(apart) <= RADIUS) & (left < right)
-    left, right, apart = left[keep], right[keep], apart[keep]
-    same = np.stack([(apart >> np.uint64(low)) & np.uint64((1 << bits) - 1) == 0 for low, bits in block_bounds()])
+def near_pairs(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of one cell, two by two, within RADIUS, if they meet under no earlier key.
+
+    Rows are sorted by cell and compared with the next one, the one after that
+    and so on, all cells at once, as far as the cell is the same.
+    """
+    codes, cells, keys = frame["code"].to_numpy().view(np.uint64), frame["cell"].to_numpy(), frame["key"].to_numpy()
+    order = np.lexsort((codes, cells))
+    codes, cells = codes[order], cells[order]
+    open_rows, step = np.arange(len(cells)), 0
+    found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    while True:
+        step += 1
+        open_rows = open_rows[open_rows + step < len(cells)]
+        open_rows = open_rows[cells[open_rows + step] == cells[open_rows]]
+        if not len(open_rows):
+            break
+        near = open_rows[np.bitwise_count(codes[open_rows] ^ codes[open_rows + step]) <= RADIUS]
+        found_a.append(near)
+        found_b.append(near + step)
+    left, right = np.concatenate(found_a), np.concatenate(found_b)
+    apart, key = codes[left] ^ codes[right], keys[order[left]]
+    same = [(apart >> np.uint64(low)) & np.uint64((1 << bits) - 1) == 0 for low, bits in block_bounds()]
     first = np.ones(len(left), dtype=bool)
-    for chosen in KEYS[:key]:
-        first &= ~same[list(chosen)].all(axis=0)
-    return left[first], right[first]
+    for number, chosen in enumerate(KEYS):
+        first &= (key <= number) | ~np.logical_and.reduce([same[b] for b in chosen])
+    return order[left[first]], order[right[first]]
 
 
 def _keyed(lines: DataFrame) -> DataFrame:
@@ -159,35 +174,14 @@ def _dealt(keyed: DataFrame, tasks: int) -> DataFrame:
         .withColumn("part", F.pmod(F.xxhash64("code", "shard"), "parts").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("cell", F.xxhash64("shard", F.least("part", "other"), F.greatest("part", "other")))
-        .withColumn("mixed", F.col("parts") > 1)
         .withColumn("task", F.pmod("cell", F.lit(tasks)))
     )
 
 
-def _cells(frame: pd.DataFrame):
-    """Positions of the rows of each cell, by code, and the key of its shard."""
-    order = np.lexsort((frame["code"].to_numpy(), frame["cell"].to_numpy()))
-    cell = frame["cell"].to_numpy()[order]
-    starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-    for low, high in zip(starts, [*starts[1:], len(cell)]):
-        if high - low > 1:
-            yield order[low:high], int(frame["key"].iloc[order[low]])
-
-
-AT_ONCE = 512
-
-
 def partners(frame: pd.DataFrame) -> pd.DataFrame:
     """Codes and shards in which a code meets another within RADIUS, each pair under its first key only."""
-    codes = frame["code"].to_numpy().view(np.uint64)
-    met = np.zeros(len(codes), dtype=bool)
-    for rows, key in _cells(frame):
-        local = codes[rows]
-        for at in range(0, len(rows), AT_ONCE):
-            a, b = near_pairs(local, np.arange(at, min(at + AT_ONCE, len(rows))), np.arange(len(rows)), key)
-            met[rows[a]] = True
-            met[rows[b]] = True
-    return frame.loc[met, ["code", "key", "shard"]].drop_duplicates()
+    left, right = near_pairs(frame)
+    return frame.loc[np.union1d(left, right), ["code", "key", "shard"]].drop_duplicates()
 
 
 def verified(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
@@ -196,25 +190,25 @@ def verified(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
     Letter counts settle most pairs that are not alike; two lines already linked
     are not compared again.
     """
-    codes = frame["code"].to_numpy().view(np.uint64)
-    names, texts = frame["line_id"].to_numpy(), frame["line"].tolist()
-    out_a, out_b = [], []
-    for rows, key in _cells(frame):
-        local = codes[rows]
-        label = np.arange(len(rows))
-        counts = letter_counts([texts[r] for r in rows])
-        for at in range(0, len(rows), AT_ONCE):
-            left, right = near_pairs(local, np.arange(at, min(at + AT_ONCE, len(rows))), np.arange(len(rows)), key)
-            close = may_be_alike(counts, left, right, similarity)
-            for a, b in zip(left[close], right[close]):
-                if label[a] != label[b] and alike(texts[rows[a]], texts[rows[b]], similarity):
-                    label = merge_labels(label, np.array([a]), np.array([b]))
-        tied = np.flatnonzero(label != np.arange(len(rows)))
-        out_a.append(names[rows[tied]])
-        out_b.append(names[rows[label[tied]]])
-    if not out_a:
-        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+    names, texts = frame["line_id"].tolist(), frame["line"].tolist()
+    left, right = near_pairs(frame)
+    close = may_be_alike(letter_counts(texts), left, right, similarity)
+    own = np.unique(names, return_inverse=True)[1].tolist()  # a line stands in several cells
+    up = list(range(len(names)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    links = []
+    for a, b in zip(left[close].tolist(), right[close].tolist()):
+        i, j = root(own[a]), root(own[b])
+        if i != j and alike(texts[a], texts[b], similarity):
+            up[j] = i
+            links.append((names[a], names[b]))
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
 def normalised(text: str | None) -> list[str]:
