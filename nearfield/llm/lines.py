@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
 from os.path import commonprefix
 
 import numpy as np
@@ -15,24 +15,57 @@ from nearfield.llm.components import connected
 from nearfield.llm.frames import columns, free_name
 from nearfield.session import cut_lineage
 
-RADIUS = 3  # differing bits of two SimHashes
+RADIUS = 20  # differing bits of two SimHashes; of lines with SIMILARITY nearly all are nearer
 SIMILARITY = 0.8  # 1 - edits / letters of the longer line
-BLOCKS, AGREE = 5, 2  # of 5 blocks, 3 differing bits leave 2 alike: 10 keys of about 26 bits
+KEYS, ROWS = 12, 3  # keys of a line, and least hashes of its letter runs that make up a key
+RUNS = ((8, 40, 1 << 62), (4, 1, 80))  # (letters of a run, letters of a line from, to); lines half as long as another share a kind
 TASK_ROWS = 100_000
-BROADCAST_IDS = 2_000_000  # so many line ids (below 100 MB) travel to the lines; more are joined
+BROADCAST_IDS = 2_000_000  # so many line ids or shards (below 100 MB) travel to the lines; more are joined
 SHARD_ROWS = 2000  # lines of one key compared at once; a fuller key is cut into parts that are compared two by two
 
 
-def block_bounds(blocks: int = BLOCKS) -> list[tuple[int, int]]:
-    """(lowest bit, bits) of each block of 64 bits."""
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
-
-
 BINS = 64
 PAIRS_AT_ONCE = 50_000
 AT_ONCE = 512  # lines hashed at once
-KEYS = list(combinations(range(BLOCKS), AGREE))
+MIX, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+ODD = [np.uint64(xxhash.xxh64_intdigest(f"line key {i}") | 1) for i in range(KEYS * ROWS)]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * TURN
+    return h ^ (h >> np.uint64(29))
+
+
+def line_keys(lines: list[str]) -> list[np.ndarray]:
+    """Keys of normalised lines, none for an empty one: two lines share a key the more likely, the more letter runs they share.
+
+    A key is ROWS least hashes of a line's runs; an edit changes only the runs
+    across it. Short lines have short runs, and those between both kinds of keys.
+    """
+    out: list[list[np.ndarray]] = [[] for _ in lines]
+    sizes = np.array([len(line) for line in lines], dtype=np.int64)
+    for run, low, high in RUNS:
+        chosen = np.flatnonzero((sizes >= low) & (sizes <= high))
+        for at in range(0, len(chosen), AT_ONCE):
+            own = chosen[at : at + AT_ONCE]
+            joined = "".join(lines[i] + "\0" * (run - 1) for i in own) + "\0" * (run - 1)
+            letters = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+            n = len(letters) - run + 1
+            runs = np.full(n, np.uint64(run))
+            for j in range(run):
+                runs = runs * MIX + letters[j : j + n]
+            runs = _mixed(runs)
+            ends = np.cumsum(sizes[own] + run - 1)
+            starts = ends - (sizes[own] + run - 1)
+            keys = np.empty((len(own), KEYS), dtype=np.uint64)
+            for k in range(KEYS):
+                key = np.full(len(own), np.uint64(k * 16 + run))
+                for odd in ODD[k * ROWS : (k + 1) * ROWS]:
+                    key = key * MIX + (np.minimum.reduceat(runs * odd, starts) >> np.uint64(32))
+                keys[:, k] = _mixed(key)
+            for i, row in zip(own, keys):
+                out[i].append(row)
+    return [np.concatenate(own).view(np.int64) if own else np.empty(0, np.int64) for own in out]
 
 
 def line_simhashes(lines: list[str]) -> np.ndarray:
@@ -121,12 +154,12 @@ def may_be_alike(counts: np.ndarray, left: np.ndarray, right: np.ndarray, simila
 
 
 def near_pairs(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of one cell, two by two, within RADIUS, if they meet under no earlier key.
+    """Rows of one cell, two by two, within RADIUS.
 
     Rows are sorted by cell and compared with the next one, the one after that
     and so on, all cells at once, as far as the cell is the same.
     """
-    codes, cells, keys = frame["code"].to_numpy().view(np.uint64), frame["cell"].to_numpy(), frame["key"].to_numpy()
+    codes, cells = frame["code"].to_numpy().view(np.uint64), frame["cell"].to_numpy()
     order = np.lexsort((codes, cells))
     codes, cells = codes[order], cells[order]
     open_rows, step = np.arange(len(cells)), 0
@@ -140,38 +173,25 @@ def near_pairs(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         near = open_rows[np.bitwise_count(codes[open_rows] ^ codes[open_rows + step]) <= RADIUS]
         found_a.append(near)
         found_b.append(near + step)
-    left, right = np.concatenate(found_a), np.concatenate(found_b)
-    apart, key = codes[left] ^ codes[right], keys[order[left]]
-    same = [(apart >> np.uint64(low)) & np.uint64((1 << bits) - 1) == 0 for low, bits in block_bounds()]
-    first = np.ones(len(left), dtype=bool)
-    for number, chosen in enumerate(KEYS):
-        first &= (key <= number) | ~np.logical_and.reduce([same[b] for b in chosen])
-    return order[left[first]], order[right[first]]
-
-
-def _keyed(lines: DataFrame) -> DataFrame:
-    """Every code once per key: ``(code, key, shard)``."""
-    bounds = block_bounds()
-    block = [F.shiftrightunsigned("code", low).bitwiseAND(F.lit((1 << bits) - 1)) for low, bits in bounds]
-    keys = [F.struct(F.lit(i).alias("key"), F.xxhash64(F.lit(i), *[block[b] for b in chosen]).alias("shard")) for i, chosen in enumerate(KEYS)]
-    return lines.select("*", F.explode(F.array(*keys)).alias("k")).select("*", "k.key", "k.shard").drop("k")
+    return order[np.concatenate(found_a)], order[np.concatenate(found_b)]
 
 
 def _dealt(keyed: DataFrame, tasks: int) -> DataFrame:
-    """Rows of shards with two codes or more, with the pair of parts under which they are compared.
+    """Rows of shards with two lines or more, with the pair of parts under which they are compared.
 
     A shard of n parts is compared as n (n + 1) / 2 pairs of parts, each in a
     group of its own; a row goes to the n pairs that its part belongs to.
     """
-    sizes = (
+    sizes = cut_lineage(
         keyed.groupBy("shard")
         .agg(F.count("*").alias("n"))
         .where("n > 1")
         .select("shard", F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("parts"))
     )
+    few = sizes.count() <= BROADCAST_IDS
     return (
-        keyed.join(sizes, "shard")
-        .withColumn("part", F.pmod(F.xxhash64("code", "shard"), "parts").cast("int"))
+        keyed.join(F.broadcast(sizes) if few else sizes, "shard")
+        .withColumn("part", F.pmod(F.xxhash64("line_id", "shard"), "parts").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("cell", F.xxhash64("shard", F.least("part", "other"), F.greatest("part", "other")))
         .withColumn("task", F.pmod("cell", F.lit(tasks)))
@@ -179,21 +199,21 @@ def _dealt(keyed: DataFrame, tasks: int) -> DataFrame:
 
 
 def partners(frame: pd.DataFrame) -> pd.DataFrame:
-    """Codes and shards in which a code meets another within RADIUS, each pair under its first key only."""
+    """Lines and shards in which a line meets another within RADIUS."""
     left, right = near_pairs(frame)
-    return frame.loc[np.union1d(left, right), ["code", "key", "shard"]].drop_duplicates()
+    return frame.loc[np.union1d(left, right), ["line_id", "shard"]].drop_duplicates()
 
 
 def verified(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
     """Links between alike lines of the shards of one task.
 
-    Letter counts settle most pairs that are not alike; two lines already linked
-    are not compared again.
+    Two lines already linked are not compared again; letter counts settle most
+    pairs that are not alike.
     """
     names, texts = frame["line_id"].tolist(), frame["line"].tolist()
     left, right = near_pairs(frame)
-    close = may_be_alike(letter_counts(texts), left, right, similarity)
-    own = np.unique(names, return_inverse=True)[1].tolist()  # a line stands in several cells
+    counts = letter_counts(texts)
+    own = np.unique(names, return_inverse=True)[1]  # a line stands in several cells
     up = list(range(len(names)))
 
     def root(i: int) -> int:
@@ -203,11 +223,17 @@ def verified(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
         return i
 
     links = []
-    for a, b in zip(left[close].tolist(), right[close].tolist()):
-        i, j = root(own[a]), root(own[b])
-        if i != j and alike(texts[a], texts[b], similarity):
-            up[j] = i
-            links.append((names[a], names[b]))
+    for at in range(0, len(left), PAIRS_AT_ONCE):
+        a, b = left[at : at + PAIRS_AT_ONCE], right[at : at + PAIRS_AT_ONCE]
+        group = np.array([root(i) for i in range(len(up))])[own]
+        apart = group[a] != group[b]
+        a, b = a[apart], b[apart]
+        close = may_be_alike(counts, a, b, similarity)
+        for x, y in zip(a[close].tolist(), b[close].tolist()):
+            i, j = root(int(own[x])), root(int(own[y]))
+            if i != j and alike(texts[x], texts[y], similarity):
+                up[j] = i
+                links.append((names[x], names[y]))
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
@@ -226,26 +252,34 @@ def _signed(values) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame, text: str) -> DataFrame:
-    """``(doc_id, text_id, line_no, line_id, code)``: all lines that aren't empty, without their letters."""
+    """``(doc_id, text_id, line_no, line_id)``: all lines that aren't empty, without their letters."""
+
+    @F.pandas_udf("array<long>")
+    def look(texts: pd.Series) -> pd.Series:
+        return pd.Series([_signed([line_id(x) for x in normalised(one)]) for one in texts], dtype=object)
 
-    @F.pandas_udf("ids array<long>, codes array<long>")
-    def look(texts: pd.Series) -> pd.DataFrame:
-        ids, codes = [], []
-        for one in texts:
-            lines = normalised(one)
-            ids.append(_signed([line_id(x) for x in lines]))
-            codes.append(line_simhashes(lines).view(np.int64))
-        return pd.DataFrame({"ids": ids, "codes": codes})
-
-    zipped = F.arrays_zip(F.col("l.ids").alias("line_id"), F.col("l.codes").alias("code"))
     return (
-        docs.select("doc_id", F.xxhash64(text).alias("text_id"), look(F.col(text)).alias("l"))
-        .select("doc_id", "text_id", F.posexplode(zipped).alias("at", "line"))
-        .select("doc_id", "text_id", (F.col("at") + 1).alias("line_no"), "line.line_id", "line.code")
+        docs.select("doc_id", F.xxhash64(text).alias("text_id"), F.posexplode(look(F.col(text))).alias("at", "line_id"))
+        .select("doc_id", "text_id", (F.col("at") + 1).alias("line_no"), "line_id")
         .where("line_id != 0")
     )
 
 
+def sketches(docs: DataFrame, text: str) -> DataFrame:
+    """``(line_id, code, shards)``: SimHash and keys of every different line that isn't empty."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), AT_ONCE):
+                lines = {line_id(x): x for one in batch["text"].iloc[at : at + AT_ONCE] for x in normalised(one) if x}
+                forms = list(lines.values())
+                keys = pd.Series(line_keys(forms), dtype=object)
+                yield pd.DataFrame({"line_id": _signed(list(lines)), "code": line_simhashes(forms).view(np.int64), "shards": keys})
+
+    texts = docs.select(F.col(text).cast("string").alias("text"))
+    return texts.mapInPandas(look, "line_id long, code long, shards array<long>").dropDuplicates(["line_id"])
+
+
 def line_texts(docs: DataFrame, text: str) -> DataFrame:
     """``(line_id, line)``: the normal form of every line that isn't empty."""
 
@@ -258,25 +292,25 @@ def line_texts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(look(F.col(text)).alias("l")).select(F.inline(zipped)).where("line_id != 0")
 
 
-def line_groups(docs: DataFrame, found: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def line_groups(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``(line_id, root)`` for every line in a group of several different lines.
 
-    ``found`` are the ``occurrences`` of ``docs``. Two lines link if the
-    SimHashes of their distinct words differ in RADIUS bits or less and their edit
-    similarity is ``similarity`` or more. Candidates come from codes alone; only
-    lines with a partner are then read again and meet, as texts, in the shards
-    where they have one.
+    Two lines link if their edit similarity is ``similarity`` or more. Candidates
+    are lines that share a key (see ``line_keys``) and whose SimHashes differ in
+    RADIUS bits or less; only lines with a partner are then read again and meet,
+    as texts, in the shards where they have one. Of shards with the same lines one
+    is enough.
     """
-    distinct = cut_lineage(found.select("line_id", "code").distinct())
-    codes = distinct.groupBy("code").agg(F.count("*").alias("n"))
-    tasks = max(1, len(KEYS) * distinct.count() // TASK_ROWS)
-    met = _dealt(_keyed(codes.select("code")), tasks).groupBy("task").applyInPandas(partners, "code long, key int, shard long")
-    shared = _keyed(codes.where("n > 1").select("code")).where("key = 0").select("code", "key", "shard")  # different lines of one code
-    met = cut_lineage(met.union(shared).distinct())
-    wanted = cut_lineage(met.select("code").distinct().join(distinct, "code").select("line_id", "code"))
+    distinct = cut_lineage(sketches(docs, text))
+    keyed = distinct.select("line_id", "code", F.explode("shards").alias("shard"))
+    tasks = max(1, KEYS * distinct.count() // TASK_ROWS)
+    met = cut_lineage(_dealt(keyed, tasks).groupBy("task").applyInPandas(partners, "line_id long, shard long").distinct())
+    members = met.groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64("line_id"), 20)).alias("a"), F.bit_xor(F.xxhash64("line_id")).alias("b"))
+    met = met.join(members.groupBy("n", "a", "b").agg(F.min("shard").alias("shard")).select("shard"), "shard")
+    wanted = cut_lineage(met.select("line_id").distinct().join(distinct.select("line_id", "code"), "line_id"))
     few = wanted.count() <= BROADCAST_IDS
     texts = line_texts(docs, text).join(F.broadcast(wanted) if few else wanted, "line_id").groupBy("line_id", "code").agg(F.min("line").alias("line"))
-    rows = cut_lineage(texts.join(met, "code"))
+    rows = cut_lineage(texts.join(met, "line_id"))
     tasks = max(1, rows.count() * 10 // TASK_ROWS)
     links = _dealt(rows, tasks).groupBy("task").applyInPandas(lambda frame: verified(frame, similarity), "a long, b long")
     return connected(links).select(F.col("node").alias("line_id"), "root")
@@ -300,7 +334,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", similarity: float = SIMILAR
     name = free_name(docs, "lines")
     found = cut_lineage(occurrences(docs, text))
     spot = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_id", "line_no")
-    groups = cut_lineage(line_groups(docs, found, text, similarity))
+    groups = cut_lineage(line_groups(docs, text, similarity))
     first = found.groupBy("line_id").agg(F.min(spot).alias("spot"), F.count("*").alias("n"))
     named = cut_lineage(first.join(groups, "line_id", "left").select("line_id", F.coalesce("root", "line_id").alias("root"), "spot", "n"))
     best = named.groupBy("root").agg(F.min("spot").alias("best"), F.sum("n").alias("total")).where("total > 1").select("root", "best")

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import pandas as pd
 from brute import components
@@ -117,3 +118,40 @@ def test_registered_query(spark):
     got = sorted(((r["doc_id"], r["text"], r["dropped"]) for r in op.op3_fuzzy_lines(spark, SF).collect()), key=str)
     want, _ = expected(list(zip(docs.doc_id.tolist(), docs.text)))
     assert got == sorted(((i, kept, gone) for i, _, kept, gone in want), key=str)
+
+
+def test_finds_most_pairs_by_edit_similarity_alone(spark):
+    """Without the bit filter: lines of any length with a word changed, dropped or added, or letters changed here and there."""
+    rng = random.Random(11)
+    make = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9)))
+    forms = []
+    for i in range(400):
+        w = [make() for _ in range(rng.choice([5, 10, 20, 40]))]
+        forms.append(" ".join(w))
+        at = rng.randrange(len(w))
+        if i % 4 == 3:
+            letters = list(" ".join(w))
+            for _ in range(max(1, len(letters) // 20)):
+                letters[rng.randrange(len(letters))] = "z"
+            forms.append(" ".join("".join(letters).split()))
+        else:
+            w[at : at + 1] = [[make()], [], [w[at], make()]][i % 4]
+            forms.append(" ".join(w))
+    forms = sorted(set(forms))
+    links = [
+        (a, b)
+        for a, b in itertools.combinations(forms, 2)
+        if sum((Counter(a) & Counter(b)).values()) >= 0.8 * max(len(a), len(b)) and op.alike(a, b)
+    ]
+    assert len(links) > 300
+    assert sum((op.line_simhash(a) ^ op.line_simhash(b)).bit_count() <= 3 for a, b in links) < 0.5 * len(links)
+    groups = {r["line_id"]: r["root"] for r in op.line_groups(spark.createDataFrame([(i, f) for i, f in enumerate(forms)], "doc_id long, text string")).collect()}
+    name = lambda f: op._signed([op.line_id(f)])[0]
+    found = sum(name(a) in groups and groups[name(a)] == groups.get(name(b)) for a, b in links)
+    assert found >= 0.95 * len(links), found / len(links)
+    want = components(forms, links)
+    roots = {}
+    for f in forms:
+        if name(f) in groups:
+            roots.setdefault(groups[name(f)], set()).add(want[f])
+    assert all(len(r) == 1 for r in roots.values())
