@@ -98,7 +98,8 @@ class CharacterModel:
         or, in a run of three or more, only repeat the one before it.
         """
         table, cost = class_table(), self.cost
-        paths: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+        # what is written so far is a chain of (letter, chain before), so that a step costs the same at any length
+        paths: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
         text = text.lower()
         for at, c in enumerate(text):
             run = c * 3 in text[max(0, at - 2) : at + 3]
@@ -111,7 +112,7 @@ class CharacterModel:
                     options += [("", DROP_COST), (" ", 0.0)]
                 else:
                     options.append((" ", KEEP_COST if c in SIGNS else 0.0))
-            after: dict[tuple[int, int, str], tuple[float, str]] = {}
+            after: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
             for (a, b, last), (so_far, out) in paths.items():
                 for x, extra in options:
                     if x == "":
@@ -120,10 +121,10 @@ class CharacterModel:
                         if b == 0:
                             key, value, word = (0, 0, ""), so_far + extra, out
                         else:
-                            key, value, word = (0, 0, ""), so_far + extra + float(cost[a, b, 0]), out + " "
+                            key, value, word = (0, 0, ""), so_far + extra + float(cost[a, b, 0]), (" ", out)
                     else:
                         k = int(table[ord(x)])
-                        key, value, word = (b, k, x), so_far + extra + float(cost[a, b, k]), out + x
+                        key, value, word = (b, k, x), so_far + extra + float(cost[a, b, k]), (x, out)
                         if x == last and run:
                             again = (a, b, last)
                             if again not in after or so_far + extra + REPEAT_COST < after[again][0]:
@@ -131,8 +132,17 @@ class CharacterModel:
                     if key not in after or value < after[key][0]:
                         after[key] = (value, word)
             paths = after
-        ends = ((so_far + (float(cost[a, b, 0]) if b else 0.0), out) for (a, b, _), (so_far, out) in paths.items())
-        return min(ends)[1].strip()
+        ends = [(so_far + (float(cost[a, b, 0]) if b else 0.0), out) for (a, b, _), (so_far, out) in paths.items()]
+        least = min(e for e, _ in ends)
+        return min(_written(out) for e, out in ends if e == least).strip()
+
+
+def _written(chain: tuple | None) -> str:
+    letters = []
+    while chain is not None:
+        letter, chain = chain
+        letters.append(letter)
+    return "".join(reversed(letters))
 
 
 _MODELS: dict = {}
@@ -142,11 +152,12 @@ def _restorer(key: str, counts) -> callable:
     if key not in _MODELS:
         _MODELS.clear()
         model = CharacterModel(counts.value)
-        _MODELS[key] = lru_cache(maxsize=CACHE)(model.restore)
+        short = lru_cache(maxsize=CACHE)(model.restore)
+        _MODELS[key] = lambda part: short(part) if len(part) <= REMEMBERED else model.restore(part)
     return _MODELS[key]
 
 
-LONGEST = 200  # a longer stretch without white space is no disguised word and is only cut at its signs
+REMEMBERED = 200  # readings of longer stretches are not kept for the next text
 
 
 def disguised(lower: str) -> list[tuple[int, int]]:
@@ -154,6 +165,7 @@ def disguised(lower: str) -> list[tuple[int, int]]:
 
     A run of signs counts between two letters and, of one or two signs, at
     either end of them; full stops, hyphens and the like only between letters.
+    A stretch may have any length, and stretches that overlap are one.
     """
     found = [m.span() for m in SPACED.finditer(lower)]
     marks = []
@@ -165,12 +177,16 @@ def disguised(lower: str) -> list[tuple[int, int]]:
             marks.append(low)
     codes = np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     marks += [int(i) for i in np.flatnonzero((codes[2:] == codes[1:-1]) & (codes[1:-1] == codes[:-2])) if lower[i].isalpha()]
-    for mark in marks:
+    end = 0
+    for mark in sorted(marks):
+        if mark < end:
+            continue
         low = mark
-        while low > 0 and mark - low < LONGEST and not lower[low - 1].isspace():
+        while low > end and not lower[low - 1].isspace():
             low -= 1
-        end = SPACE.search(lower, mark, mark + LONGEST)
-        found.append((low, end.start() if end else min(len(lower), mark + LONGEST)))
+        after = SPACE.search(lower, mark)
+        end = after.start() if after else len(lower)
+        found.append((low, end))
     out: list[tuple[int, int]] = []
     for low, high in sorted(found):
         if out and low < out[-1][1]:
@@ -188,7 +204,7 @@ def restored_words(text: str | None, restore) -> list[str]:
     out = WORD.findall(lower)
     for low, high in disguised(lower):
         part = EDGE.sub("", lower[low:high])
-        if len(part) <= LONGEST and any(c.isalpha() for c in part):
+        if any(c.isalpha() for c in part):
             out += WORD.findall(restore(part))
     return out
 

@@ -69,6 +69,16 @@ def test_what_is_and_is_not_disguised():
     assert op.restored_words(None, str) == [] and op.restored_words("  ", str) == []
 
 
+def test_long_disguises_are_restored_too(model):
+    spaced = "so " + " ".join("youareastupididiotandapatheticloserthismoronisworthlesstrash" * 4) + " it"
+    words = op.restored_words(spaced, model.restore)
+    assert len(spaced) > 400 and {"stupid", "pathetic", "moron"} <= set(words)
+    joined = "-".join(["st0pid", "1d10t", "m0r0n", "p@thet1c"] * 20)
+    assert len(joined) > 200 and {"idiot", "moron", "pathetic"} <= set(op.restored_words(joined, model.restore))
+    assert op.disguised("x" + "a1" * 200 + " y") == [(0, 401)]
+    assert len(model.restore("m0r0n " * 20_000).split()) == 20_000
+
+
 def tables(spark):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.randrange(2, 8))) for _ in range(500)]
