@@ -269,7 +269,7 @@ def main_text(html: str | None, known: dict[int, tuple[int, int, float]]) -> tup
         slots: dict = defaultdict(list)
         border = sorted(template)
         for b in [b for b in open_blocks if b.place not in template] or open_blocks:
-            slots[b.scope, sum(t < b.place for t in border) if len(border) < 200 else 0].append(b)
+            slots[b.scope, bisect_left(border, b.place)].append(b)
         sizes = {k: sum(len(b.text) - 2 * b.linked for b in v) for k, v in slots.items()}
         most = max(sizes.values(), default=0)
         own = [b for k, v in slots.items() if most > 0 and sizes[k] >= WORTH * most for b in v]

@@ -100,3 +100,20 @@ def test_registered_query_keeps_articles_whole(spark):
         inside = re.search(r"<article>(.*?)</article>", page, re.S)[1]
         plain = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>|<br>", inside)]
         assert got.text[i] == "\n".join(x for x in plain if x)
+
+
+def known_of(spark, rows):
+    found = op.templates(spark.createDataFrame([(f"https://h.example.com/{i}", r) for i, r in enumerate(rows)], "url string, html string")).collect()
+    return {r["token"]: (r["class_id"], r["missing"], r["place"]) for r in found}
+
+
+def test_rich_templates_give_the_same_text(spark):
+    def page(i, n):
+        menu = "".join(f"<p class='m{j}'>menu entry {j}</p>" for j in range(n))
+        links = "".join(f"<a href=x>headline {i} {j} of today</a> " for j in range(4))
+        return f"<body>{menu}<p class='a'>short news {i}</p><p class='b'>Latest</p><p class='c'>{links}</p><p class='d'>The end</p></body>"
+
+    for n in (10, 300):
+        rows = [page(i, n) for i in range(6)]
+        known = known_of(spark, rows)
+        assert [text_of(r, known) for r in rows] == [f"short news {i}" for i in range(6)], n
