@@ -248,15 +248,11 @@ def _one_gap(places: list[int], outer: list[int]) -> bool:
     return bisect_left(outer, places[0]) == bisect_left(outer, places[-1])
 
 
-WORTH = 0.25  # of the text of the fullest slot that another one must hold
-
-
 def main_text(html: str | None, known: dict[int, tuple[int, int, float]]) -> tuple[str, int]:
     """The article of a page and how many of its tokens belong to the host's template.
 
     Blocks in an ``article`` or ``main`` element are the text where there are
-    any; else the blocks that are no template tokens, by slot: the fullest slot,
-    and others with WORTH of its text. Blocks in menus, headers, footers,
+    any; else all blocks that are no template tokens, however short. Blocks in menus, headers, footers,
     sidebars, notices, adverts, forms and comments are never part of it, nor are
     slots that are mostly links.
     """
@@ -267,13 +263,11 @@ def main_text(html: str | None, known: dict[int, tuple[int, int, float]]) -> tup
     own = [b for b in open_blocks if b.main]
     if not own:
         slots: dict = defaultdict(list)
-        border = sorted(template)
+        border = [b.place for b in blocks if b.place in template]
         for b in [b for b in open_blocks if b.place not in template] or open_blocks:
-            slots[b.scope, bisect_left(border, b.place)].append(b)
+            slots[bisect_left(border, b.place)].append(b)
         sizes = {k: sum(len(b.text) - 2 * b.linked for b in v) for k, v in slots.items()}
-        most = max(sizes.values(), default=0)
-        own = [b for k, v in slots.items() if most > 0 and sizes[k] >= WORTH * most for b in v]
-        own.sort(key=lambda b: b.place)
+        own = [b for k, v in slots.items() if sizes[k] > 0 for b in v]
     return "\n".join(b.text for b in own), len(template)
 
 

@@ -107,6 +107,17 @@ def known_of(spark, rows):
     return {r["token"]: (r["class_id"], r["missing"], r["place"]) for r in found}
 
 
+def test_short_blocks_in_scopes_of_their_own_stay(spark):
+    long = "words of a long paragraph " * 20
+    parts = "<div>Heading {0}</div><div><p>{1}{0}</p></div><div>short {0}</div><ul><li>item {0}</ul><table><tr><td>cell {0}</table><blockquote>said {0}</blockquote>"
+    rows = [soup(None, i, parts.format(i, long)) for i in range(8)]
+    known = known_of(spark, rows)
+    for i, r in enumerate(rows):
+        want = f"Heading {i}\n{long}{i}\nshort {i}\nitem {i}\ncell {i}\nsaid {i}"
+        assert text_of(r, known) == want
+        assert text_of(f"<body>{parts.format(i, long)}</body>") == want
+
+
 def test_rich_templates_give_the_same_text(spark):
     def page(i, n):
         menu = "".join(f"<p class='m{j}'>menu entry {j}</p>" for j in range(n))
