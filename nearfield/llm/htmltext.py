@@ -26,7 +26,6 @@ BLOCK = frozenset(
 )
 CLOSED_BY_BLOCK = "p"
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-SCOPES = frozenset("article section div main aside nav header footer form table body ul ol dl blockquote".split())
 
 # elements, and words in class, id and role, that never hold the article
 ASIDE_TAGS = frozenset("head nav footer aside form script style noscript iframe template svg math button select textarea dialog menu".split())
@@ -65,17 +64,17 @@ def named(attrs: str) -> tuple[str, set[str], bool]:
 class Block:
     """A stretch of text between block borders, and where it stands."""
 
-    __slots__ = ("text", "path", "place", "aside", "main", "scope", "linked")
+    __slots__ = ("text", "path", "place", "aside", "main", "linked")
 
-    def __init__(self, text, path, place, aside, main, scope, linked):
-        self.text, self.path, self.place, self.aside, self.main, self.scope, self.linked = text, path, place, aside, main, scope, linked
+    def __init__(self, text, path, place, aside, main, linked):
+        self.text, self.path, self.place, self.aside, self.main, self.linked = text, path, place, aside, main, linked
 
 
 def parse(html: str | None) -> tuple[list[Block], list[tuple[str, int]]]:
     """Text blocks of a page, in order, and its block-level tags as (path, position)."""
     blocks: list[Block] = []
     tags: list[tuple[str, int]] = []
-    stack: list[tuple[str, str, bool, bool, int]] = []  # name, path, aside, main, scope
+    stack: list[tuple[str, str, bool, bool]] = []  # name, path, aside, main
     pieces: list[str] = []
     linked = 0
     in_link = 0
@@ -86,8 +85,8 @@ def parse(html: str | None) -> tuple[list[Block], list[tuple[str, int]]]:
         text = " ".join(unescape("".join(pieces)).split())
         pieces.clear()
         if text:
-            _, path, aside, main, scope = stack[-1] if stack else ("", "", False, False, 0)
-            blocks.append(Block(text, path, place, aside, main, scope, min(linked, len(text))))
+            _, path, aside, main = stack[-1] if stack else ("", "", False, False)
+            blocks.append(Block(text, path, place, aside, main, min(linked, len(text))))
             place += 1
         linked = 0
 
@@ -133,7 +132,7 @@ def parse(html: str | None) -> tuple[list[Block], list[tuple[str, int]]]:
             stack.pop()
         while stack and stack[-1][0] in SIBLINGS.get(name, ()):
             stack.pop()
-        _, path, aside, main, scope = stack[-1] if stack else ("", "", False, False, 0)
+        _, path, aside, main = stack[-1] if stack else ("", "", False, False)
         label, words, hidden = named(m["attrs"])
         path = f"{path}/{name}.{label}" if len(stack) < 40 else path
         tags.append((path, place))
@@ -144,7 +143,7 @@ def parse(html: str | None) -> tuple[list[Block], list[tuple[str, int]]]:
         main = main or (name in ("article", "main") or bool(words & MAIN_WORDS) and name in ("div", "section", "td")) and not aside
         if name in VOID:
             continue
-        stack.append((name, path, aside, main, place if name in SCOPES else scope))
+        stack.append((name, path, aside, main))
     flush()
     return blocks, tags
 
@@ -251,23 +250,28 @@ def _one_gap(places: list[int], outer: list[int]) -> bool:
 def main_text(html: str | None, known: dict[int, tuple[int, int, float]]) -> tuple[str, int]:
     """The article of a page and how many of its tokens belong to the host's template.
 
-    Blocks in an ``article`` or ``main`` element are the text where there are
-    any; else all blocks that are no template tokens, however short. Blocks in menus, headers, footers,
-    sidebars, notices, adverts, forms and comments are never part of it, nor are
-    slots that are mostly links.
+    What the host's template leaves are the page's slots, divided by the text
+    that the host repeats; if it leaves nothing, the page is taken as if it had no
+    template. If ``article`` and ``main`` elements hold at least half of the text
+    in slots, the article is all that is left in them; else it is all that is left
+    on the page, but for slots that are mostly links. Nothing is left out for
+    being short. Blocks in menus, headers, footers, sidebars, notices, adverts,
+    forms and comments are never part of it.
     """
     blocks, tags = parse(html)
     tokens = tokens_of(blocks, tags)
     template = nested(tokens, known) if known else set()
     open_blocks = [b for b in blocks if not b.aside]
-    own = [b for b in open_blocks if b.main]
-    if not own:
-        slots: dict = defaultdict(list)
-        border = [b.place for b in blocks if b.place in template]
-        for b in [b for b in open_blocks if b.place not in template] or open_blocks:
-            slots[bisect_left(border, b.place)].append(b)
-        sizes = {k: sum(len(b.text) - 2 * b.linked for b in v) for k, v in slots.items()}
-        own = [b for k, v in slots.items() if sizes[k] > 0 for b in v]
+    left = [b for b in open_blocks if b.place not in template] or open_blocks
+    border = [b.place for b in blocks if b.place in template]
+    slots: dict[int, list[Block]] = defaultdict(list)
+    for b in left:
+        slots[bisect_left(border, b.place)].append(b)
+    marked = sum(len(b.text) for b in left if b.main)
+    if 2 * marked >= sum(len(b.text) for b in left):
+        own = [b for b in left if b.main]
+    else:
+        own = [b for v in slots.values() if sum(len(b.text) - 2 * b.linked for b in v) > 0 for b in v]
     return "\n".join(b.text for b in own), len(template)
 
 

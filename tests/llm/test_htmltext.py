@@ -107,6 +107,15 @@ def known_of(spark, rows):
     return {r["token"]: (r["class_id"], r["missing"], r["place"]) for r in found}
 
 
+def test_template_counts_inside_articles_and_teasers_do_not_hide_the_body(spark):
+    ends = "<p class='x1'>All of us thank all our readers</p><p class='x2'>Write to the house of Acme</p>"
+    rows = [f"<body><article><h1>Title {i}</h1><p>body {i} {'w' * 50}</p>{ends}</article></body>" for i in range(8)]
+    known = known_of(spark, rows)
+    assert [text_of(r, known) for r in rows] == [f"Title {i}\nbody {i} {'w' * 50}" for i in range(8)]
+    long = "real words of the body " * 30
+    assert text_of(f"<article>teaser</article><main>small</main><div>{long}</div>") == f"teaser\nsmall\n{long.strip()}"
+
+
 def test_short_blocks_in_scopes_of_their_own_stay(spark):
     long = "words of a long paragraph " * 20
     parts = "<div>Heading {0}</div><div><p>{1}{0}</p></div><div>short {0}</div><ul><li>item {0}</ul><table><tr><td>cell {0}</table><blockquote>said {0}</blockquote>"
