@@ -170,9 +170,8 @@ def templates(pages: DataFrame, html: str = "html", url: str = "url") -> DataFra
     host. It is carried as a sum of hashes of (page, times), which tasks add up
     before the shuffle, so a host of any size is one row per token. Tokens of a
     host with equal vectors are a class; kept are classes of LEAST_TOKENS or
-    more, with a tag among them, whose tokens stand once on each of their pages,
-    on LEAST_SHARE of the host's pages or more, of hosts with LEAST_PAGES or
-    more. ``rank`` orders a class by where its tokens stand on average.
+    more, with a tag among them, on LEAST_SHARE of the host's pages or more, of hosts with LEAST_PAGES or
+    more. ``rank`` orders a class by where its tokens first stand on average.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,24 +187,23 @@ def templates(pages: DataFrame, html: str = "html", url: str = "url") -> DataFra
                 tag = {_code("tag", path) for path, _ in tags}
                 for t, n in times.items():
                     vector = xxhash.xxh64_intdigest(f"{page}:{n}".encode()) >> 28
-                    rows.append((host, t, t in tag, vector, n, first[t]))
-                rows.append((host, -1, False, 0, 1, 0))  # counts the pages
-            yield pd.DataFrame(rows, columns=["host", "token", "tag", "vector", "times", "place"])
+                    rows.append((host, t, t in tag, vector, first[t]))
+                rows.append((host, -1, False, 0, 0))  # counts the pages
+            yield pd.DataFrame(rows, columns=["host", "token", "tag", "vector", "place"])
 
     counted = (
         pages.select(host_of(url).alias("host"), F.xxhash64(*columns(pages)).alias("page"), F.col(html).cast("string").alias("html"))
         .where("host != ''")
-        .mapInPandas(count, "host string, token long, tag boolean, vector long, times int, place int")
+        .mapInPandas(count, "host string, token long, tag boolean, vector long, place int")
         .groupBy("host", "token")
         .agg(
             F.max("tag").alias("tag"),
             F.sum("vector").alias("vector"),
             F.count("*").alias("n"),
-            F.max("times").alias("times"),
             F.avg("place").alias("place"),
         )
     )
-    counted = cut_lineage(counted.where(f"token = -1 OR (n >= {LEAST_PAGES // 2} AND times = 1)"))
+    counted = cut_lineage(counted.where(f"token = -1 OR (n >= {LEAST_PAGES // 2})"))
     hosts = counted.where(f"token = -1 AND n >= {LEAST_PAGES}").select("host", F.col("n").alias("pages"))
     often = counted.where("token != -1").join(hosts, "host").where(F.col("n") >= F.col("pages") * LEAST_SHARE)
     large = (
@@ -223,28 +221,34 @@ def nested(tokens: list[tuple[int, int]], known: dict[int, tuple[int, int, float
     """Positions of the template tokens of a page: classes that stand in order and nest in one slot of those before.
 
     Classes are taken from the most to the least common. One whose tokens don't
-    all stand on the page, stand in another order than on average, or reach over
-    a token of a class that encloses them, is left out.
+    all stand on the page, and equally often, or stand in another order than on
+    average in one of their repetitions, or reach over a token of a class that
+    encloses them, is left out.
     """
-    members: dict[tuple[int, int], list[tuple[float, int]]] = defaultdict(list)
+    members: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
     sizes: Counter = Counter((missing, c) for c, missing, _ in known.values())
     for token, place in tokens:
         if token in known:
-            c, missing, rank = known[token]
-            members[(missing, c)].append((rank, place))
-    taken: list[list[int]] = []
+            c, missing, _ = known[token]
+            members[(missing, c)][token].append(place)
+    taken: list[list[list[int]]] = []
     for name in sorted(members):
-        places = [p for _, p in sorted(members[name])]
-        if len(places) != sizes[name] or places != sorted(places):
+        found = sorted((known[token][2], places) for token, places in members[name].items())
+        if len(found) != sizes[name] or len({len(places) for _, places in found}) != 1:
             continue
-        if all(_one_gap(places, outer) or _one_gap(outer, places) for outer in taken):
-            taken.append(places)
-    return {p for places in taken for p in places}
+        repeated = [list(places) for places in zip(*(places for _, places in found))]
+        flat = [p for places in repeated for p in places]
+        if flat != sorted(flat):
+            continue
+        if all(_in_gaps(repeated, outer) or _in_gaps(outer, repeated) for outer in taken):
+            taken.append(repeated)
+    return {p for repeated in taken for places in repeated for p in places}
 
 
-def _one_gap(places: list[int], outer: list[int]) -> bool:
-    """Whether all of ``places`` lie in one gap of ``outer``, its two ends included."""
-    return bisect_left(outer, places[0]) == bisect_left(outer, places[-1])
+def _in_gaps(repeated: list[list[int]], outer: list[list[int]]) -> bool:
+    """Whether each of the ``repeated`` places lies in one gap of ``outer``, its two ends included."""
+    border = [p for places in outer for p in places]
+    return all(bisect_left(border, places[0]) == bisect_left(border, places[-1]) for places in repeated)
 
 
 def main_text(html: str | None, known: dict[int, tuple[int, int, float]]) -> tuple[str, int]:

@@ -137,3 +137,14 @@ def test_rich_templates_give_the_same_text(spark):
         rows = [page(i, n) for i in range(6)]
         known = known_of(spark, rows)
         assert [text_of(r, known) for r in rows] == [f"short news {i}" for i in range(6)], n
+
+
+def test_text_repeated_on_each_page_is_template(spark):
+    share = "<div class='s'>Share this with your friends<p class='r'>Read more</p></div>"
+    rows = [f"<body><h1>Title {i}</h1>{share}<p>first {i}</p>{share}<p>second {i}</p>{'<p>third</p>' * (i % 2)}</body>" for i in range(8)]
+    known = known_of(spark, rows)
+    assert [text_of(r, known) for r in rows] == [f"Title {i}\nfirst {i}\nsecond {i}" + "\nthird" * (i % 2) for i in range(8)]
+    twice = {1: (9, 0, 0.0), 2: (9, 0, 1.0)}
+    assert op.nested([(1, 0), (2, 1), (5, 2), (1, 3), (2, 4)], twice) == {0, 1, 3, 4}
+    assert op.nested([(1, 0), (2, 1), (2, 2), (1, 3)], twice) == set()
+    assert op.nested([(1, 0), (2, 1), (1, 2)], twice) == set()
