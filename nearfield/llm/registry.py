@@ -7,7 +7,7 @@ from importlib import import_module
 
 from nearfield.session import ship_package
 
-MODULES = ("simhash", "decontaminate", "language", "mixing", "syncmers", "packing", "crossentropy", "toxicity", "lines", "htmltext", "merkle", "variants")
+MODULES = ("simhash", "decontaminate", "language", "mixing", "syncmers", "packing", "crossentropy", "toxicity", "lines", "htmltext", "merkle", "variants", "privacy")
 
 
 def _shipping(query):
