@@ -101,22 +101,22 @@ def numbered(df: DataFrame, order: list[str], rows: int) -> DataFrame:
     )
 
 
-def _blocks(nodes: DataFrame, rows: int) -> DataFrame:
+def _blocks(nodes: DataFrame, rows: int, levels: int) -> DataFrame:
     """Nodes with the number of their block, each block in one place."""
-    block = F.floor(F.col("at") / FAN**LEVELS).cast("long")
+    block = F.floor(F.col("at") / FAN**levels).cast("long")
     return nodes.withColumn("block", block).repartition(_tasks(nodes, rows), "tree", "block")
 
 
-def _built(frame: pd.DataFrame) -> list[list[str]]:
+def _built(frame: pd.DataFrame, levels: int) -> list[list[str]]:
     """The tree over the leaves of a block, which are sorted."""
-    return tree_over(frame["digest"].tolist(), min(LEVELS, height(int(frame["size"].iloc[0]))))
+    return tree_over(frame["digest"].tolist(), min(levels, height(int(frame["size"].iloc[0]))))
 
 
-def climb(nodes: DataFrame) -> DataFrame:
+def climb(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
     """``(tree, at, top, lefts, rights)`` for ``nodes`` ``(tree, at, digest, size)``.
 
     ``top`` is the node that remains of a tree and ``lefts``, ``rights`` what stands
-    beside the nodes on the way there, level by level. Blocks of FAN ** LEVELS
+    beside the nodes on the way there, level by level. Blocks of FAN ** levels
     neighbours are built each in one task, and their tops are the nodes of the
     next round, so that no task sees a tree, however many leaves it has.
     """
@@ -125,11 +125,11 @@ def climb(nodes: DataFrame) -> DataFrame:
     if (counted["size"] or 0) <= 1:
         none = F.array().cast("array<string>")
         return nodes.select("tree", "at", F.col("digest").alias("top"), none.alias("lefts"), none.alias("rights"))
-    upper = climb(tops(nodes, counted["rows"]))
+    upper = climb(tops(nodes, counted["rows"], levels), levels)
 
     def path(key: tuple, own: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("at")
-        tree, over = _built(own), above.iloc[0]
+        tree, over = _built(own, levels), above.iloc[0]
         rows = [beside(tree, i) for i in range(len(own))]
         return pd.DataFrame(
             {
@@ -141,29 +141,31 @@ def climb(nodes: DataFrame) -> DataFrame:
             }
         )
 
-    return _with_upper(nodes, upper, counted["rows"]).applyInPandas(
+    return _with_upper(nodes, upper, counted["rows"], levels).applyInPandas(
         path, "tree string, at long, top string, lefts array<string>, rights array<string>"
     )
 
 
-def tops(nodes: DataFrame, rows: int) -> DataFrame:
+def tops(nodes: DataFrame, rows: int, levels: int) -> DataFrame:
     """The nodes above the blocks of ``nodes``."""
 
     def top(frame: pd.DataFrame) -> pd.DataFrame:
         frame, block = frame.sort_values("at"), frame["block"].iloc[0]
-        size = -(-int(frame["size"].iloc[0]) // FAN**LEVELS)
-        return pd.DataFrame({"tree": frame["tree"].iloc[:1], "at": block, "digest": _built(frame)[-1], "size": size})
+        size = -(-int(frame["size"].iloc[0]) // FAN**levels)
+        return pd.DataFrame({"tree": frame["tree"].iloc[:1], "at": block, "digest": _built(frame, levels)[-1], "size": size})
 
-    blocks = _blocks(nodes.select("tree", "at", "digest", "size"), rows)
+    blocks = _blocks(nodes.select("tree", "at", "digest", "size"), rows, levels)
     return blocks.groupBy("tree", "block").applyInPandas(top, "tree string, at long, digest string, size long")
 
 
-def _with_upper(nodes: DataFrame, upper: DataFrame, rows: int):
+def _with_upper(nodes: DataFrame, upper: DataFrame, rows: int, levels: int):
     """Blocks of nodes, each beside the one row that ``upper`` has of it."""
-    return _blocks(nodes, rows).groupBy("tree", "block").cogroup(upper.withColumnRenamed("at", "block").groupBy("tree", "block"))
+    return _blocks(nodes, rows, levels).groupBy("tree", "block").cogroup(upper.withColumnRenamed("at", "block").groupBy("tree", "block"))
 
 
-def manifest(docs: DataFrame, edited: Column | None = None, key: str = "doc_id", tree: str = "source", values: tuple[str, ...] = VALUES) -> DataFrame:
+def manifest(
+    docs: DataFrame, edited: Column | None = None, key: str = "doc_id", tree: str = "source", values: tuple[str, ...] = VALUES, levels: int = LEVELS
+) -> DataFrame:
     """``(key, leaf, subroot, root, proof, folded_root, copies)`` for every row of ``docs``.
 
     A row's ``leaf`` is the SHA-256 of ``values``. Rows with the same ``tree``
@@ -175,7 +177,7 @@ def manifest(docs: DataFrame, edited: Column | None = None, key: str = "doc_id",
     of its own: ``copies`` are the nodes it cannot share with the tree, from its leaf
     to its root; elsewhere it is null. All other nodes of a version are the tree's.
 
-    Inside a block of FAN ** LEVELS leaves the task that builds the block copies
+    Inside a block of FAN ** levels leaves the task that builds the block copies
     the path of every version; above, the version goes on along the path that the
     rounds over block tops have found for its block (``climb``).
 
@@ -197,14 +199,14 @@ def manifest(docs: DataFrame, edited: Column | None = None, key: str = "doc_id",
     leaves = cut_lineage(leaves.withColumn("salt", F.monotonically_increasing_id()))
     rows = leaves.count()
     placed = numbered(leaves, ["key", "digest", "salt"], rows)
-    upper = cut_lineage(climb(tops(placed, rows)))
+    upper = cut_lineage(climb(tops(placed, rows, levels), levels))
 
     # the tree over the trees
     branches = cut_lineage(leaves.select("branch", "tree").distinct())
     crowns = upper.select("tree", F.col("top").alias("digest")).dropDuplicates(["tree"]).join(branches, "tree")
     crowns = crowns.select(F.lit("").alias("tree"), "branch", F.col("tree").alias("own"), "digest")
     crowns = cut_lineage(numbered(crowns, ["branch"], branches.count()))
-    forest = climb(crowns.select("tree", "at", "digest", "size")).select(
+    forest = climb(crowns.select("tree", "at", "digest", "size"), levels).select(
         "at", F.col("top").alias("root"), F.col("lefts").alias("root_lefts"), F.col("rights").alias("root_rights")
     )
     forest = cut_lineage(crowns.select("at", F.col("own").alias("tree")).join(forest, "at").drop("at"))
@@ -214,7 +216,7 @@ def manifest(docs: DataFrame, edited: Column | None = None, key: str = "doc_id",
 
     def path(key: tuple, own: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("at")
-        built, over = _built(own), above.iloc[0]
+        built, over = _built(own, levels), above.iloc[0]
         proofs, folds, versions = [], [], []
         for i, (leaf, later) in enumerate(zip(own["digest"], own["later"])):
             left, right = beside(built, i)
@@ -236,7 +238,7 @@ def manifest(docs: DataFrame, edited: Column | None = None, key: str = "doc_id",
 
     kind = leaves.schema["key"].dataType
     rows_of = placed.select("tree", "at", F.col("key").cast("string").alias("key"), "digest", "later", "size")
-    done = _with_upper(rows_of, upper, rows).applyInPandas(
+    done = _with_upper(rows_of, upper, rows, levels).applyInPandas(
         path, "key string, leaf string, subroot string, root string, proof string, folded_root string, copies array<string>"
     )
     return done.withColumn("key", F.col("key").cast(kind)).withColumnRenamed("key", key)

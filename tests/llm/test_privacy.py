@@ -1,0 +1,181 @@
+"""Personal data and disclosing terms against plain answers."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+import regex
+from pyspark.sql import functions as F
+
+from nearfield.llm import privacy as op
+
+SF = "/root/testdata/sf0.001"
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def digits(s):
+    return re.sub("[^0-9]", "", s)
+
+
+def passes(kind, value):
+    d = digits(value)
+    if kind == "ip":
+        return all(int(x) <= 255 for x in value.split("."))
+    if kind == "card":
+        twice = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(d))]
+        return 13 <= len(d) <= 19 and sum(x - 9 if x > 9 else x for x in twice) % 10 == 0
+    return kind != "phone" or 9 <= len(d) <= 15
+
+
+def base(text):
+    return {k: [(m.start(), m.end()) for m in re.finditer(p, text or "") if passes(k, m.group())] for k, p in PLAIN.items()}
+
+
+def words(text):
+    return [(m.start(), m.end(), m.group().lower()) for m in regex.finditer(r"\p{L}+", text or "")]
+
+
+def plain(texts, support=op.SUPPORT, share=op.SHARE):
+    """Spans of every text, and what terms are written as."""
+    count = Counter(w for t in texts for *_, w in words(t))
+    classes = Counter()
+    for w, n in count.items():
+        classes[w[: op.STEM] + "*"] += n
+    total = sum(count.values())
+    spots = Counter()
+    for t in texts:
+        spans = sorted((s, e, k) for k, own in base(t).items() for s, e in own)
+        for i, (s, e, k) in enumerate(spans):
+            value = t[s:e].lower() if k == "email" else digits(t[s:e])
+            left = t[spans[i - 1][1] if i else 0 : s].rsplit("\n", 1)[-1]
+            right = t[e : spans[i + 1][0] if i + 1 < len(spans) else len(t)].split("\n", 1)[0]
+            near = [w for *_, w in words(left)][-op.WINDOW :] + [w for *_, w in words(right)][: op.WINDOW]
+            spots[k, value, tuple(sorted(set(near)))] += 1
+
+    def tells(name, held):
+        seen, every, stands = defaultdict(int), Counter(), Counter()
+        for (k, v, near), n in spots.items():
+            every[k, v] += 1
+            stands[k, v] += n
+            for x in {name(w) for w in near}:
+                seen[k, v, x] += 1
+        out = set()
+        for (k, v, x), both in seen.items():
+            chance = [min(1, 2 * op.WINDOW * n / total) for n in (held[x], stands[k, v])]
+            known = -math.log2(chance[1])
+            if both >= support and known > 0 and math.log2(both / every[k, v] / chance[0]) >= share * known:
+                out.add((k, v, x))
+        return out
+
+    single = tells(lambda w: w, count)
+    stems = tells(lambda w: w[: op.STEM] + "*", classes)
+    replacement = {}
+    for k, v, w in single:
+        stem = w[: op.STEM] + "*"
+        replacement[w] = "" if (k, v, stem) in stems or replacement.get(w) == "" else stem
+    found = []
+    for t in texts:
+        own = base(t)
+        own["term"] = [(s, e) for s, e, w in words(t) if w in replacement and not any(a < e and s < b for x in PLAIN for a, b in own[x])]
+        found.append(own)
+    return found, replacement
+
+
+def listed(own, kinds):
+    return ",".join(f"{k}:{s}:{e}" for k in kinds for s, e in own[k])
+
+
+def run(spark, texts, **more):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = op.sanitise(docs, **more).select("doc_id", "privacy.text", *(F.col(f"privacy.{k}").alias(k) for k in (*PLAIN, "term"))).collect()
+    return {r["doc_id"]: r for r in rows}
+
+
+def test_patterns_match_as_the_plain_ones_do(spark):
+    rng = random.Random(5)
+    parts = ["a.b@c.de", "x@y", "@", ".", "..", "1.2.3.4.5", "256.1.1.1", "001.2.3.255", "4111 1111 1111 1111", "4111-1111-1111-1111 5", "+1 (377) 555-0271",
+             "+12", "+1 ", "-", " ", "  ", "é", "\U0001f600", "\n", "5500005555555559", "7", "a_b@c.d_e@f.gh", "q%+-", "\x01", "\x02", "0", "12", "()", "+44 20 7946 0958."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 25))) for _ in range(800)]
+    texts += ["", None, "1 " * 30_000, "a." * 30_000 + "@b" + ".c" * 30_000, "1.2.3.4," * 9_000, "+1 23456789 x " * 3_000]
+    got = run(spark, texts)
+    for i, text in enumerate(texts):
+        want = base(text)
+        for kind in PLAIN:
+            assert [(s["start"], s["end"]) for s in got[i][kind]] == want[kind], (kind, text and text[:200])
+
+
+def disclosing_texts():
+    rng = random.Random(3)
+    common = ["the", "of", "and", "with", "under", "over", "into", "from"]
+    texts = [" ".join(rng.choice(common) for _ in range(60)) for _ in range(200)]
+    for i in range(6):  # in six different contexts, three of them copied, the name stands near the address
+        texts[i] += f"\n{rng.choice(common)} {i * 'so '}Kowalski wrote from k{'o' * 2}@acme.example.org {rng.choice(common)}\nKowalski and the of"
+    texts += [texts[0]] * 3
+    texts += ["once upon Zanzibar mail one@two.three here"] * 50  # copies of one context disclose nothing
+    texts[100] += " a kowalska, KOWALSKI's and Zanzibar"
+    texts += [None, "", "xy " * 70_000]
+    return texts
+
+
+def test_terms_that_disclose_are_those_of_plain_counts(spark):
+    texts = disclosing_texts()
+    found, replacement = plain(texts)
+    assert "kowalski" in replacement and "zanzibar" not in replacement and "the" not in replacement
+    got = run(spark, texts)
+    for i, own in enumerate(found):
+        for kind in (*PLAIN, "term"):
+            assert [(s["start"], s["end"]) for s in got[i][kind]] == own[kind]
+    assert "Kowalski" not in got[0]["text"] and "koo@acme" not in got[0]["text"] and "[EMAIL]" in got[0]["text"]
+    assert got[100]["text"].endswith(" a kowalska, " + replacement["kowalski"] + "'s and Zanzibar")
+    assert got[len(texts) - 3]["text"] is None and got[len(texts) - 2]["text"] == ""
+
+
+def test_a_term_whose_class_tells_as_much_is_removed(spark):
+    texts = disclosing_texts()
+    _, replacement = plain(texts)
+    assert replacement["kowalski"] == ""  # hardly another word begins with these letters
+    texts += ["kowtow kowloon " * 4000]
+    assert plain(texts)[1]["kowalski"] == "kow*"
+    assert "kow*" in run(spark, texts)[0]["text"]
+
+
+def test_overlapping_spans_and_columns_with_clashing_names(spark):
+    rows = [(1, "+378282246310005 end", "p"), (1, "+378282246310005 end", "q"), (None, "call +1 (377) 555-0271", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, privacy string")
+    out = op.sanitise(docs)
+    assert out.columns == ["doc_id", "text", "privacy", "privacy_"]
+    got = sorted((r["privacy"] or "", r["text"], len(r["card"]), len(r["phone"])) for r in out.select("privacy", "privacy_.text", "privacy_.card", "privacy_.phone").collect())
+    assert got == [("", "call [PHONE]", 0, 1), ("p", "[PHONE] end", 1, 1), ("q", "[PHONE] end", 1, 1)]
+    assert op.sanitise(docs.limit(0)).count() == 0
+
+
+def test_whole_query(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    found, _ = plain([r["text"] for r in rows])
+    got = {r["doc_id"]: r for r in op.op12_privacy(spark, SF).collect()}
+    assert len(got) == len(rows)
+    for row, own in zip(rows, found):
+        mine = got[row["doc_id"]]
+        assert mine["base_sha256"] == hashlib.sha256(listed(own, PLAIN).encode()).hexdigest()
+        assert mine["spans"] == listed(own, (*PLAIN, "term"))
+        assert [mine[f"n_{k}"] for k in PLAIN] == [len(own[k]) for k in PLAIN]
+
+
+@pytest.mark.parametrize("size", [0, 1, 255, 256, 257, 1000])
+def test_running_totals(spark, size):
+    values = [(i * 7) % 11 for i in range(size)]
+    got = spark.createDataFrame([(values,)], "v array<int>").select(op.running(F.col("v"), lambda a, b: a + b).alias("s")).first()["s"]
+    assert got == [sum(values[: i + 1]) for i in range(size)]
+
+
+def test_no_python_in_the_plan(spark):
+    plan = op.op12_privacy(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
