@@ -59,7 +59,7 @@ def weights(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def document_counts(docs: DataFrame, text: str) -> np.ndarray:
-    """In how many of all texts each hashed n-gram occurs, and how many texts have letters (last)."""
+    """In how many texts each hashed n-gram occurs, and how many texts have letters (last)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(DIMS + 1, dtype=np.int64)
@@ -117,17 +117,18 @@ class Centroids:
         return self.names[best], float(min(max(cosine[best], 0), 1)), bool(cosine[best] < min(NEAR, values.sum() * self.chance[best]))
 
 
-def learn(docs: DataFrame, known: DataFrame, text: str = "text") -> Centroids:
-    """Centroids from ``known`` rows (``doc_id``, ``lang``, text), with n-gram statistics of all ``docs``.
+def learn(known: DataFrame, text: str = "text") -> Centroids:
+    """Centroids and n-gram statistics from ``known`` rows (``doc_id``, ``lang``, text), and from no others.
 
-    A language is learned from its SAMPLE rows with the lowest hash of
+    Of the rows with a language all count in how many texts an n-gram occurs. A language is learned from its SAMPLE rows with the lowest hash of
     ``doc_id``; the sample is chosen by id and language alone and only then
     joined to the texts. Rows without language, ``doc_id`` or letters teach
     nothing. Grouped tasks and the model are bounded by the number of languages.
     """
-    seen = document_counts(docs, text)
+    known = known.where("lang IS NOT NULL")
+    seen = document_counts(known, text)
     idf = (np.log((1 + seen[DIMS]) / (1 + seen[:DIMS])) + 1).astype(np.float32)
-    chosen = lowest_hashes(known.where("lang IS NOT NULL AND doc_id IS NOT NULL").select("lang", "doc_id").distinct(), SAMPLE, "lang")
+    chosen = lowest_hashes(known.where("doc_id IS NOT NULL").select("lang", "doc_id").distinct(), SAMPLE, "lang")
 
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:
         rows = np.zeros((len(frame), DIMS), dtype=np.float32)
@@ -157,6 +158,7 @@ def learn(docs: DataFrame, known: DataFrame, text: str = "text") -> Centroids:
 def identify(docs: DataFrame, model: Centroids, text: str = "text", name: str = "language") -> DataFrame:
     """``docs`` with one more column ``name``: ``lang_pred``, ``score`` (cosine, 0 to 1) and ``rejected``.
 
+    Where ``docs`` has a column of that name, underscores are added to the new one.
     ``und`` with score 0, and rejected, are null texts, texts without a letter,
     and all texts if nothing was learned. Ties go to the language first in
     alphabet. No row is moved or dropped.
@@ -168,7 +170,7 @@ def identify(docs: DataFrame, model: Centroids, text: str = "text", name: str =
         model = shared.value
         return pd.DataFrame([model.nearest(t) for t in texts], columns=["lang_pred", "score", "rejected"])
 
-    return docs.withColumn(name, look(F.col(text).cast("string")))
+    return docs.withColumn(free_name(docs, name), look(F.col(text).cast("string")))
 
 
 def held_out(part: int, parts: int = 4):
@@ -178,7 +180,7 @@ def held_out(part: int, parts: int = 4):
 
 def learned_model(docs: DataFrame) -> Centroids:
     """The production model: learned from rows whose crc32(doc_id) mod 4 is not 2."""
-    return learn(docs, docs.where(~held_out(2)))
+    return learn(docs.where(~held_out(2)))
 
 
 def drop_rejected(docs: DataFrame) -> DataFrame:

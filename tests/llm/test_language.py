@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from nearfield.llm import language as op
 
@@ -60,6 +61,21 @@ def test_statistics_count_all_documents(spark):
     assert (seen[:-1] == has.sum(axis=0)).all() and seen[-1] == has.any(axis=1).sum()
 
 
+def test_held_out_texts_and_rows_without_language_teach_nothing(spark):
+    _, frame = rows_of(spark)
+    secret = op.held_out(2) | F.col("lang").isNull()
+    other = frame.withColumn("text", F.when(secret, F.lit("zzz qqq")).otherwise(F.col("text")))
+    assert frame.where(secret & F.col("lang").isNotNull()).count() > 20
+    one, two = op.learned_model(frame), op.learned_model(other)
+    assert one.names == two.names and (one.idf == two.idf).all() and (one.centers == two.centers).all()
+
+
+def test_a_column_of_the_same_name_stays(spark):
+    _, frame = rows_of(spark)
+    out = op.identify(frame, op.learned_model(frame))
+    assert out.columns == [*frame.columns, "language_"] and dict(out.dtypes)["language"] == "string"
+
+
 def test_rejected_go_and_empty_tables(spark):
     _, frame = rows_of(spark)
     kept = op.drop_rejected(frame)
