@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.llm.components import connected
 from nearfield.llm.frames import columns, free_name
 from nearfield.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 8  # words on either side of an entity, in its line, that make up its context
-SUPPORT = 2  # different contexts of an entity in which a term has to stand before it can disclose it
-SHARE = 0.75  # of an entity's information: a term that gives away so much of it discloses it
+SUPPORT = 2  # different passages about an entity in which a term has to stand before it can disclose it
+RARE = 0.05  # chance of a window to hold a word, below which the word tells passages apart
+BANDS, LEAST = 8, 2  # keys of a context, and least word hashes that make up a key: copies of a passage share one
+SHARE = 0.9  # of an entity's information: a term that gives away so much of it discloses it
 STEM = 3  # letters of a term that its generalisation keeps
 BROADCAST_TERMS = 200_000  # so many terms or documents with terms (below 50 MB) travel to the documents; more are joined
 
@@ -108,6 +111,8 @@ def bases(text: Column) -> dict[str, Column]:
 
 def entity(kind: str, value: Column) -> Column:
     """One spelling of a value, however it is written."""
+    if kind == "ip":
+        return value
     return F.lower(F.translate(value, MARK, ".")) if kind == "email" else digits(value)
 
 
@@ -157,36 +162,57 @@ def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
     return words.where("term IS NOT NULL").groupBy(F.lower("term").alias("term")).agg(F.count("*").alias("n"))
 
 
+def passages(spots: DataFrame, chances: DataFrame) -> DataFrame:
+    """``spots`` ``(spot, kind, entity, words)`` with ``passage``, the lowest spot of the copies of a passage.
+
+    Contexts of an entity are copies of one passage if they share a key of least
+    hashes of their rare words, or through others that do; ``chances`` are ``(term,
+    chance)``. Contexts without a rare word count as one passage. An entity with
+    very many contexts is counted by key and joined, never listed.
+    """
+    words = spots.select("spot", F.explode("words").alias("term")).join(chances.where(F.col("chance") < RARE), "term")
+    least = [F.min(F.xxhash64(F.concat(F.lit(f"{i}:"), "term"))) for i in range(BANDS * LEAST)]
+    keys = F.array(*(F.xxhash64(F.lit(b), *least[b * LEAST : (b + 1) * LEAST]) for b in range(BANDS)))
+    keyed = spots.join(words.groupBy("spot").agg(keys.alias("keys")), "spot", "left")
+    own = keyed.select("kind", "entity", "spot", F.explode(F.coalesce("keys", F.array(F.lit(0).cast("long")))).alias("key"))
+    lowest = own.groupBy("kind", "entity", "key").agg(F.min("spot").alias("first"))
+    links = own.join(lowest, ["kind", "entity", "key"]).select(F.col("spot").alias("a"), F.col("first").alias("b"))
+    groups = connected(links).select(F.col("node").alias("spot"), F.col("root"))
+    return spots.join(groups, "spot", "left").select("kind", "entity", "words", "n", F.coalesce("root", "spot").alias("passage"))
+
+
 def disclosing(docs: DataFrame, text: str = "text", support: int = SUPPORT, share: float = SHARE) -> DataFrame:
     """``(term, replacement)``: words whose presence gives an entity away, and what to write for them.
 
-    Of the D different contexts of an entity, a term stands in d. Its pointwise
+    Of the D different passages around an entity, a term stands in d. Its pointwise
     mutual information with the entity is log2((d / D) / p(term)), where p is the
     chance of a window of the corpus to hold the term, 2 WINDOW n / N for a term
     that is n of the N words; the entity's own information is -log2(p(entity)).
-    A term discloses the entity if it stands in ``support`` different contexts or
-    more and gives away ``share`` of that information. Copies of a context are one
-    piece of evidence, so that copied documents alone disclose nothing.
+    A term discloses the entity if it stands in ``support`` different passages or
+    more and gives away ``share`` of that information. Copies and near copies of a
+    passage are one piece of evidence (``passages``), so that copied documents
+    alone disclose nothing.
 
     A term is generalised to its first STEM letters and a star, unless all words
     that begin so, taken as one term, would disclose one of the entities as well;
     then it is removed (the empty text).
     """
-    spots = cut_lineage(contexts(docs, text))
     counts = cut_lineage(vocabulary(docs, text))
     total = float(counts.agg(F.sum("n")).first()[0] or 0)
+    spots = cut_lineage(contexts(docs, text)).withColumn("spot", F.monotonically_increasing_id())
 
     def chance(n: Column) -> Column:
         return F.least(F.lit(1.0), 2.0 * WINDOW * n / F.lit(max(total, 1.0)))
 
+    spots = cut_lineage(passages(spots, counts.select("term", chance(F.col("n")).alias("chance"))))
     known = ["kind", "entity"]
-    entities = spots.groupBy(*known).agg(F.count("*").alias("all"), F.sum("n").alias("n")).where(F.col("all") >= support)
+    entities = spots.groupBy(*known).agg(F.count_distinct("passage").alias("all"), F.sum("n").alias("n")).where(F.col("all") >= support)
     entities = entities.select(*known, "all", (-F.log2(chance(F.col("n")))).alias("information"))
 
     def told(term: Column, name: str, held: DataFrame) -> DataFrame:
         """Terms of the contexts by entity, with what they give away."""
-        seen = spots.select(*known, F.explode_outer(F.array_distinct(F.transform("words", lambda w: term(w)))).alias(name)).where(f"{name} IS NOT NULL")
-        seen = seen.groupBy(*known, name).agg(F.count("*").alias("both")).where(F.col("both") >= support)
+        seen = spots.select(*known, "passage", F.explode_outer(F.array_distinct(F.transform("words", lambda w: term(w)))).alias(name)).where(f"{name} IS NOT NULL")
+        seen = seen.groupBy(*known, name).agg(F.count_distinct("passage").alias("both")).where(F.col("both") >= support)
         given = F.log2(F.col("both") / F.col("all") / chance(F.col("n")))
         return seen.join(entities, known).join(held, name).select(
             *known, name, ((given >= share * F.col("information")) & (F.col("information") > 0)).alias("tells")

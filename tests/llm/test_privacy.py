@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 
 import pytest
 import regex
+import xxhash
+from brute import components
 from pyspark.sql import functions as F
 
 from nearfield.llm import privacy as op
@@ -54,19 +56,31 @@ def plain(texts, support=op.SUPPORT, share=op.SHARE):
     for t in texts:
         spans = sorted((s, e, k) for k, own in base(t).items() for s, e in own)
         for i, (s, e, k) in enumerate(spans):
-            value = t[s:e].lower() if k == "email" else digits(t[s:e])
+            value = t[s:e].lower() if k in ("email", "ip") else digits(t[s:e])
             left = t[spans[i - 1][1] if i else 0 : s].rsplit("\n", 1)[-1]
             right = t[e : spans[i + 1][0] if i + 1 < len(spans) else len(t)].split("\n", 1)[0]
             near = [w for *_, w in words(left)][-op.WINDOW :] + [w for *_, w in words(right)][: op.WINDOW]
             spots[k, value, tuple(sorted(set(near)))] += 1
 
+    # copies of a passage: contexts of an entity with a key of least hashes of rare words in common
+    order, keys = sorted(spots), defaultdict(list)
+    for i, (k, v, near) in enumerate(order):
+        rare = [w for w in near if min(1, 2 * op.WINDOW * count[w] / total) < op.RARE]
+        least = [min(xxhash.xxh64(f"{j}:{w}".encode(), seed=42).intdigest() - (1 << 64) * (xxhash.xxh64(f"{j}:{w}".encode(), seed=42).intdigest() >> 63) for w in rare) if rare else 0 for j in range(op.BANDS * op.LEAST)]
+        for b in range(op.BANDS):
+            keys[k, v, b if rare else -1, tuple(least[b * op.LEAST : (b + 1) * op.LEAST])].append(i)
+    group = components(range(len(order)), [(own[0], i) for own in keys.values() for i in own])
+    passage = {spot: group[i] for i, spot in enumerate(order)}
+
     def tells(name, held):
-        seen, every, stands = defaultdict(int), Counter(), Counter()
+        different, every_passage, stands = defaultdict(set), defaultdict(set), Counter()
         for (k, v, near), n in spots.items():
-            every[k, v] += 1
+            every_passage[k, v].add(passage[k, v, near])
             stands[k, v] += n
             for x in {name(w) for w in near}:
-                seen[k, v, x] += 1
+                different[k, v, x].add(passage[k, v, near])
+        seen = {key: len(own) for key, own in different.items()}
+        every = {key: len(own) for key, own in every_passage.items()}
         out = set()
         for (k, v, x), both in seen.items():
             chance = [min(1, 2 * op.WINDOW * n / total) for n in (held[x], stands[k, v])]
@@ -117,9 +131,14 @@ def disclosing_texts():
     common = ["the", "of", "and", "with", "under", "over", "into", "from"]
     texts = [" ".join(rng.choice(common) for _ in range(60)) for _ in range(200)]
     for i in range(6):  # in six different contexts, three of them copied, the name stands near the address
-        texts[i] += f"\n{rng.choice(common)} {i * 'so '}Kowalski wrote from k{'o' * 2}@acme.example.org {rng.choice(common)}\nKowalski and the of"
+        rest = [" ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(4)) for _ in range(2)]
+        texts[i] += f"\n{rest[0]} Kowalski wrote from koo@acme.example.org {rest[1]}\nKowalski and the of"
     texts += [texts[0]] * 3
     texts += ["once upon Zanzibar mail one@two.three here"] * 50  # copies of one context disclose nothing
+    near = "lorem ipsum dolor sit amet consectetur elit Zanzibar nine@two.three sed eiusmod tempor incididunt labore magna aliqua".split()
+    for i in range(len(near)):  # nor do near copies
+        if "@" not in near[i] and near[i] != "Zanzibar":
+            texts.append(" ".join(near[:i] + [f"new{chr(97 + i)}"] + near[i + 1 :]))
     texts[100] += " a kowalska, KOWALSKI's and Zanzibar"
     texts += [None, "", "xy " * 70_000]
     return texts
@@ -127,9 +146,9 @@ def disclosing_texts():
 
 def test_terms_that_disclose_are_those_of_plain_counts(spark):
     texts = disclosing_texts()
-    found, replacement = plain(texts)
+    found, replacement = plain(texts, share=0.75)
     assert "kowalski" in replacement and "zanzibar" not in replacement and "the" not in replacement
-    got = run(spark, texts)
+    got = run(spark, texts, share=0.75)
     for i, own in enumerate(found):
         for kind in (*PLAIN, "term"):
             assert [(s["start"], s["end"]) for s in got[i][kind]] == own[kind]
@@ -140,11 +159,11 @@ def test_terms_that_disclose_are_those_of_plain_counts(spark):
 
 def test_a_term_whose_class_tells_as_much_is_removed(spark):
     texts = disclosing_texts()
-    _, replacement = plain(texts)
+    _, replacement = plain(texts, share=0.75)
     assert replacement["kowalski"] == ""  # hardly another word begins with these letters
     texts += ["kowtow kowloon " * 4000]
-    assert plain(texts)[1]["kowalski"] == "kow*"
-    assert "kow*" in run(spark, texts)[0]["text"]
+    assert plain(texts, share=0.75)[1]["kowalski"] == "kow*"
+    assert "kow*" in run(spark, texts, share=0.75)[0]["text"]
 
 
 def test_overlapping_spans_and_columns_with_clashing_names(spark):
