@@ -9,9 +9,14 @@ from pyspark.sql import types as T
 
 from nearfield.functions.hashing import shard_of
 from nearfield.operators.blocks import METRICS, in_chunks, map_vectors, matrix
+from nearfield.operators.corpus import dense_id
 from nearfield.operators.exact import within_distance
+from nearfield.operators.ivf import assign
+from nearfield.operators.metric_join import choose_pivots, first_within, leaders
 from nearfield.session import cut_lineage
 
+HELD = 1000  # leaders found head by head and sent to every task; more are found in parallel rounds
+
 _l2 = METRICS["l2"].score
 
 
@@ -80,14 +85,17 @@ def find_leaders(df: DataFrame, dist: float, m: int = 1000, probe: int = 512, id
 
 
 def shard_by_distance(
-    df: DataFrame, dist: float, m: int = 1000, probe: int = 512, id: str = "id", vec: str = "vector"
+    df: DataFrame, dist: float, m: int | None = HELD, probe: int = 512, id: str = "id", vec: str = "vector"
 ) -> DataFrame:
     """``(id, shard_id, leader, overflow)``: every point goes to the first leader within ``dist``.
 
     Once ``m`` leaders exist, points out of reach of all of them go to the
     nearest one with ``overflow`` set, so every point has a shard. A row without
-    a vector keeps its place with nulls.
+    a vector keeps its place with nulls. Up to HELD leaders are found head by head;
+    for more of them, or as many as it takes (``m=None``), see ``shard_by_leaders``.
     """
+    if m is None or m > HELD:
+        return shard_by_leaders(df, dist, m, id=id, vec=vec)
     ids, vectors = find_leaders(df, dist, m, probe, id, vec)
     points = df.select(F.col(id).alias("id"), F.col(vec).alias("vector"))
     fields = [T.StructField(n, T.LongType()) for n in ("shard_id", "leader", "_over")]
@@ -105,3 +113,25 @@ def shard_by_distance(
 
     placed = map_vectors(points, "vector", place, fields, keep=False)
     return placed.select("id", "shard_id", "leader", (F.col("_over") == 1).alias("overflow"))
+
+
+def shard_by_leaders(df: DataFrame, dist: float, m: int | None = None, id: str = "id", vec: str = "vector", **options) -> DataFrame:
+    """``shard_by_distance`` for any number of leaders, which neither the driver nor a task holds.
+
+    Leaders come from parallel rounds (``leaders``), and points look for the first
+    one in reach inside pivot cells. Ids are distinct.
+    """
+    points = cut_lineage(df.select(F.col(id).cast("long").alias("id"), F.col(vec).alias("vector")))
+    led = cut_lineage(dense_id(leaders(points, dist, m, **options), "id", out="shard_id", start=0))
+    filed, pivots = choose_pivots(led)
+    rows = filed.select("cell", "id", F.col("vector").alias("v"))
+    first = cut_lineage(first_within(points, rows, pivots, dist))
+    numbers = led.select(F.col("id").alias("first"), F.col("shard_id"))
+    near = points.join(first.join(numbers, "first"), "id", "left")
+    placed = near.select("id", "vector", "shard_id", F.col("first").alias("leader"), F.lit(False).alias("overflow"))
+    if m is None:
+        return placed.select("id", "shard_id", "leader", F.when(F.col("shard_id").isNotNull(), F.col("overflow")).alias("overflow"))
+    away = assign(placed.where("shard_id IS NULL").select("id", "vector"), led.select(F.col("shard_id").alias("cell"), "vector"))
+    away = away.select("id", F.col("cell").alias("shard_id")).join(led.select("shard_id", F.col("id").alias("leader")), "shard_id", "left")
+    away = away.select("id", "shard_id", "leader", F.when(F.col("shard_id").isNotNull(), F.lit(True)).alias("overflow"))
+    return placed.where("shard_id IS NOT NULL").select("id", "shard_id", "leader", "overflow").unionByName(away)

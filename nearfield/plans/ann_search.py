@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from nearfield.operators import graph as G
 from nearfield.operators import ivf, lsh
+from nearfield.operators import metric_join as J
 from nearfield.operators import sharding as S
 from nearfield.operators.evaluation import recall_at_k
 from nearfield.operators.exact import within_distance
@@ -70,6 +71,17 @@ ORACLES["ivf_search"] = (
 )
 
 
+def ivf_search_routed(spark, sf_dir):
+    """The same search with queries sent to the cells they probe, as it is done for any number of queries."""
+    means = class_means(spark, sf_dir)
+    index = ivf.ivf_build(corpus(spark, sf_dir), means, digits=DIGITS)
+    return ivf.ivf_search_routed(vector_queries(spark, sf_dir), index, means, 10, NPROBE, digits=DIGITS)
+
+
+QUERIES["ivf_search_routed"] = ivf_search_routed
+ORACLES["ivf_search_routed"] = ORACLES["ivf_search"]
+
+
 def recall_at_10(spark, sf_dir):
     return recall_at_k(ivf_search(spark, sf_dir), knn_cosine(spark, sf_dir), 10)
 
@@ -227,7 +239,8 @@ def shard_by_distance(spark, sf_dir):
     return _shards(spark, sf_dir)
 
 
-SHARDS_SQL = f"""
+def shards_sql(m: int) -> str:
+    return f"""
 p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
 gap AS (SELECT a.id AS a, b.id AS b, list_distance(a.v, b.v) AS d FROM p a, p b),
 reach AS (SELECT a, list(b) AS bs FROM gap WHERE d <= {RADIUS} GROUP BY a),
@@ -236,14 +249,23 @@ rec(n, leader, covered) AS (
   UNION ALL
   SELECT n + 1, r.a, list_distinct(list_concat(covered, r.bs))
   FROM rec, reach r
-  WHERE n < 40 AND r.a = (SELECT min(x) FROM (SELECT unnest(list_filter((SELECT list(id) FROM p), lambda i: NOT list_contains(covered, i))) AS x))),
+  WHERE n < {m} AND r.a = (SELECT min(x) FROM (SELECT unnest(list_filter((SELECT list(id) FROM p), lambda i: NOT list_contains(covered, i))) AS x))),
 led AS (SELECT n - 1 AS shard, leader FROM rec),
 opt AS (SELECT b AS id, shard, leader, d, row_number() OVER (PARTITION BY b ORDER BY CASE WHEN d <= {RADIUS} THEN 0 ELSE 1 END,
           CASE WHEN d <= {RADIUS} THEN shard END, d, shard) AS r FROM led JOIN gap ON gap.a = leader),
 shards AS (SELECT id, shard::BIGINT AS shard_id, leader, d > {RADIUS} AS overflow FROM opt WHERE r = 1)"""
 
 QUERIES["shard_by_distance"] = shard_by_distance
-ORACLES["shard_by_distance"] = "WITH RECURSIVE " + SHARDS_SQL + " SELECT id, shard_id, leader, overflow FROM shards"
+ORACLES["shard_by_distance"] = "WITH RECURSIVE " + shards_sql(40) + " SELECT id, shard_id, leader, overflow FROM shards"
+
+
+def shard_by_leaders(spark, sf_dir):
+    """As many leaders as it takes, found in parallel rounds."""
+    return S.shard_by_leaders(corpus(spark, sf_dir), RADIUS, head=128, pivots=8)
+
+
+QUERIES["shard_by_leaders"] = shard_by_leaders
+ORACLES["shard_by_leaders"] = "WITH RECURSIVE " + shards_sql(1_000_000) + " SELECT id, shard_id, leader, overflow FROM shards"
 
 
 def shard_counts(spark, sf_dir):
@@ -251,7 +273,7 @@ def shard_counts(spark, sf_dir):
 
 
 QUERIES["shard_counts"] = shard_counts
-ORACLES["shard_counts"] = "WITH RECURSIVE " + SHARDS_SQL + " SELECT shard_id, count(*) AS n FROM shards GROUP BY shard_id"
+ORACLES["shard_counts"] = "WITH RECURSIVE " + shards_sql(40) + " SELECT shard_id, count(*) AS n FROM shards GROUP BY shard_id"
 
 
 def hash_shards(spark, sf_dir):
@@ -339,3 +361,18 @@ ORACLES["graph_search_whole"] = (
     + ranked_sql("list_distance(q.q, c.v)", k=5, direction="ASC")
     + " SELECT query_id, rank, id, s AS distance FROM hits"
 )
+
+# --- joins by distance ---------------------------------------------------------------------------------
+
+
+def distance_join(spark, sf_dir):
+    """All pairs of vectors within a radius, each once."""
+    rows = corpus(spark, sf_dir).select("id", "vector")
+    return J.distance_join(rows, rows, RADIUS, digits=DIGITS, only="earlier", pivots=16)
+
+
+QUERIES["distance_join"] = distance_join
+ORACLES["distance_join"] = f"""
+WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+d AS (SELECT a.id AS query_id, b.id, round(list_distance(a.v, b.v), {DIGITS}) AS distance FROM e a JOIN e b ON b.id < a.id)
+SELECT * FROM d WHERE distance <= {RADIUS}"""
