@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.hashing import md5_hex
-from nearfield.operators.blocks import Within, in_chunks, matrix, metric_named
+from nearfield.operators.blocks import Metric, Within, in_chunks, matrix, metric_named
 from nearfield.operators.cells import Lowest, score_cells
 from nearfield.operators.ivf import as_frame, assign
 from nearfield.session import cut_lineage
@@ -20,6 +20,7 @@ METRIC = ("l2", "l1")  # distances of vectors that keep the triangle inequality
 PIVOTS = 2048  # pivots sent to every task at most
 PIVOT_ROWS = 512  # rows a pivot stands for, until there are PIVOTS of them
 SLACK = 1e-9  # of the distances compared, for rounding in their sums
+PAIRS = 1 << 16  # pairs whose differences are computed at once
 HEAD = 4096  # points among which leaders are settled first; each phase takes twice as many
 
 
@@ -34,6 +35,30 @@ class Pivots:
     metric: str
 
 
+def up_to(name: str, radius: float) -> Metric:
+    """The metric where it is about ``radius`` at most, infinite elsewhere.
+
+    Euclidean distances are first estimated from products, which are much cheaper,
+    and only pairs that may be near enough are computed from their differences.
+    """
+    metric = metric_named(name)
+    if name != "l2":
+        return metric
+
+    def score(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+        own, other = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", c, c)
+        sums = own[:, None] + other[None, :]
+        row, col = np.nonzero(sums - 2 * (q @ c.T) <= radius * radius + SLACK * (1 + sums))
+        out = np.full((len(q), len(c)), np.inf)
+        for at in range(0, len(row), PAIRS):
+            i, j = row[at : at + PAIRS], col[at : at + PAIRS]
+            gap = q[i] - c[j]
+            out[i, j] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+        return out
+
+    return Metric(score, ascending=True)
+
+
 def choose_pivots(df: DataFrame, metric: str = "l2", pivots: int | None = None) -> tuple[DataFrame, Pivots]:
     """``df`` ``(id, vector)`` with ``cell`` and ``cell_distance`` of its nearest pivot, and the pivots: rows with the lowest md5 of their id."""
     if metric not in METRIC:
@@ -96,13 +121,25 @@ def distance_join(
     margin = 0.0 if digits is None else 10.0**-digits
     asked = within_reach(left, chosen, radius + margin)
     rows = filed.select("cell", "id", F.col("vector").alias("v"))
-    found = score_cells(asked, rows, metric_named(metric), lambda: Within(radius), digits, only)
+    found = score_cells(asked, rows, up_to(metric, radius + margin), lambda: Within(radius), digits, only)
     return found.withColumnRenamed("value", "distance")
 
 
+def count_within(left: DataFrame, right: DataFrame, radius: float, **options) -> DataFrame:
+    """``(id, n_links, lowest, nearest)`` of the points of ``left`` with partners: how many, the lowest id and the least distance.
+
+    Pairs are summed up where they are found, so a point with very many partners
+    is a few rows per task. Options as for ``distance_join``.
+    """
+    pairs = distance_join(left, right, radius, **options)
+    return pairs.groupBy(F.col("query_id").alias("id")).agg(
+        F.count("*").alias("n_links"), F.min("id").alias("lowest"), F.min("distance").alias("nearest")
+    )
+
+
 def first_within(points: DataFrame, rows: DataFrame, pivots: Pivots, radius: float) -> DataFrame:
     """``(id, first)``: the lowest id of ``rows`` ``(cell, id, v)`` within ``radius`` of each point that has one."""
-    found = score_cells(within_reach(points, pivots, radius), rows, metric_named(pivots.metric), lambda: Lowest(radius))
+    found = score_cells(within_reach(points, pivots, radius), rows, up_to(pivots.metric, radius), lambda: Lowest(radius))
     return found.groupBy(F.col("query_id").alias("id")).agg(F.min(F.col("id")).alias("first"))
 
 

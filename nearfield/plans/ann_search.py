@@ -366,13 +366,15 @@ ORACLES["graph_search_whole"] = (
 
 
 def distance_join(spark, sf_dir):
-    """All pairs of vectors within a radius, each once."""
+    """All vectors joined with themselves by distance: partners of each, how many there are and the nearest."""
     rows = corpus(spark, sf_dir).select("id", "vector")
-    return J.distance_join(rows, rows, RADIUS, digits=DIGITS, only="earlier", pivots=16)
+    links = J.count_within(rows, rows, 1.05, digits=DIGITS, only="others", pivots=16)
+    return rows.select("id").join(links, "id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
 
 
 QUERIES["distance_join"] = distance_join
 ORACLES["distance_join"] = f"""
 WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
-d AS (SELECT a.id AS query_id, b.id, round(list_distance(a.v, b.v), {DIGITS}) AS distance FROM e a JOIN e b ON b.id < a.id)
-SELECT * FROM d WHERE distance <= {RADIUS}"""
+d AS (SELECT a.id, b.id AS other, round(list_distance(a.v, b.v), {DIGITS}) AS distance FROM e a JOIN e b ON b.id <> a.id),
+near AS (SELECT id, count(*) AS n_links, min(other) AS lowest, min(distance) AS nearest FROM d WHERE distance <= 1.05 GROUP BY id)
+SELECT e.id, coalesce(n_links, 0) AS n_links, lowest, nearest FROM e LEFT JOIN near USING (id)"""
