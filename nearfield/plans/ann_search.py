@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from nearfield.operators import descent
 from nearfield.operators import graph as G
 from nearfield.operators import ivf, lsh
 from nearfield.operators import metric_join as J
 from nearfield.operators import sharding as S
+from nearfield.operators.blocks import best_pairs
 from nearfield.operators.evaluation import recall_at_k
 from nearfield.operators.exact import within_distance
+from nearfield.operators.topk import top_k
 from nearfield.plans.inputs import DIGITS, DIMS, corpus, queries_sql, ranked_sql, vector_queries
 from nearfield.plans.vector_search import COS, knn_cosine
 from nearfield.session import scratch_path
@@ -17,6 +22,8 @@ from nearfield.session import scratch_path
 QUERIES = {}
 ORACLES = {}
 
+FIRST = 64  # nodes compared all with all before the others descend, few enough that small tables descend too
+
 # --- clustered search --------------------------------------------------------------
 
 NPROBE = 3
@@ -261,7 +268,7 @@ ORACLES["shard_by_distance"] = "WITH RECURSIVE " + shards_sql(40) + " SELECT id,
 
 def shard_by_leaders(spark, sf_dir):
     """As many leaders as it takes, found in parallel rounds."""
-    return S.shard_by_leaders(corpus(spark, sf_dir), RADIUS, head=128, pivots=8)
+    return S.shard_by_leaders(corpus(spark, sf_dir), RADIUS)
 
 
 QUERIES["shard_by_leaders"] = shard_by_leaders
@@ -301,6 +308,28 @@ QUERIES["knn_graph"] = knn_graph
 ORACLES["knn_graph"] = "WITH " + GRAPH_SQL + " SELECT src, dst FROM edges"
 
 
+def knn_graph_descent(spark, sf_dir):
+    """The same graph, found at a cost linear in the nodes."""
+    return descent.knn_graph_descent(corpus(spark, sf_dir), 5, digits=DIGITS, first=FIRST)
+
+
+QUERIES["knn_graph_descent"] = knn_graph_descent
+
+
+def knn_graph_recall(spark, sf_dir):
+    """How much of the exact neighbours descent finds, for every node whose id is divisible by 100."""
+    rows = corpus(spark, sf_dir)
+    asked = F.col("query_id") % 100 == 0
+    found = descent.knn_edges_descent(rows, 5, digits=DIGITS, first=FIRST).select(F.col("src").alias("query_id"), F.col("dst").alias("id"))
+    some = rows.where(F.col("id") % 100 == 0).select(F.col("id").alias("query_id"), F.col("vector").alias("q"))
+    exact = top_k(best_pairs(some, rows, 5, "l2", digits=DIGITS, only="earlier"), 5, score="value", ascending=True)
+    ranked = found.where(asked).withColumn("rank", F.lit(1).cast("long"))
+    return recall_at_k(ranked, exact.select("query_id", "rank", "id"), 5)
+
+
+QUERIES["knn_graph_recall"] = knn_graph_recall
+
+
 def degree_rank(spark, sf_dir):
     return G.degree_rank(knn_graph(spark, sf_dir))
 
@@ -334,6 +363,17 @@ SELECT round(sum(hops)::DOUBLE / count(*), {DIGITS}) AS average_path, count(*) A
 )
 
 
+def avg_path_sketch(spark, sf_dir):
+    """The mean path of the whole graph, estimated with one sketch per node."""
+    from nearfield.session import cut_lineage
+
+    edges = cut_lineage(knn_graph_descent(spark, sf_dir))
+    return G.average_path_sketch(corpus(spark, sf_dir).select("id"), edges)
+
+
+QUERIES["avg_path_sketch"] = avg_path_sketch
+
+
 def graph_search(spark, sf_dir):
     from nearfield.session import cut_lineage
 
@@ -368,7 +408,7 @@ ORACLES["graph_search_whole"] = (
 def distance_join(spark, sf_dir):
     """All vectors joined with themselves by distance: partners of each, how many there are and the nearest."""
     rows = corpus(spark, sf_dir).select("id", "vector")
-    links = J.count_within(rows, rows, 1.05, digits=DIGITS, only="others", pivots=16)
+    links = J.count_within(rows, rows, 1.05, digits=DIGITS, only="others")
     return rows.select("id").join(links, "id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
 
 
@@ -378,3 +418,16 @@ WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
 d AS (SELECT a.id, b.id AS other, round(list_distance(a.v, b.v), {DIGITS}) AS distance FROM e a JOIN e b ON b.id <> a.id),
 near AS (SELECT id, count(*) AS n_links, min(other) AS lowest, min(distance) AS nearest FROM d WHERE distance <= 1.05 GROUP BY id)
 SELECT e.id, coalesce(n_links, 0) AS n_links, lowest, nearest FROM e LEFT JOIN near USING (id)"""
+
+
+def graph_search_stored(spark, sf_dir):
+    """A whole search over the graph as a stored table of neighbours."""
+    rows = corpus(spark, sf_dir)
+    name = f"graph_{uuid.uuid4().hex}"
+    graph = G.StoredGraph(spark, name).save(rows, knn_graph(spark, sf_dir), scratch_path(spark, name))
+    hits = graph.search(vector_queries(spark, sf_dir), k=5, m=5, beam=rows.count())
+    return hits.withColumn("distance", F.round("distance", DIGITS))
+
+
+QUERIES["graph_search_stored"] = graph_search_stored
+ORACLES["graph_search_stored"] = ORACLES["graph_search_whole"]
