@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 K = 10  # code points of an anchor
 S = 4  # code points of the inner substrings compared
-KEPT = 64  # anchors of a fingerprint: those with the lowest hashes
+KEPT = 64  # anchors of a fingerprint, those with the lowest hashes, at least,
+DENSE = 1 << 26  # and all whose 32-bit hash is lower than this, one in 64: about one anchor in 224 code points of any text
 DRIFT = 64  # code points by which the offsets of matching anchors may differ
 PIECE = 65_536  # code points handled at once; longer texts are cut with K - 1 code points of overlap
 
@@ -54,14 +55,14 @@ def _whole(text: str) -> np.ndarray:
 
 
 def _lowest(row: np.ndarray, code: np.ndarray, place: np.ndarray):
-    """First place of each code of a row, and of those the KEPT lowest codes per row."""
+    """First place of each code of a row, and of those the KEPT lowest codes per row and all below DENSE."""
     order = np.lexsort((place, (row.astype(np.uint64) << np.uint64(32)) | code.astype(np.uint64)))
     row, code, place = row[order], code[order], place[order]
     first = np.ones(len(row), dtype=bool)
     first[1:] = (row[1:] != row[:-1]) | (code[1:] != code[:-1])
     row, code, place = row[first], code[first], place[first]
     rank = np.arange(len(row)) - np.searchsorted(row, row)
-    low = rank < KEPT
+    low = (rank < KEPT) | (code < DENSE)
     return row[low], code[low], place[low]
 
 
@@ -81,8 +82,10 @@ def _portions(texts: list[str]) -> Iterator[list[tuple[int, int, str]]]:
 
 
 def fingerprints(texts: list[str]) -> list[str]:
-    """A fingerprint per text: the KEPT anchors with the lowest 32-bit hashes, as hash and place, 16 hex digits each.
+    """A fingerprint per text: the anchors with the lowest 32-bit hashes, as hash and place, 16 hex digits each.
 
+    These are the KEPT lowest and all below DENSE, so the anchors kept of a passage
+    do not become fewer as the text around it grows.
     A text without an anchor, such as one of fewer than K code points, has its
     own hash at place 0; an empty text has the empty fingerprint. Of an anchor
     that occurs again the first place counts.
@@ -113,11 +116,16 @@ def fingerprints(texts: list[str]) -> list[str]:
     return out
 
 
+def _complete(anchors: np.ndarray) -> int:
+    """The hash up to which a fingerprint has all anchors of its text."""
+    return max(int(anchors[-1, 0]), DENSE - 1) if len(anchors) >= KEPT else 1 << 32
+
+
 def likeness(a: str, b: str) -> float:
     """Share of anchors (0 to 1) that two texts have in common at matching places, from their fingerprints.
 
-    Of the lowest anchors of both, those count that occur in both and whose
-    offset lies in the DRIFT wide band with most of them; m of u of them give
+    Of the anchors of both, up to the hash to which both fingerprints have all, those
+    count that occur in both and whose offset lies in the DRIFT wide band with most of them; m of u of them give
     2 m / (u + m). Equal fingerprints give 1, an empty one beside another 0.
     """
     if a == b:
@@ -126,7 +134,9 @@ def likeness(a: str, b: str) -> float:
         return 0.0
     x, y = (np.frombuffer(bytes.fromhex(f), dtype=">u4").reshape(-1, 2).astype(np.int64) for f in (a, b))
     union = np.union1d(x[:, 0], y[:, 0])
-    union = union[:KEPT] if len(x) >= KEPT or len(y) >= KEPT else union
+    union = union[union <= min(_complete(x), _complete(y))]
+    if not len(union):
+        return 0.0
     both, i, j = np.intersect1d(x[:, 0], y[:, 0], assume_unique=True, return_indices=True)
     shared = both <= union[-1]
     shift = np.sort((x[i, 1] - y[j, 1])[shared])
@@ -144,6 +154,7 @@ def edited(text: str, following: str) -> str:
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 AT_ONCE = 2000
+RANGE_ROWS = 5000  # documents of a range, on average
 
 
 def _rows(ids: list, texts: list[str], following: list[str]) -> pd.DataFrame:
@@ -208,7 +219,7 @@ def fingerprint_edits(docs: DataFrame, text: str = "text") -> DataFrame:
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
     )
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-base.count() // RANGE_ROWS))
     cuts = [i / parts for i in range(1, parts)] or [0.5]
     bounds = base.agg(F.percentile_approx("order_id", cuts, max(10_000, 20 * parts)).alias("b")).first()["b"]
     bounds = np.unique(np.array(bounds if bounds is not None else [], dtype=np.int64))

@@ -36,6 +36,17 @@ def test_anchors_are_context_free_and_edge_minimal():
         assert alone == ([chosen[i]] if i in chosen else [])
 
 
+def test_a_short_passage_of_very_long_texts_is_seen():
+    rng = random.Random(4)
+    made = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(100_000)) for _ in range(3)]
+    for at in (0, 40_000, 98_000):  # 2 of 100 code points, in the same place or in another
+        shared = made[1][:at] + made[0][50_000:52_000] + made[1][at + 2_000 :]
+        one, other, far = op.fingerprints([made[0], shared, made[2]])
+        assert 0 < op.likeness(one, other) < 0.1 and op.likeness(one, far) == 0
+    counts = [len(f) // 16 for f in op.fingerprints([made[0], made[0] + made[1], made[0][:5_000]])]
+    assert counts[0] > 300 and counts[1] > 1.8 * counts[0] and counts[2] == op.KEPT
+
+
 def test_fingerprints_and_likeness(monkeypatch):
     rng = random.Random(1)
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
