@@ -8,6 +8,7 @@ from nearfield.operators import monitoring as M
 from nearfield.operators.topk import last_n
 from nearfield.plans.inputs import DIGITS, streamed, table
 from nearfield.session import scratch_path
+from nearfield.streaming import retention as R
 from nearfield.streaming import windows as W
 
 QUERIES = {}
@@ -57,8 +58,15 @@ ORACLES["clients_per_minute"] = (
 )
 
 
+def _events(spark, sf_dir):
+    return streamed(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def client_totals(spark, sf_dir):
-    return W.per_client(_stream(spark, sf_dir))
+    """Totals per client, read off the state of a stream."""
+    checkpoint = scratch_path(spark, "client-totals")
+    R.start_totals(_events(spark, sf_dir), "user_id", checkpoint, every=None).awaitTermination()
+    return R.totals(spark, checkpoint)
 
 
 QUERIES["client_totals"] = client_totals
@@ -116,6 +124,29 @@ for _n in (60, 720):
     )
 
 
+def _newest(spark, sf_dir):
+    """The newest 720 points of every event type, kept by a stream as state."""
+    checkpoint = scratch_path(spark, "newest")
+    R.start_newest(_events(spark, sf_dir), "event_type", checkpoint, 720, every=None).awaitTermination()
+    return R.newest(spark, checkpoint).withColumn("window_start", F.timestamp_seconds("at")).withColumnRenamed("series", "event_type")
+
+
+def stream_last_720(spark, sf_dir):
+    return shown(_newest(spark, sf_dir), "event_type", "requests")
+
+
+def stream_deltas(spark, sf_dir):
+    return shown(_newest(spark, sf_dir), "event_type", "total", F.col("delta").alias("request_delta"))
+
+
+QUERIES["stream_last_720"] = stream_last_720
+ORACLES["stream_last_720"] = f"SELECT window_start, event_type, requests FROM ({ORACLES['last_720']})"
+QUERIES["stream_deltas"] = stream_deltas
+ORACLES["stream_deltas"] = f"""
+SELECT window_start, event_type, total, request_delta
+FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY window_start DESC) AS n FROM ({ORACLES['deltas']})) WHERE n <= 720"""
+
+
 def rolling_hour(spark, sf_dir):
     return shown(M.rolling_total(points(spark, sf_dir), "requests", "event_type"), "event_type", "requests", "rolling")
 
