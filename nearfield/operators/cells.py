@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearfield.operators.blocks import PAIR, Block, Metric, _block, _pairs, _run
 from nearfield.session import cut_lineage
@@ -46,6 +47,32 @@ class Lowest:
             yield _pairs(parts[part].ids[own], best[own], value[own])
 
 
+class Tally:
+    """Of every query how many rows are not farther than ``radius``, the lowest id among them and the least distance."""
+
+    schema = T.StructType([*PAIR.fields, T.StructField("n", T.LongType())])
+
+    def __init__(self, radius: float):
+        self.radius = radius
+        self.found: dict[int, list[np.ndarray]] = {}
+
+    def add(self, part: int, q: Block, ids: np.ndarray, scores: np.ndarray) -> Iterator[pa.RecordBatch]:
+        near = scores <= self.radius
+        lowest = np.where(near, ids[None, :], np.iinfo(np.int64).max).min(axis=1)
+        least, n = np.where(near, scores, np.inf).min(axis=1), near.sum(axis=1)
+        if part in self.found:
+            other = self.found[part]
+            lowest, least, n = np.minimum(lowest, other[0]), np.minimum(least, other[1]), n + other[2]
+        self.found[part] = [lowest, least, n]
+        return iter(())
+
+    def rest(self, parts: list[Block]) -> Iterator[pa.RecordBatch]:
+        for part, (lowest, least, n) in self.found.items():
+            own = n > 0
+            pairs = _pairs(parts[part].ids[own], lowest[own], least[own])
+            yield pa.RecordBatch.from_arrays([*pairs.columns, pa.array(n[own], pa.int64())], names=[*pairs.schema.names, "n"])
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
     """Stretches of sorted batches with the same keys; a stretch ends with its batch at the latest."""
     for batch in batches:
@@ -67,7 +94,7 @@ def score_cells(
     digits: int | None = None,
     only: str | None = None,
 ) -> DataFrame:
-    """``(query_id, id, value)`` that the keeper lets through, for ``queries`` ``(cell, id, v)`` and ``rows`` ``(cell, id, v)``.
+    """``(query_id, id, value)``, or what else the keeper's ``schema`` says, for ``queries`` ``(cell, id, v)`` and ``rows`` ``(cell, id, v)``.
 
     A query meets the rows of its own cell only; for several cells it stands
     several times. Cells are counted on both sides: one that is empty on a side
@@ -114,4 +141,4 @@ def score_cells(
                 elif asked is not None:
                     yield from _run((_block(batch, metric.dtype) for _, batch in own), asked, metric, make_keeper(), digits, only)
 
-    return dealt.mapInArrow(scan, PAIR)
+    return dealt.mapInArrow(scan, getattr(make_keeper(), "schema", PAIR))

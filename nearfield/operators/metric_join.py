@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.hashing import md5_hex
 from nearfield.operators.blocks import Metric, Within, in_chunks, matrix, metric_named
-from nearfield.operators.cells import Lowest, score_cells
+from nearfield.operators.cells import Lowest, Tally, score_cells
 from nearfield.operators.ivf import as_frame, assign
 from nearfield.session import cut_lineage
 
 METRIC = ("l2", "l1")  # distances of vectors that keep the triangle inequality
 PIVOTS = 2048  # pivots sent to every task at most
+COPIES = 16  # cells a point is sent to on average, at most: with more, pivots are taken away
+SAMPLE = 1024  # points by which that is judged
 PIVOT_ROWS = 512  # rows a pivot stands for, until there are PIVOTS of them
 SLACK = 1e-9  # of the distances compared, for rounding in their sums
 PAIRS = 1 << 16  # pairs whose differences are computed at once
@@ -59,14 +61,46 @@ def up_to(name: str, radius: float) -> Metric:
     return Metric(score, ascending=True)
 
 
-def choose_pivots(df: DataFrame, metric: str = "l2", pivots: int | None = None) -> tuple[DataFrame, Pivots]:
-    """``df`` ``(id, vector)`` with ``cell`` and ``cell_distance`` of its nearest pivot, and the pivots: rows with the lowest md5 of their id."""
+def _open(gap: np.ndarray, near: np.ndarray, far: np.ndarray, radius: float) -> np.ndarray:
+    """Which cells can hold a row within ``radius`` of points, given their distances to the pivots."""
+    most = radius + SLACK * (1 + gap + far)
+    return (gap - far <= most) & (near - gap <= most) & (gap - np.nanmin(gap, axis=1, keepdims=True) <= 2 * most)
+
+
+def _useful(vectors: np.ndarray, sample: np.ndarray, radius: float, metric: str) -> int:
+    """How many of the pivots to take: half of them go as long as sample points would be sent to more than COPIES cells.
+
+    Where vectors have many dimensions no pivot rules out much, and every cell more
+    is a copy more of every point.
+    """
+    gap = metric_named(metric).score(sample, vectors)
+    n = len(vectors)
+    while n > COPIES:
+        own = gap[:, :n].argmin(axis=1)
+        near, far = np.full(n, np.inf), np.zeros(n)
+        np.minimum.at(near, own, gap[np.arange(len(gap)), own])
+        np.maximum.at(far, own, gap[np.arange(len(gap)), own])
+        if _open(gap[:, :n], near, far, radius)[:, np.isfinite(near)].sum(axis=1).mean() <= COPIES:
+            break
+        n = max(COPIES, n // 2)
+    return n
+
+
+def choose_pivots(df: DataFrame, radius: float, metric: str = "l2", pivots: int | None = None) -> tuple[DataFrame, Pivots]:
+    """``df`` ``(id, vector)`` with ``cell`` and ``cell_distance`` of its nearest pivot, and the pivots: rows with the lowest md5 of their id.
+
+    There is one for PIVOT_ROWS rows, up to PIVOTS and as long as they rule out
+    cells for joins within ``radius`` (``_useful``), unless ``pivots`` says how many.
+    """
     if metric not in METRIC:
         raise ValueError(f"{metric} does not keep the triangle inequality; known: {', '.join(METRIC)}")
     rows = df.where(F.col("vector").isNotNull()).select("id", "vector")
-    wanted = pivots or min(PIVOTS, -(-rows.count() // PIVOT_ROWS))
-    chosen = rows.orderBy(md5_hex(F.concat_ws(":", F.lit("pivot"), "id")), "id").limit(max(1, wanted)).toArrow()
+    wanted = pivots or max(1, min(PIVOTS, -(-rows.count() // PIVOT_ROWS)))
+    chosen = rows.orderBy(md5_hex(F.concat_ws(":", F.lit("pivot"), "id")), "id").limit(wanted + (0 if pivots else SAMPLE)).toArrow()
     vectors = matrix(chosen.column("vector"), np.float64)
+    if pivots is None and len(vectors) > wanted:
+        vectors = vectors[: _useful(vectors[:wanted], vectors[wanted:], radius, metric)]
+    vectors = vectors[:wanted]
     filed = cut_lineage(assign(rows, as_frame(df.sparkSession, np.arange(len(vectors)), vectors), metric))
     spans = {r["cell"]: r for r in filed.groupBy("cell").agg(F.min("cell_distance").alias("near"), F.max("cell_distance").alias("far")).collect()}
     used = [c for c in range(len(vectors)) if c in spans and spans[c]["far"] is not None]
@@ -93,8 +127,7 @@ def within_reach(df: DataFrame, pivots: Pivots, radius: float, id: str = "id", v
 
             def open_cells(part: np.ndarray) -> np.ndarray:
                 gap = score(part, pivots.vectors)
-                most = radius + SLACK * (1 + gap + pivots.far)
-                return (gap - pivots.far <= most) & (pivots.near - gap <= most) & (gap - np.nanmin(gap, axis=1, keepdims=True) <= 2 * most)
+                return _open(gap, pivots.near, pivots.far, radius)
 
             found = in_chunks(matrix(batch.column("v"), np.float64), len(pivots.cells), open_cells)
             row, col = np.nonzero(found)
@@ -117,23 +150,26 @@ def distance_join(
     itself then has each pair once), ``only="others"`` drops equal ids. ``digits``
     rounds distances before they are compared. Rows without a vector have no partner.
     """
-    filed, chosen = choose_pivots(right, metric, pivots)
+    return _near(left, right, radius, lambda: Within(radius), metric, digits, only, pivots).withColumnRenamed("value", "distance")
+
+
+def _near(left, right, radius, make_keeper, metric="l2", digits=None, only=None, pivots=None) -> DataFrame:
     margin = 0.0 if digits is None else 10.0**-digits
+    filed, chosen = choose_pivots(right, radius + margin, metric, pivots)
     asked = within_reach(left, chosen, radius + margin)
     rows = filed.select("cell", "id", F.col("vector").alias("v"))
-    found = score_cells(asked, rows, up_to(metric, radius + margin), lambda: Within(radius), digits, only)
-    return found.withColumnRenamed("value", "distance")
+    return score_cells(asked, rows, up_to(metric, radius + margin), make_keeper, digits, only)
 
 
 def count_within(left: DataFrame, right: DataFrame, radius: float, **options) -> DataFrame:
     """``(id, n_links, lowest, nearest)`` of the points of ``left`` with partners: how many, the lowest id and the least distance.
 
-    Pairs are summed up where they are found, so a point with very many partners
-    is a few rows per task. Options as for ``distance_join``.
+    Pairs are summed up while they are found, so no pair leaves its task and a point
+    with very many partners is a row per group. Options as for ``distance_join``.
     """
-    pairs = distance_join(left, right, radius, **options)
-    return pairs.groupBy(F.col("query_id").alias("id")).agg(
-        F.count("*").alias("n_links"), F.min("id").alias("lowest"), F.min("distance").alias("nearest")
+    found = _near(left, right, radius, lambda: Tally(radius), **options)
+    return found.groupBy(F.col("query_id").alias("id")).agg(
+        F.sum("n").alias("n_links"), F.min("id").alias("lowest"), F.min("value").alias("nearest")
     )
 
 
@@ -155,7 +191,7 @@ def leaders(df: DataFrame, dist: float, m: int | None = None, metric: str = "l2"
     looked for inside pivot cells only, and no pairs are listed. Ids are distinct;
     points without a vector, or with one that has no distance, do not lead.
     """
-    filed, chosen = choose_pivots(df, metric, pivots)
+    filed, chosen = choose_pivots(df, dist, metric, pivots)
     rest = filed.select("cell", "id", F.col("vector").alias("v"))
     count = rest.count()
     shares = [head * 2**i / count for i in range(64) if head * 2**i < count] if count else []

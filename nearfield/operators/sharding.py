@@ -123,7 +123,7 @@ def shard_by_leaders(df: DataFrame, dist: float, m: int | None = None, id: str =
     """
     points = cut_lineage(df.select(F.col(id).cast("long").alias("id"), F.col(vec).alias("vector")))
     led = cut_lineage(dense_id(leaders(points, dist, m, **options), "id", out="shard_id", start=0))
-    filed, pivots = choose_pivots(led)
+    filed, pivots = choose_pivots(led, dist)
     rows = filed.select("cell", "id", F.col("vector").alias("v"))
     first = cut_lineage(first_within(points, rows, pivots, dist))
     numbers = led.select(F.col("id").alias("first"), F.col("shard_id"))

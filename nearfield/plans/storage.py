@@ -27,7 +27,7 @@ from nearfield.plans.vector_search import COS
 from nearfield.session import scratch_path, spread
 from nearfield.sources import vector_files as VF
 from nearfield.sources.index_table import Index
-from nearfield.streaming.ingest import append_stream, ingest_stream
+from nearfield.streaming.ingest import append_stream, ingest_stream, keep_stream
 
 QUERIES = {}
 ORACLES = {}
@@ -223,3 +223,18 @@ def stream_append(spark, sf_dir):
 
 QUERIES["stream_append"] = stream_append
 ORACLES["stream_append"] = "SELECT row_number() OVER (ORDER BY vec_id) AS id, vec_id, embedding[1]::DOUBLE AS x0 FROM embeddings"
+
+
+def stream_fbin(spark, sf_dir):
+    """Vector files that arrive one after the other, read as a stream that is started again for each."""
+    arrived, kept, state = (scratch_path(spark, name) for name in ("fbin-arrived", "fbin-kept", "fbin-state"))
+    rows = positioned(spark, sf_dir)
+    third = -(-rows.count() // 3)
+    for part in range(3):
+        VF.write_vectors(rows.where(F.floor(F.col("id") / third) == part), arrived, files=2, prefix=f"{part}-")
+        keep_stream(VF.stream_vectors(spark, arrived, rowsPerPartition="100"), kept, state, every=None).awaitTermination()
+    return _components(spark.read.parquet(kept).select("id", "vector"))
+
+
+QUERIES["stream_fbin"] = stream_fbin
+ORACLES["stream_fbin"] = ORACLES["fbin_roundtrip"]

@@ -25,6 +25,7 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    DataSourceStreamReader,
     EqualTo,
     Filter,
     GreaterThan,
@@ -191,6 +192,51 @@ class VectorReader(DataSourceReader):
                 )
 
 
+class VectorStreamReader(DataSourceStreamReader):
+    """Vector files as they arrive, in the order of their names, with ids that go on over all of them.
+
+    An offset says how many files are read, the last one's name and their rows, so
+    a batch knows the ids of its first row without a look at earlier ones, after a
+    restart too. New files need names after those that were read, as numbered or
+    dated files have; one that turns up before them is an error, as it would be lost.
+    """
+
+    def __init__(self, options: dict, kind: str):
+        self.files = VectorReader(options, kind)
+        self.known: dict[str, Layout] = {}
+
+    def _layouts(self) -> list[Layout]:
+        """Headers of all files; a file's header is read once per run."""
+        fs, _ = filesystem(self.files.path)
+        for file in part_files(self.files.path):
+            if file not in self.known:
+                self.known[file] = npy_layout(fs, file) if self.files.kind == "npy" else binary_layout(fs, file, self.files.dtype)
+        return [self.known[file] for file in sorted(self.known)]
+
+    def initialOffset(self) -> dict:
+        return {"files": 0, "last": "", "rows": 0}
+
+    def latestOffset(self) -> dict:
+        layouts = self._layouts()
+        return {"files": len(layouts), "last": layouts[-1].file if layouts else "", "rows": sum(x.n for x in layouts)}
+
+    def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
+        layouts = self._layouts()
+        for offset in (start, end):
+            if offset["files"] and [x.file for x in layouts[offset["files"] - 1 : offset["files"]]] != [offset["last"]]:
+                raise RuntimeError(f"a file has come in, or is gone, before {offset['last']}, which was read already")
+        out, base = [], start["rows"]
+        for layout in layouts[start["files"] : end["files"]]:
+            width = max(1, layout.dim * np.dtype(layout.dtype).itemsize)
+            step = self.files.rows_per_partition or max(1, PARTITION_BYTES // width)
+            out += [RowRange(layout, row, min(step, layout.n - row), base + row) for row in range(0, layout.n, step)]
+            base += layout.n
+        return out
+
+    def read(self, part: RowRange) -> Iterator[pa.RecordBatch]:
+        return self.files.read(part)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     temporary: str
@@ -205,6 +251,7 @@ class VectorWriter(DataSourceArrowWriter):
         self.kind = kind
         self.dtype = DTYPES[options["dtype"]] if "dtype" in options else FORMATS[kind]
         self.overwrite = overwrite
+        self.prefix = options.get("prefix", "")
         self.vector = schema.names[-1] if "vector" not in schema.names else "vector"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
@@ -224,7 +271,7 @@ class VectorWriter(DataSourceArrowWriter):
         if len({b.shape[1] for b in blocks}) > 1:
             raise ValueError("vectors of different dimensions in one column")
         task = TaskContext.get()
-        name = f"part-{task.partitionId():05d}-{uuid.uuid4().hex}.{self.kind}"
+        name = f"{self.prefix}part-{task.partitionId():05d}-{uuid.uuid4().hex}.{self.kind}"
         fs, root = filesystem(self.path)
         fs.create_dir(root, recursive=True)
         temporary = f"{root}/_{name}.{task.taskAttemptId()}"
@@ -272,6 +319,9 @@ class VectorFiles(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return VectorReader(self._options(), self.kind)
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return VectorStreamReader(self._options(), self.kind)
+
     def writer(self, schema: StructType, overwrite: bool):
         return VectorWriter(self._options(), self.kind, schema, overwrite)
 
@@ -301,8 +351,8 @@ def register(spark: SparkSession) -> None:
 FILE_BYTES = 256 << 20  # of a written file: a task holds one in memory
 
 
-def write_vectors(df: DataFrame, path: str, fmt: str = "fbin", id: str = "id", vec: str = "vector", files: int | None = None) -> None:
-    """Write vectors in id order, one file per range of ids.
+def write_vectors(df: DataFrame, path: str, fmt: str = "fbin", id: str = "id", vec: str = "vector", files: int | None = None, prefix: str = "") -> None:
+    """Write vectors in id order, one file per range of ids. Names of files begin with ``prefix``.
 
     A task holds one file in memory; unless ``files`` is given, rows and their
     width are counted for files of FILE_BYTES at most on average.
@@ -313,7 +363,7 @@ def write_vectors(df: DataFrame, path: str, fmt: str = "fbin", id: str = "id", v
     if files is None:
         files = max(1, -(-(rows.agg(F.sum(F.size("vector"))).first()[0] or 0) * 4 // FILE_BYTES))
     ranged = rows.repartitionByRange(files, F.col(id))
-    ranged.sortWithinPartitions(id).select("vector").write.format(fmt).mode("append").save(qualified(spark, path))
+    ranged.sortWithinPartitions(id).select("vector").write.format(fmt).option("prefix", prefix).mode("append").save(qualified(spark, path))
 
 
 def read_vectors(spark: SparkSession, path: str, fmt: str = "fbin", **options) -> DataFrame:
@@ -321,6 +371,12 @@ def read_vectors(spark: SparkSession, path: str, fmt: str = "fbin", **options) -
     return spark.read.format(fmt).options(**options).load(qualified(spark, path))
 
 
+def stream_vectors(spark: SparkSession, path: str, fmt: str = "fbin", **options) -> DataFrame:
+    """Vector files of a folder as a stream of ``(id, vector)``; ids count from 0 over all files."""
+    register(spark)
+    return spark.readStream.format(fmt).options(**options).load(qualified(spark, path))
+
+
 def vector_count(spark: SparkSession, path: str, fmt: str = "fbin") -> int:
     """Number of vectors, from the file headers only."""
     return read_vectors(spark, path, fmt, headerOnly="true").agg(F.sum("n")).first()[0]

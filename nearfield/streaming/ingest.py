@@ -38,3 +38,12 @@ def append_stream(vectors: DataFrame, path: str, checkpoint: str, order: str, ev
         append_batch(batch.sparkSession, path, batch, order, batch_id)
 
     return _start(vectors, work, checkpoint, every)
+
+
+def keep_stream(rows: DataFrame, path: str, checkpoint: str, every: str | None = "60 seconds") -> StreamingQuery:
+    """Write every micro-batch, whose rows have ids already, to its own folder; a batch that runs again replaces it."""
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return _start(rows, work, checkpoint, every)

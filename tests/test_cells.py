@@ -112,7 +112,7 @@ def test_cells_out_of_reach_are_not_asked(spark):
     rng = np.random.default_rng(1)
     rows = [(g * 100 + i, 50 * np.eye(6)[g] + rng.normal(size=6) * 0.01) for g in range(6) for i in range(100)]
     df = vectors(spark, rows)
-    _, pivots = J.choose_pivots(df, pivots=60)
+    _, pivots = J.choose_pivots(df, 0.5, pivots=60)
     copies = J.within_reach(df, pivots, 0.5)
     cells = {r["id"]: set(r["c"]) for r in copies.groupBy("id").agg(F.collect_set("cell").alias("c")).collect()}
     home = {int(c): int(np.argmax(v)) for c, v in zip(pivots.cells, pivots.vectors)}
@@ -120,6 +120,26 @@ def test_cells_out_of_reach_are_not_asked(spark):
     assert J.distance_join(df, df, 0.5, only="earlier").count() == 6 * 100 * 99 // 2
 
 
+def test_partners_are_counted_without_pairs(spark, monkeypatch):
+    monkeypatch.setattr(C, "ROWS_PART", 30)
+    left, right = random_rows(60, 4, 5), random_rows(120, 4, 6, 1000)
+    want = {}
+    for a, x in left:
+        near = sorted((l2(x, y), b) for b, y in right if l2(x, y) <= 1.7)
+        if near:
+            want[a] = (len(near), min(b for _, b in near), near[0][0])
+    got = {r["id"]: (r["n_links"], r["lowest"], r["nearest"]) for r in J.count_within(vectors(spark, left), vectors(spark, right), 1.7, pivots=5).collect()}
+    assert got.keys() == want.keys() and all(got[a][:2] == want[a][:2] and abs(got[a][2] - want[a][2]) < 1e-9 for a in want)
+
+
+def test_pivots_that_rule_nothing_out_are_taken_away():
+    rng = np.random.default_rng(2)
+    wide = rng.normal(size=(1200, 64))
+    assert J._useful(wide[:200], wide[200:], 9.0, "l2") == J.COPIES
+    flat = rng.uniform(size=(1200, 2)) * 100
+    assert J._useful(flat[:200], flat[200:], 0.5, "l2") == 200
+
+
 def test_metrics_without_triangles_are_refused(spark):
     with pytest.raises(ValueError, match="triangle"):
         J.distance_join(vectors(spark, random_rows(3, 2, 1)), vectors(spark, random_rows(3, 2, 1)), 1.0, "cosine")
