@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.numbers import running_total
@@ -116,6 +118,70 @@ def synonyms(df: DataFrame, rules: DataFrame, expand: bool) -> DataFrame:
     return joined.withColumn("token", F.coalesce("synonym", "token")).drop("synonym").select(*df.columns)
 
 
+SPAN = "array<struct<pos:long,token:string,length:long>>"
+
+
+def synonym_rules(sets: list[list[str]], expand: bool = True) -> dict[tuple[str, ...], list[tuple[str, ...]]]:
+    """What stands for each phrase: all phrases of the sets it is in if ``expand``, else the first one of its first set."""
+    rules: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
+    for phrases in sets:
+        split = [tuple(p.split()) for p in phrases if p.split()]
+        for phrase in split:
+            held = rules.setdefault(phrase, [])
+            if expand or not held:
+                held += [p for p in (split if expand else split[:1]) if p not in held]
+    return rules
+
+
+def phrase_synonyms(tokens: Column, rules: dict[tuple[str, ...], list[tuple[str, ...]]]) -> Column:
+    """A token array as spans ``(pos, token, length)`` with the synonyms of phrases, which may have several words.
+
+    From left to right the longest phrase that a rule knows is taken, found in a trie
+    of the rules, and all that stands for it begins at its position. What follows
+    comes after the longest of these; a shorter one ends in a token whose length, in
+    positions, reaches that far. Matched phrases don't overlap. A null array stays null.
+    """
+    trie: dict = {}
+    for phrase, others in rules.items():
+        node = trie
+        for word in phrase:
+            node = node.setdefault(word, {})
+        node[None] = others
+
+    def spans(words: list[str]) -> list[dict]:
+        out, pos, i = [], 0, 0
+        while i < len(words):
+            node, j, found, after = trie, i, None, i + 1
+            while j < len(words) and words[j] in node:
+                node, j = node[words[j]], j + 1
+                if None in node:
+                    found, after = node[None], j
+            i, others = after, found or [(words[i],)]
+            reach = max(map(len, others))
+            for other in others:
+                for k, word in enumerate(other):
+                    out.append({"pos": pos + k, "token": word, "length": 1 if k < len(other) - 1 else reach - k})
+            pos += reach
+        return out
+
+    @F.pandas_udf(SPAN)
+    def look(column: pd.Series) -> pd.Series:
+        return pd.Series([None if words is None else spans(list(words)) for words in column], dtype=object)
+
+    return look(tokens)
+
+
+def phrase_table(df: DataFrame, id_col: str, tokens: Column, rules: dict[tuple[str, ...], list[tuple[str, ...]]]) -> DataFrame:
+    """``(id, pos, token, length)`` of token arrays with synonyms of phrases (``phrase_synonyms``)."""
+    return df.select(F.col(id_col).alias("id"), F.inline(phrase_synonyms(tokens, rules)))
+
+
+def expanding_phrases(terms: Callable[[Column], Column], sets: list[list[str]]) -> Callable[[Column], Column]:
+    """A chain for queries: the terms of ``terms`` with all synonyms of words and phrases."""
+    rules = synonym_rules(sets)
+    return lambda text: F.transform(phrase_synonyms(terms(text), rules), lambda s: s["token"])
+
+
 def unique_at_position(df: DataFrame) -> DataFrame:
     return df.dropDuplicates(["id", "pos", "token"])
 
@@ -159,6 +225,52 @@ def split_words(df: DataFrame, parts: bool = True, catenate: bool = True) -> Dat
     return df.withColumn("token", F.explode(F.array_distinct(both)))
 
 
+def part_spans(token: Column, catenate: bool = True) -> Column:
+    """Word delimiter as a graph: parts of a token at advancing positions, their catenations over all the parts they join.
+
+    An array of ``(pos, token, length)`` from position 0. Adjacent word parts, and
+    adjacent number parts, are one catenation, which begins at its first part and
+    is as long as they are; a single part is its own. For queries leave ``catenate`` off.
+    """
+    parts = word_parts(token)
+
+    def number(part: Column) -> Column:
+        return part.rlike(r"^\p{N}+$")
+
+    def span(part: Column, i: Column) -> Column:
+        return F.struct(i.cast("long").alias("pos"), part.alias("token"), F.lit(1).cast("long").alias("length"))
+
+    if not catenate:
+        return F.transform(parts, span)
+
+    def joined(own: Column) -> Column:
+        def run(part: Column, i: Column) -> Column:
+            """The parts that a catenation beginning here joins; none if the part before is of the same kind."""
+            begins = F.when(i == 0, F.lit(True)).otherwise(number(own[F.greatest(i - 1, F.lit(0))]) != number(part))
+            rest = F.slice(own, i + 1, F.size(own) - i)
+            other = F.transform(rest, lambda p, j: F.when(number(p) != number(part), j).otherwise(F.size(rest)))
+            length = F.array_min(other)
+            glued = F.array_join(F.slice(rest, F.lit(1), length), "")
+            return F.when(begins & (length > 1), F.struct(i.cast("long").alias("pos"), glued.alias("token"), length.cast("long").alias("length")))
+
+        return F.concat(F.transform(own, span), F.filter(F.transform(own, run), lambda s: s.isNotNull()))
+
+    return F.when(F.size(parts) > 0, F.transform(F.array(parts), joined)[0]).otherwise(F.array()).cast(SPAN)
+
+
+def split_graph(df: DataFrame, catenate: bool = True) -> DataFrame:
+    """Word delimiter over a token table ``(id, pos, token, ...)`` with advancing positions, and ``length`` in positions.
+
+    A token of n parts takes n positions, so what follows moves on by n - 1; gaps
+    stay. Tokens without a letter or digit go, and leave their position as a gap.
+    """
+    parts = df.withColumn("_n", F.greatest(F.size(word_parts(F.col("token"))), F.lit(1)))
+    before = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    moved = parts.withColumn("pos", F.col("pos") + F.coalesce(F.sum(F.col("_n") - 1).over(before), F.lit(0))).drop("_n")
+    spans = moved.withColumn("_s", F.explode(part_spans(F.col("token"), catenate)))
+    return spans.withColumn("token", F.col("_s.token")).withColumn("length", F.col("_s.length")).withColumn("pos", F.col("pos") + F.col("_s.pos")).drop("_s")
+
+
 def fold(token: Column, lang: Column) -> Column:
     """French loses elided articles and accents, German turns umlauts and sharp s into base letters, Spanish loses accents."""
     low = F.lower(token)
@@ -214,6 +326,7 @@ def analyze(
     general: words, no stop words by default, lower case, offsets.
     ws: white-space tokens. en: words, English stop words, lower case, possessive, plural stem.
     splitting: white-space tokens, stop words, word delimiter with catenation, lower case, plural stem.
+    splitting_graph, splitting_query: the same with parts at advancing positions and ``length``, the latter without catenation.
     tight: as splitting, catenations only, unique per position. rev: general plus reversed tokens.
     lang: words without elided articles, stop words of the row's language, folding by language.
     """
@@ -232,6 +345,8 @@ def analyze(
         out = split_words(stop(stops)(whitespace_table(df, id_col, text_col)), parts=chain == "splitting")
         out = stem(protected)(lower(out))
         return unique_at_position(out) if chain == "tight" else out
+    if chain in ("splitting_graph", "splitting_query"):
+        return stem(protected)(lower(split_graph(stop(stops)(whitespace_table(df, id_col, text_col)), chain == "splitting_graph")))
     if chain == "lang":
         if lang_col is None:
             raise ValueError("the lang chain needs a language column")

@@ -616,6 +616,37 @@ SELECT o_orderkey AS key_l, o_custkey::INTEGER AS cust_i, o_totalprice AS total_
        o_orderpriority AS priority_ss, o_orderstatus = 'F' AS done_b FROM orders"""
 
 
+def cast_by_older_suffix(spark, sf_dir):
+    """Types of the older layout: point and trie numbers, payload maps, prefixes, columns that are ignored."""
+    key, price = F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("string")
+    raw = table(spark, sf_dir, "orders").select(
+        key.alias("key_tl"),
+        F.col("o_custkey").cast("string").alias("cust_pi"),
+        price.alias("total_tds"),
+        F.col("o_orderdate").cast("string").alias("placed_pdt"),
+        F.concat(F.lit("price|"), price, F.lit(" key|"), key).alias("facts_dpf"),
+        F.col("o_orderpriority").alias("attr_priority"),
+        F.col("o_orderstatus").alias("status_txt_en"),
+        price.alias("ignored_price"),
+    )
+    typed = S.cast_by_suffix(raw, S.OLDER_TYPES)
+    return typed.select(
+        "key_tl",
+        "cust_pi",
+        F.col("total_tds")[0].alias("total_tds"),
+        F.col("placed_pdt").cast("timestamp_ntz").alias("placed_pdt"),
+        F.col("facts_dpf")["price"].alias("price_dpf"),
+        F.array_join("attr_priority", ",").alias("attr_priority"),
+        "status_txt_en",
+    )
+
+
+QUERIES["cast_by_older_suffix"] = cast_by_older_suffix
+ORACLES["cast_by_older_suffix"] = """
+SELECT o_orderkey AS key_tl, o_custkey::INTEGER AS cust_pi, o_totalprice AS total_tds, o_orderdate AS placed_pdt, o_totalprice::FLOAT AS price_dpf,
+       o_orderpriority AS attr_priority, o_orderstatus AS status_txt_en FROM orders"""
+
+
 def release_date(spark, sf_dir):
     """Dates of finished orders only; the others have none."""
     dated = table(spark, sf_dir, "orders").select(
@@ -716,3 +747,90 @@ QUERIES["vector_validation"] = vector_validation
 ORACLES["vector_validation"] = """
 SELECT vec_id AS id, CASE label WHEN 1 THEN 'dimensions' WHEN 2 THEN 'missing' WHEN 3 THEN 'not finite'
        WHEN 4 THEN 'null component' ELSE 'accepted' END AS reason FROM embeddings"""
+
+
+# --- phrases and token graphs ---------------------------------------------------------------------------
+
+# Sets of phrases that stand for each other, made of common words of the documents.
+PHRASES = [["of the", "whereof"], ["is", "are being", "be"], ["of the and", "thereof"], ["in", "within the"]]
+SET_OF = {phrase: phrases for phrases in PHRASES for phrase in phrases}
+
+
+def phrase_units_sql(expand: bool) -> str:
+    """Tokens and matched phrases of a text in order, by a regular expression with the longest phrases first, and what stands for each."""
+    longest = sorted(SET_OF, key=lambda p: -len(p.split()))
+    pattern = "|".join(longest)
+    rules = ", ".join(f"('{p}', {i}, '{other}')" for p, own in SET_OF.items() for i, other in enumerate(own if expand else own[:1]))
+    return f"""
+r(unit, ord, other) AS (VALUES {rules}),
+line AS (SELECT doc_id AS id, regexp_replace(' ' || array_to_string({words_sql('text')}, '  ') || ' ', ' ({pattern.replace(' ', '  ')}) ', '|\\1|', 'g') AS t FROM documents),
+cut AS (SELECT id, unnest(regexp_extract_all(t, '\\|[^|]*\\||[^ |]+')) AS u, generate_subscripts(regexp_extract_all(t, '\\|[^|]*\\||[^ |]+'), 1) AS n FROM line),
+unit AS (SELECT id, n, replace(trim(u, '|'), '  ', ' ') AS unit FROM cut),
+alt AS (SELECT id, n, coalesce(other, unit) AS other FROM unit LEFT JOIN r USING (unit)),
+reach AS (SELECT id, n, max(len(string_split(other, ' '))) AS reach FROM alt GROUP BY id, n),
+at AS (SELECT id, n, reach, sum(reach) OVER (PARTITION BY id ORDER BY n) - reach AS pos FROM reach),
+tok AS (SELECT id, n, unnest(string_split(other, ' ')) AS token, generate_subscripts(string_split(other, ' '), 1) - 1 AS k, len(string_split(other, ' ')) AS m FROM alt),
+placed AS (SELECT id, (pos + k)::BIGINT AS pos, token, (CASE WHEN k < m - 1 THEN 1 ELSE reach - k END)::BIGINT AS length FROM tok JOIN "at" USING (id, n))"""
+
+
+def synonyms_phrases(spark, sf_dir):
+    """Synonyms of several words in both modes, counted by token, place and length."""
+    docs = documents(spark, sf_dir)
+    modes = [
+        A.phrase_table(docs, "id", words(F.col("text")), A.synonym_rules(PHRASES, expand)).withColumn("mode", F.lit(mode))
+        for mode, expand in (("expand", True), ("first", False))
+    ]
+    both = modes[0].unionByName(modes[1])
+    return both.groupBy("mode", "token", "length").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos_sum"))
+
+
+def _phrases_sql(mode: str, expand: bool) -> str:
+    return (
+        f"(WITH {phrase_units_sql(expand).replace('at AS', '\"at\" AS', 1)} "
+        f"SELECT '{mode}' AS mode, token, length, count(*) AS n, sum(pos)::BIGINT AS pos_sum FROM placed GROUP BY token, length)"
+    )
+
+
+QUERIES["synonyms_phrases"] = synonyms_phrases
+ORACLES["synonyms_phrases"] = f"SELECT * FROM {_phrases_sql('expand', True)} UNION ALL SELECT * FROM {_phrases_sql('first', False)}"
+
+
+def _graph_chain(chain):
+    """Token counts with positions and lengths, so that the graph has to agree and not only the words."""
+
+    def run(spark, sf_dir):
+        tokens = A.analyze(documents(spark, sf_dir), "id", "text", chain, protected=PROTECTED)
+        return tokens.groupBy("token", "length").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos_sum"), F.countDistinct("id").alias("docs"))
+
+    return run
+
+
+def _graph_sql(catenate: bool) -> str:
+    glued = f"""
+UNION ALL SELECT id, pos + min(i), string_agg(part, '' ORDER BY i), count(*) FROM (
+  SELECT *, i - row_number() OVER (PARTITION BY id, pos, regexp_full_match(part, '\\p{{N}}+') ORDER BY i) AS run FROM part)
+GROUP BY id, pos, regexp_full_match(part, '\\p{{N}}+'), run HAVING count(*) > 1""" if catenate else ""
+    return (
+        "WITH "
+        + unnest_sql(TOKENS_SQL.replace("value", "text"))
+        + f""", k AS (SELECT id, pos, list_filter(string_split({SPLIT_SQL}, ' '), lambda x: x <> '') AS parts FROM u WHERE lower(token) NOT IN ({quoted(EN)})),
+moved AS (SELECT id, parts, pos + coalesce(sum(greatest(len(parts), 1) - 1) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM k),
+part AS (SELECT id, pos, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS i FROM moved),
+span(id, pos, token, length) AS (SELECT id, pos + i, lower(part), 1 FROM part {glued.replace("string_agg(part", "string_agg(lower(part)")}),
+t AS (SELECT id, pos, length, CASE WHEN token IN ({quoted(PROTECTED)}) THEN token ELSE {STEM_SQL} END AS token FROM span)
+SELECT token, length::BIGINT AS length, count(*) AS n, sum(pos)::BIGINT AS pos_sum, count(DISTINCT id) AS docs FROM t GROUP BY token, length"""
+    )
+
+
+for _name, _catenate in (("splitting_graph", True), ("splitting_query", False)):
+    QUERIES[f"analyze_{_name}"] = _graph_chain(_name)
+    ORACLES[f"analyze_{_name}"] = _graph_sql(_catenate)
+
+
+def bm25_phrases(spark, sf_dir):
+    """BM25 with synonyms of words and phrases on the query side."""
+    asked = A.expanding_phrases(words, PHRASES)
+    return bm25(text_queries(spark, sf_dir), documents(spark, sf_dir), 10, digits=DIGITS, query_terms=asked)
+
+
+QUERIES["bm25_phrases"] = bm25_phrases

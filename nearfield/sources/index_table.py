@@ -145,6 +145,7 @@ class Index:
         fields = [f for f in self.spark.table(self.name).schema.fields if f.name not in (BUCKET, COMMIT)]
         fresh = latest_per_id(checked, seq).select(*[F.col(f.name).cast(f.dataType) for f in fields])
         there = self._commits()
+        self._reserve(max(self._last_id(), checked.agg(F.max("id")).first()[0] or 0))
         self._write(fresh, 1 + max(c for _, c in there) if there else 0)
         self._settle()
         return rejected
@@ -177,28 +178,41 @@ class Index:
                 rename_folder(self.spark, f"{folder}{number}", f"{folder}0")
         self.spark.catalog.refreshTable(self.name)
 
+    def _reserve(self, last: int) -> None:
+        """Note the largest id before it is written: a write that fails leaves a gap, never an id used twice."""
+        self.spark.sql(f"ALTER TABLE {self.name} SET TBLPROPERTIES ('last_id'='{last}')")
+
+    def _last_id(self) -> int:
+        """The largest id given so far, from the table's properties; a table without the note is looked through once."""
+        noted = self.properties().get("last_id")
+        return int(noted) if noted is not None else (self.spark.table(self.name).agg(F.max("id")).first()[0] or 0)
+
     def append(self, rows: DataFrame, order: str) -> None:
-        """Add rows without ids; numbering goes on from the largest id. Nothing stored is rewritten."""
+        """Add rows without ids; numbering goes on from the largest id. Nothing stored is rewritten or read."""
         fields = [f for f in self.spark.table(self.name).schema.fields if f.name not in (BUCKET, COMMIT)]
-        last = self.spark.table(self.name).agg(F.max("id")).first()[0] or 0
+        last = self._last_id()
         numbered = dense_id(rows.drop("id").withColumn("_order", F.col(order)), "_order", out="id", start=last + 1)
         known = [
             F.col(f.name).cast(f.dataType) if f.name in numbered.columns else F.lit(None).cast(f.dataType).alias(f.name)
             for f in fields
         ]
+        self._reserve(last + numbered.count())
         self._write(numbered.select(*known), 0)
 
 
 def append_batch(spark: SparkSession, path: str, rows: DataFrame, order: str, batch_id: int) -> None:
     """Append one numbered batch to a table of batches at ``path``; running the same batch again replaces it.
 
-    Each batch is its own directory, and its ids start after the batches before it.
+    Each batch is its own directory, and its ids start after the batches before it,
+    whose rows a small table beside it (``_counts``) has, one row a batch.
     """
     path = qualified(spark, path)
-    stored = _batches_before(spark, path, batch_id)
-    last = 0 if stored is None else (stored.agg(F.max("id")).first()[0] or 0)
+    counts = f"{path}_counts"
+    earlier = _batches_before(spark, counts, batch_id)
+    last = 0 if earlier is None else (earlier.agg(F.sum("n")).first()[0] or 0)
     numbered = dense_id(rows, order, out="id", start=last + 1)
     numbered.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    numbered.agg(F.count(F.lit(1)).alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{counts}/batch={batch_id}")
 
 
 def _batches_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:

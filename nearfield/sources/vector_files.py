@@ -4,6 +4,9 @@ A vector file starts with two little-endian int32, the number of vectors and
 their dimension, followed by the components row by row. ``fbin`` holds float32,
 ``ibin`` int32, ``u8bin`` uint8; ``npy`` reads two-dimensional NumPy files.
 
+``tolerant`` reads the whole vectors of a file that ends before its header says,
+which is an error otherwise.
+
 A directory of part files is one table: rows are numbered from 0 over the part
 files in name order. Each input partition is a range of rows of one file, read
 with a seek. Each writing task makes one complete file of its own.
@@ -114,6 +117,7 @@ class VectorReader(DataSourceReader):
         self.start = int(options.get("startidx", 0))
         self.chunk = int(options["chunksize"]) if "chunksize" in options else None
         self.max_rows = int(options["maxrows"]) if "maxrows" in options else None
+        self.tolerant = options.get("tolerant", "false").lower() == "true"
         self.header_only = options.get("headeronly", "false").lower() == "true"
         self.rows_per_partition = int(options["rowsperpartition"]) if "rowsperpartition" in options else None
         self.low, self.high = 0, None  # id bounds from filters, high exclusive
@@ -143,9 +147,9 @@ class VectorReader(DataSourceReader):
             yield f
 
     def partitions(self) -> Sequence[InputPartition]:
+        if self.header_only:  # headers are opened by the tasks
+            return [RowRange(Layout(file, 0, 0, self.dtype or "<f4", 0), 0, 0, 0) for file in part_files(self.path)] or [self._nothing()]
         layouts = self.layouts()
-        if self.header_only:
-            return [RowRange(layout, 0, 0, 0) for layout in layouts]
         total = sum(layout.n for layout in layouts)
         low = max(self.start, self.low)
         high = total if self.chunk is None else min(total, self.start + self.chunk)
@@ -162,11 +166,18 @@ class VectorReader(DataSourceReader):
                 out.append(RowRange(layout, row - base, min(step, last - row), row))
             base += layout.n
         # Spark needs a partition to plan; an empty one reads nothing.
-        return out or [RowRange(Layout("", 0, 0, self.dtype or "<f4", 0), 0, 0, 0)]
+        return out or [self._nothing()]
+
+    def _nothing(self) -> RowRange:
+        return RowRange(Layout("", 0, 0, self.dtype or "<f4", 0), 0, 0, 0)
 
     def read(self, part: RowRange) -> Iterator[pa.RecordBatch]:
         layout = part.layout
         if self.header_only:
+            if not layout.file:
+                return
+            fs, _ = filesystem(self.path)
+            layout = npy_layout(fs, layout.file) if self.kind == "npy" else binary_layout(fs, layout.file, layout.dtype)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([layout.n], pa.int64()), pa.array([layout.dim], pa.int32())], names=["n", "dim"]
             )
@@ -183,7 +194,10 @@ class VectorReader(DataSourceReader):
                 wanted = rows * layout.dim * kind.itemsize
                 data = f.read(wanted)
                 if len(data) < wanted:
-                    raise ValueError(f"{layout.file}: payload ends early, {wanted - len(data)} bytes missing")
+                    if not self.tolerant:
+                        raise ValueError(f"{layout.file}: payload ends early, {wanted - len(data)} bytes missing")
+                    rows = len(data) // (layout.dim * kind.itemsize)
+                    data = data[: rows * layout.dim * kind.itemsize]
                 values = np.frombuffer(data, kind).astype(np.int32 if self.integral else np.float32)
                 ids = np.arange(rows, dtype=np.int64) + part.start_id + done
                 offsets = pa.array(np.arange(rows + 1) * layout.dim, pa.int32())

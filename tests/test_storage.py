@@ -79,6 +79,9 @@ def test_broken_input(spark, tmp_path):
     (tmp_path / "s.fbin").write_bytes(data[:-5])
     with pytest.raises(Exception, match="ends early"):
         VF.read_vectors(spark, str(tmp_path / "s.fbin")).collect()
+    assert stored(VF.read_vectors(spark, str(tmp_path / "s.fbin"), tolerant="true")) == {i: [1.0, 1.0, 1.0] for i in range(3)}
+    (tmp_path / "s.fbin").write_bytes(data[:8])
+    assert VF.read_vectors(spark, str(tmp_path / "s.fbin"), tolerant="true").count() == 0
     ragged = spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "id long, vector array<double>").coalesce(1)
     with pytest.raises(Exception, match="dimensions"):
         VF.write_vectors(ragged, str(tmp_path / "r"), files=1)
