@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.operators.blocks import PAIR, Block, Metric, _block, _pairs, _run
+from nearfield.operators.blocks import PAIR, Block, Metric, _block, _pairs, _run, bounded_table
 from nearfield.session import cut_lineage
 
 ROWS_PART = 65_536  # rows of a cell in one group, on average
 QUERIES_PART = 16_384  # queries of a cell in one group, on average: they are held while the rows pass by
 TASK_ROWS = 100_000  # rows and queries a task takes
 TASK_SCORES = 1 << 26  # scores a task computes
+LISTED_CELLS = 4096  # sizes of so many cells are fetched at once; of more they stay a table
 BROADCAST_CELLS = 500_000  # so many cells (below 30 MB) travel to the rows; more are joined
 
 GROUP = ["cell", "part", "qpart"]
@@ -107,9 +108,9 @@ def score_cells(
     kind = "array<bigint>" if metric.integral else "array<double>"
     queries, rows = (df.where(F.col("v").isNotNull()).select("cell", F.col("id").cast("long").alias("id"), F.col("v").cast(kind).alias("v")) for df in (queries, rows))
     sizes = rows.groupBy("cell").agg(F.count("*").alias("n")).join(queries.groupBy("cell").agg(F.count("*").alias("asked")), "cell")
-    sizes = cut_lineage(
-        sizes.select("cell", "n", "asked", F.ceil(F.col("n") / ROWS_PART).cast("int").alias("parts"), F.ceil(F.col("asked") / QUERIES_PART).cast("int").alias("qparts"))
-    )
+    sizes = sizes.select("cell", "n", "asked", F.ceil(F.col("n") / ROWS_PART).cast("int").alias("parts"), F.ceil(F.col("asked") / QUERIES_PART).cast("int").alias("qparts"))
+    listed = bounded_table(sizes, LISTED_CELLS)
+    sizes = cut_lineage(sizes) if listed is None else queries.sparkSession.createDataFrame(listed)
     total = sizes.agg(
         F.count("*").alias("cells"),
         F.sum(F.col("parts") * F.col("qparts")).alias("groups"),
