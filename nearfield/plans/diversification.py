@@ -16,7 +16,7 @@ from nearfield.plans.ann_search import CELLS_SQL, MEANS_SQL, class_means
 from nearfield.plans.inputs import DIGITS, DIMS, corpus, documents, hash_vector_sql, queries_sql, ranked_sql, table, text_queries, vector_queries
 from nearfield.plans.text_search import bm25_sql
 from nearfield.plans.vector_search import COS
-from nearfield.session import cut_lineage
+from nearfield.session import cut_lineage, scratch_path
 
 QUERIES = {}
 ORACLES = {}
@@ -195,21 +195,13 @@ def logged(spark, sf_dir):
     docs = documents(spark, sf_dir)
     hits = attach(bm25(text_queries(spark, sf_dir), docs, 50, digits=DIGITS), docs, ["text", "n_chars"])
     asked = vector_queries(spark, sf_dir)
-    rows = cut_lineage(
-        hash_embed(hits, "text", DIMS)
-        .join(beside(asked, asked, 1), "query_id")
-        .select(
-            "query_id",
-            "rank",
-            "id",
-            "_score",
-            F.round(cosine(F.col("q"), F.col("vector")), DIGITS).alias("cosine"),
-            F.round(F.log(F.col("n_chars") + 1), DIGITS).alias("length"),
-        )
-    )
-    values = {"bm25": F.col("_score"), "cosine": F.col("cosine"), "length": F.col("length")}
-    features = rows.select("query_id", "id", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), v.alias("value")) for n, v in values.items()])).alias("f"))
-    return R.log_features(rows.drop("cosine", "length"), features.select("query_id", "id", "f.*"), NAMES)
+    rows = hash_embed(hits, "text", DIMS).join(beside(asked, asked, 1), "query_id")
+    values = {
+        "bm25": F.col("_score"),
+        "cosine": F.round(cosine(F.col("q"), F.col("vector")), DIGITS),
+        "length": F.round(F.log(F.col("n_chars") + 1), DIGITS),
+    }
+    return R.log_columns(rows, values, NAMES).select("query_id", "rank", "id", "_score", "ltr_features")
 
 
 LTR_SQL = (
@@ -264,3 +256,29 @@ def train_ranker(spark, sf_dir):
 
 
 QUERIES["train_ranker"] = train_ranker
+
+STEPS, RATE = 20, 0.01
+
+
+def train_pairwise(spark, sf_dir):
+    """A model of which hit is of better quality, from pairs of hits, stored under its name and read back."""
+    rows = logged(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("label"))
+    weights = R.train_pairwise(rows.join(labels, "id"), steps=STEPS, rate=RATE)
+    models = R.Models(spark, scratch_path(spark, "models"))
+    models.put("quality", NAMES, weights)
+    return models.get("quality").select("feature", F.round("weight", DIGITS).alias("weight"))
+
+
+_STEP = ", ".join(f"any_value(w{i}) + {RATE}::DOUBLE * avg((a.f{i} - b.f{i}) / (1.0 + exp({' + '.join(f'w{j} * (a.f{j} - b.f{j})' for j in range(1, 5))})))" for i in range(1, 5))
+QUERIES["train_pairwise"] = train_pairwise
+ORACLES["train_pairwise"] = (
+    LTR_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""",
+j AS (SELECT ltr.query_id, f1::DOUBLE AS f1, f2::DOUBLE AS f2, f3::DOUBLE AS f3, f4::DOUBLE AS f4, quality FROM ltr JOIN labels ON labels.doc_id = ltr.id),
+w(step, w1, w2, w3, w4) AS (
+  SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL SELECT step + 1, {_STEP} FROM w, j a JOIN j b ON a.query_id = b.query_id AND a.quality > b.quality WHERE step < {STEPS} GROUP BY step)
+SELECT unnest([{', '.join(f"'{n}'" for n in NAMES)}]) AS feature, unnest([round(w1, {DIGITS}), round(w2, {DIGITS}), round(w3, {DIGITS}), round(w4, {DIGITS})]) AS weight
+FROM w WHERE step = {STEPS}"""
+)
