@@ -1,0 +1,62 @@
+"""Pairwise ranking models against plain gradient descent."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from nearfield.operators import ranking as R
+
+
+def plain(rows, steps, rate, width):
+    w = np.zeros(width)
+    for _ in range(steps):
+        pull, pairs = np.zeros(width), 0
+        for q, y, x in rows:
+            for p, z, v in rows:
+                if q == p and y is not None and z is not None and x is not None and v is not None and y > z:
+                    d = np.array(x) - np.array(v)
+                    pull += d / (1 + np.exp(w @ d))
+                    pairs += 1
+        w = w + rate * pull / pairs
+    return w
+
+
+def test_steps_are_those_of_plain_gradient_descent(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(q), float(rng.integers(3)), [float(x) for x in rng.normal(size=3)]) for q in rng.integers(6, size=60)]
+    rows += [(9, 1.0, [1.0, 2.0, 3.0]), (3, None, [9.0, 9.0, 9.0]), (3, 1.0, None), rows[0]]
+    frame = spark.createDataFrame(rows, "query_id long, label double, ltr_features array<double>")
+    got = R.train_pairwise(frame, steps=8, rate=0.5)
+    assert np.allclose(got, plain(rows, 8, 0.5, 3), atol=1e-9)
+
+
+def test_a_model_learns_which_feature_counts(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 2))
+    rows = [(i % 10, float(v[1] > 0), [float(a) for a in v]) for i, v in enumerate(x)]
+    w = R.train_pairwise(spark.createDataFrame(rows, "query_id long, label double, ltr_features array<double>"), steps=30, rate=1.0)
+    assert w[1] > 1 and abs(w[0]) < w[1] / 4
+
+
+def test_nothing_to_learn_from(spark):
+    frame = spark.createDataFrame([(1, 1.0, [1.0]), (2, 0.0, [2.0])], "query_id long, label double, ltr_features array<double>")
+    assert R.train_pairwise(frame).tolist() == [0.0]  # no pair within a query
+    assert R.train_pairwise(frame.limit(0)).tolist() == []
+    with pytest.raises(ValueError, match="at most 1"):
+        R.train_pairwise(frame.withColumn("query_id", F.lit(1)), window=1)
+
+
+def test_models_are_replaced_by_name(spark, tmp_path):
+    models = R.Models(spark, str(tmp_path))
+    models.put("a", ["x", "y"], np.array([1.0, 2.0]))
+    models.put("b", ["x"], np.array([5.0]))
+    models.put("a", ["y"], np.array([3.0]))
+    assert models.weights("a") == {"y": 3.0} and models.weights("b") == {"x": 5.0}
+    with pytest.raises(Exception):
+        models.get("none").collect()
+
+
+def test_columns_become_features(spark):
+    hits = spark.createDataFrame([(1, 1, 2.0, None), (1, 2, 3.0, 4.0), (1, 3, 5.0, 6.0)], "query_id long, rank long, a double, b double")
+    got = R.log_columns(hits, {"b": F.col("b"), "a": F.col("a")}, ["a", "none", "b"], size=2).orderBy("rank").collect()
+    assert [r["ltr_features"] for r in got] == [[2.0, 0.0, 0.0], [3.0, 0.0, 4.0]]
