@@ -21,9 +21,21 @@ TASK_SCORES = 1 << 26  # scores a task computes
 LISTED_CELLS = 4096  # sizes of so many cells are fetched at once; of more they stay a table
 BROADCAST_CELLS = 500_000  # so many cells (below 30 MB) travel to the rows; more are joined
 
+NO_ID = np.iinfo(np.int64).max
+
 GROUP = ["cell", "part", "qpart"]
 
 
+def _near(scores: np.ndarray, ids: np.ndarray, radius: float):
+    """Rows with a partner, where the partners of each begin, and ids and scores of the partners, the lowest id of a row first."""
+    row, col = np.nonzero(scores <= radius)
+    found = ids[col]
+    order = np.lexsort((found, row))
+    row, found, value = row[order], found[order], scores[row, col][order]
+    starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.empty(0, np.int64)
+    return row[starts], starts, found, value
+
+
 class Lowest:
     """Of every query the lowest id among the rows not farther than ``radius``."""
 
@@ -32,19 +44,15 @@ class Lowest:
         self.found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def add(self, part: int, q: Block, ids: np.ndarray, scores: np.ndarray) -> Iterator[pa.RecordBatch]:
-        near = np.where(scores <= self.radius, ids[None, :], np.iinfo(np.int64).max)
-        pick = near.argmin(axis=1)
-        best, value = near[np.arange(len(near)), pick], scores[np.arange(len(near)), pick]
-        if part in self.found:
-            other, other_value = self.found[part]
-            value = np.where(best < other, value, other_value)
-            best = np.minimum(best, other)
-        self.found[part] = (best, value)
+        best, value = self.found.setdefault(part, (np.full(len(q), NO_ID), np.full(len(q), np.inf)))
+        rows, starts, found, near = _near(scores, ids, self.radius)
+        lower = found[starts] < best[rows]
+        best[rows[lower]], value[rows[lower]] = found[starts[lower]], near[starts[lower]]
         return iter(())
 
     def rest(self, parts: list[Block]) -> Iterator[pa.RecordBatch]:
         for part, (best, value) in self.found.items():
-            own = best < np.iinfo(np.int64).max
+            own = best < NO_ID
             yield _pairs(parts[part].ids[own], best[own], value[own])
 
 
@@ -55,16 +63,15 @@ class Tally:
 
     def __init__(self, radius: float):
         self.radius = radius
-        self.found: dict[int, list[np.ndarray]] = {}
+        self.found: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
     def add(self, part: int, q: Block, ids: np.ndarray, scores: np.ndarray) -> Iterator[pa.RecordBatch]:
-        near = scores <= self.radius
-        lowest = np.where(near, ids[None, :], np.iinfo(np.int64).max).min(axis=1)
-        least, n = np.where(near, scores, np.inf).min(axis=1), near.sum(axis=1)
-        if part in self.found:
-            other = self.found[part]
-            lowest, least, n = np.minimum(lowest, other[0]), np.minimum(least, other[1]), n + other[2]
-        self.found[part] = [lowest, least, n]
+        lowest, least, n = self.found.setdefault(part, (np.full(len(q), NO_ID), np.full(len(q), np.inf), np.zeros(len(q), np.int64)))
+        rows, starts, found, near = _near(scores, ids, self.radius)
+        if len(rows):
+            lowest[rows] = np.minimum(lowest[rows], found[starts])
+            least[rows] = np.minimum(least[rows], np.minimum.reduceat(near, starts))
+            n[rows] += np.diff(np.concatenate([starts, [len(found)]]))
         return iter(())
 
     def rest(self, parts: list[Block]) -> Iterator[pa.RecordBatch]:

@@ -48,9 +48,12 @@ def up_to(name: str, radius: float) -> Metric:
         return metric
 
     def score(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-        own, other = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", c, c)
-        sums = own[:, None] + other[None, :]
-        row, col = np.nonzero(sums - 2 * (q @ c.T) <= radius * radius + SLACK * (1 + sums))
+        # |q - c|^2 <= radius^2 with some slack, as one product: q c - own - other >= 0
+        own = (np.einsum("ij,ij->i", q, q) * (1 - SLACK) - radius * radius - SLACK) / 2
+        other = np.einsum("ij,ij->i", c, c) * (1 - SLACK) / 2
+        left = np.concatenate([q, -np.ones((len(q), 1)), -own[:, None]], axis=1)
+        right = np.concatenate([c, other[:, None], np.ones((len(c), 1))], axis=1)
+        row, col = np.nonzero(left @ right.T >= 0)
         out = np.full((len(q), len(c)), np.inf)
         for at in range(0, len(row), PAIRS):
             i, j = row[at : at + PAIRS], col[at : at + PAIRS]
