@@ -2,182 +2,255 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
+from operator import add
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm.scratch import written
+from nearfield.session import cut_lineage
 
-WORDS = 16_384  # words of the shared vocabulary, at most; the others count as one unknown word
-PAIRS = 1_000_000  # word pairs with a count of their own in the models, at most; the others back off to single words
+LEAST = 2  # words and word pairs seen so often in both corpora together have counts of their own
 PRIOR = 50.0  # weight of the single-word distribution against the counts after a word
-FLUSH = 1_000_000  # distinct keys a task holds before it passes its counts on
+HOT = 100_000  # terms with one part in HOT of all occurrences or more travel to the texts: at most 3 * HOT of them
+PORTION = 1_000_000  # words looked at at once
+FLUSH = 3 * PORTION  # words a task holds before it passes their counts on
+REMEMBERED = 500_000  # words whose hash a task remembers
+
+
+def _code(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word)
+
+
+BEGIN, END = np.uint64(_code(b"")), np.uint64(_code(b"\n"))  # of no word
+BEGIN_ID, END_ID = (int(np.int64(x.view(np.int64))) for x in (BEGIN, END))
+
+
+class Codes(dict):
+    """64-bit hashes of words, remembered while they are few."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        code = self[word] = _code(word)
+        return code
 
 
 def words_of(raw: bytes | None) -> list[bytes]:
     return raw.lower().split() if raw else []
 
 
-def _both(target: DataFrame, background: DataFrame, text: str) -> DataFrame:
-    """Texts of both corpora as bytes, with the side they count for."""
-    return target.select(F.col(text).cast("binary").alias("raw"), F.lit(True).alias("inside")).union(
-        background.select(F.col(text).cast("binary").alias("raw"), F.lit(False).alias("inside"))
-    )
+def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One number for a word and the word before it."""
+    return (before << np.uint64(1) | before >> np.uint64(63)) ^ word
 
 
-def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Words with their numbers in both corpora, summed per task as far as they fit."""
-    sides = (Counter(), Counter())
-
-    def out():
-        names = list({*sides[0], *sides[1]})
-        frame = pd.DataFrame({"word": names, "inside": [sides[0][w] for w in names], "outside": [sides[1][w] for w in names]})
-        for side in sides:
-            side.clear()
-        return frame
-
-    for batch in batches:
-        for raw, inside in zip(batch["raw"], batch["inside"]):
-            sides[0 if inside else 1].update(words_of(raw))
-        if len(sides[0]) + len(sides[1]) > FLUSH:
-            yield out()
-    yield out()
-
-
-def _threshold(counts: DataFrame, most: int) -> int:
-    """The least count that no more than ``most`` rows reach, from the histogram of counts."""
-    hist = counts.groupBy((F.col("inside") + F.col("outside")).alias("n")).agg(F.count("*").alias("rows"))
-    total, least = 0, 1
-    for row in hist.orderBy(F.col("n").desc()).toLocalIterator():
-        total += row["rows"]
-        if total > most:
-            return row["n"] + 1
-    return least
-
-
-class Models:
-    """Two bigram models over one vocabulary, smoothed alike.
-
-    Id 0 is the unknown word, the last id the begin of a text. With c counts and
-    p1 the add-one share of a single word, a word w after h has probability
-    (c(h, w) + PRIOR p1(w)) / (c(h) + PRIOR), where pairs without a count of
-    their own add to neither c(h, w) nor c(h); so each model sums to one over
-    the vocabulary after any word.
-    """
+def pair_key(before: Column, word: Column) -> Column:
+    """The same number as a column."""
+    return F.shiftleft(before, 1).bitwiseOR(F.shiftrightunsigned(before, 63)).bitwiseXOR(word)
 
-    def __init__(self, vocabulary: list[bytes], singles: np.ndarray, keys: np.ndarray, pairs: np.ndarray):
-        order = np.argsort(keys)
-        self.ids = {w: i + 1 for i, w in enumerate(vocabulary)}
-        self.base = len(vocabulary) + 2
-        self.keys = keys[order]
-        pairs = pairs[order].astype(float)
-        before, word = self.keys // self.base, self.keys % self.base
-        self.single, self.back, self.pair = [], [], []
-        for side in range(2):
-            n = singles[side].astype(float)
-            share = (n + 1) / (n.sum() + len(n))
-            after = np.bincount(before, weights=pairs[:, side], minlength=self.base)
-            self.single.append(np.log(share))
-            self.back.append(np.log(PRIOR / (after + PRIOR)))
-            self.pair.append(np.log((pairs[:, side] + PRIOR * share[word]) / (after[before] + PRIOR)))
-
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        get = self.ids.get
-        return np.array([get(w, 0) for w in words], dtype=np.int64)
-
-    def pair_keys(self, ids: np.ndarray) -> np.ndarray:
-        before = np.concatenate(([self.base - 1], ids[:-1]))
-        return before * self.base + ids
-
-    def losses(self, words: list[bytes]) -> tuple[float, float]:
-        """Mean loss per word, in nats, under both models."""
-        keys = self.pair_keys(self.encode(words))
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        own = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), dtype=bool)
-        before, word = keys // self.base, keys % self.base
-        out = []
-        for side in range(2):
-            loss = self.back[side][before] + self.single[side][word]
-            loss[own] = self.pair[side][at[own]]
-            out.append(float(-loss.mean()))
-        return out[0], out[1]
-
-
-def train(target: DataFrame, background: DataFrame, text: str = "text") -> Models:
-    """Models of all words and word pairs of both corpora.
-
-    Every word and pair is counted, summed in the tasks first and then per key;
-    the vocabulary and the pairs with a count of their own are those whose
-    counts over both corpora reach a threshold that at most WORDS and PAIRS of
-    them reach, read off the histogram of counts. Only they reach the driver.
-    """
-    texts = _both(target, background, text)
-    both = [F.sum("inside").alias("inside"), F.sum("outside").alias("outside")]
-    words = texts.mapInPandas(count_words, "word binary, inside long, outside long").groupBy("word").agg(*both)
-    with written(words, "words") as table:
-        least = _threshold(table, WORDS)
-        common = table.where(F.col("inside") + F.col("outside") >= least).toArrow().to_pandas()
-        rest = table.where(F.col("inside") + F.col("outside") < least).agg(*both).first()
-    common = common.assign(word=[bytes(w) for w in common["word"]]).sort_values("word")
-    vocabulary = common["word"].tolist()
-    singles = np.zeros((2, len(vocabulary) + 1), dtype=np.int64)
-    singles[:, 0] = [rest["inside"] or 0, rest["outside"] or 0]
-    singles[:, 1:] = common[["inside", "outside"]].to_numpy(dtype=np.int64).T
-    empty = Models(vocabulary, singles, np.empty(0, np.int64), np.empty((0, 2), np.int64))
-    shared = target.sparkSession.sparkContext.broadcast(empty)
-
-    def count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, held, size = shared.value, ([], []), 0
+
+def coded(texts: list[list[bytes]], codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of several texts one after the other, the words before them, and the lengths of the texts."""
+    sizes = np.array([len(words) for words in texts], dtype=np.int64)
+    word = np.fromiter(map(codes.__getitem__, chain.from_iterable(texts)), dtype=np.uint64, count=sizes.sum())
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = BEGIN
+    return word, before, sizes
+
+
+def portions(raws) -> Iterator[list[list[bytes]]]:
+    """The words of the texts, so many texts at once that they hold about PORTION words."""
+    held, size = [], 0
+    for raw in raws:
+        held.append(words_of(raw))
+        size += len(held[-1])
+        if size >= PORTION:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def count_pairs(sides: list[str]):
+    """Words with the words before them and their numbers on each side, summed per task as far as they fit."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes, held, size = Codes(), {side: [] for side in sides}, 0
 
         def out():
-            parts = [np.unique(np.concatenate(h), return_counts=True) if h else (np.empty(0, np.int64), np.empty(0, np.int64)) for h in held]
-            keys = np.union1d(parts[0][0], parts[1][0])
-            frame = pd.DataFrame({"pair": keys, "inside": 0, "outside": 0})
-            for name, (own, n) in zip(("inside", "outside"), parts):
-                frame.loc[np.searchsorted(keys, own), name] = n
-            held[0].clear()
-            held[1].clear()
-            return frame
+            for side, parts in held.items():
+                if parts:
+                    word, before = (np.concatenate(x) for x in zip(*parts))
+                    _, at, n = np.unique(pair_keys(before, word), return_index=True, return_counts=True)
+                    ids = {"before": before[at].view(np.int64), "word": word[at].view(np.int64)}
+                    yield pd.DataFrame({**ids, **{other: n if other == side else 0 for other in sides}})
+                    parts.clear()
 
         for batch in batches:
-            for raw, inside in zip(batch["raw"], batch["inside"]):
-                words = words_of(raw)
-                if words:
-                    held[0 if inside else 1].append(model.pair_keys(model.encode(words)))
-                    size += len(words)
-                if size > 8 * FLUSH:
-                    yield out()
-                    size = 0
-        yield out()
-
-    pairs = texts.mapInPandas(count_pairs, "pair long, inside long, outside long").groupBy("pair").agg(*both)
-    with written(pairs, "pairs") as table:
-        least = _threshold(table, PAIRS)
-        kept = table.where(F.col("inside") + F.col("outside") >= least).toArrow()
-    shared.unpersist()
-    keys, inside, outside = (kept.column(c).to_numpy() for c in ("pair", "inside", "outside"))
-    return Models(vocabulary, singles, keys, np.stack([inside, outside], axis=1))
-
-
-def score(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_words``, mean losses per word and their difference; the lower, the more like the target corpus."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    @F.pandas_udf("n_words long, target_loss double, background_loss double")
+            for side, own in batch.groupby("side")["raw"]:
+                for texts in portions(own):
+                    word, before, _ = coded(texts, codes)
+                    held[sides[side]].append((word, before))
+                    size += len(word)
+                    if size >= FLUSH:
+                        yield from out()
+                        size = 0
+        yield from out()
+
+    return look
+
+
+def learn(docs: DataFrame, target: DataFrame, background: DataFrame | None, text: str) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
+    """``(key, hot, inside, outside)``, what a term adds to the log likelihood of a text under both models, and what every text has.
+
+    With c counts and p1 the add-one share of a single word, a word w after h has
+    probability (c(h, w) + PRIOR p1(w)) / (c(h) + PRIOR). Words seen less than
+    LEAST times are one unknown word; pairs seen less than LEAST times, or with
+    an unknown word, add to neither c(h, w) nor c(h), so each model sums to one
+    over the vocabulary after any word. The log likelihood of a text is then a
+    sum over its words (p1 against that of the unknown word, and the weight left
+    to it after the word), its pairs (the gain over p1) and its last word, which
+    has no word after it and gives its weight back.
+
+    All words and pairs are counted, by 64-bit hashes of the words; nothing but
+    totals reaches the driver. Terms are ``hot`` by their part in what is counted,
+    the scored texts included.
+    """
+    sides = ["inside", "outside"] + ([] if background is None else ["scored"])
+    tables = [target, docs] if background is None else [target, background, docs]
+    texts = reduce(DataFrame.union, (df.select(F.col(text).cast("binary").alias("raw"), F.lit(i).alias("side")) for i, df in enumerate(tables)))
+    sums = [F.sum(side).alias(side) for side in sides]
+    pairs = texts.mapInPandas(count_pairs(sides), "before long, word long, " + ", ".join(f"{side} long" for side in sides))
+    both, heat = F.col("inside") + F.col("outside"), reduce(add, map(F.col, sides))
+    known = both >= LEAST
+    with written(pairs.groupBy("before", "word").agg(*sums), "pairs") as counted:
+        after = counted.where(known).groupBy("before").agg(F.sum("inside").alias("after_inside"), F.sum("outside").alias("after_outside"))
+        begin = after.where(F.col("before") == BEGIN_ID).first()
+        single = counted.groupBy("word").agg(*sums)
+        words = cut_lineage(single.join(after, F.col("word") == F.col("before"), "left").drop("before"))
+        rare = [F.sum(F.when(known, 0).otherwise(F.col(side))).alias(f"rare_{side}") for side in sides[:2]]
+        total = words.agg(*sums, *rare, F.sum(heat).alias("heat"), F.count_if(known).alias("size")).first()
+        hot = heat * HOT >= (total["heat"] or 0)
+
+        def whole(name: str) -> int:
+            return total[name] or 0
+
+        space = {side: whole(side) + total["size"] + 1 for side in sides[:2]}
+        unknown = {side: whole(f"rare_{side}") + 1 for side in sides[:2]}
+        words = words.where(known | hot).select(
+            "word",
+            hot.alias("hot"),
+            *[F.when(known, F.log((F.col(side) + 1) / F.lit(unknown[side]))).otherwise(0.0).alias(f"share_{side}") for side in sides[:2]],
+            *[(-F.log1p(F.coalesce(f"after_{side}", F.lit(0)) / PRIOR)).alias(f"left_{side}") for side in sides[:2]],
+        )
+        found = counted.where(known | hot).select("before", "word", known.alias("known"), hot.alias("hot"), "inside", "outside")
+        shares = words.select("word", F.col("hot").alias("common"), "share_inside", "share_outside")
+        common = F.broadcast(shares.where("common").drop("common"))
+        joined = found.join(common, "word").unionByName(
+            found.join(common.select("word"), "word", "left_anti").join(shares.where("not common").drop("common"), "word")
+        )
+
+        def gain(side: str) -> Column:
+            share = F.exp(f"share_{side}") * F.lit(unknown[side] / space[side])
+            return F.when(F.col("known"), F.log1p(F.col(side) / (share * PRIOR))).otherwise(0.0).alias(side)
+
+        terms = cut_lineage(
+            words.select(F.col("word").alias("key"), "hot", *[(F.col(f"share_{s}") + F.col(f"left_{s}")).alias(s) for s in sides[:2]])
+            .union(words.select(pair_key(F.col("word"), F.lit(END_ID)), "hot", *[-F.col(f"left_{s}") for s in sides[:2]]))
+            .union(joined.select(pair_key(F.col("before"), F.col("word")), "hot", *[gain(s) for s in sides[:2]]))
+        )
+    fixed = {s: (float(np.log(unknown[s] / space[s])), -float(np.log1p((begin[f"after_{s}"] if begin else 0) / PRIOR))) for s in sides[:2]}
+    return terms, fixed
+
+
+class HotTerms:
+    """The terms that travel to the texts."""
+
+    def __init__(self, terms: DataFrame):
+        table = terms.where("hot").select("key", "inside", "outside").toArrow()
+        keys = table.column("key").to_numpy()
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.sides = [table.column(side).to_numpy()[order] for side in ("inside", "outside")]
+
+    def split(self, texts: list[list[bytes]], codes: Codes) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        """What hot terms add to each text under both models, and each text's other terms, each once, with their numbers."""
+        word, before, sizes = coded(texts, codes)
+        owner, some = np.repeat(np.arange(len(texts)), sizes), np.flatnonzero(sizes)
+        last = word[np.cumsum(sizes)[some] - 1]
+        keys = np.concatenate([word, pair_keys(before, word), pair_keys(last, END)]).view(np.int64)
+        owner = np.concatenate([owner, owner, some])
+        sums = [np.zeros(len(texts)) for _ in self.sides]
+        if len(self.keys):
+            at = np.searchsorted(self.keys, keys)
+            at[at == len(self.keys)] = 0
+            hot = self.keys[at] == keys
+            sums = [np.bincount(owner[hot], weights=side[at[hot]], minlength=len(texts)) for side in self.sides]
+            keys, owner = keys[~hot], owner[~hot]
+        order = np.lexsort((keys, owner))
+        keys, owner = keys[order], owner[order]
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+        start = np.flatnonzero(new)
+        times = np.diff(np.append(start, len(keys))).astype(np.int32)
+        cuts = np.searchsorted(owner[start], np.arange(1, len(texts)))
+        return sums, np.split(keys[start], cuts), np.split(times, cuts)
+
+
+def score(docs: DataFrame, terms: DataFrame, fixed: dict[str, tuple[float, float]], text: str = "text") -> DataFrame:
+    """``doc_id``, ``n_words``, mean losses per word and their difference; the lower, the more like the target corpus.
+
+    Hot terms are added up where the texts are read; of the others each text
+    sends every one once to the table of terms. No such term has more than one
+    part in HOT of all occurrences, so no task meets a crowded key.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(HotTerms(terms))
+
+    @F.pandas_udf("n_words long, inside double, outside double, keys array<long>, times array<int>")
     def look(raws: pd.Series) -> pd.DataFrame:
-        model, out = shared.value, []
-        for raw in raws:
-            words = words_of(raw)
-            out.append((len(words), *(model.losses(words) if words else (None, None))))
-        return pd.DataFrame(out, columns=["n_words", "target_loss", "background_loss"]).astype({"target_loss": "float64", "background_loss": "float64"})
-
-    return docs.select("doc_id", look(F.col(text).cast("binary")).alias("loss")).select(
-        "doc_id", "loss.*", (F.col("loss.target_loss") - F.col("loss.background_loss")).alias("difference")
+        codes, out = Codes(), []
+        for texts in portions(raws):
+            (inside, outside), keys, times = shared.value.split(texts, codes)
+            own = {"n_words": [len(words) for words in texts], "inside": inside, "outside": outside}
+            # the first place is the text's own, so that one without other terms has a row too
+            lists = {"keys": [np.append(0, k) for k in keys], "times": [np.append(np.int32(0), t) for t in times]}
+            out.append(pd.DataFrame({**own, **lists}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("n_words", "inside", "outside", "keys", "times")})
+
+    doc, text_id = F.col("doc_id"), F.xxhash64(text).alias("text_id")
+    looked = docs.select(doc, text_id, look(F.col(text).cast("binary")).alias("l"))
+    exploded = looked.select("doc_id", "text_id", "l.n_words", "l.inside", "l.outside", F.posexplode(F.arrays_zip("l.keys", "l.times")).alias("at", "post"))
+    own = F.col("at") == 0
+    posts = exploded.select(
+        "doc_id",
+        "text_id",
+        F.when(own, F.xxhash64("doc_id", "text_id", F.spark_partition_id())).otherwise(F.col("post.keys")).alias("key"),
+        F.col("post.times").alias("times"),
+        F.when(own, F.struct("n_words", "inside", "outside")).alias("own"),
+    )
+    others = terms.where("not hot").select("key", "inside", "outside")
+    # equal rows send equal posts, so their sums are as many times too large
+    sums = [F.sum(F.coalesce(f"own.{s}", F.col("times") * F.col(s))).alias(s) for s in ("inside", "outside")]
+    scored = posts.join(others, "key", "left").where("own is not null or inside is not null").groupBy("doc_id", "text_id")
+    scored = scored.agg(F.max("own.n_words").alias("n_words"), F.count("own").alias("rows"), *sums).withColumnRenamed("doc_id", "scored_id")
+
+    def loss(side: str) -> Column:
+        unknown, begin = fixed[side]
+        return -(F.col(side) / F.col("rows") + F.col("n_words") * unknown + begin) / F.when(F.col("n_words") > 0, F.col("n_words"))
+
+    return (
+        docs.select(doc, text_id)
+        .join(scored.withColumnRenamed("text_id", "scored_text"), doc.eqNullSafe(F.col("scored_id")) & (F.col("text_id") == F.col("scored_text")))
+        .select("doc_id", "n_words", loss("inside").alias("target_loss"), loss("outside").alias("background_loss"))
+        .withColumn("difference", F.col("target_loss") - F.col("background_loss"))
     )
 
 
@@ -187,9 +260,10 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: Dat
     Words are runs without ASCII white space, lower-cased in A-Z. A null text, or
     one without words, has no losses and no difference (null). Repeated rows are
     scored and counted as often as they occur. With an empty corpus its model is
-    even over the vocabulary. Only ``doc_id`` and the text are read.
+    even over the vocabulary. Very long texts are read whole, and send each term
+    once. Only ``doc_id`` and the text are read, whatever the other columns are called.
     """
-    return score(docs, train(target, docs if background is None else background, text), text)
+    return score(docs, *learn(docs, target, background, text), text)
 
 
 def op1_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
