@@ -78,6 +78,7 @@ def test_equals_plain_models(spark, monkeypatch, hot, least):
     monkeypatch.setattr(op, "LEAST", least)
     monkeypatch.setattr(op, "FLUSH", 10)
     monkeypatch.setattr(op, "PORTION", 50)
+    monkeypatch.setattr(op, "BUCKET_BYTES", 3000)
     docs, target = made()
     frame = spark.createDataFrame([(i, t, 1, "w") for i, t in enumerate(docs)], "doc_id long, text string, key int, word string").repartition(3)
     conversations = spark.createDataFrame([(t, 5) for t in target], "text string, inside int")
