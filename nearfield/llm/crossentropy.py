@@ -20,8 +20,8 @@ from nearfield.session import cut_lineage
 LEAST = 2  # words and word pairs seen so often in both corpora together have counts of their own
 PRIOR = 50.0  # weight of the single-word distribution against the counts after a word
 HOT = 1_000_000  # terms with one part in HOT of all occurrences or more travel to the texts: at most 3 * HOT, 72 MB
-PORTION = 1_000_000  # words looked at at once
-FLUSH = 2 * PORTION  # words a task holds before it passes their counts on
+PORTION = 500_000  # words looked at at once
+FLUSH = 4 * PORTION  # words a task holds before it passes their counts on
 REMEMBERED = 200_000  # words whose hash a task remembers
 BUCKET_BYTES = 8_000_000  # text whose terms make up one bucket, on average
 
@@ -81,10 +81,10 @@ def portions(raws) -> Iterator[list[list[bytes]]]:
         yield held
 
 
-def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order of ``keys`` by bucket, the buckets met, and where each one but the first begins."""
+def dealt(keys: np.ndarray, buckets: int, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of ``keys`` by bucket, and by ``within`` inside of it; the buckets met; and where each one but the first begins."""
     bucket = keys.view(np.int64) % buckets
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket, kind="stable") if within is None else np.lexsort((within, bucket))
     met, start = np.unique(bucket[order], return_index=True)
     return order, met, start[1:]
 
@@ -107,7 +107,7 @@ def count_pairs(sides: int, buckets: int):
                     single, times = np.unique(word, return_counts=True)
                     before = np.concatenate([before[at], np.full(len(single), END)])
                     word, n = np.concatenate([word[at], single]), np.concatenate([n, times])
-                    order, met, cuts = dealt(pair_keys(before, word), buckets)
+                    order, met, cuts = dealt(pair_keys(before, word), buckets, before)  # equal neighbours are stored small
                     lists = {name: np.split(x[order], cuts) for name, x in (("before", before.view(np.int64)), ("word", word.view(np.int64)), ("n", n))}
                     yield pd.DataFrame({"bucket": met, "side": side, **lists})
 
