@@ -105,7 +105,7 @@ def selection(
     lang_weights: dict = LANG_WEIGHTS,
     source_weights: dict | None = None,
 ) -> DataFrame:
-    """``docs`` with one more column ``mixed``: ``epoch``, ``domain``, ``lang``, ``source``, ``n_tokens``, ``budget``.
+    """``docs`` with one more column ``mixed``: ``epoch``, ``domain``, ``lang``, ``source``, ``budget``.
 
     A row appears once for each epoch that takes it, and not at all if none
     does. In epoch e the documents of a leaf stand in the order of
