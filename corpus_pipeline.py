@@ -10,31 +10,49 @@ from nearfield.session import scratch_path, ship_package
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without a letter or far from every language go."""
+    """Documents in a learned language; those without a letter (null and empty texts too) or far from every language go.
+
+    Equal rows are judged alike and all stay or go. Rows without ``lang`` are judged, not learned from.
+    """
     ship_package(spark)
     return language.drop_rejected(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies: the one with the lowest id."""
+    """One document of every group of near copies: the one with the lowest id.
+
+    Texts without a word are copies of one another. Rows that repeat an id are one
+    document; rows without an id all stay.
+    """
     ship_package(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark.
+
+    A null or empty text, or item, holds none; equal rows all stay or go.
+    """
     ship_package(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the production mixture, once per epoch that takes them."""
+    """Documents in the production mixture, once per epoch that takes them.
+
+    A null text has no tokens; rows without language or source are a leaf of
+    their own; rows that share an id, or have none, go together.
+    """
     ship_package(spark)
     return mixing.mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed rows of token ids."""
+    """Packed rows of token ids.
+
+    A null or empty text is its end only; equal rows are packed as often as they
+    occur. Of equally tight rows the earliest is filled.
+    """
     ship_package(spark)
     return packing.pack(docs)
 
