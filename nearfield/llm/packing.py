@@ -12,11 +12,15 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.session import cut_lineage
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # fixed values: the pattern that belongs to the public rank files
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LENGTH = 2048  # token ids of a packed row
-GROUP_BYTES = 8_000_000  # text packed together in one task, on average
+GROUP_BYTES = 8_000_000  # text packed together, on average
+FEW_TASKS, TASK_GROUPS = 512, 16  # a task has one group up to so many tasks; of more groups, a task has so many one after the other
+BROADCAST_ROWS = 100_000  # so many different rows that repeat travel to the others; more are joined
 PART = 100_000  # characters tokenised at once; texts are cut before a blank between two words
 CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -125,6 +129,26 @@ def pack_group(group: int, docs: list[tuple[int | None, np.ndarray]], length: in
     return pd.DataFrame(out, columns=["pack_id", "n_tokens", "n_segments", "ids", "position_ids", "cu_seqlens", "segments"])
 
 
+def _portions(base: DataFrame) -> DataFrame:
+    """``base`` with ``portion`` and ``copies``: rows that repeat often are portions of copies, others stay as they are."""
+    key = ["doc_id", "no_id", "text_id"]
+    named = base.withColumn("text_id", F.xxhash64("text"))
+    portion = F.greatest(F.lit(1), F.floor(F.lit(GROUP_BYTES // 8) / (F.coalesce(F.octet_length("text"), F.lit(0)) + 100)))
+    counts = named.groupBy(*key).agg(F.count("*").alias("n"), F.min(portion).alias("most"))
+    many = cut_lineage(counts.where("n > most").select(*key))
+    plain = named.select(*base.columns, F.lit(0).cast("long").alias("portion"), F.lit(1).cast("long").alias("copies"))
+    repeated = many.count()
+    if not repeated:
+        return plain
+    if repeated <= BROADCAST_ROWS:
+        many = F.broadcast(many)
+    often = named.join(many, key, "left_semi").groupBy(*base.columns).agg(F.count("*").alias("n")).withColumn("most", portion)
+    often = often.withColumn("portion", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.col("most")))))
+    often = often.select(*base.columns, "portion", F.least("most", F.col("n") - F.col("portion") * F.col("most")).alias("copies"))
+    rest = named.join(many, key, "left_anti").select(*base.columns, F.lit(0).cast("long").alias("portion"), F.lit(1).cast("long").alias("copies"))
+    return rest.union(often)
+
+
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, text: str = "text") -> DataFrame:
     """Rows of ``length`` token ids that hold all documents, each once.
 
@@ -138,8 +162,10 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, te
     packed like others. Other columns are not read. No rows, no packs.
 
     Documents are dealt by a hash of id and text into groups of about
-    GROUP_BYTES, counted beforehand, and there are as many tasks as groups
-    whatever the session's settings. A group is packed by one task, so a pack
+    GROUP_BYTES, counted beforehand; the number of tasks follows from the number
+    of groups, whatever the session's settings. Rows that repeat both are dealt in
+    portions of an eighth of a group at most, as one row with its number, so
+    a third of all rows may be equal. A group is packed by one task, so a pack
     depends on no layout of the input.
     """
     base = docs.select(
@@ -149,16 +175,20 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, te
     )
     size = base.agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("docs")).first()
     groups = max(1, -(-((size["n"] or 0) + 100 * size["docs"]) // GROUP_BYTES))
+    tasks = max(min(groups, FEW_TASKS), groups // TASK_GROUPS)
 
     def packed(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         tokens = tokenizer(vocabulary)
         frame = frame.sort_values(["no_id", "doc_id", "text"], kind="stable", na_position="first")
-        named = [(None if no else int(i), encode(t, tokens)) for i, no, t in zip(frame["doc_id"], frame["no_id"], frame["text"])]
+        named = []
+        for i, no, t, copies in zip(frame["doc_id"], frame["no_id"], frame["text"], frame["copies"]):
+            named += [(None if no else int(i), encode(t, tokens))] * copies
         return pack_group(int(key[0]), named, length, tokens.n_vocab)
 
     return (
-        base.withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
-        .repartition(groups, "group")
+        _portions(base)
+        .withColumn("group", F.pmod(F.xxhash64("doc_id", "text", "portion"), F.lit(groups)))
+        .repartition(tasks, "group")
         .groupBy("group")
         .applyInPandas(packed, PACKED)
     )

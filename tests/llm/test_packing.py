@@ -1,9 +1,11 @@
 """Packs hold every document's tokens once, fit tightly, and say where they are."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from nearfield.llm import packing as op
 
@@ -80,6 +82,23 @@ def test_round_trip(spark, monkeypatch):
     assert op.pack(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_equal_rows_are_dealt_to_many_groups(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(op, "GROUP_BYTES", 8000)
+    monkeypatch.setattr(op, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(op, "FEW_TASKS", 3)
+    rows = [(None, "")] * 700 + [(None, None)] * 55 + [(7, "some words of a text")] * 31 + [(i, f"text {i}") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    packs = op.pack(frame, length=16).collect()
+    tokens = op.tokenizer(op.VOCABULARY)
+    want = Counter((i, tuple(op.encode(t, tokens).tolist())) for i, t in rows)
+    assert Counter((i, tuple(ids)) for i, _, ids in unpacked(packs, 16)) == want
+    groups = Counter()
+    for p in packs:
+        groups[p["pack_id"] >> 32] += sum(s["doc_id"] is None for s in p["segments"])
+    assert len(groups) > 5 and max(groups.values()) < 300
+
+
 def test_registered_query_and_written_packs(spark, tmp_path):
     packs = op.op5_packing(spark, SF)
     op.write_packs(packs, str(tmp_path / "packs"))
