@@ -26,6 +26,8 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 4096  # queries sent to every task at most
 QUERY_BLOCK = 4096  # queries in one grid cell
 CORPUS_BLOCK = 65536  # corpus rows in one grid cell
+WIDER = 8  # times as many queries in a cell, at most, where there are more cells than GRID: each row is sent to every block of queries
+GRID = 256
 CELLS = 1 << 22  # scores held at once in a task
 
 PAIR = T.StructType(
@@ -88,6 +90,7 @@ class Metric:
     score: Callable[[np.ndarray, np.ndarray], np.ndarray]
     ascending: bool = False  # smaller is better
     integral: bool = False  # operands are integer codes
+    euclidean: bool = False  # plain distances, which a product of the vectors estimates
 
     @property
     def dtype(self):
@@ -100,7 +103,7 @@ METRICS: dict[str, Metric] = {
     "sigmoid_dot": Metric(lambda q, c: 1.0 / (1.0 + np.exp(-_dot(q, c)))),
     "dot": Metric(_dot),
     "matches": Metric(_matches, integral=True),
-    "l2": Metric(lambda q, c: np.sqrt(_l2sq(q, c)), ascending=True),
+    "l2": Metric(lambda q, c: np.sqrt(_l2sq(q, c)), ascending=True, euclidean=True),
     "l2sq": Metric(_l2sq, ascending=True),
     "l1": Metric(_l1, ascending=True),
     "cosine": Metric(lambda q, c: 1.0 - _cosine(q, c), ascending=True),
@@ -183,6 +186,12 @@ def _scores(metric: Metric, q: Block, c: Block, digits: int | None, only: str |
     return out
 
 
+HUGE = 1e150  # of squared lengths: sums and differences of smaller ones are finite
+ESTIMATE = 1e-11  # error of an estimated squared distance, of the squared lengths; that of the sums is far below
+PAIRS_AT_ONCE = 1 << 16  # pairs whose differences are computed at once
+NEAR_ROWS, NEAR_CELLS = 1 << 12, 1 << 18  # rows and estimates at once, which stay in the processor's cache
+
+
 class TopK:
     """Running k best rows of every query over the blocks of one task; ties go to the lower id.
 
@@ -198,37 +207,81 @@ class TopK:
     def add(self, part: int, q: Block, ids: np.ndarray, scores: np.ndarray) -> Iterator[pa.RecordBatch]:
         if self.k > 0 and scores.size:
             cost = scores if self.sign > 0 else -scores
-            bar = self.bars.get(part)
-            if bar is None:
-                bar = np.full(len(cost), np.inf)
-            if self.k < cost.shape[1] and not np.isfinite(bar).all():
-                own = np.partition(cost, self.k - 1, axis=1)[:, self.k - 1]  # NaN sorts last
-                bar = np.fmin(bar, own)
+            bar = self._bar(part, cost)
             row, col = np.nonzero(cost <= bar[:, None])
-            value, found = cost[row, col], ids[col]
-            finite = value < np.inf
-            if not finite.all():
-                row, value, found = row[finite], value[finite], found[finite]
-            if not len(row):
-                return iter(())
-            if part in self.kept:
-                row0, value0, found0 = self.kept[part]
-                row, value, found = (
-                    np.concatenate([row0, row]),
-                    np.concatenate([value0, value]),
-                    np.concatenate([found0, found]),
-                )
-            order = np.lexsort((found, value, row))
-            row, value, found = row[order], value[order], found[order]
-            place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
-            keep = place < self.k
-            self.kept[part] = (row[keep], value[keep], found[keep])
-            bars = np.full(len(cost), np.inf)
-            last = place == self.k - 1
-            bars[row[last]] = value[last]
-            self.bars[part] = bars
+            self._keep(part, len(cost), row, cost[row, col], ids[col])
         return iter(())
 
+    def _bar(self, part: int, cost: np.ndarray) -> np.ndarray:
+        """What a row may cost to be among the k best of each query, as far as is known."""
+        bar = self.bars.get(part)
+        if bar is None:
+            bar = np.full(len(cost), np.inf)
+        if self.k < cost.shape[1] and not np.isfinite(bar).all():
+            own = np.partition(cost, self.k - 1, axis=1)[:, self.k - 1]  # NaN sorts last
+            bar = np.fmin(bar, own)
+        return bar
+
+    def _keep(self, part: int, queries: int, row: np.ndarray, value: np.ndarray, found: np.ndarray) -> None:
+        finite = value < np.inf
+        if not finite.all():
+            row, value, found = row[finite], value[finite], found[finite]
+        if not len(row):
+            return
+        if part in self.kept:
+            row0, value0, found0 = self.kept[part]
+            row, value, found = (
+                np.concatenate([row0, row]),
+                np.concatenate([value0, value]),
+                np.concatenate([found0, found]),
+            )
+        order = np.lexsort((found, value, row))
+        row, value, found = row[order], value[order], found[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+        keep = place < self.k
+        self.kept[part] = (row[keep], value[keep], found[keep])
+        bars = np.full(queries, np.inf)
+        last = place == self.k - 1
+        bars[row[last]] = value[last]
+        self.bars[part] = bars
+
+    def add_near(self, part: int, q: Block, c: Block, digits: int | None, only: str | None) -> bool:
+        """``add`` for Euclidean distances, all estimated by one product; only rows that may be among the k best are computed from differences.
+
+        False, and nothing done, where numbers are too large for estimates.
+        """
+        if q.vectors.shape[1] != c.vectors.shape[1]:
+            raise ValueError(f"queries have {q.vectors.shape[1]} dimensions, rows {c.vectors.shape[1]}")
+        with np.errstate(over="ignore", invalid="ignore"):
+            own, other = np.einsum("ij,ij->i", q.vectors, q.vectors), np.einsum("ij,ij->i", c.vectors, c.vectors)
+        sizes = np.concatenate([own, other])
+        if self.k < 1 or not (np.isnan(sizes) | (sizes < HUGE)).all():
+            return False
+        slack = ESTIMATE * (own + (np.nanmax(other) if np.isfinite(other).any() else 0.0))
+        guess = np.concatenate([q.vectors, np.ones((len(q), 1)), own[:, None]], axis=1)
+        guess = guess @ np.concatenate([-2 * c.vectors, other[:, None], np.ones((len(c), 1))], axis=1).T
+        if only == "others":
+            guess[q.ids[:, None] == c.ids[None, :]] = np.inf
+        elif only == "earlier" and c.ids.max() >= q.ids.min():
+            guess[c.ids[None, :] >= q.ids[:, None]] = np.inf
+        coarse = 0.0 if digits is None else 10.0**-digits  # what is below the bar only once it is rounded counts too
+        bar = self.bars.get(part)
+        most = np.full(len(q), np.inf) if bar is None else np.square(bar + coarse) + slack
+        if self.k < guess.shape[1] and not np.isfinite(most).all():
+            kth = np.maximum(np.partition(guess, self.k - 1, axis=1)[:, self.k - 1] + slack, 0)
+            most = np.fmin(most, np.square(np.sqrt(kth) + 2 * coarse) + slack)
+        row, col = np.nonzero(guess <= most[:, None])
+        seen = guess[row, col] < np.inf
+        row, col = row[seen], col[seen]
+        value = np.empty(len(row))
+        for at in range(0, len(row), PAIRS_AT_ONCE):
+            gap = c.vectors[col[at : at + PAIRS_AT_ONCE]] - q.vectors[row[at : at + PAIRS_AT_ONCE]]
+            value[at : at + PAIRS_AT_ONCE] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+        if digits is not None:
+            value = np.round(value, digits)
+        self._keep(part, len(q), row, value, c.ids[col])
+        return True
+
     def rest(self, parts: list[Block]) -> Iterator[pa.RecordBatch]:
         for part, (row, value, found) in self.kept.items():
             yield _pairs(parts[part].ids[row], found, value * self.sign)
@@ -255,28 +308,46 @@ def _pairs(query: np.ndarray, found: np.ndarray, value: np.ndarray) -> pa.Record
     )
 
 
-def _parts(q: Block, rows: int) -> list[Block]:
-    step = max(1, CELLS // max(rows, 1))
+def _parts(q: Block, rows: int, cells: int) -> list[Block]:
+    step = max(1, cells // max(rows, 1))
     return [
         Block(q.ids[i : i + step], q.vectors[i : i + step], q.cells[i : i + step] if q.cells is not None else None)
         for i in range(0, len(q), step)
     ]
 
 
+def _by_id(block: Block) -> Block:
+    order = np.argsort(block.ids, kind="stable")
+    if isinstance(block.cells, list):
+        cells = [block.cells[i] for i in order]
+    else:
+        cells = None if block.cells is None else block.cells[order]
+    return Block(block.ids[order], block.vectors[order], cells)
+
+
 def _run(
     blocks: Iterable[Block], queries: Block, metric: Metric, keeper, digits: int | None, only: str | None
 ) -> Iterator[pa.RecordBatch]:
-    parts = _parts(queries, 1 << 14)
+    if only == "earlier":
+        queries = _by_id(queries)
+    estimated = metric.euclidean and isinstance(keeper, TopK) and queries.cells is None
+    rows = NEAR_ROWS if estimated else 1 << 14
+    parts = _parts(queries, rows, NEAR_CELLS if estimated else CELLS)
     for whole in blocks:
-        for start in range(0, len(whole), 1 << 14):
-            end = start + (1 << 14)
+        if only == "earlier":
+            whole = _by_id(whole)
+        for start in range(0, len(whole), rows):
+            end = start + rows
             c = Block(
                 whole.ids[start:end],
                 whole.vectors[start:end],
                 whole.cells[start:end] if whole.cells is not None else None,
             )
             for p, q in enumerate(parts):
-                yield from keeper.add(p, q, c.ids, _scores(metric, q, c, digits, only))
+                if only == "earlier" and c.ids.min() >= q.ids.max():
+                    continue  # no row is earlier than a query
+                if not (estimated and keeper.add_near(p, q, c, digits, only)):
+                    yield from keeper.add(p, q, c.ids, _scores(metric, q, c, digits, only))
     yield from keeper.rest(parts)
 
 
@@ -333,8 +404,11 @@ def score_pairs(
 def _grid(
     q_df: DataFrame, c_df: DataFrame, m: Metric, make_keeper, routed: bool, digits: int | None, only: str | None
 ) -> DataFrame:
-    n_q = max(1, -(-q_df.count() // QUERY_BLOCK))
+    asked = q_df.count()
+    n_q = max(1, -(-asked // QUERY_BLOCK))
     n_c = max(1, -(-c_df.count() // CORPUS_BLOCK))
+    if n_q * n_c > GRID:
+        n_q = max(-(-GRID // n_c), -(-asked // (QUERY_BLOCK * WIDER)))
 
     def spread(df: DataFrame, own: int, other: int, own_name: str, other_name: str) -> DataFrame:
         copies = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))

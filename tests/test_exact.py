@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from helpers import brute_top_k, cosine, hits_of, l2, random_rows, same_hits, vectors
@@ -159,3 +161,43 @@ def test_recall_overlap_and_scaling(spark):
     for size, got in sizes.items():
         want = brute_top_k(ASKED, ROWS[:size], 3, lambda a, b: 1 + cosine(a, b))
         assert {q: [i for _, i in sorted(h)] for q, h in got.items()} == {q: [i for i, _ in h] for q, h in want.items()}
+
+
+@pytest.mark.parametrize("only", [None, "others", "earlier"])
+def test_estimated_distances_give_the_same_neighbours(only, monkeypatch):
+    """Ties once rounded, copies, far off vectors and such without a number, against all differences computed; hardly any are."""
+    rng = np.random.default_rng(11)
+    rows = np.concatenate([rng.normal(size=(400, 9)), np.round(rng.normal(size=(300, 9))), 1e4 + rng.normal(size=(300, 9))])
+    rows[[5, 700]] = rows[[6, 1]]
+    rows[17, 3], rows[18, 2], rows[19] = np.nan, np.inf, 0
+    ids = rng.permutation(5000)[: len(rows)]
+    computed = []
+    plain = blocks.METRICS["l2"]
+
+    def found(vectors, digits, estimated):
+        metric = blocks.Metric(lambda q, c: computed.append(q) or plain.score(q, c), ascending=True, euclidean=estimated)
+        keeper, cells = blocks.TopK(4, metric), [blocks.Block(ids[at : at + 300], vectors[at : at + 300]) for at in range(0, len(ids), 300)]
+        with np.errstate(all="ignore"):
+            out = list(blocks._run(cells, blocks.Block(ids[::3], vectors[::3]), metric, keeper, digits, only))
+        return sorted((r["query_id"], r["id"], r["value"]) for batch in out for r in batch.to_pylist())
+
+    for vectors, large in ((rows, True), (np.nan_to_num(rows, posinf=2.0), False)):
+        for digits in (None, 1, 6):
+            want = found(vectors, digits, False)
+            computed.clear()
+            assert found(vectors, digits, True) == want and len(want) > 1000
+            assert large or not computed
+
+
+def test_grid_of_many_cells_widens_its_blocks(spark, monkeypatch):
+    """Rows go to fewer blocks of queries than there are QUERY_BLOCKs, with the same neighbours."""
+    queries, corpus = frames(spark)
+    want = hits_of(exact.search_exact(queries, corpus, 5, "l2"), "distance")
+    monkeypatch.setattr(blocks, "QUERY_BLOCK", 1)
+    monkeypatch.setattr(blocks, "CORPUS_BLOCK", 16)
+    monkeypatch.setattr(blocks, "GRID", 8)
+    pairs = blocks.best_pairs(queries, corpus, 60, "l2", broadcast_rows=0)
+    assert pairs.count() == 9 * 60
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"pmod\(xxhash64\(id#\d+L, 42\), 2\) as int\) AS qb", plan), plan  # two blocks of queries, not nine
+    same_hits(hits_of(topk.top_k(pairs, 5, score="value", ascending=True), "value"), want)
