@@ -7,9 +7,11 @@ or joins with small word tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -119,6 +121,7 @@ def synonyms(df: DataFrame, rules: DataFrame, expand: bool) -> DataFrame:
 
 
 SPAN = "array<struct<pos:long,token:string,length:long>>"
+WORDS_AT_ONCE = 100_000  # words of an Arrow batch that are Python values at a time, or those of one text
 
 
 def synonym_rules(sets: list[list[str]], expand: bool = True) -> dict[tuple[str, ...], list[tuple[str, ...]]]:
@@ -141,6 +144,11 @@ def phrase_synonyms(tokens: Column, rules: dict[tuple[str, ...], list[tuple[str,
     comes after the longest of these; a shorter one ends in a token whose length, in
     positions, reaches that far. Matched phrases don't overlap. A null array stays null.
     """
+    return F.arrow_udf(phrase_spans(rules), SPAN)(tokens)
+
+
+def phrase_spans(rules: dict[tuple[str, ...], list[tuple[str, ...]]]) -> Callable[[pa.Array], pa.Array]:
+    """``phrase_synonyms`` of an Arrow array, whose spans are flat columns, never Python values of a whole batch."""
     trie: dict = {}
     for phrase, others in rules.items():
         node = trie
@@ -148,8 +156,8 @@ def phrase_synonyms(tokens: Column, rules: dict[tuple[str, ...], list[tuple[str,
             node = node.setdefault(word, {})
         node[None] = others
 
-    def spans(words: list[str]) -> list[dict]:
-        out, pos, i = [], 0, 0
+    def spans(words: list[str]) -> Iterator[tuple[int, str, int]]:
+        pos, i = 0, 0
         while i < len(words):
             node, j, found, after = trie, i, None, i + 1
             while j < len(words) and words[j] in node:
@@ -160,15 +168,28 @@ def phrase_synonyms(tokens: Column, rules: dict[tuple[str, ...], list[tuple[str,
             reach = max(map(len, others))
             for other in others:
                 for k, word in enumerate(other):
-                    out.append({"pos": pos + k, "token": word, "length": 1 if k < len(other) - 1 else reach - k})
+                    yield pos + k, word, 1 if k < len(other) - 1 else reach - k
             pos += reach
-        return out
-
-    @F.pandas_udf(SPAN)
-    def look(column: pd.Series) -> pd.Series:
-        return pd.Series([None if words is None else spans(list(words)) for words in column], dtype=object)
 
-    return look(tokens)
+    kind = pa.list_(pa.struct([("pos", pa.int64()), ("token", pa.string()), ("length", pa.int64())]))
+
+    def part(texts: pa.Array) -> pa.Array:
+        places, found, lengths, ends = array("q"), [], array("q"), [0]
+        for words in texts:
+            for pos, token, length in spans(words.as_py() or []):
+                places.append(pos)
+                found.append(token)
+                lengths.append(length)
+            ends.append(len(places))
+        flat = pa.StructArray.from_arrays([pa.array(places, pa.int64()), pa.array(found, pa.string()), pa.array(lengths, pa.int64())], fields=list(kind.value_type))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, type=kind, mask=texts.is_null())
+
+    def look(column: pa.Array) -> pa.Array:
+        ends = np.asarray(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).cumsum()
+        cuts = [0, *(1 + np.flatnonzero(np.diff(ends // WORDS_AT_ONCE))).tolist(), *([len(column)] if len(column) else [])]
+        return pa.concat_arrays([part(column.slice(at, end - at)) for at, end in zip(cuts, cuts[1:])] or [pa.array([], kind)])
+
+    return look
 
 
 def phrase_table(df: DataFrame, id_col: str, tokens: Column, rules: dict[tuple[str, ...], list[tuple[str, ...]]]) -> DataFrame:

@@ -1,7 +1,9 @@
 """Synonyms of phrases, token graphs and the older layout's types."""
 
 import datetime
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from nearfield.operators import analysis as A
@@ -78,3 +80,21 @@ def test_types_of_the_older_layout(spark):
     assert got["d_tdt"] == datetime.datetime(2024, 1, 2) and got["e_dpf"] == {"a": 1.5, "b": 2.0} and got["attr_f"] == ["x"]
     assert not any(none)
     assert S.type_of("x_i") == "int" and S.type_of("attr_x") is None  # the newer layout is the default
+
+
+def test_spans_hold_few_words_at_a_time(monkeypatch):
+    """Batches cut by their words give the same spans, and hold no Python values of all of them."""
+    plain = [None, [], ["a"], ["of", "the", "b"] * 40, None, ["of"], [], ["of", "the"] * 100, None]
+    look = A.phrase_spans(A.synonym_rules([["of the", "whereof"], ["b", "c d"]]))
+    whole = look(pa.array(plain, pa.list_(pa.string())))
+    assert [n.as_py() for n in whole.value_lengths()] == [None, 0, 1, 240, None, 1, 0, 300, None]
+    assert [tuple(x.values()) for x in whole[3].as_py()[:6]] == [(0, "of", 1), (1, "the", 1), (0, "whereof", 2), (2, "b", 2), (2, "c", 1), (3, "d", 1)]
+    monkeypatch.setattr(A, "WORDS_AT_ONCE", 50)
+    assert look(pa.array(plain, pa.list_(pa.string()))).equals(whole)
+    assert len(look(pa.array([], pa.list_(pa.string())))) == 0
+    many = pa.array([["of", "the", "x"] * 100] * 1000, pa.list_(pa.string()))
+    tracemalloc.start()
+    assert len(look(many).flatten()) == 400_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10_000_000  # 400000 spans as Python values are over 100 MB
