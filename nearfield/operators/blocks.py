@@ -145,6 +145,18 @@ def matrix(column: pa.Array | pa.ChunkedArray, dtype) -> np.ndarray:
     return flat.astype(dtype, copy=False).reshape(n, -1)
 
 
+ITEMS_AT_ONCE = 500_000  # items of a list column worked on at once in a task
+
+
+def few_items(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ITEMS_AT_ONCE items of a list column, or of one row: rows may be of any length."""
+    sizes = np.asarray(batch.column(column).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+    cuts = [0, *(1 + np.flatnonzero(np.diff(sizes.cumsum() // ITEMS_AT_ONCE))).tolist(), batch.num_rows]
+    for at, end in zip(cuts, cuts[1:]):
+        if end > at:
+            yield batch.slice(at, end - at)
+
+
 def list_rows(lists: pa.ListArray) -> np.ndarray:
     """Row number of every item of the flattened list column; a null list has no items."""
     sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)

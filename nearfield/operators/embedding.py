@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 
 from nearfield.functions.text import words
 from nearfield.functions.vectors import l2_normalise, to_payload
-from nearfield.operators.blocks import list_rows, map_vectors, vector_means
+from nearfield.operators.blocks import few_items, list_rows, map_vectors, vector_means
+
+SEEN_WORDS = 200_000  # words whose place a task remembers; it is computed again for others
 
 # An embedder turns an Arrow array of prepared texts into a matrix, one row per
 # text. It is made once per task by calling the factory, so a model loads once.
@@ -40,11 +42,15 @@ class HashEmbedder:
         if got is None:
             digest = hashlib.md5(word.encode()).hexdigest()
             got = (int(digest[:8], 16) % self.dims, 1 if int(digest[8:16], 16) % 2 == 0 else -1)
-            if len(self.seen) < 1_000_000:
+            if len(self.seen) < SEEN_WORDS:
                 self.seen[word] = got
         return got
 
     def __call__(self, tokens: pa.ListArray) -> np.ndarray:
+        batch = pa.RecordBatch.from_arrays([tokens], names=["tokens"])
+        return np.concatenate([np.empty((0, self.dims)), *(self._vectors(some.column("tokens")) for some in few_items(batch, "tokens"))])
+
+    def _vectors(self, tokens: pa.ListArray) -> np.ndarray:
         rows = len(tokens)
         row = list_rows(tokens)
         coded = tokens.flatten().dictionary_encode()

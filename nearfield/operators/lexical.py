@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield.functions.text import words
-from nearfield.operators.blocks import BROADCAST_ROWS, CELLS, METRICS, PAIR, Block, TopK, bounded_table, counted, list_rows
+from nearfield.operators.blocks import BROADCAST_ROWS, CELLS, METRICS, PAIR, Block, TopK, bounded_table, counted, few_items, list_rows
 from nearfield.operators.topk import top_k
 from nearfield.session import cut_lineage
 
@@ -109,7 +109,7 @@ def forward_index(docs: DataFrame, vocabulary: pa.Array, id_col: str = "id", tex
     size = len(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (some for whole in batches for some in few_items(whole, "tokens")):
             tokens = batch.column("tokens")
             code = pc.index_in(tokens.flatten(), value_set=vocabulary)
             known = code.is_valid().to_numpy(zero_copy_only=False)

@@ -157,3 +157,30 @@ def test_files_without_a_scheme_land_where_spark_looks(spark, tmp_path):
     VF.write_vectors(vectors(spark, random_rows(30, 3, 2)), path)
     assert VF.vector_count(spark, path) == 30
     assert VF.vector_count(spark, f"file://{path}") == 30
+
+
+def test_word_batches_are_worked_on_in_slices(spark, monkeypatch):
+    """Vectors and word counts of a batch are the same whatever is worked on at once, and little memory beside it is taken."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from nearfield.operators import blocks
+    from nearfield.operators.embedding import HashEmbedder
+
+    lists = [None, [], ["a", "b"] * 30, ["c"], None, ["a"] * 100, []]
+    tokens = pa.array(lists, pa.list_(pa.string()))
+    whole = HashEmbedder(8)(tokens)
+    monkeypatch.setattr(blocks, "ITEMS_AT_ONCE", 7)
+    assert np.array_equal(HashEmbedder(8)(tokens), whole) and whole.shape == (7, 8)
+    batch = pa.RecordBatch.from_arrays([tokens], names=["t"])
+    assert pa.Table.from_batches(blocks.few_items(batch, "t")).column("t").to_pylist() == lists
+    assert HashEmbedder(8)(tokens.slice(0, 0)).shape == (0, 8)
+    monkeypatch.setattr(blocks, "ITEMS_AT_ONCE", 50_000)
+    many = pa.array([["a", "b", "c", "d"] * 250] * 2000, pa.list_(pa.string()))
+    tracemalloc.start()
+    HashEmbedder(8)(many)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16_000_000  # a number a word of the whole batch is 16 MB
