@@ -12,12 +12,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.numbers import running_total
 from nearfield.functions.text import WORD, minimal_stem, possessive, whitespace_tokens
+from nearfield.operators.blocks import few_items, list_rows
+from nearfield.operators.corpus import split_by_repeats
 
 # Stop words. English is the usual 33-word search engine list, the
 # others are articles, prepositions and conjunctions.
@@ -37,6 +40,10 @@ ELISIONS = "(?i)^" + ARTICLE
 ACCENTED = "àáâãåèéêëìíîïòóôõùúûñçý"
 PLAIN = "aaaaaeeeeiiiioooouuuncy"
 
+# One run of letters between punctuation that no rule of the word delimiter cuts: no change
+# from a small to a capital letter inside, and no 's that is a possessive mark.
+PLAIN_WORD = r"^(?:[^\p{L}\p{N}]*[^\p{L}\p{N}'’])?(?:\p{Lu}*\p{Ll}+|\p{Lu}+)[^\p{L}\p{N}]*\z"
+
 CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
 
 Step = Callable[[DataFrame], DataFrame]
@@ -105,8 +112,11 @@ def stop_by_language(df: DataFrame, lists: DataFrame) -> DataFrame:
 
 def stem(protected: list[str] = ()) -> Step:
     """English plural stemmer, leaving protected words alone."""
-    keep = F.col("token").isin(list(protected)) if protected else F.lit(False)
-    return lambda df: df.withColumn("token", F.when(keep, F.col("token")).otherwise(minimal_stem(F.col("token"))))
+    return rewrite(lambda token: stem_of(token, protected))
+
+
+def stem_of(token: Column, protected: list[str] = ()) -> Column:
+    return F.when(token.isin(list(protected)), token).otherwise(minimal_stem(token)) if protected else minimal_stem(token)
 
 
 def synonyms(df: DataFrame, rules: DataFrame, expand: bool) -> DataFrame:
@@ -225,25 +235,34 @@ def delimited(token: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
 
 
+def _unless_plain(token: Column, plain: Callable[[Column], Column], other: Column) -> Column:
+    """``plain`` of the only word of a token that the word delimiter leaves whole, else ``other``, whose many patterns most tokens are spared."""
+    return F.when(token.rlike(PLAIN_WORD), plain(F.regexp_extract(token, r"\p{L}+", 0))).otherwise(other)
+
+
 def word_parts(token: Column) -> Column:
-    return F.filter(F.split(delimited(token), " "), lambda t: t != "")
+    return _unless_plain(token, F.array, F.filter(F.split(delimited(token), " "), lambda t: t != ""))
 
 
 def joined_runs(token: Column) -> Column:
     """Adjacent word parts glued together, and adjacent number parts likewise."""
     solid = F.regexp_replace(F.regexp_replace(token, "['’][sS]$", ""), r"[^\p{L}\p{N}]+", "")
-    return F.regexp_extract_all(solid, F.lit(r"\p{L}+|\p{N}+"), F.lit(0))
+    return _unless_plain(token, F.array, F.regexp_extract_all(solid, F.lit(r"\p{L}+|\p{N}+"), F.lit(0)))
 
 
 def split_words(df: DataFrame, parts: bool = True, catenate: bool = True) -> DataFrame:
     """Word delimiter: parts of a token, their catenations, or both, all at the token's position."""
+    return df.withColumn("token", F.explode(split_word(F.col("token"), parts, catenate)))
+
+
+def split_word(token: Column, parts: bool = True, catenate: bool = True) -> Column:
     pieces = []
     if parts:
-        pieces.append(word_parts(F.col("token")))
+        pieces.append(word_parts(token))
     if catenate:
-        pieces.append(joined_runs(F.col("token")))
+        pieces.append(joined_runs(token))
     both = pieces[0] if len(pieces) == 1 else F.array_union(*pieces)
-    return df.withColumn("token", F.explode(F.array_distinct(both)))
+    return _unless_plain(token, F.array, F.array_distinct(both))
 
 
 def part_spans(token: Column, catenate: bool = True) -> Column:
@@ -261,8 +280,9 @@ def part_spans(token: Column, catenate: bool = True) -> Column:
     def span(part: Column, i: Column) -> Column:
         return F.struct(i.cast("long").alias("pos"), part.alias("token"), F.lit(1).cast("long").alias("length"))
 
+    whole = lambda word: F.array(F.struct(F.lit(0).cast("long").alias("pos"), word.alias("token"), F.lit(1).cast("long").alias("length")))
     if not catenate:
-        return F.transform(parts, span)
+        return _unless_plain(token, whole, F.transform(parts, span))
 
     def joined(own: Column) -> Column:
         def run(part: Column, i: Column) -> Column:
@@ -276,7 +296,7 @@ def part_spans(token: Column, catenate: bool = True) -> Column:
 
         return F.concat(F.transform(own, span), F.filter(F.transform(own, run), lambda s: s.isNotNull()))
 
-    return F.when(F.size(parts) > 0, F.transform(F.array(parts), joined)[0]).otherwise(F.array()).cast(SPAN)
+    return _unless_plain(token, whole, F.when(F.size(parts) > 0, F.transform(F.array(parts), joined)[0]).otherwise(F.array()).cast(SPAN))
 
 
 def split_graph(df: DataFrame, catenate: bool = True) -> DataFrame:
@@ -333,6 +353,71 @@ def cjk_bigrams(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 # --- chains -----------------------------------------------------------------------------
 
 
+def _span(pos: Column, token: Column, length: Column | None = None) -> Column:
+    one = F.lit(1).cast("long")
+    return F.struct(pos.cast("long").alias("pos"), token.alias("token"), (one if length is None else length).alias("length"))
+
+
+def _each(spans: Column, f: Callable[[Column], Column]) -> Column:
+    return F.transform(spans, lambda s: _span(s["pos"], f(s["token"]), s["length"]))
+
+
+def _without(spans: Column, words: list[str]) -> Column:
+    return F.filter(spans, lambda s: ~F.lower(s["token"]).isin(words)) if words else spans
+
+
+def _stemmed(spans: Column, protected: list[str]) -> Column:
+    return _each(_each(spans, F.lower), lambda t: stem_of(t, protected))
+
+
+def chain_spans(
+    text: Column, chain: str, lang: Column | None = None, protected: list[str] = (), stop_words: list[str] | None = None
+) -> Column:
+    """The tokens of one text by a chain of ``analyze``: an array of ``(pos, token, length)``, without offsets and reversed forms.
+
+    For the chains of the word delimiter as a graph see ``graph_spans``.
+    """
+    stops = STOP_WORDS["en"] if stop_words is None else stop_words
+
+    def placed(tokens: Column) -> Column:
+        return F.transform(tokens, lambda t, i: _span(i, t))
+
+    if chain in ("general", "rev"):
+        return _each(_without(placed(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), stop_words or []), F.lower)
+    if chain == "ws":
+        return placed(whitespace_tokens(text))
+    if chain == "en":
+        tokens = _without(placed(F.regexp_extract_all(text, F.lit(WORD + r"(?:['’][sS]\b)?"), F.lit(0))), stops)
+        return _each(_each(tokens, lambda t: possessive(F.lower(t))), lambda t: stem_of(t, protected))
+    if chain in ("splitting", "tight"):
+        split = lambda s: F.transform(split_word(s["token"], parts=chain == "splitting"), lambda t: _span(s["pos"], t))
+        kept = _without(placed(whitespace_tokens(text)), stops)
+        if chain == "splitting":
+            return _stemmed(F.flatten(F.transform(kept, split)), protected)
+        return F.flatten(F.transform(kept, lambda s: F.array_distinct(_stemmed(split(s), protected))))
+    if chain == "lang":
+        if lang is None:
+            raise ValueError("the lang chain needs a language column")
+        french = F.coalesce(lang == "fr", F.lit(False))
+        cut = lambda word: F.regexp_extract_all(text, F.lit(word), F.lit(0))
+        tokens = placed(F.when(french, F.transform(cut(f"(?:(?i){ARTICLE})?{WORD}"), lambda t: F.regexp_replace(t, ELISIONS, ""))).otherwise(cut(WORD)))
+        kept = F.when(F.lit(False), tokens)
+        for name, listed in sorted(STOP_WORDS.items()):
+            kept = kept.when(lang == name, _without(tokens, listed))
+        return _each(kept.otherwise(tokens), lambda t: fold(t, lang))
+    raise ValueError(f"unknown chain: {chain}")
+
+
+def graph_spans(df: DataFrame, id_col: str, text_col: str, protected: list[str], stop_words: list[str], catenate: bool) -> DataFrame:
+    """``(id, spans)``: ``split_graph`` of the white-space tokens of a text inside its row, without stop words, lower case, plural stem."""
+    more = lambda t: F.when(t.rlike(PLAIN_WORD) | F.lower(t).isin(stop_words), 0).otherwise(F.greatest(F.size(word_parts(t)), F.lit(1)) - 1)
+    words = df.select(F.col(id_col).alias("id"), whitespace_tokens(F.col(text_col)).alias("words")).withColumn("more", F.transform("words", more))
+    moved = words.withColumn("moved", running_total(F.col("more")))
+    place = F.transform(F.arrays_zip("words", "more", "moved"), lambda t, i: _span(i + t["moved"] - t["more"], t["words"]))
+    graph = lambda s: F.transform(part_spans(s["token"], catenate), lambda p: _span(s["pos"] + p["pos"], p["token"], p["length"]))
+    return moved.select("id", _stemmed(F.flatten(F.transform(_without(place, stop_words), graph)), protected).alias("spans"))
+
+
 def analyze(
     df: DataFrame,
     id_col: str,
@@ -341,8 +426,10 @@ def analyze(
     lang_col: str | None = None,
     protected: list[str] = (),
     stop_words: list[str] | None = None,
+    whole: bool = False,
 ) -> DataFrame:
-    """Token table of a text column by the named chain.
+    """Token table of a text column by the named chain; ``whole``: a row per text, its tokens as ``spans`` (``chain_spans``).
+
 
     general: words, no stop words by default, lower case, offsets.
     ws: white-space tokens. en: words, English stop words, lower case, possessive, plural stem.
@@ -352,6 +439,11 @@ def analyze(
     lang: words without elided articles, stop words of the row's language, folding by language.
     """
     stops = STOP_WORDS["en"] if stop_words is None else stop_words
+    if whole:
+        if chain in ("splitting_graph", "splitting_query"):
+            return graph_spans(df, id_col, text_col, protected, stops, chain == "splitting_graph")
+        lang = None if lang_col is None else F.col(lang_col)
+        return df.select(F.col(id_col).alias("id"), chain_spans(F.col(text_col), chain, lang, protected, stop_words).alias("spans"))
     if chain in ("general", "rev"):
         out = lower(stop(stop_words)(standard_tokens(df, id_col, text_col)) if stop_words else standard_tokens(df, id_col, text_col))
         return with_reversed(out) if chain == "rev" else out
@@ -379,6 +471,48 @@ def analyze(
     raise ValueError(f"unknown chain: {chain}")
 
 
+# --- statistics of terms -----------------------------------------------------------------
+
+
+def _term_sums(by: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``by`` and ``n``, ``docs``, ``pos_sum`` of a slice of texts ``(id, spans)``, whose ids are distinct."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (some for whole in batches for some in few_items(whole, "spans")):
+            flat = batch.column("spans").flatten()
+            coded = [pc.dictionary_encode(flat.field(name), null_encoding="encode") for name in by]
+            sizes = [max(1, len(c.dictionary)) for c in coded]
+            codes = np.ravel_multi_index([c.indices.to_numpy() for c in coded], sizes)
+            terms, term = np.unique(codes, return_inverse=True) if len(by) > 1 else (np.arange(len(coded[0].dictionary)), codes)
+            known = batch.column("id").is_valid().to_numpy(zero_copy_only=False)
+            row = list_rows(batch.column("spans"))
+            pairs = np.unique((row * max(1, len(terms)) + term)[known[row]])
+            totals = np.zeros(len(terms), np.int64)
+            np.add.at(totals, term, flat.field("pos").to_numpy())
+            counts = [np.bincount(term, minlength=len(terms)), np.bincount(pairs % max(1, len(terms)), minlength=len(terms)), totals]
+            names = [c.dictionary.take(pa.array(at)) for c, at in zip(coded, np.unravel_index(terms, sizes))]
+            yield pa.RecordBatch.from_arrays([*names, *(pa.array(c, pa.int64()) for c in counts)], names=[*by, "n", "docs", "pos_sum"])
+
+    return sums
+
+
+def term_statistics(df: DataFrame, id_col: str, text_col: str, chain: str = "general", by: tuple[str, ...] = ("token",), **options) -> DataFrame:
+    """``by``, ``n``, ``docs`` and ``pos_sum`` of the token table of a chain: occurrences, distinct ids, sum of positions.
+
+    The tokens of a text stay in one row of its task, and are summed up there before
+    anything is shuffled; only of texts whose id is in other rows too are the pairs
+    of token and id shuffled.
+    """
+    once, again = split_by_repeats(df, id_col)
+    shape = ", ".join(f"{name} {'string' if name == 'token' else 'long'}" for name in by) + ", n long, docs long, pos_sum long"
+    parts = analyze(once, id_col, text_col, chain, whole=True, **options).mapInArrow(_term_sums(list(by)), shape)
+    if again is not None:
+        rows = analyze(again, id_col, text_col, chain, **options)
+        counts = (F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("docs"), F.sum("pos").alias("pos_sum"))
+        parts = parts.unionByName(rows.groupBy(*by).agg(*counts))
+    return parts.groupBy(*by).agg(*(F.sum(name).alias(name) for name in ("n", "docs", "pos_sum")))
+
+
 # --- whole values ----------------------------------------------------------------------------
 
 

@@ -176,6 +176,19 @@ def truncate_tokens(df: DataFrame, text_col: str, max_len: int = 500) -> DataFra
     )
 
 
+# --- repeated ids -------------------------------------------------------------------------
+
+
+def split_by_repeats(df: DataFrame, id: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose id no other row has, and the rest, None if there is none. Rows without an id repeat one another."""
+    again = cut_lineage(df.groupBy(F.col(id).alias("_again")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_again"))
+    if again.isEmpty():
+        return df, None
+    again = F.broadcast(again) if counted(again, 1_000_000) is not None else again
+    same = F.col(id).eqNullSafe(F.col("_again"))
+    return df.join(again, same, "left_anti"), df.join(again, same, "left_semi")
+
+
 # --- joins -----------------------------------------------------------------------------
 
 

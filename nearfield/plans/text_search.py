@@ -342,10 +342,7 @@ def _chain(chain, **options):
     """Term statistics of a chain over all documents."""
 
     def run(spark, sf_dir):
-        tokens = A.analyze(documents(spark, sf_dir), "id", "text", chain, **options)
-        return tokens.groupBy("token").agg(
-            F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("docs"), F.sum("pos").alias("pos_sum")
-        )
+        return A.term_statistics(documents(spark, sf_dir), "id", "text", chain, **options)
 
     return run
 
@@ -509,8 +506,7 @@ ARTICLE_SQL = A.ARTICLE.replace("'", "''")
 def fold_by_lang(spark, sf_dir):
     """Folded terms of all documents; in French ones a preposition is elided, so that there is something to strip."""
     elided = F.when(F.col("lang") == "fr", F.replace(F.col("text"), F.lit(" de "), F.lit(" d'"))).otherwise(F.col("text"))
-    tokens = A.analyze(documents(spark, sf_dir).withColumn("text", elided), "id", "text", "lang", lang_col="lang")
-    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("docs"), F.sum("pos").alias("pos_sum"))
+    return A.term_statistics(documents(spark, sf_dir).withColumn("text", elided), "id", "text", "lang", lang_col="lang")
 
 
 QUERIES["fold_by_lang"] = fold_by_lang
@@ -799,8 +795,7 @@ def _graph_chain(chain):
     """Token counts with positions and lengths, so that the graph has to agree and not only the words."""
 
     def run(spark, sf_dir):
-        tokens = A.analyze(documents(spark, sf_dir), "id", "text", chain, protected=PROTECTED)
-        return tokens.groupBy("token", "length").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos_sum"), F.countDistinct("id").alias("docs"))
+        return A.term_statistics(documents(spark, sf_dir), "id", "text", chain, by=("token", "length"), protected=PROTECTED)
 
     return run
 
