@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from nearfield.functions.text import words
 from nearfield.operators.blocks import BROADCAST_ROWS, CELLS, METRICS, PAIR, Block, TopK, bounded_table, counted, few_items, list_rows
+from nearfield.operators.corpus import split_by_repeats
 from nearfield.operators.topk import top_k
 from nearfield.session import cut_lineage
 
@@ -32,19 +33,45 @@ def postings(
 
     Every document also has one row for DOCUMENT_MARK, so document count and
     average length come from the same table. With a ``vocabulary`` (``term``)
-    other words are dropped before anything is shuffled. The length comes from
-    the token array, so counting needs at most one shuffle, after a partial count
-    in every task, and none where documents are partitioned by id.
+    other words are dropped. Words are counted in the task of their document, and
+    nothing is shuffled; only counts of rows that share an id are added up.
     """
-    tokens = docs.select(F.col(id_col).cast("long").alias("id"), terms(F.col(text_col)).alias("_tokens")).select(
-        "id",
-        F.size("_tokens").cast("long").alias("dl"),
-        F.explode(F.concat(F.array(F.lit(DOCUMENT_MARK)), "_tokens")).alias("term"),
-    )
+    once, again = split_by_repeats(docs, id_col)
+    counts = term_counts(once, id_col, text_col, terms)
+    if again is not None:
+        more = term_counts(again, id_col, text_col, terms).groupBy("id", "dl", "term").agg(F.sum("tf").alias("tf"))
+        counts = counts.unionByName(more)
     if vocabulary is not None:
         marked = vocabulary.select("term").union(vocabulary.sparkSession.createDataFrame([(DOCUMENT_MARK,)], "term string"))
-        tokens = tokens.join(marked, "term", "left_semi")
-    return tokens.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+        counts = counts.join(marked, "term", "left_semi")
+    return counts
+
+
+def term_counts(docs: DataFrame, id_col: str, text_col: str, terms: Terms = words) -> DataFrame:
+    """``(id, dl, term, tf)`` of every row on its own, DOCUMENT_MARK included: counted on the flat words of an Arrow batch. A null text has none."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (some for whole in batches for some in few_items(whole, "tokens")):
+            batch = batch.filter(batch.column("tokens").is_valid())
+            tokens = batch.column("tokens")
+            coded = pc.dictionary_encode(tokens.flatten())
+            size = max(1, len(coded.dictionary))
+            cells, counts = np.unique(list_rows(tokens) * size + coded.indices.to_numpy(), return_counts=True)
+            row = np.concatenate([np.arange(batch.num_rows), cells // size])
+            marks = pa.array([DOCUMENT_MARK] * batch.num_rows, pa.string())
+            lengths = tokens.value_lengths().cast(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id").take(pa.array(row)),
+                    lengths.take(pa.array(row)),
+                    pa.concat_arrays([marks, coded.dictionary.take(pa.array(cells % size))]),
+                    pa.array(np.concatenate([np.ones(batch.num_rows, np.int64), counts])),
+                ],
+                names=["id", "dl", "term", "tf"],
+            )
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), terms(F.col(text_col)).alias("tokens"))
+    return rows.mapInArrow(count, "id long, dl long, term string, tf long")
 
 
 def bm25_over(
@@ -63,8 +90,10 @@ def bm25_over(
 
     ``query_terms`` is the chain for queries, which may expand a word to several.
 
-    A word that most documents hold is spread over ``salt`` tasks by document
-    id; each gets its own copy of the (small) query side of that word.
+    Postings of other words are dropped where they are read. Up to VOCABULARY words
+    and their weights travel to the postings; of more, a word that most documents
+    hold is spread over ``salt`` tasks by document id, and each gets its own copy of
+    the (small) query side of that word.
     """
     asked = (
         queries.select("query_id", F.explode(query_terms(F.col("text"))).alias("term"))
@@ -73,7 +102,11 @@ def bm25_over(
     )
     whole = index.where(F.col("term") == DOCUMENT_MARK).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     n, avgdl = whole.select("n").scalar(), whole.select("avgdl").scalar()
-    found = index.where(F.col("term") != DOCUMENT_MARK)
+    few = counted(asked, VOCABULARY) is not None
+    salt = 1 if few else salt
+    listed = asked.select("term").distinct()
+    listed = F.broadcast(listed) if few else listed
+    found = index.where(F.col("term") != DOCUMENT_MARK).join(listed, "term", "left_semi")
     df_of = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = asked.join(df_of, "term").select(
         "query_id",
@@ -87,7 +120,7 @@ def bm25_over(
     ranked = found if ids is None else found.join(ids.select(F.col("id").cast("long").alias("id")), "id", "left_semi")
     scored = (
         ranked.select("id", "term", gain.alias("gain"), F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int").alias("salt"))
-        .join(weighted, ["term", "salt"])
+        .join(F.broadcast(weighted) if few else weighted, ["term", "salt"])
         .groupBy("query_id", "id")
         .agg(F.sum(F.col("idf") * F.col("gain")).alias("_score"))
     )

@@ -52,6 +52,20 @@ def test_bm25_join_plan_gives_the_same(tables, monkeypatch):
     same_hits(hits_of(lexical.bm25(queries, docs, 3)), brute_bm25(3))
 
 
+def test_postings_are_counted_in_the_task_of_a_document(spark, capsys):
+    rows = [*DOCS.items(), (7, None), (1, "the cat sat on the dog"), (1, "dog"), (8, "Über über ÜBER x2")]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    want = Counter()
+    for i, text in rows:
+        found = None if text is None else re.findall(r"[^\W_]+", text.lower())
+        for term in [] if found is None else ["", *found]:
+            want[i, len(found), term] += 1
+    got = lexical.postings(docs).collect()
+    assert {(r["id"], r["dl"], r["term"]): r["tf"] for r in got} == want and len(got) == len(want)
+    lexical.postings(docs.where("id > 1")).explain()
+    assert "HashAggregate" not in capsys.readouterr().out
+
+
 def test_bm25_small_blocks(tables, monkeypatch):
     queries, docs = tables
     monkeypatch.setattr(lexical, "CELLS", 5)
