@@ -213,7 +213,9 @@ ORACLES["corpus_parse"] = "WITH " + PARSE_SQL + " SELECT id, url, _text_ FROM do
 def corpus_files(spark, sf_dir):
     """The same from compressed text files, whose lines are numbered in file order."""
     path = scratch_path(spark, "lines")
-    lines = lines_of(documents(spark, sf_dir)).repartitionByRange(4, "n").sortWithinPartitions("n").select("value")
+    docs = documents(spark, sf_dir)
+    files = max(4, docs.rdd.getNumPartitions())  # a task packs and unpacks as much as it reads, however many documents there are
+    lines = lines_of(docs).repartitionByRange(files, "n").sortWithinPartitions("n").select("value")
     lines.write.option("compression", "bzip2").text(path)
     return C.parse_corpus(C.read_lines(spark, path), written=True).select("id", "url", "_text_")
 

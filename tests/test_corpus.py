@@ -140,3 +140,15 @@ def test_repair_and_dates(spark):
     assert second["categories"] == ["a", "b", "c"]
     dates = S.normalise_dates(spark.createDataFrame([("2020-01-02",), (None,)], "release_date string")).collect()
     assert [r[0] for r in dates] == ["2020-01-02T00:00:00Z", None]
+
+
+def test_corpus_files_are_as_many_as_the_input_has_parts(spark, tmp_path, monkeypatch):
+    from nearfield.plans import text_search
+
+    path = str(tmp_path / "lines")
+    monkeypatch.setattr(text_search, "scratch_path", lambda *_: path)
+    docs = [(i, "word " * 30 + str(i), "en") for i in range(200)]
+    monkeypatch.setattr(text_search, "documents", lambda *_: spark.createDataFrame(docs, "id long, text string, lang string").repartition(9))
+    rows = text_search.corpus_files(spark, "").orderBy("id").collect()
+    assert [(r["id"], r["url"]) for r in rows] == [(i + 1, f"http://example.org/doc/{i}") for i in range(200)]
+    assert len(list((tmp_path / "lines").glob("part-*"))) == 9
