@@ -183,12 +183,17 @@ SELECT row_number() OVER (ORDER BY label >= 5, vec_id) AS id, vec_id, embedding[
 
 
 def stream_upsert(spark, sf_dir):
-    """Documents arrive file by file, are cleaned, embedded and upserted under their own ids, and then searched."""
+    """Documents arrive in three batches of files, are cleaned, embedded and upserted under their own ids, and then searched.
+
+    A batch is one file, and more where the table is read in more than three parts, so that no file is larger than these.
+    """
     stored = "id long, url string, _text_ string, vector array<double>"
     index = _index(spark, "stream", stored)
     arrived = scratch_path(spark, "arrived")
-    table(spark, sf_dir, "documents").repartition(3, "doc_id").write.parquet(f"{arrived}/documents.parquet")
-    stream = streamed(spark, arrived, "documents", files_per_batch=1)
+    docs = table(spark, sf_dir, "documents")
+    files = -(-docs.rdd.getNumPartitions() // 3)
+    docs.repartition(3 * files, "doc_id").write.parquet(f"{arrived}/documents.parquet")
+    stream = streamed(spark, arrived, "documents", files_per_batch=files)
 
     def prepare(batch):
         lines = spread(batch.withColumnRenamed("doc_id", "id"), "id")

@@ -202,3 +202,18 @@ def test_appended_batches_number_on_and_can_be_repeated(spark, tmp_path):
     again = spark.read.parquet(f"{out}/batch=1").drop("id", "batch")
     append_batch(spark, out, spark.createDataFrame(again.collect(), again.schema), "k", 1)
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(1, 102))
+
+
+def test_documents_of_a_stream_arrive_in_as_many_files_as_they_are_read_in(spark, tmp_path, monkeypatch):
+    from nearfield.plans import storage
+
+    made = []
+    docs = [(i, f"word{i} " + "word " * 30, "en", "web", 10) for i in range(60)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(11)
+    table = storage.table
+    monkeypatch.setattr(storage, "table", lambda spark, sf_dir, name: frame if name == "documents" else table(spark, sf_dir, name))
+    monkeypatch.setattr(storage, "scratch_path", lambda spark, name: made.append(str(tmp_path / name)) or made[-1])
+    hits = storage.stream_upsert(spark, "/root/testdata/sf0.001").collect()
+    assert len(list((tmp_path / "arrived" / "documents.parquet").glob("part-*"))) == 12
+    assert len(list((tmp_path / "ingest-state" / "commits").glob("[0-9]*"))) == 3
+    assert {r["id"] for r in hits} <= set(range(60)) and {r["rank"] for r in hits} == set(range(1, 6))
