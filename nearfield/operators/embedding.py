@@ -7,13 +7,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield.functions.text import words
 from nearfield.functions.vectors import l2_normalise, to_payload
-from nearfield.operators.blocks import few_items, list_rows, map_vectors, vector_means
+from nearfield.operators.blocks import few_items, list_rows, map_vectors, matrix, vector_means
+from nearfield.session import cut_lineage
 
 SEEN_WORDS = 200_000  # words whose place a task remembers; it is computed again for others
 
@@ -116,21 +118,75 @@ def mean_pool(df: DataFrame, id_col: str, text_col: str, table: DataFrame, keep:
     """Average of the token vectors of a text, repeated tokens counted each time.
 
     ``table`` is ``(token, vec)``; tokens without a vector are left out. A text
-    without any known token has no row, or with ``keep`` a null vector. Tokens are
-    counted per text before the join. A token that most texts share makes its
-    join partition large on the text side only, which the adaptive skew join
-    splits.
+    without any known token has no row, or with ``keep`` a null vector.
+
+    The vectors of the HOT words that a sample of SAMPLED texts holds most often
+    travel to the texts and are summed up there; only other words are counted per
+    text and joined. Which words travel does not change the means.
     """
-    counts = (
-        df.select(F.col(id_col).alias("id"), F.explode(words(F.col(text_col))).alias("token"))
-        .groupBy("id", "token")
-        .agg(F.count(F.lit(1)).alias("n"))
+    known = hot_vectors(df, text_col, table)
+    width = len(known.column("vec")[0]) if known.num_rows else 0
+    rows = df.select(F.col(id_col).cast("long").alias("id"), words(F.col(text_col)).alias("tokens")).mapInArrow(
+        _sums_and_rest(known.column("token").combine_chunks(), matrix(known.column("vec"), np.float64) if width else np.empty((0, 0))),
+        "id long, n long, vec array<double>, token string",
     )
-    joined = counts.join(table.select("token", "vec"), "token")
-    means = vector_means(joined, "id", "vec", weight="n").select(F.col("key").alias("id"), "vector")
+    parts = cut_lineage(rows)
+    rest = parts.where("token IS NOT NULL").select("id", "n", "token").join(table.select("token", F.col("vec").cast("array<double>").alias("vec")), "token")
+    all_rows = parts.where("token IS NULL").select("id", "n", "vec").unionByName(rest.select("id", "n", "vec"))
+    means = vector_means(all_rows, "id", "vec", weight="n").select(F.col("key").alias("id"), "vector")
     return df.select(F.col(id_col).alias("id")).distinct().join(means, "id", "left") if keep else means
 
 
+HOT, HOT_CELLS = 200_000, 8_000_000  # words, and components of their vectors (64 MB), that travel to the texts at most
+SAMPLED = 20_000  # texts about that choose them
+
+
+def hot_vectors(df: DataFrame, text_col: str, table: DataFrame) -> pa.Table:
+    """``(token, vec)`` of common words of ``df`` that ``table`` knows once."""
+    first = table.select(F.size("vec").alias("n")).where("n > 0").first()
+    most = 0 if first is None else min(HOT, HOT_CELLS // first["n"])
+    texts = df.select(F.col(text_col).alias("text"))
+    count = texts.count()
+    texts = texts if count <= SAMPLED else texts.sample(SAMPLED / count, seed=1)
+    common = texts.select(F.explode(words(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    common = common.orderBy(F.col("n").desc(), "token").limit(most)
+    vectors = table.select("token", F.col("vec").cast("array<double>").alias("vec"))
+    found = vectors.where(F.col("vec").isNotNull()).join(F.broadcast(common.select("token")), "token", "left_semi").toArrow()
+    times = pc.value_counts(found.column("token"))
+    once = times.field("values").filter(pc.equal(times.field("counts"), 1))
+    return found.filter(pc.is_in(found.column("token"), value_set=once))
+
+
+def _sums_and_rest(known: pa.Array, vectors: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per text its number of ``known`` words and their mean vector, without a token, and a row with its count for every other word."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (some for whole in batches for some in few_items(whole, "tokens")):
+            coded = pc.dictionary_encode(batch.column("tokens").flatten())
+            place = pc.index_in(coded.dictionary, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            code = coded.indices.to_numpy()
+            row, word = list_rows(batch.column("tokens")), place[code]
+            hot = word >= 0
+            n = np.bincount(row[hot], minlength=batch.num_rows)
+            own = np.flatnonzero(n)
+            at, words_at = row[hot], word[hot]
+            sums = np.stack([np.bincount(at, vectors[words_at, d], batch.num_rows)[own] for d in range(vectors.shape[1])], axis=1) if len(own) else vectors[:0]
+            size = max(1, len(coded.dictionary))
+            cells, counts = np.unique(row[~hot] * size + code[~hot], return_counts=True)
+            offsets = np.concatenate([np.arange(len(own) + 1) * vectors.shape[1], np.full(len(cells), sums.size)])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id").take(pa.array(np.concatenate([own, cells // size]))),
+                    pa.array(np.concatenate([n[own], counts]), pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array((sums / n[own, None]).ravel(), pa.float64())),
+                    pa.concat_arrays([pa.nulls(len(own), pa.string()), coded.dictionary.take(pa.array(cells % size))]),
+                ],
+                names=["id", "n", "vec", "token"],
+            )
+
+    return look
+
+
 def projection_matrix(dims: int, k: int) -> np.ndarray:
     """Fixed +-1 matrix (dims x k) drawn from md5."""
     out = np.empty((dims, k))

@@ -26,7 +26,7 @@ from nearfield.plans.inputs import (
     vector_queries,
     words_sql,
 )
-from nearfield.session import scratch_path
+from nearfield.session import cut_lineage, scratch_path
 
 QUERIES = {}
 ORACLES = {}
@@ -147,7 +147,7 @@ def mean_pool_query(spark, sf_dir):
     docs = documents(spark, sf_dir)
     vocabulary = docs.select(F.explode(words(F.col("text"))).alias("token")).distinct()
     cell = lambda i: (hash32(F.concat_ws(":", F.col("token"), F.lit(i))) % 2001 - 1000) / 1009.0
-    vectors = vocabulary.select("token", F.array(*[cell(i) for i in range(POOL)]).alias("vec"))
+    vectors = cut_lineage(vocabulary.select("token", F.array(*[cell(i) for i in range(POOL)]).alias("vec")))
     pooled = mean_pool(docs, "id", "text", vectors, keep=True)
     return pooled.select("id", F.posexplode("vector").alias("i", "x")).select(
         "id", F.col("i").cast("long").alias("i"), F.round("x", DIGITS).alias("x")

@@ -279,3 +279,25 @@ def test_running_best_equals_sorting(points, k, step):
     for i, v in enumerate(q.vectors):
         want = sorted(((float(v @ p), j) for j, p in enumerate(c)), key=lambda x: (-x[0], x[1]))[:k]
         assert [j for _, j in sorted(got[i], key=lambda x: (-x[0], x[1]))] == [j for _, j in want]
+
+
+def test_mean_pool_of_words_that_travel_and_others(spark, monkeypatch):
+    from nearfield.operators import embedding
+
+    texts = [(1, "a a b c"), (2, "b c c x"), (3, "x y"), (4, None), (5, ""), (1, "d a"), (6, "a b twice none " * 5)]
+    docs = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    given = [("a", [1.0, 2.0]), ("b", [3.0, -1.0]), ("c", [0.5, 0.25]), ("d", [8.0, 1.0]), ("twice", [1.0, 1.0]), ("twice", [2.0, 0.0]), ("none", None)]
+    table = spark.createDataFrame(given, "token string, vec array<double>")
+    want = {}
+    for i in {i for i, _ in texts}:
+        held = [v for j, text in texts if j == i and text for w in text.split() for t, v in given if t == w and v]
+        want[i] = np.mean(held, axis=0).tolist() if held else None
+    for hot in (0, 1, 2, 100):
+        monkeypatch.setattr(embedding, "HOT", hot)
+        got = {r["id"]: r["vector"] for r in mean_pool(docs, "id", "text", table, keep=True).collect()}
+        assert got.keys() == want.keys()
+        assert all((got[i] is None) == (want[i] is None) and np.allclose(got[i] or [], want[i] or []) for i in want)
+    assert embedding.hot_vectors(docs, "text", table).column("token").to_pylist().count("twice") == 0
+    monkeypatch.setattr(embedding, "SAMPLED", 1)
+    got = {r["id"]: r["vector"] for r in mean_pool(docs, "id", "text", table).collect()}
+    assert {i for i in want if want[i]} == got.keys() and all(np.allclose(got[i], want[i]) for i in got)
