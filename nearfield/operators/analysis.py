@@ -40,9 +40,9 @@ ELISIONS = "(?i)^" + ARTICLE
 ACCENTED = "àáâãåèéêëìíîïòóôõùúûñçý"
 PLAIN = "aaaaaeeeeiiiioooouuuncy"
 
-# One run of letters between punctuation that no rule of the word delimiter cuts: no change
+# One run of letters, or of digits, between punctuation that no rule of the word delimiter cuts: no change
 # from a small to a capital letter inside, and no 's that is a possessive mark.
-PLAIN_WORD = r"^(?:[^\p{L}\p{N}]*[^\p{L}\p{N}'’])?(?:\p{Lu}*\p{Ll}+|\p{Lu}+)[^\p{L}\p{N}]*\z"
+PLAIN_WORD = r"^(?:[^\p{L}\p{N}]*[^\p{L}\p{N}'’])?(?:\p{Lu}*\p{Ll}+|\p{Lu}+|\p{N}+)[^\p{L}\p{N}]*\z"
 
 CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
 
@@ -237,7 +237,7 @@ def delimited(token: Column) -> Column:
 
 def _unless_plain(token: Column, plain: Callable[[Column], Column], other: Column) -> Column:
     """``plain`` of the only word of a token that the word delimiter leaves whole, else ``other``, whose many patterns most tokens are spared."""
-    return F.when(token.rlike(PLAIN_WORD), plain(F.regexp_extract(token, r"\p{L}+", 0))).otherwise(other)
+    return F.when(token.rlike(PLAIN_WORD), plain(F.regexp_extract(token, WORD, 0))).otherwise(other)
 
 
 def word_parts(token: Column) -> Column:
