@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from os.path import commonprefix
 
 import numpy as np
@@ -27,6 +28,8 @@ SHARD_ROWS = 2000  # lines of one key compared at once; a fuller key is cut into
 BINS = 64
 PAIRS_AT_ONCE = 50_000
 AT_ONCE = 512  # lines hashed at once
+KEYED_AT_ONCE = 128  # lines whose letter runs, 300 KB in the middle, are hashed at once
+ANCHOR, REACH = 8, 64  # letters that two lines must share again after an edit, and how far on they are looked for
 MIX, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 ODD = [np.uint64(xxhash.xxh64_intdigest(f"line key {i}") | 1) for i in range(KEYS * ROWS)]
 
@@ -46,8 +49,8 @@ def line_keys(lines: list[str]) -> list[np.ndarray]:
     sizes = np.array([len(line) for line in lines], dtype=np.int64)
     for run, low, high in RUNS:
         chosen = np.flatnonzero((sizes >= low) & (sizes <= high))
-        for at in range(0, len(chosen), AT_ONCE):
-            own = chosen[at : at + AT_ONCE]
+        for at in range(0, len(chosen), KEYED_AT_ONCE):
+            own = chosen[at : at + KEYED_AT_ONCE]
             joined = "".join(lines[i] + "\0" * (run - 1) for i in own) + "\0" * (run - 1)
             letters = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
             n = len(letters) - run + 1
@@ -57,6 +60,7 @@ def line_keys(lines: list[str]) -> list[np.ndarray]:
             runs = _mixed(runs)
             ends = np.cumsum(sizes[own] + run - 1)
             starts = ends - (sizes[own] + run - 1)
+            runs[(starts + sizes[own])[:, None] + np.arange(run - 1)] = runs[starts, None]  # these reach into the next line
             keys = np.empty((len(own), KEYS), dtype=np.uint64)
             for k in range(KEYS):
                 key = np.full(len(own), np.uint64(k * 16 + run))
@@ -78,7 +82,7 @@ def line_simhashes(lines: list[str]) -> np.ndarray:
         some = np.flatnonzero(sizes)
         if not len(some):
             continue
-        codes = np.fromiter((digest(w) for own in words for w in own), dtype="<u8", count=sizes.sum())
+        codes = np.fromiter(map(digest, chain.from_iterable(words)), dtype="<u8", count=sizes.sum())
         bits = np.unpackbits(codes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         starts = (np.cumsum(sizes) - sizes)[some]
         ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
@@ -90,6 +94,14 @@ def line_simhash(line: str) -> int:
     return int(line_simhashes([line])[0])
 
 
+def _least(up: int, down: int, j: int, m: int, n: int) -> int:
+    """The least distance that a column of ``m`` letters leaves open after ``j`` of ``n`` letters."""
+    size = m // 8 + 1
+    steps = [np.unpackbits(np.frombuffer(bits.to_bytes(size, "little"), np.uint8), bitorder="little")[:m].view(np.int8) for bits in (up, down)]
+    column = np.concatenate([[0], np.cumsum(steps[0] - steps[1], dtype=np.int64)]) + j
+    return int((column + np.abs(np.arange(m, -1, -1) - (n - j))).min())
+
+
 def edit_distance(a: str, b: str, most: int) -> int:
     """Levenshtein distance by bit-parallel columns; ``most + 1`` or more if it exceeds ``most``."""
     if a == b:
@@ -107,7 +119,10 @@ def edit_distance(a: str, b: str, most: int) -> int:
         masks[c] = masks.get(c, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, distance = full, 0, len(a)
+    look = max(32, len(b) // 12)  # columns after which the whole column is looked at
     for j, c in enumerate(b):
+        if j % look == 0 and j and _least(up, down, j, len(a), len(b)) > most:
+            return most + 1
         eq = masks.get(c, 0)
         xv = eq | down
         xh = (((eq & up) + up) ^ up) | eq
@@ -126,9 +141,48 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return distance
 
 
+def common_letters(a: str, b: str, i: int, j: int) -> int:
+    """How many letters of ``a`` from ``i`` and ``b`` from ``j`` are the same."""
+    most, n, step = min(len(a) - i, len(b) - j), 0, 32
+    while n < most and a[i + n : i + n + step] == b[j + n : j + n + step]:
+        n += step
+        step *= 2
+    low, high = n, min(n + step, most)  # the first difference, if any, is before ``high``
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[i + low : i + mid] == b[j + low : j + mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return min(low, most)
+
+
+def edits_enough(a: str, b: str, most: int) -> int:
+    """So many edits surely turn ``a`` into ``b``, more than ``most`` if that isn't seen: the next letters in common follow each edit."""
+    i = j = edits = 0
+    while edits <= most:
+        same = common_letters(a, b, i, j)
+        i, j = i + same, j + same
+        rest = max(len(a) - i, len(b) - j)
+        for skip in range(REACH):
+            letters = a[i + skip : i + skip + ANCHOR]
+            if len(letters) < ANCHOR:
+                return edits + rest
+            at = b.find(letters, j, j + skip + REACH)
+            if at >= 0:
+                break
+        else:
+            return most + 1
+        edits += max(skip, at - j)
+        i, j = i + skip, at
+    return edits
+
+
 def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     longer = max(len(a), len(b))
     most = int((1 - similarity) * longer + 1e-9)
+    if edits_enough(a, b, most) <= most:
+        return True
     return edit_distance(a, b, most) <= most
 
 
@@ -208,9 +262,11 @@ def verified(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
     """Links between alike lines of the shards of one task.
 
     Two lines already linked are not compared again; letter counts settle most
-    pairs that are not alike.
+    pairs that are not alike. Lines that meet in several shards are compared in the
+    lowest of them only.
     """
-    names, texts = frame["line_id"].tolist(), frame["line"].tolist()
+    names, texts, shards = frame["line_id"].tolist(), frame["line"].tolist(), frame["shard"].tolist()
+    everywhere = [frozenset(own) for own in frame["everywhere"]]
     left, right = near_pairs(frame)
     counts = letter_counts(texts)
     own = np.unique(names, return_inverse=True)[1]  # a line stands in several cells
@@ -231,7 +287,7 @@ def verified(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
         close = may_be_alike(counts, a, b, similarity)
         for x, y in zip(a[close].tolist(), b[close].tolist()):
             i, j = root(int(own[x])), root(int(own[y]))
-            if i != j and alike(texts[x], texts[y], similarity):
+            if i != j and shards[x] == min(everywhere[x] & everywhere[y]) and alike(texts[x], texts[y], similarity):
                 up[j] = i
                 links.append((names[x], names[y]))
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
@@ -306,11 +362,12 @@ def line_groups(docs: DataFrame, text: str = "text", similarity: float = SIMILAR
     tasks = max(1, KEYS * distinct.count() // TASK_ROWS)
     met = cut_lineage(_dealt(keyed, tasks).groupBy("task").applyInPandas(partners, "line_id long, shard long").distinct())
     members = met.groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64("line_id"), 20)).alias("a"), F.bit_xor(F.xxhash64("line_id")).alias("b"))
-    met = met.join(members.groupBy("n", "a", "b").agg(F.min("shard").alias("shard")).select("shard"), "shard")
+    met = cut_lineage(met.join(members.groupBy("n", "a", "b").agg(F.min("shard").alias("shard")).select("shard"), "shard"))
     wanted = cut_lineage(met.select("line_id").distinct().join(distinct.select("line_id", "code"), "line_id"))
     few = wanted.count() <= BROADCAST_IDS
     texts = line_texts(docs, text).join(F.broadcast(wanted) if few else wanted, "line_id").groupBy("line_id", "code").agg(F.min("line").alias("line"))
-    rows = cut_lineage(texts.join(met, "line_id"))
+    everywhere = met.groupBy("line_id").agg(F.collect_set("shard").alias("everywhere"))
+    rows = cut_lineage(texts.join(everywhere, "line_id").withColumn("shard", F.explode("everywhere")))
     tasks = max(1, rows.count() * 10 // TASK_ROWS)
     links = _dealt(rows, tasks).groupBy("task").applyInPandas(lambda frame: verified(frame, similarity), "a long, b long")
     return connected(links).select(F.col("node").alias("line_id"), "root")

@@ -36,6 +36,39 @@ def test_bounded_edit_distance():
     assert op.edit_distance("x" * 50_000 + "y", "z" + "x" * 50_000, 10) == 2
 
 
+def test_edits_that_are_enough_are_never_too_few():
+    rng = random.Random(2)
+    quick = 0
+    for _ in range(300):
+        letters = rng.choice(["ab", "abcdefgh ", "a\u00e9\U0001f600 z"])
+        a = "".join(rng.choice(letters) for _ in range(rng.randrange(80)))
+        b = "".join(c if rng.random() > 0.05 else rng.choice(["", "x", c + "yy"]) for c in a)
+        most, want = rng.randrange(20), distance(a, b)
+        found = op.edits_enough(a, b, most)
+        assert found >= min(want, most + 1)
+        quick += found <= most
+        got = op.edit_distance(a, b, most)
+        assert got == want if want <= most else got > most
+    assert quick > 100
+    a, b = ("".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(2))
+    assert op.edit_distance(a, b, 80) > 80 and op.edits_enough(a, b, 80) > 80
+
+
+def test_keys_of_a_line_depend_on_no_other_line():
+    rng = random.Random(4)
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(1, 120))) for _ in range(300)]
+    for line, keys in zip(lines, op.line_keys(lines)):
+        assert op.line_keys([line])[0].tolist() == keys.tolist()
+
+
+def test_lines_that_meet_in_several_shards_are_compared_once(monkeypatch):
+    seen = []
+    monkeypatch.setattr(op, "alike", lambda a, b, similarity: seen.append((a, b)))
+    rows = [(i, code, line, shard, [5, 7], shard) for shard in (5, 7) for i, code, line in ((1, 0, "a b c"), (2, 0, "a b d"))]
+    links = op.verified(pd.DataFrame(rows, columns=["line_id", "code", "line", "shard", "everywhere", "cell"]), 0.2)
+    assert len(seen) == 1 and links.empty
+
+
 def plain(line):
     return re.sub(r"[\s\xa0\x85]+", " ", line.lower()).strip(" ")
 
