@@ -23,13 +23,19 @@ RUNS = ((8, 40, 1 << 62), (4, 1, 80))  # (letters of a run, letters of a line fr
 TASK_ROWS = 100_000
 BROADCAST_IDS = 2_000_000  # so many line ids or shards (below 100 MB) travel to the lines; more are joined
 SHARD_ROWS = 2000  # lines of one key compared at once; a fuller key is cut into parts that are compared two by two
-
+BUCKET_KEYS = 500_000  # keys, 16 bytes each with their line, among which equal ones are looked for at once
 
 BINS = 64
 PAIRS_AT_ONCE = 50_000
 AT_ONCE = 512  # lines hashed at once
-KEYED_AT_ONCE = 128  # lines whose letter runs, 300 KB in the middle, are hashed at once
+SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"  # white space besides blank and \n
+ASCII_SPACES = SPACES[:8]
+KEYED_AT_ONCE = 256  # lines whose letter runs, 600 KB in the middle, are hashed at once
 ANCHOR, REACH = 8, 64  # letters that two lines must share again after an edit, and how far on they are looked for
+TOGETHER = (64, 5000)  # letters of the longer line from, to, of pairs whose distances are found many at once
+CELLS, LETTERS = 8192, 65_000  # numbers in a row of such pairs, 16 KB; code points from the second on are left to single pairs
+FAR = 16_000  # no distance of such pairs; with all steps added it still fits 16 bits
+WAITING = 20_000  # pairs that wait to be compared together
 MIX, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 ODD = [np.uint64(xxhash.xxh64_intdigest(f"line key {i}") | 1) for i in range(KEYS * ROWS)]
 
@@ -39,37 +45,49 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def line_keys(lines: list[str]) -> list[np.ndarray]:
-    """Keys of normalised lines, none for an empty one: two lines share a key the more likely, the more letter runs they share.
+def keyed_lines(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of normalised lines, and the place in ``lines`` that each belongs to; none for an empty one.
 
-    A key is ROWS least hashes of a line's runs; an edit changes only the runs
+    Two lines share a key the more likely, the more letter runs they share: a key
+    is ROWS least hashes of a line's runs, and an edit changes only the runs
     across it. Short lines have short runs, and those between both kinds of keys.
     """
-    out: list[list[np.ndarray]] = [[] for _ in lines]
     sizes = np.array([len(line) for line in lines], dtype=np.int64)
+    places, found = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
     for run, low, high in RUNS:
         chosen = np.flatnonzero((sizes >= low) & (sizes <= high))
+        gap = "\0" * (run - 1)
         for at in range(0, len(chosen), KEYED_AT_ONCE):
             own = chosen[at : at + KEYED_AT_ONCE]
-            joined = "".join(lines[i] + "\0" * (run - 1) for i in own) + "\0" * (run - 1)
+            joined = gap.join([lines[i] for i in own]) + gap * 2
             letters = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
             n = len(letters) - run + 1
             runs = np.full(n, np.uint64(run))
             for j in range(run):
-                runs = runs * MIX + letters[j : j + n]
+                runs *= MIX
+                runs += letters[j : j + n]
             runs = _mixed(runs)
             ends = np.cumsum(sizes[own] + run - 1)
             starts = ends - (sizes[own] + run - 1)
             runs[(starts + sizes[own])[:, None] + np.arange(run - 1)] = runs[starts, None]  # these reach into the next line
             keys = np.empty((len(own), KEYS), dtype=np.uint64)
+            hashes = np.empty_like(runs)
             for k in range(KEYS):
                 key = np.full(len(own), np.uint64(k * 16 + run))
                 for odd in ODD[k * ROWS : (k + 1) * ROWS]:
-                    key = key * MIX + (np.minimum.reduceat(runs * odd, starts) >> np.uint64(32))
+                    np.multiply(runs, odd, out=hashes)
+                    key = key * MIX + (np.minimum.reduceat(hashes, starts) >> np.uint64(32))
                 keys[:, k] = _mixed(key)
-            for i, row in zip(own, keys):
-                out[i].append(row)
-    return [np.concatenate(own).view(np.int64) if own else np.empty(0, np.int64) for own in out]
+            places.append(np.repeat(own, KEYS))
+            found.append(keys.ravel())
+    return np.concatenate(places), np.concatenate(found).view(np.int64)
+
+
+def line_keys(lines: list[str]) -> list[np.ndarray]:
+    """The keys of each of some normalised lines, see ``keyed_lines``."""
+    places, keys = keyed_lines(lines)
+    order = np.argsort(places, kind="stable")
+    return np.split(keys[order], np.searchsorted(places[order], np.arange(1, len(lines)))) if lines else []
 
 
 def line_simhashes(lines: list[str]) -> np.ndarray:
@@ -186,6 +204,86 @@ def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     return edit_distance(a, b, most) <= most
 
 
+def within(pairs: list[tuple[np.ndarray, np.ndarray]], most: np.ndarray) -> np.ndarray:
+    """Which pairs of lines, the shorter one first, as code points, are at most ``most`` edits apart; all are compared at once.
+
+    Cell (i, j) of the table of distances lies on diagonal j - i. Cells of equal
+    i + j don't hang on each other, and those of i + j - 2 lie on the same
+    diagonals, so two rows of numbers for each pair, of even and odd diagonals, take turns.
+    Only diagonals that ``most`` edits can reach are kept. The first even one of a
+    pair is -2 ``half``, and letters are laid out so that at each turn all pairs
+    need the same rows of them.
+    """
+    short, long = (np.array([len(pair[side]) for pair in pairs]) for side in (0, 1))
+    gap, total = long - short, long + short
+    spare = (most - gap) // 2
+    half = (spare + 1) // 2
+    size = int(((gap + spare + 2 * half + 2) // 2).max())
+    last = int(total.max())
+    middle = last // 2 + 1
+    a, b = (np.full((middle + size + 2, len(pairs)), pad, dtype=np.uint16) for pad in (LETTERS, LETTERS + 1))
+    for p, (x, y) in enumerate(pairs):
+        a[middle - len(x) + 1 + half[p] : middle + 1 + half[p], p] = x[::-1]
+        b[1 + half[p] : 1 + half[p] + len(y), p] = y
+    a, b = a.view(np.int16), b.view(np.int16)
+    even, odd = (np.full((size + 1, len(pairs)), FAR, dtype=np.int16) for _ in range(2))  # with a row beyond: the last one, the first one
+    ones = np.ones((size, len(pairs)), dtype=np.uint16)
+    even[half, np.arange(len(pairs))] = 0
+    end = half + gap // 2
+    steps = 2 * np.arange(size)[:, None]
+    to_end = [np.abs(gap + 2 * half - steps - one).astype(np.int16) for one in (0, 1)]
+    out, open_pairs = np.zeros(len(pairs), dtype=bool), np.arange(len(pairs))
+    one = np.int16(1)
+    turns = np.sort(total).tolist()[::-1]
+    look = max(64, last // 24)
+    for turn in range(1, last + 1):
+        if turn % 2:
+            own, other = odd[1:], even
+            above = middle + 1 - (turn - 1) // 2
+        else:
+            own, other = even[:-1], odd
+            above = middle + 1 - turn // 2
+        at = (turn + 1) // 2
+        unlike = a[above : above + size] ^ b[at : at + size]
+        np.minimum(unlike.view(np.uint16), ones, out=unlike.view(np.uint16))
+        unlike += own
+        np.minimum(other[:-1], other[1:], out=own)
+        np.add(own, one, out=own)
+        np.minimum(own, unlike, out=own)
+        if turn == turns[-1]:
+            ended = np.flatnonzero(total == turn)
+            out[open_pairs[ended]] = own[end[ended], ended] <= most[ended]
+            while turns and turns[-1] == turn:
+                turns.pop()
+            if not turns:
+                break
+        if turn % look == 0:
+            least = np.minimum((even[:-1] + to_end[0]).min(axis=0), (odd[1:] + to_end[1]).min(axis=0))
+            stay = np.flatnonzero((least <= most) & (total > turn))
+            if len(stay) <= 0.8 * len(total):
+                if not len(stay):
+                    break
+                a, b, even, odd = (np.ascontiguousarray(x[:, stay]) for x in (a, b, even, odd))
+                to_end, ones = [x[:, stay] for x in to_end], np.ascontiguousarray(ones[:, stay])
+                most, total, end, open_pairs = most[stay], total[stay], end[stay], open_pairs[stay]
+                turns = np.sort(total).tolist()[::-1]
+    return out
+
+
+def alike_together(pairs: list[tuple[str, str]], similarity: float) -> list[bool]:
+    """``alike`` of pairs of lines, best of similar length, see TOGETHER."""
+    codes = [tuple(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype="<u4") for line in sorted(pair, key=len)) for pair in pairs]
+    longer = np.array([len(b) for _, b in codes])
+    most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+    plain = [i for i, (a, b) in enumerate(codes) if len(b) - len(a) <= most[i] and len(a) and max(a.max(), b.max()) < LETTERS]
+    out = [False] * len(pairs)
+    for i, near in zip(plain, within([codes[i] for i in plain], most[plain]).tolist() if plain else ()):
+        out[i] = near
+    for i in set(range(len(pairs))).difference(plain):
+        out[i] = alike(*pairs[i], similarity)
+    return out
+
+
 def letter_counts(lines: list[str]) -> np.ndarray:
     """Letters of each line by code point modulo BINS."""
     out = np.empty((len(lines), BINS), dtype=np.int32)
@@ -207,8 +305,8 @@ def may_be_alike(counts: np.ndarray, left: np.ndarray, right: np.ndarray, simila
     return keep
 
 
-def near_pairs(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of one cell, two by two, within RADIUS.
+def near_pairs(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of one cell, two by two, within RADIUS; PAIRS_AT_ONCE and what one step adds at once, so that no task holds all its pairs.
 
     Rows are sorted by cell and compared with the next one, the one after that
     and so on, all cells at once, as far as the cell is the same.
@@ -216,46 +314,41 @@ def near_pairs(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     codes, cells = frame["code"].to_numpy().view(np.uint64), frame["cell"].to_numpy()
     order = np.lexsort((codes, cells))
     codes, cells = codes[order], cells[order]
-    open_rows, step = np.arange(len(cells)), 0
-    found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    while True:
+    open_rows, step, found, n = np.arange(len(cells)), 0, [], 0
+    while len(open_rows):
         step += 1
         open_rows = open_rows[open_rows + step < len(cells)]
         open_rows = open_rows[cells[open_rows + step] == cells[open_rows]]
-        if not len(open_rows):
-            break
         near = open_rows[np.bitwise_count(codes[open_rows] ^ codes[open_rows + step]) <= RADIUS]
-        found_a.append(near)
-        found_b.append(near + step)
-    return order[np.concatenate(found_a)], order[np.concatenate(found_b)]
+        found.append((near, near + step))
+        n += len(near)
+        if n and (n >= PAIRS_AT_ONCE or not len(open_rows)):
+            yield tuple(order[np.concatenate(side)] for side in zip(*found))
+            found, n = [], 0
 
 
 def _dealt(keyed: DataFrame, tasks: int) -> DataFrame:
-    """Rows of shards with two lines or more, with the pair of parts under which they are compared.
+    """Rows of shards of ``n`` lines, with the pair of parts under which they are compared.
 
-    A shard of n parts is compared as n (n + 1) / 2 pairs of parts, each in a
-    group of its own; a row goes to the n pairs that its part belongs to.
+    A shard of p parts is compared as p (p + 1) / 2 pairs of parts, each in a
+    group of its own; a row goes to the p pairs that its part belongs to.
     """
-    sizes = cut_lineage(
-        keyed.groupBy("shard")
-        .agg(F.count("*").alias("n"))
-        .where("n > 1")
-        .select("shard", F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("parts"))
-    )
-    few = sizes.count() <= BROADCAST_IDS
     return (
-        keyed.join(F.broadcast(sizes) if few else sizes, "shard")
+        keyed.withColumn("parts", F.ceil(F.col("n") / SHARD_ROWS).cast("int"))
         .withColumn("part", F.pmod(F.xxhash64("line_id", "shard"), "parts").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("cell", F.xxhash64("shard", F.least("part", "other"), F.greatest("part", "other")))
         .withColumn("task", F.pmod("cell", F.lit(tasks)))
+        .drop("n", "parts", "part", "other")
     )
 
 
 def partners(frame: pd.DataFrame) -> pd.DataFrame:
     """Lines and shards in which a line meets another within RADIUS."""
-    left, right = near_pairs(frame)
-    return frame.loc[np.union1d(left, right), ["line_id", "shard"]].drop_duplicates()
+    near = np.zeros(len(frame), dtype=bool)
+    for left, right in near_pairs(frame):
+        near[left] = near[right] = True
+    return frame.loc[near, ["line_id", "shard"]].drop_duplicates()
 
 
 def verified(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
@@ -263,14 +356,14 @@ def verified(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
 
     Two lines already linked are not compared again; letter counts settle most
     pairs that are not alike. Lines that meet in several shards are compared in the
-    lowest of them only.
+    lowest of them only. Longer lines that are not quickly seen to be alike wait
+    and are compared many at once.
     """
     names, texts, shards = frame["line_id"].tolist(), frame["line"].tolist(), frame["shard"].tolist()
     everywhere = [frozenset(own) for own in frame["everywhere"]]
-    left, right = near_pairs(frame)
-    counts = letter_counts(texts)
-    own = np.unique(names, return_inverse=True)[1]  # a line stands in several cells
-    up = list(range(len(names)))
+    _, first, own = np.unique(names, return_index=True, return_inverse=True)  # a line stands in several cells
+    counts = letter_counts([texts[i] for i in first])
+    up = list(range(len(first)))
 
     def root(i: int) -> int:
         while up[i] != i:
@@ -278,24 +371,62 @@ def verified(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
             i = up[i]
         return i
 
-    links = []
-    for at in range(0, len(left), PAIRS_AT_ONCE):
-        a, b = left[at : at + PAIRS_AT_ONCE], right[at : at + PAIRS_AT_ONCE]
+    def apart(x: int, y: int) -> bool:
+        return root(int(own[x])) != root(int(own[y]))
+
+    links, waiting = [], []
+
+    def link(x: int, y: int) -> None:
+        up[root(int(own[y]))] = root(int(own[x]))
+        links.append((names[x], names[y]))
+
+    def compare_waiting() -> None:
+        waiting.sort(key=lambda pair: len(texts[pair[0]]) + len(texts[pair[1]]))
+        while waiting:
+            pairs, width = [], 1
+            while waiting and width * len(pairs) < CELLS:
+                x, y = waiting.pop()
+                if apart(x, y):
+                    pairs.append((x, y))
+                    width = max(width, int((1 - similarity) * max(len(texts[x]), len(texts[y]))) // 2 + 2)
+            found = alike_together([(texts[x], texts[y]) for x, y in pairs], similarity)
+            for (x, y), near in zip(pairs, found):
+                if near and apart(x, y):
+                    link(x, y)
+
+    for a, b in near_pairs(frame):
         group = np.array([root(i) for i in range(len(up))])[own]
-        apart = group[a] != group[b]
-        a, b = a[apart], b[apart]
-        close = may_be_alike(counts, a, b, similarity)
+        open_pairs = group[a] != group[b]
+        a, b = a[open_pairs], b[open_pairs]
+        close = may_be_alike(counts, own[a], own[b], similarity)
         for x, y in zip(a[close].tolist(), b[close].tolist()):
-            i, j = root(int(own[x])), root(int(own[y]))
-            if i != j and shards[x] == min(everywhere[x] & everywhere[y]) and alike(texts[x], texts[y], similarity):
-                up[j] = i
-                links.append((names[x], names[y]))
+            if apart(x, y) and shards[x] == min(everywhere[x] & everywhere[y]):
+                longer = max(len(texts[x]), len(texts[y]))
+                most = int((1 - similarity) * longer + 1e-9)
+                if not TOGETHER[0] <= longer <= TOGETHER[1]:
+                    if alike(texts[x], texts[y], similarity):
+                        link(x, y)
+                elif edits_enough(texts[x], texts[y], most) <= most:
+                    link(x, y)
+                else:
+                    waiting.append((x, y))
+        if len(waiting) >= WAITING:
+            compare_waiting()
+    compare_waiting()
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
 def normalised(text: str | None) -> list[str]:
     """The lines of a text in lower case, with runs of white space as one blank, trimmed."""
-    return [" ".join(line.split()) for line in text.lower().split("\n")] if text is not None else []
+    if text is None:
+        return []
+    text = text.lower()
+    for space in ASCII_SPACES if text.isascii() else SPACES:
+        if space in text:
+            text = text.replace(space, " ")
+    while "  " in text:
+        text = text.replace("  ", " ")
+    return [line.strip(" ") for line in text.split("\n")]
 
 
 def line_id(line: str) -> int:
@@ -321,19 +452,50 @@ def occurrences(docs: DataFrame, text: str) -> DataFrame:
     )
 
 
-def sketches(docs: DataFrame, text: str) -> DataFrame:
-    """``(line_id, code, shards)``: SimHash and keys of every different line that isn't empty."""
+def common_keys(frame: pd.DataFrame) -> pd.DataFrame:
+    """``(line_id, shard, n)``: of the keys of one bucket those that ``n`` lines have, two or more."""
+    keys, lines = (np.concatenate(frame[c].to_list()) for c in ("keys", "lines"))
+    order = np.argsort(keys)
+    keys, lines = keys[order], lines[order]
+    same = keys[1:] == keys[:-1]
+    some = np.append(same, False) | np.insert(same, 0, False)
+    keys, lines = keys[some], lines[some]
+    order = np.lexsort((lines, keys))
+    keys, lines = keys[order], lines[order]
+    fresh = np.ones(len(keys), dtype=bool)  # a line that several tasks have read has its keys several times
+    fresh[1:] = (keys[1:] != keys[:-1]) | (lines[1:] != lines[:-1])
+    keys, lines = keys[fresh], lines[fresh]
+    _, each, n = np.unique(keys, return_inverse=True, return_counts=True)
+    many = n[each] > 1
+    return pd.DataFrame({"line_id": lines[many], "shard": keys[many], "n": n[each][many]})
+
+
+def shared_keys(docs: DataFrame, text: str, n_lines: int) -> DataFrame:
+    """``(line_id, shard, n)``: the keys that ``n`` different lines have, two or more.
+
+    Keys leave their task as arrays, one for each bucket of keys and batch of
+    texts, and so meet without a row for each of them.
+    """
+    buckets = max(1, KEYS * n_lines // BUCKET_KEYS)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), AT_ONCE):
                 lines = {line_id(x): x for one in batch["text"].iloc[at : at + AT_ONCE] for x in normalised(one) if x}
-                forms = list(lines.values())
-                keys = pd.Series(line_keys(forms), dtype=object)
-                yield pd.DataFrame({"line_id": _signed(list(lines)), "code": line_simhashes(forms).view(np.int64), "shards": keys})
-
-    texts = docs.select(F.col(text).cast("string").alias("text"))
-    return texts.mapInPandas(look, "line_id long, code long, shards array<long>").dropDuplicates(["line_id"])
+                places, keys = keyed_lines(list(lines.values()))
+                bucket = (keys.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                names, starts = np.unique(bucket[order], return_index=True)
+                yield pd.DataFrame(
+                    {
+                        "bucket": names,
+                        "keys": pd.Series(np.split(keys[order], starts)[1:], dtype=object),
+                        "lines": pd.Series(np.split(_signed(list(lines))[places][order], starts)[1:], dtype=object),
+                    }
+                )
+
+    packed = docs.select(F.col(text).cast("string").alias("text")).mapInPandas(look, "bucket long, keys array<long>, lines array<long>")
+    return packed.groupBy("bucket").applyInPandas(common_keys, "line_id long, shard long, n long")
 
 
 def line_texts(docs: DataFrame, text: str) -> DataFrame:
@@ -348,27 +510,35 @@ def line_texts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(look(F.col(text)).alias("l")).select(F.inline(zipped)).where("line_id != 0")
 
 
-def line_groups(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def line_groups(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, n_lines: int | None = None) -> DataFrame:
     """``(line_id, root)`` for every line in a group of several different lines.
 
     Two lines link if their edit similarity is ``similarity`` or more. Candidates
-    are lines that share a key (see ``line_keys``) and whose SimHashes differ in
-    RADIUS bits or less; only lines with a partner are then read again and meet,
-    as texts, in the shards where they have one. Of shards with the same lines one
-    is enough.
+    are lines that share a key (see ``keyed_lines``) and whose SimHashes differ in
+    RADIUS bits or less; only lines that share a key are read again, and those with
+    a partner meet, as texts, in the shards where they have one. Of shards with the
+    same lines one is enough. ``n_lines``, if known, says how many lines there are.
     """
-    distinct = cut_lineage(sketches(docs, text))
-    keyed = distinct.select("line_id", "code", F.explode("shards").alias("shard"))
-    tasks = max(1, KEYS * distinct.count() // TASK_ROWS)
+
+    @F.pandas_udf("long")
+    def code(lines: pd.Series) -> pd.Series:
+        return pd.Series(line_simhashes(lines.tolist()).view(np.int64))
+
+    n_lines = occurrences(docs, text).count() if n_lines is None else n_lines
+    shared = cut_lineage(shared_keys(docs, text, n_lines))
+    wanted = cut_lineage(shared.select("line_id").distinct())
+    few = wanted.count() <= BROADCAST_IDS
+    texts = line_texts(docs, text).join(F.broadcast(wanted) if few else wanted, "line_id").groupBy("line_id").agg(F.min("line").alias("line"))
+    texts = cut_lineage(texts.withColumn("code", code("line")))
+    codes = texts.select("line_id", "code")
+    tasks = max(1, KEYS * n_lines // TASK_ROWS)
+    keyed = shared.join(F.broadcast(codes) if few else codes, "line_id")
     met = cut_lineage(_dealt(keyed, tasks).groupBy("task").applyInPandas(partners, "line_id long, shard long").distinct())
     members = met.groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64("line_id"), 20)).alias("a"), F.bit_xor(F.xxhash64("line_id")).alias("b"))
-    met = cut_lineage(met.join(members.groupBy("n", "a", "b").agg(F.min("shard").alias("shard")).select("shard"), "shard"))
-    wanted = cut_lineage(met.select("line_id").distinct().join(distinct.select("line_id", "code"), "line_id"))
-    few = wanted.count() <= BROADCAST_IDS
-    texts = line_texts(docs, text).join(F.broadcast(wanted) if few else wanted, "line_id").groupBy("line_id", "code").agg(F.min("line").alias("line"))
-    everywhere = met.groupBy("line_id").agg(F.collect_set("shard").alias("everywhere"))
-    rows = cut_lineage(texts.join(everywhere, "line_id").withColumn("shard", F.explode("everywhere")))
-    tasks = max(1, rows.count() * 10 // TASK_ROWS)
+    met = cut_lineage(met.join(members.groupBy("n", "a", "b").agg(F.min("shard").alias("shard")).select("shard", "n"), "shard"))
+    at = met.groupBy("line_id").agg(F.collect_set(F.struct("shard", "n")).alias("at"))
+    rows = texts.join(at, "line_id").select("line_id", "code", "line", F.col("at.shard").alias("everywhere"), F.inline("at"))
+    tasks = max(1, met.count() * 10 // TASK_ROWS)
     links = _dealt(rows, tasks).groupBy("task").applyInPandas(lambda frame: verified(frame, similarity), "a long, b long")
     return connected(links).select(F.col("node").alias("line_id"), "root")
 
@@ -391,28 +561,29 @@ def dedup_lines(docs: DataFrame, text: str = "text", similarity: float = SIMILAR
     name = free_name(docs, "lines")
     found = cut_lineage(occurrences(docs, text))
     spot = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_id", "line_no")
-    groups = cut_lineage(line_groups(docs, text, similarity))
-    first = found.groupBy("line_id").agg(F.min(spot).alias("spot"), F.count("*").alias("n"))
-    named = cut_lineage(first.join(groups, "line_id", "left").select("line_id", F.coalesce("root", "line_id").alias("root"), "spot", "n"))
-    best = named.groupBy("root").agg(F.min("spot").alias("best"), F.sum("n").alias("total")).where("total > 1").select("root", "best")
-    many = named.join(best, "root").select("line_id", "best")
+    groups = line_groups(docs, text, similarity, found.count())
+    twice = found.groupBy("line_id").agg(F.count("*").alias("n")).where("n > 1").select("line_id", F.col("line_id").alias("root"))
+    named = cut_lineage(groups.union(twice).groupBy("line_id").agg(F.min("root").alias("root")))  # a group's root is its lowest line
+    few = named.count() <= BROADCAST_IDS
+    many = cut_lineage(found.join(F.broadcast(named) if few else named, "line_id"))
+    best = many.groupBy("root").agg(F.min(spot).alias("best"))
     gone = (
-        found.join(many, "line_id")
+        many.join(best, "root")
         .where(~spot.eqNullSafe(F.col("best")))
         .groupBy(F.col("doc_id").alias("gone_id"), F.col("text_id").alias("gone_text"))
         .agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
     )
     rows = docs.select(F.struct(*columns(docs)).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64(text).alias("own_text"))
     rows = rows.join(gone, F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_text") == F.col("gone_text")), "left")
-    parts = F.split(F.col("row")[text], "\n", -1)
-    stay = F.filter(parts, lambda _, i: ~F.array_contains(F.col("gone"), i + 1))
-    kept = F.when(F.col("gone").isNull(), parts).otherwise(stay)
+    rows = rows.withColumn("parts", F.split(F.col("row")[text], "\n", -1))
+    rows = rows.withColumn("kept", F.when(F.col("gone").isNotNull(), F.filter("parts", lambda _, i: ~F.array_contains(F.col("gone"), i + 1))))
+    n_lines = F.when(F.col("parts").isNull(), 0).otherwise(F.size("parts"))
     return rows.select(
         "row.*",
         F.struct(
-            F.array_join(kept, "\n").alias("text"),
-            F.when(F.col("row")[text].isNull(), 0).otherwise(F.size(parts)).alias("n_lines"),
-            F.when(F.col("row")[text].isNull(), 0).otherwise(F.size(kept)).alias("n_kept"),
+            F.when(F.col("gone").isNull(), F.col("row")[text].cast("string")).otherwise(F.array_join("kept", "\n")).alias("text"),
+            n_lines.alias("n_lines"),
+            F.when(F.col("kept").isNull(), n_lines).otherwise(F.size("kept")).alias("n_kept"),
             F.coalesce("gone", F.array().cast("array<int>")).alias("dropped"),
         ).alias(name),
     )

@@ -69,6 +69,66 @@ def test_lines_that_meet_in_several_shards_are_compared_once(monkeypatch):
     assert len(seen) == 1 and links.empty
 
 
+def test_distances_found_together_decide_as_single_ones():
+    rng = random.Random(3)
+    near = 0
+    for _ in range(60):
+        letters, pairs = rng.choice(["ab", "abcdefgh ", "a\u00e9\U0001f600 z"]), []
+        for _ in range(rng.randrange(1, 12)):
+            a = "".join(rng.choice(letters) for _ in range(rng.randrange(1, 200)))
+            part = rng.choice([0, 0.05, 0.2, 0.4])
+            pairs.append((a, "".join(c if rng.random() > part else rng.choice(["", "x", c + "yy"]) for c in a) or "q"))
+        similarity = rng.choice([0.2, 0.5, 0.8, 0.9])
+        want = [distance(a, b) <= int((1 - similarity) * max(len(a), len(b)) + 1e-9) for a, b in pairs]
+        assert op.alike_together(pairs, similarity) == want
+        near += sum(want)
+    assert 100 < near
+
+
+def test_long_lines_are_compared_together(monkeypatch):
+    """Pairs that are not quickly seen to be alike cost no distance of their own, and link as before."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
+    turned = lambda w, n: " ".join(w[n:] + w[:n])
+    lines = [turned(words, n) for n in (0, 2, 4, 30)]
+    rows = [(i, 0, line, 5, [5], 5) for i, line in enumerate(lines)]
+    monkeypatch.setattr(op, "edits_enough", lambda a, b, most: most + 1)
+    monkeypatch.setattr(op, "edit_distance", None)
+    links = op.verified(pd.DataFrame(rows, columns=["line_id", "code", "line", "shard", "everywhere", "cell"]), 0.8)
+    group = components([0, 1, 2, 3], list(links.itertuples(index=False, name=None)))
+    assert [group[i] for i in range(4)] == [0, 0, 0, 3]
+
+
+def test_pairs_of_a_full_cell_come_in_portions(monkeypatch):
+    monkeypatch.setattr(op, "PAIRS_AT_ONCE", 100)
+    frame = pd.DataFrame({"line_id": range(60), "shard": 1, "code": 0, "cell": 1})
+    portions = [(a.tolist(), b.tolist()) for a, b in op.near_pairs(frame)]
+    assert max(len(a) for a, _ in portions) < 160
+    found = sorted(tuple(sorted(pair)) for a, b in portions for pair in zip(a, b))
+    assert found == list(itertools.combinations(range(60), 2))
+    assert op.partners(frame)["line_id"].tolist() == list(range(60))
+
+
+def test_white_space_of_a_line():
+    spaces = [chr(i) for i in range(0x110000) if chr(i).isspace()]
+    assert sorted(op.SPACES + " \n") == spaces
+    text = "A" + "".join(f"{c}x{c}{c}" for c in spaces) + "\n \t\n\u00c9 y"
+    assert op.normalised(text) == [" ".join(line.split()) for line in text.lower().split("\n")]
+
+
+def test_shared_keys_equal_a_count_of_all_keys(spark, monkeypatch):
+    rows = made()
+    texts = [t for _, t in rows if t is not None]
+    keys = {}
+    for form in {x for t in texts for x in op.normalised(t) if x}:
+        for key in op.line_keys([form])[0].tolist():
+            keys.setdefault(key, set()).add(op._signed([op.line_id(form)])[0])
+    want = sorted((i, key, len(ids)) for key, ids in keys.items() if len(ids) > 1 for i in ids)
+    monkeypatch.setattr(op, "BUCKET_KEYS", 50)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert want and sorted(tuple(r) for r in op.shared_keys(frame, "text", 90).collect()) == want
+
+
 def plain(line):
     return re.sub(r"[\s\xa0\x85]+", " ", line.lower()).strip(" ")
 
