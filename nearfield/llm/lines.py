@@ -30,7 +30,7 @@ PAIRS_AT_ONCE = 50_000
 AT_ONCE = 512  # lines hashed at once
 SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"  # white space besides blank and \n
 ASCII_SPACES = SPACES[:8]
-KEYED_AT_ONCE = 256  # lines whose letter runs, 600 KB in the middle, are hashed at once
+KEYED_AT_ONCE = 128  # lines whose letter runs, 300 KB in the middle, are hashed at once
 ANCHOR, REACH = 8, 64  # letters that two lines must share again after an edit, and how far on they are looked for
 TOGETHER = (64, 5000)  # letters of the longer line from, to, of pairs whose distances are found many at once
 CELLS, LETTERS = 8192, 65_000  # numbers in a row of such pairs, 16 KB; code points from the second on are left to single pairs
@@ -70,16 +70,16 @@ def keyed_lines(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
             ends = np.cumsum(sizes[own] + run - 1)
             starts = ends - (sizes[own] + run - 1)
             runs[(starts + sizes[own])[:, None] + np.arange(run - 1)] = runs[starts, None]  # these reach into the next line
-            keys = np.empty((len(own), KEYS), dtype=np.uint64)
-            hashes = np.empty_like(runs)
-            for k in range(KEYS):
-                key = np.full(len(own), np.uint64(k * 16 + run))
-                for odd in ODD[k * ROWS : (k + 1) * ROWS]:
-                    np.multiply(runs, odd, out=hashes)
-                    key = key * MIX + (np.minimum.reduceat(hashes, starts) >> np.uint64(32))
-                keys[:, k] = _mixed(key)
+            hashes, least = np.empty_like(runs), np.empty((KEYS, ROWS, len(own)), dtype=np.uint64)
+            for odd, line in zip(ODD, least.reshape(KEYS * ROWS, -1)):
+                np.multiply(runs, odd, out=hashes)
+                np.minimum.reduceat(hashes, starts, out=line)
+            least >>= np.uint64(32)
+            keys = np.repeat((np.arange(KEYS, dtype=np.uint64) * np.uint64(16) + np.uint64(run))[:, None], len(own), axis=1)
+            for row in range(ROWS):
+                keys = keys * MIX + least[:, row]
             places.append(np.repeat(own, KEYS))
-            found.append(keys.ravel())
+            found.append(_mixed(keys).T.ravel())
     return np.concatenate(places), np.concatenate(found).view(np.int64)
 
 
@@ -362,7 +362,7 @@ def verified(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
     names, texts, shards = frame["line_id"].tolist(), frame["line"].tolist(), frame["shard"].tolist()
     everywhere = [frozenset(own) for own in frame["everywhere"]]
     _, first, own = np.unique(names, return_index=True, return_inverse=True)  # a line stands in several cells
-    counts = letter_counts([texts[i] for i in first])
+    counts, same = letter_counts([texts[i] for i in first]), own.tolist()
     up = list(range(len(first)))
 
     def root(i: int) -> int:
@@ -372,12 +372,12 @@ def verified(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
         return i
 
     def apart(x: int, y: int) -> bool:
-        return root(int(own[x])) != root(int(own[y]))
+        return root(same[x]) != root(same[y])
 
     links, waiting = [], []
 
     def link(x: int, y: int) -> None:
-        up[root(int(own[y]))] = root(int(own[x]))
+        up[root(same[y])] = root(same[x])
         links.append((names[x], names[y]))
 
     def compare_waiting() -> None:
@@ -566,15 +566,17 @@ def dedup_lines(docs: DataFrame, text: str = "text", similarity: float = SIMILAR
     named = cut_lineage(groups.union(twice).groupBy("line_id").agg(F.min("root").alias("root")))  # a group's root is its lowest line
     few = named.count() <= BROADCAST_IDS
     many = cut_lineage(found.join(F.broadcast(named) if few else named, "line_id"))
-    best = many.groupBy("root").agg(F.min(spot).alias("best"))
+    best = cut_lineage(many.groupBy("root").agg(F.min(spot).alias("best")))
     gone = (
-        many.join(best, "root")
+        many.join(F.broadcast(best) if few else best, "root")
         .where(~spot.eqNullSafe(F.col("best")))
         .groupBy(F.col("doc_id").alias("gone_id"), F.col("text_id").alias("gone_text"))
         .agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
     )
+    gone = cut_lineage(gone)
+    few = (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= BROADCAST_IDS
     rows = docs.select(F.struct(*columns(docs)).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64(text).alias("own_text"))
-    rows = rows.join(gone, F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_text") == F.col("gone_text")), "left")
+    rows = rows.join(F.broadcast(gone) if few else gone, F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_text") == F.col("gone_text")), "left")
     rows = rows.withColumn("parts", F.split(F.col("row")[text], "\n", -1))
     rows = rows.withColumn("kept", F.when(F.col("gone").isNotNull(), F.filter("parts", lambda _, i: ~F.array_contains(F.col("gone"), i + 1))))
     n_lines = F.when(F.col("parts").isNull(), 0).otherwise(F.size("parts"))
